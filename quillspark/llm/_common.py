@@ -56,6 +56,11 @@ def map_columns(df: DataFrame, inputs: list[str], schema: str, fn: Callable[...,
     return df.select([F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(inputs)]).mapInArrow(run, struct)
 
 
+def kinds(df: DataFrame, columns: tuple[str, ...] | list[str]) -> str:
+    """The columns' names and types as DDL, with a comma after each."""
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
+
+
 def star_round(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star round (Kiveris et al., 2014) over edges (u, v) with u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

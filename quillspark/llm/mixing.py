@@ -47,19 +47,19 @@ def draw(id_col: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(2**52)
 
 
-def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, times): how often the mix takes each document."""
-    sized = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{source_col}`").alias("source"), words(F.col(f"`{text_col}`")).alias("size"))
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = sized.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
-    whole = F.floor("rate")
-    extra = (draw(id_col, seed) < F.col("rate") - whole).cast("long")
-    return joined.select(id_col, "source", "size", "source_size", "target", (whole + extra).cast("long").alias("times"))
-
-
-def emit(docs: DataFrame, times: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: each document of ``docs`` as often as ``times`` (id, times; one row an id) says."""
-    counts = times.select(F.col(id_col).alias("_id"), F.col("times").alias("_times"))
-    rows = docs.join(counts, F.col(id_col).eqNullSafe(F.col("_id"))).where("_times > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_copy", "_times", "_id")
+def planned(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows with _size, _source_size, _target (the source's) and _times, how often the mix takes them."""
+    sized = docs.withColumn("_size", words(F.col(text_col)))
+    targets = source_targets(sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("_size").alias("source_size")), weights, cap)
+    targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
+    joined = sized.join(targets, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_rate", rate)
+    whole = F.floor("_rate")
+    extra = (draw(id_col, seed) < F.col("_rate") - whole).cast("long")
+    return joined.withColumn("_times", (whole + extra).cast("long")).drop("_source", "_rate")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken."""
+    rows = planned(docs, **options).where("_times > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(docs.columns)

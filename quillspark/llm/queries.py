@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, media, mixing, token_counts
-from ._common import WORD
+from . import bpe_trie, itq, langid, media, mixing, range_coder, recompression, simhash, token_counts, toxicity
+from ._common import WORD, new_path
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token_ids")
+    range_coder.write(table(spark, sf_dir, "documents"), path, tokenizer())
+    return range_coder.read(spark, path).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op2_media_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media.text_payload("text").alias("payload"))
     stored = media.store(docs.withColumn("k", F.struct("doc_id", "n_bytes")), "payload", "k")
@@ -37,8 +43,12 @@ def op2_media_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    rows = mixing.planned(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_times")).alias("taken"))
+
+
+def op4_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +59,37 @@ def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.where(langid.fold("doc_id", 5) != 0))
+    return langid.identify(docs, model).select("doc_id", (langid.fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer())
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op2_media_fingerprint, op3_source_mix, op5_bpe_trie, op8_token_counts)}
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = recompression.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(toxicity.learnable("doc_id"))
+    scores = toxicity.assess(docs, labels)
+    return scores.select("doc_id", (~toxicity.learnable("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_ids, op2_media_fingerprint, op3_source_mix, op4_itq_near_duplicates, op5_bpe_trie, op6_language_id, op7_simhash_near_duplicates, op8_token_counts, op9_recompression, op10_toxicity)
+}
 
 ORACLE_SQL = {
     "op3_source_mix": rf"""
@@ -72,4 +107,14 @@ SELECT doc_id, size, source_size, target,
     CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0
     < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
 FROM r""",
+    "op9_recompression": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+p AS (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+win AS (SELECT r, doc_id, i, array_to_string(list_slice(w, i, i + 12), chr(31)) AS s FROM p WHERE i + 12 <= len(w)),
+hit AS (SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM win) WHERE m < doc_id),
+gone AS (SELECT DISTINCT r, i + k AS i FROM hit, (SELECT unnest(range(0, 13)) AS k)),
+kept AS (SELECT p.r, list(w[p.i] ORDER BY p.i) AS ws FROM p ANTI JOIN gone g ON p.r = g.r AND p.i = g.i GROUP BY p.r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(len(k.ws), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(k.ws, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.r = k.r""",
 }
