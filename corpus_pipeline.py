@@ -34,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; other texts stay as they are, emptied ones go."""
-    rest = tuple(c for c in docs.columns if c != "text")
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     out = recompression.remove_repeats(docs, keep=rest, whole=True).where("n_removed = 0 or n_removed < n_words")
     if "n_chars" in rest:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -4,17 +4,21 @@ Words are named by 64-bit hashes. The first round names runs of a word, and ever
 symbol's name and the round's number puts it into a left or a right class, and each left symbol followed by a right one
 becomes one symbol, named by a hash of the two names. Equal pairs so get equal names everywhere, and equal passages are
 cut alike but for what touches their borders. For each window of ``width`` words the core is what remains certain when a
-round's border symbols that might join their outer neighbours are left off; it depends on the window's words alone. A
-symbol of the highest round whose core isn't empty stands for the window.
-
-1. Each document sends the symbols that stand for its windows, once for each stretch of windows, to the shuffle that
-   names them globally: a symbol that only one document has reveals no repeat, and its windows are done.
-2. Documents with shared symbols send those windows that the symbols stand for, as 96-bit hashes, to the second shuffle,
-   which verifies them and finds each window's first document.
+round's border symbols that might join their outer neighbours are left off; it depends on the window's words alone. The
+longest core symbol of the higher rounds stands for the window (of equally long ones the one with the highest hash, which
+neighbouring windows then share).
+
+1. Each document sends the symbols that stand for its windows, once for each stretch of windows, and one that stands for
+   all its words, to the shuffle that names them globally: a symbol that only one document has reveals no repeat, and
+   its windows are done.
+2. Stretches of shared symbols go back to their documents, which send those windows, as 80-bit hashes, to the second
+   shuffle; it verifies them and finds each window's first document. A copy of an earlier document sends its whole
+   instead of its windows.
 3. What is covered by a window with an earlier document goes.
 
-Windows of runs, whose cores are empty in every round, stand for themselves. Both shuffles spread by hashes of symbols and
-windows, and a common one has at most one row for each stretch in a document. Texts travel deflated by Zstandard.
+Windows of runs, whose cores are empty, stand for themselves. Both shuffles spread by hashes of symbols and windows, and
+a common one has at most one row for each stretch in a document. Texts travel deflated by Zstandard, in one exchange that
+steps 2 and 3 share.
 
 Null and empty texts have no words. Rows with equal ids are one document's rows: none repeats another. Rows with a null id
 neither lose words nor take any from others. Texts with fewer words than a window lose none. Every row is kept.
@@ -33,8 +37,8 @@ from pyspark.sql import functions as F
 
 from ._common import kinds, map_columns
 
-ROUNDS = 4
-MAX_WORDS = 400_000
+ROUNDS = 3
+MAX_WORDS = 150_000
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: A worker's names of words.
 NAMES: dict[bytes, int] = {}
@@ -47,13 +51,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def named(words: list[bytes]) -> np.ndarray:
     """The words' names."""
+    seen = set(words)
     if len(NAMES) > MAX_WORDS:
+        kept = {w: NAMES[w] for w in seen if w in NAMES}
         NAMES.clear()
-    for w in set(words).difference(NAMES):
+        NAMES.update(kept)
+    for w in seen.difference(NAMES):
         NAMES[w] = xxhash.xxh64_intdigest(w, 9)
     return np.fromiter(map(NAMES.__getitem__, words), np.uint64, len(words))
 
 
+def highest(rank: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where the highest rank is in each range [low, high), the first of equal ones: from tables for powers of two."""
+    log = np.frompyfunc(int.bit_length, 1, 1)(np.arange(int((high - low).max(initial=1)) + 1)).astype(np.int64) - 1
+    tables = [np.arange(len(rank))]
+    for j in range(int(log[-1])):
+        t = tables[-1]
+        other = t[np.minimum(np.arange(len(rank)) + (1 << j), len(rank) - 1)]
+        tables.append(np.where(rank[other] > rank[t], other, t))
+    table, k = np.stack(tables), log[high - low]
+    a, b = table[k, low], table[k, high - (1 << k)]
+    return np.where(rank[b] > rank[a], b, a)
+
+
 def symbols(names: np.ndarray, doc: np.ndarray, width: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """For each window (at the word where it starts) whether it is in one document, and the symbol that stands for it.
 
@@ -64,6 +84,7 @@ def symbols(names: np.ndarray, doc: np.ndarray, width: int, rounds: int = ROUNDS
     w = n - width + 1
     inside = doc[:w] == doc[width - 1 :]
     stands = window_hash(names, width, B)  # of windows without a core
+    longest = np.zeros(w, np.int64)
     # runs of words
     first = np.r_[True, (names[1:] != names[:-1]) | (doc[1:] != doc[:-1])]
     at = np.flatnonzero(first)
@@ -76,19 +97,23 @@ def symbols(names: np.ndarray, doc: np.ndarray, width: int, rounds: int = ROUNDS
     low, high = low[live], high[live]
     for k in range(rounds):
         right = (mixed(name + np.uint64((k + 1) * int(A) % 2**64)) >> np.uint64(17)) & np.uint64(1) == 1
-        joins = np.r_[~right[:-1] & right[1:] & (doc[1:] == doc[:-1]), False]
-        at = np.flatnonzero(~np.r_[False, joins[:-1]])
-        to = np.cumsum(~np.r_[False, joins[:-1]]) - 1
+        joined = np.r_[False, ~right[:-1] & right[1:] & (doc[1:] == doc[:-1])]
+        at = np.flatnonzero(~joined)
+        to = np.cumsum(~joined) - 1
         low = low + right[low]
         high = high - ~right[high - 1]
         ok = low < high
         live, low, high = live[ok], to[low[ok]], to[high[ok] - 1] + 1
-        pair = joins[at]
-        size = size[at] + np.where(pair, size[np.minimum(at + 1, len(size) - 1)], 0)
-        name = np.where(pair, mixed(name[at] * A ^ mixed(name[np.minimum(at + 1, len(name) - 1)] + C)), name[at])
+        after = np.minimum(at + 1, len(size) - 1)
+        pair = joined[after] & (at + 1 < len(size))
+        size = size[at] + np.where(pair, size[after], 0)
+        name = np.where(pair, mixed(name[at] * A ^ mixed(name[after] + C)), name[at])
         doc = doc[at]
-        longer = size[high - 1] > size[low]
-        stands[live] = name[np.where(longer, high - 1, low)]
+        if k and len(live):
+            pick = highest((size << 24) + (mixed(name) >> np.uint64(41)).astype(np.int64), low, high)
+            better = size[pick] >= longest[live]
+            pick, at = pick[better], live[better]
+            stands[at], longest[at] = name[pick], size[pick]
     return inside, stands
 
 
@@ -119,8 +144,8 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterato
         at = end
 
 
-def packed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc, row, z) and the kept columns: the id, a hash of the text, and the text deflated."""
+def packed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), unique: bool = False) -> DataFrame:
+    """(doc, row, z) and the kept columns: the id, what tells different texts with equal ids apart, and the text deflated."""
 
     def run(keys: pa.Array, texts: pa.Array, *more: pa.Array) -> list:
         import zstandard
@@ -129,65 +154,113 @@ def packed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] =
         raw = [None if t is None else t.encode() for t in texts.to_pylist()]
         return [keys, [xxhash.xxh64_intdigest(t or b"") - 2**63 for t in raw], [None if t is None else press(t) for t in raw], *more]
 
-    rows = docs.withColumn("_doc", F.col(id_col).cast("long"))
-    return map_columns(rows, ["_doc", text_col, *keep], f"doc long, row long, z binary, {kinds(docs, keep)}"[:-2], run)
+    rows = map_columns(docs.withColumn("_doc", F.col(id_col).cast("long")), ["_doc", text_col, *keep], f"doc long, row long, z binary, {kinds(docs, keep)}"[:-2], run)
+    if unique:
+        return rows.withColumn("row", F.lit(0).cast("long"))
+    return rows.withColumn("row", F.dense_rank().over(Window.partitionBy("doc").orderBy("row")).cast("long") - 1)
+
+
+def places(doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of n documents' words start, and their numbers."""
+    first = np.searchsorted(doc, np.arange(n))
+    return first, np.diff(np.r_[first, len(doc)])
+
+
+def wholes(names: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each document's words."""
+    first, sizes = places(doc, n)
+    at = np.arange(len(names)) - np.repeat(first, sizes)
+    out = np.zeros(n, np.uint64)
+    has = sizes > 0
+    if has.any():
+        out[has] = np.add.reduceat(mixed(mixed(names) + at.astype(np.uint64) * A), first[has])
+    return mixed(out + sizes.astype(np.uint64) * C)
 
 
-def standing(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(key, doc): the symbols that stand for a document's windows, once for each stretch of windows."""
+#: Spans of a whole document: of a copy of an earlier one, and of the first.
+COPY, FIRST = -1, -2
+
+
+def standing(docs: DataFrame, id_col: str, text_col: str, width: int, unique: bool = False) -> DataFrame:
+    """(key, doc, span): the symbols that stand for a document's windows, once for each stretch of windows; a span is the
+    stretch's first window times 256, and its length. Where ids are unique, the symbol of all words has the span COPY."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                keys = part.column(0).to_numpy(zero_copy_only=False)
+                keys = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 names, doc = batch_words([None if t is None else t.encode() for t in part.column(1).to_pylist()])
                 inside, stands = symbols(names, doc, width)
                 at = np.flatnonzero(inside)
-                new = np.r_[True, (stands[at][1:] != stands[at][:-1]) | (doc[at][1:] != doc[at][:-1])] if len(at) else np.zeros(0, bool)
-                at = at[new]
-                yield pa.RecordBatch.from_arrays([pa.array(stands[at].view(np.int64)), pa.array(keys[doc[at]].astype(np.int64))], ["key", "doc"])
+                starts, sizes = places(doc, part.num_rows)
+                pos = at - starts[doc[at]]
+                new = np.ones(len(at), bool)
+                new[1:] = (stands[at][1:] != stands[at][:-1]) | (doc[at][1:] != doc[at][:-1]) | (pos[1:] % 128 == 0)
+                first = np.flatnonzero(new)
+                size = np.diff(np.r_[first, len(at)])
+                at = at[first]
+                long = np.flatnonzero(unique & (sizes >= width))
+                key = np.r_[stands[at], wholes(names, doc, part.num_rows)[long]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.r_[keys[doc[at]], keys[long]]), pa.array(np.r_[pos[first] << 8 | size, np.full(len(long), COPY)])], ["key", "doc", "span"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col))
-    return rows.mapInArrow(run, "key long, doc long")
+    return rows.mapInArrow(run, "key long, doc long, span long")
 
 
-def windows(with_keys: DataFrame, width: int) -> DataFrame:
-    """(h, g, doc, row, pos): hashes of the windows that a document's shared symbols (doc, row, z, keys) stand for."""
+def windows(with_spans: DataFrame, width: int) -> DataFrame:
+    """(h, doc, at): hashes of a document's windows in its shared stretches (doc, row, z, ..., spans), and of all words of
+    copies and of what they are copies of; ``at`` has 16 more bits of the hash, 16 of the row, and where the window starts
+    (of wholes 2 ** 32 - 1)."""
+    everything = 2**32 - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         for batch in batches:
+            batch = batch.filter(batch.column("spans").is_valid())
             for part in slices(batch, 2, 500_000):
-                docs, rows = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                docs, rows = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
                 names, doc = batch_words([None if z is None else zstandard.decompress(z) for z in part.column(2).to_pylist()])
-                inside, stands = symbols(names, doc, width)
-                shared = part.column(3)
-                # a symbol of another document in this batch does no harm: the windows are verified
-                known = np.unique(shared.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-                at = np.flatnonzero(inside)
-                if len(known) and len(at):
-                    found = np.minimum(np.searchsorted(known, stands[at]), len(known) - 1)
-                    at = at[known[found] == stands[at]]
-                else:
-                    at = at[:0]
-                h = window_hash(names, width, A)[at] if len(at) else np.zeros(0, np.uint64)
-                g = (window_hash(names, width, C)[at] >> np.uint64(32)).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
-                starts = np.searchsorted(doc, np.arange(part.num_rows))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int32)), pa.array(docs[doc[at]].astype(np.int64)), pa.array(rows[doc[at]].astype(np.int64)), pa.array((at - starts[doc[at]]).astype(np.int32))], ["h", "g", "doc", "row", "pos"])
-
-    return with_keys.mapInArrow(run, "h long, g int, doc long, row long, pos int")
-
-
-def repeats(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13) -> DataFrame:
-    """(doc, row, starts): where windows start that an earlier document has too. ``rows``: what ``packed`` makes of ``docs``."""
+                first, sizes = places(doc, part.num_rows)
+                spans = part.column("spans")
+                owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(spans).to_numpy(zero_copy_only=False))
+                span = spans.flatten().to_numpy(zero_copy_only=False)
+                whole = np.zeros(part.num_rows, bool)
+                copy = np.zeros(part.num_rows, bool)
+                whole[owner[span < 0]] = True
+                copy[owner[span == COPY]] = True
+                own = (span >= 0) & ~copy[owner]
+                owner, span = owner[own], span[own]
+                size = span & 255
+                pos = np.repeat((span >> 8) - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                owner = np.repeat(owner, size)
+                ok = pos <= sizes[owner] - width  # rows with equal ids share their spans
+                owner, pos = owner[ok], pos[ok]
+                at = first[owner] + pos
+                none = np.zeros(0, np.uint64)
+                h, g = (window_hash(names, width, base)[at] if len(at) else none for base in (A, C))
+                all_ = np.flatnonzero(whole & (sizes >= width))
+                w = wholes(names, doc, part.num_rows)[all_]
+                h, g = np.r_[h, w], np.r_[g, mixed(w * B)]
+                owner, pos = np.r_[owner, all_], np.r_[pos, np.full(len(all_), everything)]
+                packed_at = (g >> np.uint64(48)).astype(np.uint16).view(np.int16).astype(np.int64) << 48 | rows[owner] << 32 | pos
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(docs[owner]), pa.array(packed_at)], ["h", "doc", "at"])
+
+    return with_spans.mapInArrow(run, "h long, doc long, at long")
+
+
+def repeats(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, unique: bool = False) -> DataFrame:
+    """(doc, starts): where windows start that an earlier document has too, as ``at`` of ``windows``. ``rows``: what
+    ``packed`` makes of ``docs``."""
     by_key = Window.partitionBy("key")
-    shared = standing(docs, id_col, text_col, width)
-    shared = shared.select("key", "doc", F.min("doc").over(by_key).alias("a"), F.max("doc").over(by_key).alias("b")).where("a < b")
-    keys = shared.groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    met = windows(rows.where("doc is not null").join(keys, "doc").select("doc", "row", "z", "keys"), width)
-    met = met.withColumn("a", F.min("doc").over(Window.partitionBy("h", "g"))).where("a < doc")
-    return met.groupBy("doc", "row").agg(F.collect_set("pos").alias("starts"))
+    shared = standing(docs, id_col, text_col, width, unique)
+    shared = shared.withColumn("a", F.min("doc").over(by_key)).withColumn("b", F.max("doc").over(by_key)).where("a < b")
+    span = F.when((F.col("span") == COPY) & (F.col("doc") == F.col("a")), FIRST).otherwise(F.col("span"))
+    spans = shared.select("doc", span.cast("long").alias("span")).groupBy("doc").agg(F.collect_set("span").alias("spans"))
+    met = windows(rows.join(spans, "doc", "left"), width).repartition("h")
+    by_window = Window.partitionBy("h", F.shiftrightunsigned("at", 48))
+    met = met.withColumn("a", F.min("doc").over(by_window)).where("a < doc")
+    return met.groupBy("doc").agg(F.collect_set("at").alias("starts"))
 
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
@@ -198,30 +271,32 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, keep: tuple[str, ...] = ("doc_id",), whole: bool = False) -> DataFrame:
-    """The kept columns, n_words, n_removed, text: each row's words that are kept, joined by single spaces. With ``whole``
-    a text that loses no word stays as it is (null: null)."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+    """The id, the kept columns, n_words, n_removed, text: each row's words that are kept, joined by single spaces. With
+    ``whole`` a text that loses no word stays as it is (null: null)."""
     extra = tuple(f"_k{i}" for i in range(len(keep)))
-    named_ = docs.select(id_col, text_col, *[F.col(c).alias(k) for c, k in zip(keep, extra, strict=True)])
-    rows = packed(named_, id_col, text_col, extra)
-    found = repeats(docs, rows.select("doc", "row", "z"), id_col, text_col, width)
+    unique = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
+    rows = packed(docs.select(id_col, text_col, *[F.col(c).alias(k) for c, k in zip(keep, extra, strict=True)]), id_col, text_col, extra, unique)
+    found = repeats(docs, rows, id_col, text_col, width, unique)
 
-    def run(z: pa.Array, starts: pa.Array, *more: pa.Array) -> list:
+    def run(keys: pa.Array, row: pa.Array, z: pa.Array, starts: pa.Array, *more: pa.Array) -> list:
         import zstandard
 
         counts, gone, texts = [], [], []
-        for raw, at in zip(z.to_pylist(), starts, strict=True):
+        for own, raw, at in zip(row.to_pylist(), z.to_pylist(), starts, strict=True):
             text = zstandard.decompress(raw) if raw is not None else None
             words = text.split() if text else []
             counts.append(len(words))
             if at.is_valid:
-                drop = covered(len(words), at.values.to_numpy(zero_copy_only=False).astype(np.int64), width)
+                found = at.values.to_numpy(zero_copy_only=False)
+                found = (found & 0xFFFFFFFF)[(found >> 32 & 0xFFFF) == own]
+                drop = np.ones(len(words), bool) if (found == 0xFFFFFFFF).any() else covered(len(words), found, width)
                 words = [w for w, d in zip(words, drop.tolist(), strict=True) if not d]
             gone.append(counts[-1] - len(words))
             same = whole and not gone[-1]
             texts.append((None if text is None else text.decode()) if same else b" ".join(words).decode())
-        return [*more, counts, gone, texts]
+        return [keys, *more, counts, gone, texts]
 
-    joined = rows.join(found, ["doc", "row"], "left")
-    out = map_columns(joined, ["z", "starts", *extra], f"{kinds(rows, extra)}n_words long, n_removed long, text string", run, 500)
-    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, extra, strict=True)], "n_words", "n_removed", "text")
+    joined = rows.join(found, "doc", "left")
+    out = map_columns(joined, ["doc", "row", "z", "starts", *extra], f"`{id_col}` long, {kinds(rows, extra)}n_words long, n_removed long, text string", run, 500)
+    return out.select(id_col, *[F.col(k).alias(c) for c, k in zip(keep, extra, strict=True)], "n_words", "n_removed", "text")
