@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Names of producers and their canonical form.
 OPENAI = ("openai", "openai_codex", "codex")
@@ -130,10 +132,22 @@ def project_dir(name: Column) -> Column:
     return F.when(at > 0, F.concat(F.substring(name, F.lit(1), at - 1), F.lit(":/"), F.translate(F.substring(name, at + 2, F.length(name)), "-", "/"))).otherwise(F.translate(name, "-", "/"))
 
 
+def _from_cp1251(texts: pd.Series) -> pd.Series:
+    def turn(text: str | None) -> str | None:
+        try:
+            fixed = text.encode("cp1251").decode("utf-8")
+        except (UnicodeError, AttributeError):
+            return text
+        marks = lambda x: x.count("Р") + x.count("С")
+        return fixed if marks(fixed) < marks(text) else text
+
+    return texts.map(turn)
+
+
 def repair_cp1251(text: Column) -> Column:
-    """UTF-8 that was read as windows-1251, turned back where it bears that mark."""
-    marked = F.contains(text, F.lit("Р")) & text.rlike("[РС][\u0080-¿Ѐ-џ°±µ·]")
-    return F.when(marked, F.try_validate_utf8(F.encode(text, "windows-1251").cast("string"))).otherwise(text)
+    """UTF-8 that was read as windows-1251, turned back where that leaves fewer of its marks. Spark has no such charset, so
+    texts that bear a mark go through a pandas UDF."""
+    return F.when(text.rlike("[РС]"), F.pandas_udf(_from_cp1251, StringType())(text)).otherwise(text)
 
 
 def effective_hours(corrected: Column, baseline: Column) -> Column:
@@ -153,9 +167,10 @@ def guarded_hours(baseline: Column, active: Column, events: Column, *, trivial_e
 
 def wilson(successes: Column, runs: Column, z: float = 1.96) -> Column:
     """The lower bound of Wilson's score interval; 0 without runs."""
-    p = successes / F.nullif(runs, F.lit(0))
-    top = p + z * z / (2 * runs) - z * F.sqrt((p * (1 - p) + z * z / (4 * runs)) / runs)
-    return F.coalesce(F.greatest(F.lit(0.0), top / (1 + z * z / runs)), F.lit(0.0))
+    n = F.nullif(runs, F.lit(0)).cast("double")
+    p = successes / n
+    top = p + F.lit(z * z) / (n * 2) - F.sqrt((p * (1 - p) + F.lit(z * z) / (n * 4)) / n) * z
+    return F.coalesce(F.greatest(F.lit(0.0), top / (F.lit(z * z) / n + 1)), F.lit(0.0))
 
 
 def confidence(runs: Column) -> Column:

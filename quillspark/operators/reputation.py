@@ -14,7 +14,7 @@ def ledger(steps: DataFrame, min_runs: int = 1) -> DataFrame:
     ``steps``: role, agent, status, ok, duration_ms, at, ord, fingerprint."""
     keys = ["role", "agent"]
     by_status = steps.groupBy(*keys, "status").agg(F.count("*").alias("c")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "c")))).alias("statuses"))
-    first = F.min_by("fingerprint", F.when(F.col("fingerprint").isNotNull(), F.col("ord")))
+    first = F.min(F.when(F.col("fingerprint").isNotNull(), F.struct("ord", "fingerprint")))["fingerprint"]
     sums = steps.groupBy(*keys).agg(F.count("*").alias("runs"), F.sum(F.col("ok").cast("long")).alias("successes"), F.avg("duration_ms").alias("mean_duration_ms"), F.max("at").alias("last_at"), first.alias("fingerprint"))
     rows = sums.where(F.col("runs") >= min_runs).join(by_status, keys)
     return rows.withColumn("success_rate", F.col("successes") / F.col("runs")).withColumn("wilson", n.wilson(F.col("successes"), F.col("runs"))).withColumn("confidence", n.confidence(F.col("runs")))

@@ -380,7 +380,7 @@ def diff_cost_repos(s, d):
 
 
 REPUTATION = """st AS (SELECT p_brand AS role, 'agent' || (l_suppkey % 8) AS agent, CASE l_returnflag WHEN 'A' THEN 'ok' WHEN 'N' THEN 'error' ELSE 'timeout' END AS status, l_returnflag = 'A' AS ok, l_quantity * 1000 AS dur, l_shipdate AS tm, l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linestatus END AS fp FROM lineitem JOIN part ON l_partkey = p_partkey),
-rp AS (SELECT role, agent, count(*) AS runs, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS successes, avg(dur) AS dur, max(tm) AS last_at, arg_min(fp, ord) FILTER (fp IS NOT NULL) AS fingerprint, count(*) FILTER (status = 'timeout') AS tmo FROM st GROUP BY 1, 2),
+rp AS (SELECT role, agent, count(*) AS runs, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS successes, avg(dur) AS dur, max(tm) AS last_at, struct_extract(min(struct_pack(o := ord, f := fp)) FILTER (fp IS NOT NULL), 'f') AS fingerprint, count(*) FILTER (status = 'timeout') AS tmo FROM st GROUP BY 1, 2),
 rw AS (SELECT *, successes / runs AS rate, greatest(0, (successes / runs + 3.8416 / (2 * runs) - 1.96 * sqrt((successes / runs * (1 - successes / runs) + 3.8416 / (4 * runs)) / runs)) / (1 + 3.8416 / runs)) AS w FROM rp)"""
 REPUTATION_OUT = "role, agent, runs, successes, round(dur, 6) AS mean_duration_ms, last_at, fingerprint, round(rate, 6) AS success_rate, round(w, 6) AS wilson, CASE WHEN runs <= 1 THEN 'low (single-run sample)' WHEN runs < 5 THEN 'low (small sample)' WHEN runs < 10 THEN 'medium' ELSE 'high' END AS confidence, tmo AS timeouts"
 
@@ -461,9 +461,9 @@ def pricing_effective_dated(s, d):
 
 @query(f"""WITH {LEDGER}, nc AS (SELECT *, CASE WHEN provider_norm = 'anthropic' THEN CASE WHEN model = 'claude-opus-4-1' THEN (input_tokens * 5.0 + output_tokens * 25.0 + cread * 0.5 + ccreate * 6.25) / 1000000
  WHEN model LIKE 'claude-sonnet-%' THEN (input_tokens * 3.0 + output_tokens * 15.0 + cread * 0.3 + ccreate * 3.75) / 1000000 END WHEN provider_norm = 'openai' THEN (net_input * 5.0 + cached * 0.5 + output_tokens * 30.0) / 1000000 ELSE cost END AS new_cost FROM led)
-SELECT provider_norm AS provider, count(*) AS events, round(coalesce(sum(cost), 0), 6) AS old_cost, round(coalesce(sum(new_cost), 0), 6) AS new_cost FROM nc GROUP BY 1""")
+SELECT provider_norm AS provider, count(*) AS events, round(coalesce(sum(cost), 0), 4) AS old_cost, round(coalesce(sum(new_cost), 0), 4) AS new_cost FROM nc GROUP BY 1""")
 def recost(s, d):
-    return repricing.recost_report(window(s, d)).drop("changed")
+    return rounded(repricing.recost_report(window(s, d)).drop("changed"), 4)
 
 
 # -- Texts -----------------------------------------------------------------------------------------------------------
