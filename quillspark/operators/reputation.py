@@ -40,6 +40,13 @@ def failure_modes(steps: DataFrame, most: int = 3) -> DataFrame:
     return counts.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
 
 
+def cards(entries: DataFrame, steps: DataFrame) -> DataFrame:
+    """agent, runs, successes, roles, last time, success rate and the three most common failures: one card for each agent."""
+    sums = entries.groupBy("agent").agg(F.sum("runs").alias("runs"), F.sum("successes").alias("successes"), F.count("*").alias("roles"), F.max("last_at").alias("last_at"))
+    modes = failure_modes(steps).groupBy("agent").agg(F.array_sort(F.collect_list(F.struct("nth", F.concat_ws(":", "status", F.col("failures").cast("string")).alias("t")))).alias("m"))
+    return sums.withColumn("success_rate", F.col("successes") / F.col("runs")).join(modes.select("agent", F.array_join(F.transform("m", lambda x: x["t"]), ",").alias("failures")), "agent", "left")
+
+
 def route(flow: DataFrame, entries: DataFrame, threshold: float = 0.7, min_runs: int = 5, timeouts: float = 0.2) -> DataFrame:
     """flow_id, ord, role, agent, risk, action for each step of a flow (flow_id, ord, role, agent).
 

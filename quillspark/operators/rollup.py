@@ -128,6 +128,17 @@ def metric(name: str) -> Column:
     return F.sum(n.total_tokens(*[F.col(c) for c in ("total_tokens", "input_tokens", "cached_input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")]))
 
 
+def periods(events: DataFrame, today: str, days: tuple[int, ...]) -> DataFrame:
+    """days, calls, cost, sessions: totals of the windows of so many days that end today, from one scan of the longest.
+
+    Dedup runs once, over the longest window: an event that was first seen before a shorter window isn't new in it."""
+    at = F.lit(today).cast("date")
+    rows = dedup_events(events.where(F.col("event_date").between(F.date_sub(at, max(days) - 1), at) & ~F.col("model").eqNullSafe(F.lit(n.SYNTHETIC))))
+    age = F.date_diff(at, F.col("event_date"))
+    each = rows.withColumn("days", F.explode(F.filter(F.array(*map(F.lit, days)), lambda k: k > age)))
+    return each.groupBy("days").agg(F.sum(1 - F.col("is_correction")).cast("long").alias("calls"), F.coalesce(F.sum("cost_estimate_usd"), F.lit(0.0)).alias("cost"), F.count_distinct(n.blank_to_null(F.col("session_id"))).alias("sessions"))
+
+
 # Estimated limits of tokens in five hours.
 LIMITS = {"max5x": 440_000, "max20x": 1_700_000}
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as n
 from ..functions import pricing, privacy
 from ..functions import text as t
-from ..operators import attribution, drift, mining, productivity, queue, repricing, reputation, rollup, sentiment, timegap
+from ..operators import attribution, drift, mining, productivity, queue, repricing, reputation, rollup, runs, sentiment, timegap
 from ..operators.dedup import dedup_events, semantic_dedup
 from . import views as v
 from .views import END, LEDGER, NOW, START, STATS, TASKS, TODAY
@@ -616,3 +616,35 @@ def saturated_sessions(s, d):
 def first_events_of_day(s, d):
     w = Window.partitionBy("event_date").orderBy("ts", "ord")
     return window(s, d).withColumn("nth", F.row_number().over(w)).where("nth <= 3").select("event_date", "ord", "nth")
+
+
+@query(f"WITH {LEDGER} SELECT session_id, max(ts) AS last_ts FROM led WHERE ts BETWEEN TIMESTAMP '2024-01-29 23:59:59' AND TIMESTAMP '2024-01-30 23:59:59' GROUP BY 1")
+def recent_sessions(s, d):
+    return runs.recent_sessions(window(s, d), NOW)
+
+
+@query(f"""WITH {LEDGER}, {TASKS}, u AS (SELECT DISTINCT session_id, event_date AS day FROM elig),
+x AS (SELECT u.session_id, count(*) AS days, CAST(sum(CASE WHEN t.session_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM u LEFT JOIN tday t ON t.session_id = u.session_id AND t.day = u.day GROUP BY 1)
+SELECT x.session_id, days, missing, round(baseline, 6) AS baseline FROM x JOIN tsess ON tsess.session_id = x.session_id WHERE baseline IS NOT NULL AND missing > 0 AND days > 1""")
+def rechunk_plan(s, d):
+    units = productivity.eligible(window(s, d)).select("session_id", F.col("event_date").alias("day"))
+    return runs.rechunk_plan(units, v.tasks(s, d))
+
+
+@query(f"WITH {LEDGER} SELECT provider_norm AS provider, CAST(ord AS BIGINT) AS ord, round(cost, 6) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY provider_norm ORDER BY cost, ord) AS r, count(*) OVER (PARTITION BY provider_norm) AS n FROM led WHERE cost IS NOT NULL) WHERE r = (n - 1) // 2 + 1")
+def lower_median_call(s, d):
+    rows = window(s, d).where("cost_estimate_usd is not null").select(F.col("provider_norm").alias("provider"), "ord", F.col("cost_estimate_usd").alias("cost"))
+    return runs.lower_median(rows.withColumn("k", F.struct("cost", "ord")), ["provider"], "k").drop("k")
+
+
+@query(f"""WITH {REPUTATION}, a AS (SELECT agent, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(successes) AS BIGINT) AS successes, count(*) AS roles, max(last_at) AS last_at FROM rw GROUP BY 1),
+f AS (SELECT agent, status, count(*) AS c FROM st WHERE NOT ok GROUP BY 1, 2), t AS (SELECT agent, string_agg(status || ':' || c, ',' ORDER BY c DESC, status) AS failures FROM f GROUP BY 1)
+SELECT agent, runs, successes, roles, last_at, round(successes / runs, 6) AS success_rate, failures FROM a LEFT JOIN t USING (agent)""")
+def agent_cards(s, d):
+    return reputation.cards(reputations(s, d), v.steps(s, d))
+
+
+@query(f"""WITH {LEDGER}, w AS (SELECT unnest([1, 7, 30]) AS days) SELECT CAST(days AS INT) AS days, CAST(sum(1 - is_correction) AS BIGINT) AS calls, round(coalesce(sum(cost), 0), 6) AS cost, count(DISTINCT session_id) AS sessions
+FROM w JOIN led ON event_date > DATE '2024-01-30' - CAST(days AS INT) AND event_date <= DATE '2024-01-30' GROUP BY 1""")
+def period_totals(s, d):
+    return rollup.periods(v.ledger(s, d), TODAY, (1, 7, 30))
