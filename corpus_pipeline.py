@@ -48,10 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, the token ids, their number and a digest of the text that they decode to."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    keyed = docs.withColumn("_k", F.struct("doc_id", "source"))
-    decoded = bpe_trie.decode(bpe_trie.encode(keyed, path, "_k"), path, "_k", keep=("ids",))
-    return decoded.select("_k.doc_id", "_k.source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
+    rows = bpe_trie.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("doc_id", "source"))
+    return rows.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash near-dedup", drop_near_copies), ("substring dedup", drop_repeats), ("source mixing", mix_sources), ("bpe encoding", encode)]

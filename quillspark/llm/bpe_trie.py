@@ -6,8 +6,8 @@ stands before it, i.e. no merge across their border comes before the merges that
 trie in sorted order, so nodes are made depth first; each node's state is computed once, from its ancestors' states, and
 serves every word with that prefix. A word's tokens are read off from its end.
 
-Null and empty texts have no ids. Texts may be of any length: a word costs one trie node a byte. The trie and the table
-of finished words are dropped when they reach a fixed size, so a Python worker's memory is bounded.
+Null and empty texts have no ids. Texts may be of any length: a word costs one trie node a byte. The trie is dropped and the
+table of finished words cut to the current ones when they reach a fixed size, so a Python worker's memory is bounded.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ._common import Pretokenizer, Vocabulary, map_columns
+from ._common import Pretokenizer, Vocabulary, calm_gc, kinds, map_columns
 
 NEVER = 1 << 60
 
@@ -30,13 +31,14 @@ def pack(*ids: int) -> bytes:
 
 
 #: Trie nodes and finished words that one Python worker holds.
-MAX_NODES, MAX_WORDS = 400_000, 500_000
+MAX_NODES, MAX_WORDS, MAX_FITS = 200_000, 250_000, 100_000
 
 
 class TrieEncoder:
     """Encodes distinct words by states that their shared prefixes have in common."""
 
     def __init__(self, path: str) -> None:
+        calm_gc()
         self.vocabulary = v = Vocabulary(path)
         self.pretokens = Pretokenizer(path)
         self.rank = {(a, b): r for r, (a, b, _) in enumerate(v.merges)}
@@ -46,8 +48,9 @@ class TrieEncoder:
         # tokens by their bytes from the last to the first
         self.back: dict[int, int] = {}
         self.ends = [-1]
+        added = set(v.added.values())
         for token, raw in enumerate(v.bytes):
-            if raw and token not in v.added.values():
+            if raw and token not in added and self.whole(token):
                 at = 0
                 for b in reversed(raw):
                     key = at << 8 | b
@@ -83,7 +86,7 @@ class TrieEncoder:
         key = a << 32 | b
         known = self.fits_cache.get(key)
         if known is None:
-            if len(self.fits_cache) > MAX_NODES:
+            if len(self.fits_cache) > MAX_FITS:
                 self.fits_cache.clear()
             known = self.fits_cache[key] = not self.crosses(self.edge(a, True), self.edge(b, False))
         return known
@@ -113,7 +116,7 @@ class TrieEncoder:
             if ends[at] >= 0:
                 found.append((k, ends[at]))
         for k, token in reversed(found):
-            if self.whole(token) and (k == 0 or self.fits(last[path[k]], token)):
+            if k == 0 or self.fits(last[path[k]], token):
                 return token
         raise AssertionError("a byte has no token")
 
@@ -137,10 +140,11 @@ class TrieEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         words, added = self.words, self.vocabulary.added
-        if len(words) > MAX_WORDS:
-            words.clear()
         cut = list(map(self.pretokens, texts))
-        for word in sorted(set(chain.from_iterable(cut)).difference(words)):
+        seen = set(chain.from_iterable(cut))
+        if len(words) > MAX_WORDS:
+            self.words = words = {w: words[w] for w in seen if w in words}
+        for word in sorted(seen.difference(words)):
             if word in added:
                 words[word] = pack(added[word])
                 continue
@@ -158,28 +162,53 @@ def encoder(path: str) -> TrieEncoder:
 
 
 @cache
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens' bytes, one after another, and their sizes."""
+    found = Vocabulary(path).bytes
+    return np.frombuffer(b"".join(found), np.uint8), np.array(list(map(len, found)), np.int64)
+
+
+def id_lists(path: str, texts: pa.Array) -> pa.ListArray:
+    rows = encoder(path).encode(texts.to_pylist())
+    ends = np.cumsum([0, *map(len, rows)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+
+
+def id_texts(path: str, ids: pa.ListArray) -> list[str | None]:
+    raw, sizes = pieces(path)
+    flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(x or 0 for x in pc.list_value_length(ids).to_pylist())])
+    token_ends = np.r_[0, np.cumsum(sizes[flat])]
+    starts = np.cumsum(sizes) - sizes
+    # each token's bytes lie in a row in ``raw``: where they start, and one more for each byte after the first
+    at = np.repeat(starts[flat] - token_ends[:-1], sizes[flat]) + np.arange(token_ends[-1])
+    text, cuts = raw[at].tobytes(), token_ends[ends].tolist()
+    return [text[a:b].decode("utf-8", "replace") if ok else None for a, b, ok in zip(cuts, cuts[1:], ids.is_valid().to_pylist(), strict=False)]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>): each text's token ids. Rows are kept as they come, repeated ids and null ids too."""
 
     def run(keys: pa.Array, texts: pa.Array) -> list:
-        rows = encoder(path).encode(texts.to_pylist())
-        ends = np.cumsum([0, *map(len, rows)]) // 4
-        return [keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))]
+        return [keys, id_lists(path, texts)]
 
-    key = docs.schema[id_col].dataType.simpleString()
-    return map_columns(docs, [id_col, text_col], f"`{id_col}` {key}, ids array<int>", run, 500)
+    return map_columns(docs, [id_col, text_col], f"{kinds(docs, (id_col,))}ids array<int>", run, 500)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, kept columns, text): the text that ids stand for; bytes that aren't UTF-8 become U+FFFD, null ids give null."""
 
     def run(keys: pa.Array, ids: pa.Array, *more: pa.Array) -> list:
-        pieces = vocabulary(path).bytes.__getitem__
-        return [keys, *more, [None if x is None else b"".join(map(pieces, x)).decode("utf-8", "replace") for x in ids.to_pylist()]]
+        return [keys, *more, id_texts(path, ids)]
+
+    return map_columns(encoded, [id_col, ids_col, *keep], f"{kinds(encoded, (id_col, *keep))}text string", run, 500)
+
+
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(kept columns, ids, decoded): encoding and decoding in one pass, for a check of what is stored. One Python worker a
+    task does both, so the vocabulary is held once and ids travel once."""
+
+    def run(texts: pa.Array, *more: pa.Array) -> list:
+        ids = id_lists(path, texts)
+        return [*more, ids, id_texts(path, ids)]
 
-    kinds = [f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in (id_col, *keep)]
-    return map_columns(encoded, [id_col, ids_col, *keep], ", ".join([*kinds, "text string"]), run, 500)
+    return map_columns(docs, [text_col, *keep], f"{kinds(docs, keep)}ids array<int>, decoded string", run, 500)

@@ -5,7 +5,7 @@ ranks of its adjacent pairs, takes its lowest, and merges all places of that pai
 second one, from the left); a sequence without a ranked pair is done, and its surviving symbols are its tokens. A merge
 only makes pairs of higher rank, so a round's merges never get in each other's way.
 
-Null and empty texts have no tokens. The table of counted words is emptied at a fixed size; memory grows with a batch's
+Null and empty texts have no tokens. The table of counted words is cut to the current ones at a fixed size; memory grows with a batch's
 distinct words only.
 """
 
@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import Pretokenizer, Vocabulary, map_columns
+from ._common import Pretokenizer, Vocabulary, calm_gc, map_columns
 
 NONE = np.int64(1) << 40
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 #: Bytes of pre-tokens merged together.
 MAX_BYTES = 4_000_000
 
@@ -30,6 +30,7 @@ class Counter:
     """Counts the tokens of pre-tokens."""
 
     def __init__(self, path: str) -> None:
+        calm_gc()
         v = Vocabulary(path)
         self.pretokens, self.added = Pretokenizer(path), v.added
         keys = np.array([a << 32 | b for a, b, _ in v.merges], np.int64)
@@ -78,10 +79,11 @@ class Counter:
 
     def __call__(self, texts: list[str | None]) -> list[int]:
         words = self.words
-        if len(words) > MAX_WORDS:
-            words.clear()
         cut = list(map(self.pretokens, texts))
-        new = list(set(chain.from_iterable(cut)).difference(words))
+        seen = set(chain.from_iterable(cut))
+        if len(words) > MAX_WORDS:
+            self.words = words = {w: words[w] for w in seen if w in words}
+        new = list(seen.difference(words))
         words.update((w, 1) for w in new if w in self.added)
         new = [w for w in new if w not in self.added]
         raw = [w.encode() for w in new]

@@ -227,7 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharacterModel, id_col: str
 def score(docs: DataFrame, model: CharacterModel, classifier: Classifier, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """The kept columns and the score of each row."""
     shared = docs.sparkSession.sparkContext.broadcast((model, classifier))
-    most = 300_000
+    most = 150_000
 
     def run(texts: pa.Array, *more: pa.Array) -> list:
         characters, c = shared.value
