@@ -52,11 +52,8 @@ def op4_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer()
-    encoded = bpe_trie.encode(table(spark, sf_dir, "documents"), path)
-    counted = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
-    decoded = bpe_trie.decode(counted, path, keep=("n_tokens", "ids_sha256"))
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    rows = bpe_trie.round_trip(table(spark, sf_dir, "documents"), tokenizer())
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
