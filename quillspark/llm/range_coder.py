@@ -30,14 +30,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._common import Pretokenizer
+from ._common import Pretokenizer, calm_gc
 
 MAGIC = b"QIDS1\0"
 #: Ids at which a block is closed, lanes at most, and ids that a lane has at least.
-BLOCK_IDS, LANES, LEAST = 1 << 20, 4096, 64
-WEIGHTS = 256
-MOST = 1 << 20
-GAIN = 24
+BLOCK_IDS, LANES, LEAST = 1 << 20, 8192, 64
+#: Frequencies add up to 2 ** SCALE, weights to 2 ** WEIGHT.
+SCALE, WEIGHT = 20, 8
+#: What an occurrence adds to an id's count, and learnt ids after which frequencies are made anew (earlier at the start).
+GAIN, RENEW = 24, 32_768
 HASH_BITS = 18
 WORD32 = np.uint64(32)
 LOW32 = np.uint64(0xFFFFFFFF)
@@ -45,70 +46,84 @@ ONE32 = np.uint64(1 << 32)
 
 
 class Mixer:
-    """What reader and writer know before each step."""
+    """What reader and writer know before each step. Lanes' numbers are 32-bit."""
 
-    def __init__(self, symbols: int) -> None:
-        self.n = symbols
+    UP, DOWN = np.array([1, 2, 3, 3], np.int32), np.array([1, 1, 1, 2], np.int32)
+
+    def __init__(self, symbols: int, inverse: bool = False) -> None:
+        self.n, self.inverse = symbols, inverse
         self.counts = np.ones(symbols, np.int64)
-        self.guess1, self.sure1 = np.zeros(symbols + 1, np.int64), np.zeros(symbols + 1, np.int8)
-        self.guess2, self.sure2 = np.zeros(1 << HASH_BITS, np.int64), np.zeros(1 << HASH_BITS, np.int8)
+        # an id that was seen after a context, times 4, and how sure that is (0: not at all, up to 3)
+        self.slots1, self.slots2 = np.zeros(symbols + 1, np.int32), np.zeros(1 << HASH_BITS, np.int32)
         self.right = np.tile(np.array([[2, 1, 4]], np.int64), (16, 1))
-        self.sum()
-
-    def sum(self) -> None:
-        self.below = np.zeros(self.n + 1, np.int64)
-        np.cumsum(self.counts, out=self.below[1:])
-        self.total = int(self.below[-1])
+        self.learnt, self.waiting = 0, []
+        self.renew()
+
+    def renew(self) -> None:
+        if self.waiting:
+            self.counts += GAIN * np.bincount(np.concatenate(self.waiting), minlength=self.n)
+            self.waiting = []
+        upto = np.cumsum(self.counts)
+        while upto[-1] >= 1 << SCALE:
+            self.counts = (self.counts + 1) >> 1
+            upto = np.cumsum(self.counts)
+        # as the counts' sum is less than 2 ** SCALE, every id keeps a frequency of 1 at least
+        self.below = np.zeros(self.n + 1, np.int32)
+        self.below[1:] = upto * ((1 << SCALE) / int(upto[-1]))
+        self.below[-1] = 1 << SCALE
+        if self.inverse:
+            self.id_at = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.below))
+        self.since = 0
 
     def predict(self, before1: np.ndarray, before2: np.ndarray) -> None:
         """Guesses and weights for lanes whose last ids, plus one, are given (0: none)."""
         self.at1 = before1
-        self.at2 = ((before2 * 0x9E3779B1 + before1 * 0x85EBCA6B) >> 9) & ((1 << HASH_BITS) - 1)
-        self.g1, self.c1 = self.guess1[self.at1], self.sure1[self.at1]
-        self.g2, self.c2 = self.guess2[self.at2], self.sure2[self.at2]
-        self.context = self.c2.astype(np.int64) * 4 + self.c1
-        share = self.right * (WEIGHTS - 4) // self.right.sum(axis=1, keepdims=True)
+        self.at2 = (before2.view(np.uint32) * np.uint32(0x9E3779B1) + before1.view(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - HASH_BITS)
+        slot1, slot2 = self.slots1[self.at1], self.slots2[self.at2]
+        self.g1, self.c1, self.g2, self.c2 = slot1 >> 2, slot1 & 3, slot2 >> 2, slot2 & 3
+        self.context = self.c2 * 4 + self.c1
+        share = (self.right * ((1 << WEIGHT) - 4) // self.right.sum(axis=1, keepdims=True)).astype(np.int32)
         share[:4, 0] = 0
         share[::4, 1] = 0
-        w2, w1 = share[self.context, 0], share[self.context, 1]
-        self.w0 = WEIGHTS - w1 - w2
+        w2, w1 = share[:, 0][self.context], share[:, 1][self.context]
+        self.w0 = (1 << WEIGHT) - w1 - w2
         same = self.g1 == self.g2
-        self.m2 = np.where(same, w1 + w2, w2) * self.total
-        self.m1 = np.where(same, 0, w1) * self.total
+        self.m2 = (w2 + w1 * same) << SCALE
+        self.m1 = (w1 * ~same) << SCALE
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = self.w0 * self.below[ids] + self.m1 * (self.g1 < ids) + self.m2 * (self.g2 < ids)
-        return low, self.w0 * self.counts[ids] + self.m1 * (self.g1 == ids) + self.m2 * (self.g2 == ids)
+        low, high = self.below[ids], self.below[ids + 1]
+        start = self.w0 * low + self.m1 * (self.g1 < ids) + self.m2 * (self.g2 < ids)
+        return start, self.w0 * (high - low) + self.m1 * (self.g1 == ids) + self.m2 * (self.g2 == ids)
 
     def find(self, value: np.ndarray) -> np.ndarray:
         first = self.g1 <= self.g2
-        a, b = np.where(first, self.g1, self.g2), np.where(first, self.g2, self.g1)
+        a, b = np.minimum(self.g1, self.g2), np.maximum(self.g1, self.g2)
         ma, mb = np.where(first, self.m1, self.m2), np.where(first, self.m2, self.m1)
         both = a == b
-        ma, mb = np.where(both, ma + mb, ma), np.where(both, 0, mb)
-        a_low = self.w0 * self.below[a]
-        a_high = a_low + self.w0 * self.counts[a] + ma
-        b_low = self.w0 * self.below[b] + ma
-        b_high = b_low + self.w0 * self.counts[b] + mb
-        rest = value - np.where(value >= a_high, ma, 0) - np.where(value >= b_high, mb, 0)
-        ids = np.searchsorted(self.below, rest // self.w0, "right") - 1
-        ids = np.where((value >= b_low) & (value < b_high), b, ids)
+        ma, mb = ma + mb * both, mb * ~both
+        a_low, b_low = self.w0 * self.below[a], self.w0 * self.below[b] + ma
+        a_high, b_high = self.w0 * self.below[a + 1] + ma, self.w0 * self.below[b + 1] + ma + mb
+        rest = value - ma * (value >= a_high) - mb * (value >= b_high)
+        # exact: both are below 2 ** 28, and quotients that are no integers lie 1 / 256 or more apart from one
+        at = np.minimum(rest / self.w0, (1 << SCALE) - 1).astype(np.int32)
+        ids = np.where((value >= b_low) & (value < b_high), b, self.id_at[at])
         return np.where((value >= a_low) & (value < a_high), a, ids)
 
     def learn(self, ids: np.ndarray) -> None:
-        hit1, hit2 = self.g1 == ids, self.g2 == ids
-        kind = np.where(hit2 & (self.c2 > 0), 0, np.where(hit1 & (self.c1 > 0), 1, 2))
+        hit1, hit2 = (self.g1 == ids) & (self.c1 > 0), (self.g2 == ids) & (self.c2 > 0)
+        kind = 2 - hit1.astype(np.int32)
+        kind[hit2] = 0
         self.right += np.bincount(self.context * 3 + kind, minlength=48).reshape(16, 3)
         self.right[self.right.sum(axis=1) > 1 << 16] >>= 1
         np.maximum(self.right, 1, out=self.right)
-        for guess, sure, at, g, c, hit in ((self.guess1, self.sure1, self.at1, self.g1, self.c1, hit1), (self.guess2, self.sure2, self.at2, self.g2, self.c2, hit2)):
-            keep = hit | (c > 1)
-            guess[at] = np.where(keep, g, ids)
-            sure[at] = np.where(hit & (c > 0), np.minimum(c + 1, 3), np.where(c > 1, c - 1, 1))
-        self.counts += GAIN * np.bincount(ids, minlength=self.n)
-        if self.counts.sum() > MOST:
-            self.counts = (self.counts + 1) >> 1
-        self.sum()
+        for slots, at, g, c, hit in ((self.slots1, self.at1, self.g1, self.c1, hit1), (self.slots2, self.at2, self.g2, self.c2, hit2)):
+            slots[at] = np.where(hit | (c > 1), g, ids) << 2 | np.where(hit, self.UP[c], self.DOWN[c])
+        self.waiting.append(ids)
+        self.learnt += len(ids)
+        self.since += len(ids)
+        if self.since >= min(RENEW, self.learnt // 2):
+            self.renew()
 
 
 def lanes_of(n: int) -> tuple[int, int]:
@@ -121,13 +136,12 @@ def encode_lanes(ids: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]
     """(each lane's number of words, all words)."""
     lanes, steps = lanes_of(len(ids))
     last = len(ids) - (lanes - 1) * steps
-    table = np.zeros((steps, lanes), np.int64)
-    padded = np.zeros(lanes * steps, np.int64)
+    padded = np.zeros(lanes * steps, np.int32)
     padded[: len(ids)] = ids
-    table[:] = padded.reshape(lanes, steps).T
+    table = np.ascontiguousarray(padded.reshape(lanes, steps).T)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     words, sizes = np.zeros((lanes, steps + 1), np.uint32), np.zeros(lanes, np.int64)
-    before1, before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    before1, before2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     mixer = Mixer(symbols)
     for t in range(steps):
         k = lanes if t < last else lanes - 1
@@ -136,7 +150,7 @@ def encode_lanes(ids: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]
         now = table[t, :k]
         mixer.predict(before1[:k], before2[:k])
         start, size = mixer.interval(now)
-        unit = span[:k] // np.uint64(mixer.total * WEIGHTS)
+        unit = span[:k] >> np.uint64(SCALE + WEIGHT)
         low[:k] += start.astype(np.uint64) * unit
         span[:k] = size.astype(np.uint64) * unit
         out = np.flatnonzero(span[:k] < ONE32)
@@ -164,7 +178,7 @@ def shift(low: np.ndarray, span: np.ndarray, out: np.ndarray) -> None:
 def decode_lanes(n: int, symbols: int, sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
     lanes, steps = lanes_of(n)
     last = n - (lanes - 1) * steps
-    table = np.zeros((lanes, steps), np.int64)
+    table = np.zeros((steps, lanes), np.int32)
     queue = np.concatenate([words.astype(np.uint64), np.zeros(2, np.uint64)])
     at = np.cumsum(sizes) - sizes
     ends = at + sizes
@@ -175,16 +189,15 @@ def decode_lanes(n: int, symbols: int, sizes: np.ndarray, words: np.ndarray) ->
     code |= take(every)
     at = np.minimum(at + 1, ends)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    before1, before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    mixer = Mixer(symbols)
+    before1, before2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+    mixer = Mixer(symbols, inverse=True)
     for t in range(steps):
         k = lanes if t < last else lanes - 1
         if not k:
             break
         mixer.predict(before1[:k], before2[:k])
-        total = mixer.total * WEIGHTS
-        unit = span[:k] // np.uint64(total)
-        value = np.minimum((code[:k] - low[:k]) // unit, np.uint64(total - 1)).astype(np.int64)
+        unit = span[:k] >> np.uint64(SCALE + WEIGHT)
+        value = np.minimum((code[:k] - low[:k]) // unit, np.uint64((1 << (SCALE + WEIGHT)) - 1)).astype(np.int32)
         now = mixer.find(value)
         start, size = mixer.interval(now)
         low[:k] += start.astype(np.uint64) * unit
@@ -196,11 +209,11 @@ def decode_lanes(n: int, symbols: int, sizes: np.ndarray, words: np.ndarray) ->
             span[out] <<= WORD32
             code[out] = code[out] << WORD32 | take(out)
             at[out] = np.minimum(at[out] + 1, ends[out])
-        table[:k, t] = now
+        table[t, :k] = now
         before2[:k] = before1[:k]
         before1[:k] = now + 1
         mixer.learn(now)
-    return table.reshape(-1)[:n]
+    return np.ascontiguousarray(table.T).reshape(-1)[:n]
 
 
 def pack_block(keys: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
@@ -236,15 +249,17 @@ class LibraryEncoder:
     MAX_WORDS = 500_000
 
     def __init__(self, path: str) -> None:
+        calm_gc()
         self.pretokens = Pretokenizer(path)
         self.words: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         words = self.words
-        if len(words) > self.MAX_WORDS:
-            words.clear()
         cut = list(map(self.pretokens, texts))
-        new = list(set(chain.from_iterable(cut)).difference(words))
+        seen = set(chain.from_iterable(cut))
+        if len(words) > self.MAX_WORDS:
+            self.words = words = {w: words[w] for w in seen if w in words}
+        new = list(seen.difference(words))
         for word, found in zip(new, self.pretokens.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
             words[word] = struct.pack(f"<{len(found)}i", *found.ids)
         get = words.__getitem__
