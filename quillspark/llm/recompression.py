@@ -179,6 +179,8 @@ def wholes(names: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 #: Spans of a whole document: of a copy of an earlier one, and of the first.
 COPY, FIRST = -1, -2
+#: In the lower 32 bits of ``at``: all words, and a mark of windows that the document has again.
+EVERYTHING, AGAIN = 2**32 - 1, 2**31
 
 
 def standing(docs: DataFrame, id_col: str, text_col: str, width: int, unique: bool = False) -> DataFrame:
@@ -210,8 +212,8 @@ def standing(docs: DataFrame, id_col: str, text_col: str, width: int, unique: bo
 def windows(with_spans: DataFrame, width: int) -> DataFrame:
     """(h, doc, at): hashes of a document's windows in its shared stretches (doc, row, z, ..., spans), and of all words of
     copies and of what they are copies of; ``at`` has 16 more bits of the hash, 16 of the row, and where the window starts
-    (of wholes 2 ** 32 - 1)."""
-    everything = 2**32 - 1
+    (of wholes EVERYTHING). A window that a document has several times is sent once, marked AGAIN, so a common line
+    makes no more rows than there are documents with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -239,10 +241,17 @@ def windows(with_spans: DataFrame, width: int) -> DataFrame:
                 at = first[owner] + pos
                 none = np.zeros(0, np.uint64)
                 h, g = (window_hash(names, width, base)[at] if len(at) else none for base in (A, C))
+                order = np.lexsort((pos, h, owner))
+                new = np.ones(len(order), bool)
+                new[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+                start = np.flatnonzero(new)
+                often = np.diff(np.r_[start, len(order)]) > 1
+                one = order[start]
+                h, g, owner, pos = h[one], g[one], owner[one], pos[one] | often.astype(np.int64) * AGAIN
                 all_ = np.flatnonzero(whole & (sizes >= width))
                 w = wholes(names, doc, part.num_rows)[all_]
                 h, g = np.r_[h, w], np.r_[g, mixed(w * B)]
-                owner, pos = np.r_[owner, all_], np.r_[pos, np.full(len(all_), everything)]
+                owner, pos = np.r_[owner, all_], np.r_[pos, np.full(len(all_), EVERYTHING)]
                 packed_at = (g >> np.uint64(48)).astype(np.uint16).view(np.int16).astype(np.int64) << 48 | rows[owner] << 32 | pos
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(docs[owner]), pa.array(packed_at)], ["h", "doc", "at"])
 
@@ -263,6 +272,16 @@ def repeats(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col:
     return met.groupBy("doc").agg(F.collect_set("at").alias("starts"))
 
 
+def everywhere(words: list[bytes], starts: np.ndarray, width: int) -> np.ndarray:
+    """Where windows start, with all places of those that are marked AGAIN."""
+    again = starts >= AGAIN
+    places_ = starts & (AGAIN - 1)
+    if again.any():
+        h = window_hash(named(words), width, A)
+        places_ = np.union1d(places_, np.flatnonzero(np.isin(h, h[places_[again]])))
+    return places_
+
+
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     """Which of n words a window that starts at one of ``starts`` covers."""
     edge = np.zeros(n + 1, np.int64)
@@ -290,7 +309,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if at.is_valid:
                 found = at.values.to_numpy(zero_copy_only=False)
                 found = (found & 0xFFFFFFFF)[(found >> 32 & 0xFFFF) == own]
-                drop = np.ones(len(words), bool) if (found == 0xFFFFFFFF).any() else covered(len(words), found, width)
+                drop = np.ones(len(words), bool) if (found == EVERYTHING).any() else covered(len(words), everywhere(words, found, width), width)
                 words = [w for w, d in zip(words, drop.tolist(), strict=True) if not d]
             gone.append(counts[-1] - len(words))
             same = whole and not gone[-1]
