@@ -413,7 +413,7 @@ def direct_activity(s, d):
 @query(None)
 def disagreement_routing(s, d):
     steps = v.steps(s, d)
-    flow = steps.where("ord < 20000").select((F.col("ord") / 10).cast("long").alias("flow_id"), "ord", F.when(F.col("ord") % 4 == 3, "reviewer").otherwise(F.col("role")).alias("role"), "agent")
+    flow = steps.select((F.col("ord") / 10).cast("long").alias("flow_id"), "ord", F.when(F.col("ord") % 4 == 3, "reviewer").otherwise(F.col("role")).alias("role"), "agent")
     return reputation.route(flow, reputations(s, d))
 
 
