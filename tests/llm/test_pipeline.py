@@ -1,6 +1,7 @@
 """The corpus pipeline, stage by stage."""
 
 import hashlib
+import random
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -50,3 +51,28 @@ def test_run(spark):
     rows = p.run(spark, SF)
     assert rows.columns == ["doc_id", "source", "ids", "n_tokens", "decoded_sha256"] and rows.count() > 0
     assert len(p.STAGES) == 5 and rows.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_planted_near_copies(spark):
+    """Of copies with one word in 40 changed, those stay that no chain of fingerprints within 4 bits reaches."""
+    r = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(40):
+        words = r.choices(vocabulary, k=400)
+        texts.append(" ".join(words))
+        for edits in (1, 4, 10):
+            new = list(words)
+            for k in r.sample(range(400), edits):
+                new[k] = r.choice(vocabulary)
+            texts.append(" ".join(new))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = [simhash.simhash(t) for t in texts]
+    top = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 4:
+                x, y = sorted((top[a], top[b]))
+                top = [x if c == y else c for c in top]
+    got = {r["doc_id"] for r in p.drop_near_copies(spark, docs, SF).collect()}
+    assert got == set(top) and 40 < len(got) < 160
