@@ -511,12 +511,10 @@ def profanity_count(s, d):
 
 
 def outputs(s, d):
-    """Markdown of roles, made from words of documents."""
-    w = F.split(F.col("text"), r"\s+")
-    line = lambda i, mark: F.concat(F.lit(mark), F.array_join(F.slice(w, i, 4), " "), F.lit("\n"))
-    text = F.concat(line(1, "## "), line(3, "- "), F.lit("```\n- hidden in code\n```\n"), line(5, "1. "))
-    rows = v.table(s, d, "documents").where((F.col("lang") == "en") & (F.size(w) > 12))
-    return rows.select((F.col("doc_id") / 8).cast("long").alias("run_id"), F.concat(F.lit("role"), (F.col("doc_id") % 8).cast("string")).alias("role"), text.alias("text"))
+    """Markdown of roles: whole texts of documents, each sentence a bullet; lines that are Markdown stay."""
+    lines = F.regexp_replace("text", r"(?<=[^0-9\s][.!?])[ \t]+", "\n")
+    text = F.regexp_replace(lines, r"(?m)^(?!\s*(?:##|```|~~~)|[-*+]\s|[0-9]+\.\s)(?=.*\S)", "- ")
+    return v.table(s, d, "documents").select((F.col("doc_id") / 8).cast("long").alias("run_id"), F.concat(F.lit("role"), (F.col("doc_id") % 8).cast("string")).alias("role"), text.alias("text"))
 
 
 @query(None)

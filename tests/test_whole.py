@@ -1,9 +1,11 @@
 """Queries without SQL over all rows of small fixtures, against brute force."""
 
 import random
+import re
 from collections import defaultdict
 from datetime import datetime
 
+from quillspark.functions import text as t
 from quillspark.plans import queries as plans
 
 
@@ -45,3 +47,64 @@ def test_every_flow_is_routed(spark, tmp_path):
             want.append((o, at, role, agent, level, action))
     got = plans.QUERIES["disagreement_routing"](spark, str(tmp_path))
     assert sorted(map(tuple, got.select("flow_id", "ord", "role", "agent", "risk", "action").collect())) == sorted(want)
+
+
+LONG = "First the parser cache breaks. Then nobody repairs slow tests! " + " ".join(f"Filler number{i} sentence{i}." for i in range(30)) + "\n## Final heading here\n- last bullet stays"
+DOCS = [
+    (8, LONG, "en", "web"),
+    (9, "Broken parser cache", "en", "web"),
+    (10, "Сломан кэш разбора. Тесты очень медленные\n```\n- hidden bullet\n```\nконец текста Ёлка", "ru", "web"),
+    (11, "Les tests lents restent. slow tests nobody repairs", "fr", "books"),
+    (12, "", "en", "web"),
+    (13, None, "en", "web"),
+    (16, "final heading\n1. last bullet stays\n  \ncache parser breaks first", "de", "books"),
+    (17, "it might run. " * 9, "de", "web"),
+]
+
+
+def documents(spark, path):
+    spark.createDataFrame(DOCS, "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def words(text, least=2):
+    return [w for w in re.findall("[a-zа-яё0-9_]+", text.lower()) if len(w) >= least and (least == 1 or w not in t.STOP_WORDS)]
+
+
+def titles(text):
+    out, fenced = [], False
+    for line in re.sub(r"(?<=[^0-9\s][.!?])[ \t]+", "\n", text or "").split("\n"):
+        if line.strip().startswith(("```", "~~~")):
+            fenced = not fenced
+        elif not fenced and line.strip():
+            out.append(re.sub(r"^(#+|[-*+]|[0-9]+\.)\s+", "", line).strip())
+    return out
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+def test_findings_of_whole_texts(spark, tmp_path):
+    sf = documents(spark, tmp_path)
+    found = defaultdict(lambda: defaultdict(dict))
+    for d, text, _, _ in DOCS:
+        for k, title in enumerate(titles(text)):
+            if own := frozenset(words(title)):
+                found[d // 8][f"role{d % 8}"].setdefault(own, (k, title))
+    got = plans.QUERIES["consensus_findings"](spark, sf).collect()
+    assert sorted((r["run_id"], r["role"], r["ord"], r["title"]) for r in got) == sorted((run, role, *x) for run, roles in found.items() for role, own in roles.items() for x in own.values())
+    fid = {frozenset(words(r["title"])): r["fid"] for r in got}
+    want = []
+    for run, roles in found.items():
+        chosen = []
+        for role in sorted(roles):
+            for own, _ in sorted(roles[role].items(), key=lambda x: x[1]):
+                if all(jaccard(own, c) < 0.4 for c in chosen):
+                    chosen.append(own)
+        for c in chosen:
+            for role, own in roles.items():
+                state = "raised" if c in own else "corroborated" if any(jaccard(c, x) >= 0.4 for x in own) else "silent"
+                want.append((run, fid[c], role, state))
+    got = plans.QUERIES["consensus_matrix"](spark, sf).select("run_id", "canonical", "role", "state").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {x[3] for x in want} == {"raised", "corroborated", "silent"}
