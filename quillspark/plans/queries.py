@@ -495,6 +495,19 @@ def slop_by_source(s, d):
     return mining.slop_rollup(rows, ["agent", "role"])
 
 
+@query(None)
+def slop_components_all(s, d):
+    """Documents of all languages."""
+    return t.slop(v.table(s, d, "documents")).select("doc_id", F.col("score").cast("double").alias("score"), "trigram", "stock", "hedge", "word_count")
+
+
+@query(None)
+def slop_by_source_all(s, d):
+    """Documents of all languages."""
+    rows = v.table(s, d, "documents").select(F.col("source").alias("agent"), (F.col("doc_id") % 3).alias("role"), "text")
+    return mining.slop_rollup(rows, ["agent", "role"])
+
+
 @query("""WITH p AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7f]*') AND role = 'user'),
 k AS (SELECT CAST(conv_id AS VARCHAR) AS s, conv_id * 1000 + turn AS ord, array_to_string(w[1:2], ' ') AS prefix FROM p WHERE len(w) >= 2)
 SELECT prefix, count(*) AS occurrences, count(DISTINCT s) AS sessions, min(ord) AS first_at, max(ord) AS last_at, CAST(least(count(*), 3) AS INT) AS shown FROM k GROUP BY 1 HAVING count(*) >= 2""")
@@ -504,6 +517,14 @@ def pattern_mining(s, d):
     return found.select("prefix", "occurrences", "sessions", "first_at", "last_at", F.size("examples").alias("shown"))
 
 
+@query(None)
+def pattern_mining_all(s, d):
+    """All messages, with the operator's own tokens."""
+    rows = v.table(s, d, "conversations").where("role = 'user'")
+    found = mining.patterns(rows.select(F.col("conv_id").cast("string").alias("session_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text"), 2)
+    return found.select("prefix", "occurrences", "sessions", "first_at", "last_at", F.size("examples").alias("shown"))
+
+
 @query(None)
 def profanity_count(s, d):
     rows = v.table(s, d, "conversations")
@@ -535,6 +556,13 @@ def consensus_pairs(s, d):
     return mining.similar_pairs(rows)
 
 
+@query(None)
+def consensus_pairs_all(s, d):
+    """Whole documents of all languages, with the operator's own tokens."""
+    rows = v.table(s, d, "documents").where("text IS NOT NULL")
+    return mining.similar_pairs(rows.select(F.col("source").alias("run_id"), F.col("doc_id").alias("fid"), F.array_sort(F.array_distinct(t.tokens(F.col("text")))).alias("tokens")))
+
+
 @query(None)
 def consensus_matrix(s, d):
     return mining.consensus(mining.findings(outputs(s, d)))

@@ -108,3 +108,49 @@ def test_findings_of_whole_texts(spark, tmp_path):
                 want.append((run, fid[c], role, state))
     got = plans.QUERIES["consensus_matrix"](spark, sf).select("run_id", "canonical", "role", "state").collect()
     assert sorted(map(tuple, got)) == sorted(want) and {x[3] for x in want} == {"raised", "corroborated", "silent"}
+
+
+def test_patterns_of_all_messages(spark, tmp_path):
+    rows = [(c, k, "user", m) for c in range(3) for k, m in enumerate(["Сделай мне новый отчёт, пожалуйста", "run all the tests now", "run all the", "Ünder the old bridge — again", "<command-name> run all the tests"])]
+    rows += [(9, 0, "assistant", "run all the tests now"), (9, 1, "user", None), (9, 2, "user", "nobody else says this")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = plans.QUERIES["pattern_mining_all"](spark, str(tmp_path)).select("prefix", "occurrences", "sessions", "first_at", "last_at", "shown").collect()
+    seen = defaultdict(list)
+    for c, k, role, m in rows:
+        if role == "user" and m and not m.startswith("<command-name>") and len(own := words(m, 1)) >= 2:
+            seen[" ".join(own[:2])].append((c, c * 1000 + k))
+    want = [(p, len(x), len({c for c, _ in x}), min(o for _, o in x), max(o for _, o in x), min(len(x), 3)) for p, x in seen.items() if len(x) >= 2]
+    assert sorted(map(tuple, got)) == sorted(want) and "сделай мне" in {w[0] for w in want}
+
+
+def test_slop_of_all_languages(spark, tmp_path):
+    sf = documents(spark, tmp_path)
+    want = {}
+    for d, text, _, source in DOCS:
+        own = re.findall("[a-zа-яё][a-zа-яё']*", (text or "").lower())
+        n = len(own) - 2
+        grams = {tuple(own[k : k + 3]) for k in range(n)}
+        h, i = sum(w in t.HEDGES for w in own), sum(w in t.IMPERATIVES for w in own)
+        trigram, hedge = 1 - len(grams) / n if n > 0 else 0.0, 0.0 if not h else 1.0 if not i else min(h / i, 1)
+        want[d] = (40 * trigram + 30 * hedge, len(own), source)
+    got = {r["doc_id"]: r for r in plans.QUERIES["slop_components_all"](spark, sf).collect()}
+    assert {d: r["word_count"] for d, r in got.items()} == {d: n for d, (_, n, _) in want.items()}
+    assert all(abs(got[d]["score"] - x) < 1e-5 for d, (x, _, _) in want.items()) and got[17]["score"] > 30
+    rows = {(r["agent"], r["role"], r["level"]): r for r in plans.QUERIES["slop_by_source_all"](spark, sf).collect()}
+    for source in ("web", "books"):
+        own = [x for x, _, s in want.values() if s == source]
+        assert rows[source, None, 1]["texts"] == len(own) and abs(rows[source, None, 1]["mean_score"] - sum(own) / len(own)) < 1e-5
+    assert rows[None, None, 3]["texts"] == len(DOCS)
+
+
+def test_pairs_of_whole_texts(spark, tmp_path):
+    r = random.Random(6)
+    base = [f"слово{k}" if k % 2 else f"word{k}" for k in range(40)]
+    docs = [(k, "Same head\n" + " ".join(r.sample(base[k % 3 * 8 :][:22], r.randrange(1, 20))), r.choice(["en", "ru"]), "ab"[k % 2]) for k in range(80)]
+    docs += [(100, None, "en", "a"), (101, "", "en", "a"), (102, docs[0][1], "fr", docs[0][3])]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {d: (s, set(words(text or ""))) for d, text, _, s in docs}
+    want = {(s, a, b): jaccard(x, y) for a, (s, x) in sets.items() for b, (s2, y) in sets.items() if a < b and s == s2 and jaccard(x, y) >= 0.4}
+    got = {(r["run_id"], r["a"], r["b"]): r["similarity"] for r in plans.QUERIES["consensus_pairs_all"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and len(want) > 50
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
