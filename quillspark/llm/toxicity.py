@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,11 +116,11 @@ def restore(word: str, model: CharacterModel) -> str:
     return decode(word, model) if ODD.search(word) and len(word) <= 200 else word
 
 
-def features(text: str | None, model: CharacterModel, known: dict[bytes, int], place: dict[int, int] | None) -> set[int]:
-    """The hashes of a text's restored words (with ``place``: the numbers of those that are features)."""
+def found(text: str | None, model: CharacterModel, known: dict[bytes, Hashable], of: Callable[[str], Hashable]) -> set:
+    """What ``of`` gives for a text's restored words, without None."""
     words = text.encode().split() if text else []
     for w in set(words).difference(known):
-        known[w] = number(restore(w.decode("utf-8", "replace"), model), place)
+        known[w] = of(restore(w.decode("utf-8", "replace"), model))
     out = set(map(known.__getitem__, words))
     at = 0
     if sum(map(ONE, words)) >= 3:
@@ -129,21 +129,23 @@ def features(text: str | None, model: CharacterModel, known: dict[bytes, int], p
             while end < len(words) and ONE(words[end]):
                 end += 1
             if end - at >= 3:
-                out.add(number(decode(b"".join(words[at:end]).decode("utf-8", "replace").lower(), model), place))
+                out.add(of(decode(b"".join(words[at:end]).decode("utf-8", "replace").lower(), model)))
             at = end + 1
-    out.discard(-1)
+    out.discard(None)
     return out
 
 
+def features(text: str | None, model: CharacterModel, known: dict[bytes, int | None], place: dict[str, int] | None) -> set[int]:
+    """The numbers of a text's restored words that are features (without ``place``: hashes of all, which may collide)."""
+    return found(text, model, known, number if place is None else place.get)
+
+
 def ONE(word: bytes) -> bool:
     return len(word) == 1 or len(word) == 2 and word[0] >= 0xC0
 
 
-def number(word: str, place: dict[int, int] | None) -> int:
-    if not word:
-        return -1
-    h = zlib.crc32(word.encode()) % HASH
-    return h if place is None else place.get(h, -1)
+def number(word: str) -> int | None:
+    return zlib.crc32(word.encode()) % HASH if word else None
 
 
 def character_model(docs: DataFrame, text_col: str = "text") -> CharacterModel:
@@ -171,7 +173,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> CharacterModel:
 class Classifier:
     """A logistic regression over the presence of features."""
 
-    def __init__(self, place: dict[int, int], weights: np.ndarray, bias: float) -> None:
+    def __init__(self, place: dict[str, int], weights: np.ndarray, bias: float) -> None:
         self.place, self.weights, self.bias = place, weights, bias
 
     def score(self, found: set[int]) -> float:
@@ -202,10 +204,10 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharacterModel, id_col: str
     texts = docs.join(F.broadcast(known), id_col).select(text_col, "y")
 
     def run(texts: pa.Array, y: pa.Array) -> list:
-        cache: dict[bytes, int] = {}
-        return [y, [sorted(features(t, shared.value, cache, None)) for t in texts.to_pylist()]]
+        cache: dict[bytes, str | None] = {}
+        return [y, [sorted(found(t, shared.value, cache, lambda w: w or None)) for t in texts.to_pylist()]]
 
-    rows = cut(map_columns(texts, [text_col, "y"], "y int, found array<int>", run).distinct())
+    rows = cut(map_columns(texts, [text_col, "y"], "y int, found array<string>", run).distinct())
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -215,7 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharacterModel, id_col: str
     gain = F.when(F.col("a") * n0 > F.col("b") * n1, F.pow(F.col("a") * n0 - F.col("b") * n1, F.lit(2)) / (F.col("a") + F.col("b")))
     best = counts.where("a >= 3").withColumn("gain", gain).where("gain is not null").orderBy(F.desc("gain"), "f").limit(FEATURES).collect()
     place = {r["f"]: k for k, r in enumerate(best)}
-    wanted = F.array_intersect("found", F.array(*[F.lit(f) for f in place])) if place else F.array().cast("array<int>")
+    wanted = F.array_intersect("found", F.array(*[F.lit(f) for f in place])) if place else F.array().cast("array<string>")
     data = rows.select("y", wanted.alias("found")).collect()
     x = np.zeros((len(data), len(place)))
     for i, r in enumerate(data):

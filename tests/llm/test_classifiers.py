@@ -1,5 +1,6 @@
 """op6 and op10: held-out accuracy, and what they must not depend on."""
 
+import itertools
 import random
 import zlib
 
@@ -90,3 +91,15 @@ def test_held_out_documents(spark):
     hit = sum(r["predicted"] for r in rows if labels[r["doc_id"]])
     assert hit / sum(labels[r["doc_id"]] for r in rows) > 0.75
     assert hit / sum(r["predicted"] for r in rows) > 0.9
+
+
+def test_words_that_share_a_hash_are_told_apart(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    at = zlib.crc32(b"idiot") % 2**20
+    twin = next(w for x in itertools.permutations(letters, 6) if zlib.crc32((w := "".join(x)).encode()) % 2**20 == at)
+    rows = [(i, f"he was such an {['uncle', 'idiot'][i % 2]} about the {a} {b}") for i, (a, b) in enumerate(itertools.permutations("green red house river stone old new tall road field".split(), 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    more = spark.createDataFrame([(1000, f"a {twin} lives here"), (1001, "a cloud lives here"), (1002, "an idiot lives here")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.assess(docs.unionByName(more), labels).collect()}
+    assert got[1000] == got[1001] < 0.5 < got[1002]
