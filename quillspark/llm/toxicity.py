@@ -36,8 +36,6 @@ FEATURES = 256
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "£": "l", "¡": "i", "µ": "u"}
 ANY = "*#%&?"
 CHANGE, DROP, WILD = 1.0, 3.0, 3.2
-#: A lattice is decoded in pieces of so many columns.
-COLUMNS = 48
 
 CLASS = np.full(256, 27, np.uint8)
 CLASS[:128] = 0
@@ -83,9 +81,9 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 def viterbi(columns: list[list[tuple[str, float]]], model: CharacterModel) -> str:
     """The most probable text of a lattice between two borders of a word."""
-    states: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
+    states: dict[tuple[int, int, int], tuple[float, tuple]] = {(0, 0, 0): (0.0, ())}  # a text as its last piece and those before
     for options in columns:
-        new: dict[tuple[int, int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int, int], tuple[float, tuple]] = {}
         for (a, b, c), (score, text) in states.items():
             for more, cost in options:
                 x, y, z, s = a, b, c, score - cost
@@ -94,14 +92,23 @@ def viterbi(columns: list[list[tuple[str, float]]], model: CharacterModel) -> st
                     s += float(model.logs[(x * LETTERS + y) * LETTERS + z, k])
                     x, y, z = y, z, k
                 if (x, y, z) not in new or s > new[x, y, z][0]:
-                    new[x, y, z] = (s, text + more)
+                    new[x, y, z] = (s, (more, text))
         states = new
-    return max((s + float(model.logs[(a * LETTERS + b) * LETTERS + c, 0]), t) for (a, b, c), (s, t) in states.items())[1]
+    ends = [(s + float(model.logs[(a * LETTERS + b) * LETTERS + c, 0]), t) for (a, b, c), (s, t) in states.items()]
+    best = max(s for s, _ in ends)
+    return max(spelled(t) for s, t in ends if s == best)
+
+
+def spelled(text: tuple) -> str:
+    out = []
+    while text:
+        more, text = text
+        out.append(more)
+    return "".join(reversed(out))
 
 
 def decode(word: str, model: CharacterModel) -> str:
-    columns = lattice(word)
-    return "".join(viterbi(columns[k : k + COLUMNS], model) for k in range(0, len(columns), COLUMNS))
+    return viterbi(lattice(word), model)
 
 
 def restore(word: str, model: CharacterModel) -> str:
@@ -113,7 +120,7 @@ def restore(word: str, model: CharacterModel) -> str:
         word = "".join(c for c in word if c.isalnum())
     if not any(map(str.isalpha, word)):
         return ""
-    return decode(word, model) if ODD.search(word) and len(word) <= 200 else word
+    return decode(word, model) if ODD.search(word) else word
 
 
 def found(text: str | None, model: CharacterModel, known: dict[bytes, Hashable], of: Callable[[str], Hashable]) -> set:

@@ -103,3 +103,8 @@ def test_words_that_share_a_hash_are_told_apart(spark):
     more = spark.createDataFrame([(1000, f"a {twin} lives here"), (1001, "a cloud lives here"), (1002, "an idiot lives here")], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in toxicity.assess(docs.unionByName(more), labels).collect()}
     assert got[1000] == got[1001] < 0.5 < got[1002]
+
+
+def test_long_words_are_decoded(characters):
+    assert toxicity.restore("idi" + "o" * 300 + "t", characters) == "idiot"
+    assert toxicity.restore("1d10t" * 60, characters) == "idiot" * 60
