@@ -577,8 +577,7 @@ def scan_sql() -> str:
 
 @query(scan_sql())
 def privacy_findings(s, d):
-    kinds = {k: privacy.SCAN[k] for k in ("windows_path", "email", "telegram_id", "raw_message_id", "private_lan_ip")}
-    return privacy.scan(v.table(s, d, "documents"), "doc_id", "text", kinds)
+    return privacy.scan(v.table(s, d, "documents"), "doc_id", "text")
 
 
 @query(None)

@@ -154,3 +154,21 @@ def test_pairs_of_whole_texts(spark, tmp_path):
     got = {(r["run_id"], r["a"], r["b"]): r["similarity"] for r in plans.QUERIES["consensus_pairs_all"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and len(want) > 50
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_all_kinds_are_scanned(spark, tmp_path):
+    values = {
+        "windows_path": ["D:\\data\\x", "C:/Users/ann/notes"],
+        "user_profile": ["C:/Users/ann/notes"],
+        "unix_home": ["/home/ann/notes.txt", "/Users/ann/notes"],  # the second within the profile's path
+        "email": ["ann@example.com"],
+        "api_token": ["ghp_0123456789abcdefGH"],
+        "telegram_id": ["telegram:12345"],
+        "raw_message_id": ["msg_0123456789abcd"],
+        "raw_session_id": ["0A1b2c3d-0000-1111-2222-0123456789ab"],
+        "private_lan_ip": ["192.168.1.20"],
+    }
+    passages = sorted({x for own in values.values() for x in own if x != "/Users/ann/notes"})
+    spark.createDataFrame([(k, f"see {x} there") for k, x in enumerate(passages)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.QUERIES["privacy_findings"](spark, str(tmp_path)).select("doc_id", "kind", "value").collect()
+    assert sorted(map(tuple, got)) == sorted((k, kind, x) for kind, own in values.items() for x in own for k, p in enumerate(passages) if x in p)
