@@ -532,10 +532,11 @@ def profanity_count(s, d):
 
 
 def outputs(s, d):
-    """Markdown of roles: whole texts of documents, each sentence a bullet; lines that are Markdown stay."""
+    """Markdown of roles: whole texts of documents, each sentence a bullet; lines that are Markdown stay. Dealt by run, so
+    that texts travel once instead of their findings twice."""
     lines = F.regexp_replace("text", r"(?<=[^0-9\s][.!?])[ \t]+", "\n")
     text = F.regexp_replace(lines, r"(?m)^(?!\s*(?:##|```|~~~)|[-*+]\s|[0-9]+\.\s)(?=.*\S)", "- ")
-    return v.table(s, d, "documents").select((F.col("doc_id") / 8).cast("long").alias("run_id"), F.concat(F.lit("role"), (F.col("doc_id") % 8).cast("string")).alias("role"), text.alias("text"))
+    return v.table(s, d, "documents").select((F.col("doc_id") / 8).cast("long").alias("run_id"), F.concat(F.lit("role"), (F.col("doc_id") % 8).cast("string")).alias("role"), text.alias("text")).repartition("run_id")
 
 
 @query(None)
