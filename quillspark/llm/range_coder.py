@@ -12,7 +12,8 @@ its partition, its number, the ids before it in the partition, and its bytes (th
 ``read`` checks every block's CRC-32 and raises ValueError on damage. Only one total for each partition is gathered.
 
 Null and empty texts give the end id alone; null document ids come first; rows with equal ids are kept, next to each
-other in some order. A document is never cut; a very long one makes a longer block.
+other in the order of their texts, so reruns agree. A document is never cut; a very long one makes a longer block. An empty
+table gives a folder without blocks, which reads as no rows. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._common import Pretokenizer, calm_gc
+from ._common import Pretokenizer, byte_level, calm_gc
 
 MAGIC = b"QIDS1\0"
 #: Ids at which a block is closed, lanes at most, and ids that a lane has at least.
@@ -244,24 +245,30 @@ def unpack_block(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 
 
 class LibraryEncoder:
-    """The tokenizers library's ids, asked once for each distinct pre-token that a worker holds."""
+    """The tokenizers library's ids: its BPE model is asked once for each distinct pre-token that a worker holds."""
 
     MAX_WORDS = 500_000
 
     def __init__(self, path: str) -> None:
         calm_gc()
         self.pretokens = Pretokenizer(path)
+        self.model = self.pretokens.library.model
+        self.signs = {b: c for c, b in byte_level().items()}
         self.words: dict[str, bytes] = {}
 
+    def ids(self, word: str) -> bytes:
+        added = self.pretokens.added.get(word)
+        found = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.signs))] if added is None else [added]
+        return struct.pack(f"<{len(found)}i", *found)
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         words = self.words
         cut = list(map(self.pretokens, texts))
         seen = set(chain.from_iterable(cut))
         if len(words) > self.MAX_WORDS:
             self.words = words = {w: words[w] for w in seen if w in words}
-        new = list(seen.difference(words))
-        for word, found in zip(new, self.pretokens.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            words[word] = struct.pack(f"<{len(found)}i", *found.ids)
+        for word in seen.difference(words):
+            words[word] = self.ids(word)
         get = words.__getitem__
         return [b"".join(map(get, x)) for x in cut]
 
@@ -303,7 +310,7 @@ def write(docs: DataFrame, to: str, tokenizer: str, end_id: int = 2, id_col: str
         if rows:
             yield close()
 
-    sorted_ = docs.select(F.col(f"`{id_col}`").cast("long").alias("k"), F.col(f"`{text_col}`").alias("t")).repartitionByRange("k").sortWithinPartitions("k")
+    sorted_ = docs.select(F.col(f"`{id_col}`").cast("long").alias("k"), F.col(f"`{text_col}`").alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
     sorted_.mapInArrow(run, "part long, block long, start long, n_docs long, n_ids long, data binary").write.option("compression", "none").parquet(to)
 
 
