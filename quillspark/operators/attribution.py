@@ -1,45 +1,42 @@
 """What commits cost: sessions and commits joined by time.
 
-``sessions``: session_id, start, end, cost, working_dir. ``commits``: repo, hash, committed_at, lines. Sessions and commits
-meet by day, so the range condition has an equality to shuffle by; a session is repeated for each of its days only.
+``sessions``: session_id, start, end, cost, working_dir. ``commits``: repo, hash, committed_at, lines. ``events``:
+session_id, ts. Sessions and the commits made while they last never meet as pairs: sums over a session are differences of
+running sums, and a commit's owner is found by one pass over sorted times (see ``owners``). A range of time (``width``)
+is the unit of work; it may be made smaller where times are dense.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import timegap
-
+from ..session import cut
+from .ordered import HOUR, at_rank, instant, running, span, upto
 
-def by_time(sessions: DataFrame, commits: DataFrame) -> DataFrame:
-    """Pairs of a session and a commit that was made from its start to its end, both included."""
-    days = sessions.withColumn("_day", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))))
-    return days.join(commits.withColumn("_day", F.to_date("committed_at")), "_day").where("committed_at between start and end").drop("_day")
 
+def session_costs(sessions: DataFrame, commits: DataFrame, width: int = HOUR) -> DataFrame:
+    """session_id, cost, commits, lines, cost_per_line: a commit counts for every session around it, both ends included.
 
-def session_costs(sessions: DataFrame, commits: DataFrame) -> DataFrame:
-    """session_id, cost, commits, lines, cost_per_line: a commit counts for every session around it."""
-    sums = by_time(sessions, commits).groupBy("session_id").agg(F.count("*").alias("commits"), F.sum("lines").alias("lines"))
+    Commits are added up over time once; a session takes the sums up to its end less those before its start."""
+    sessions = cut(sessions.select("session_id", "start", "end", "cost"))
+    # at one instant: sessions' starts, commits, sessions' ends
+    ends = F.array(F.struct(instant("start").alias("at"), F.lit(-1).alias("side")), F.struct(instant("end").alias("at"), F.lit(1).alias("side")))
+    own = sessions.where("start <= end").select("session_id", F.explode(ends).alias("p")).select("session_id", "p.*", F.lit(0).cast("long").alias("commits"), F.lit(0).cast("long").alias("lines"))
+    made = commits.where("committed_at is not null").select(F.lit(None).cast(sessions.schema["session_id"].dataType).alias("session_id"), instant("committed_at").alias("at"), F.lit(0).alias("side"), F.lit(1).cast("long").alias("commits"), F.coalesce("lines", F.lit(0)).cast("long").alias("lines"))
+    sums = running(own.unionByName(made), ["at", "side"], ["commits", "lines"], width).where("side <> 0")
+    sums = sums.groupBy("session_id").agg(*[F.sum(F.col(c) * F.col("side")).alias(c) for c in ("commits", "lines")])
     joined = sessions.select("session_id", "cost").join(sums, "session_id", "left")
-    joined = joined.select("session_id", "cost", F.coalesce("commits", F.lit(0)).alias("commits"), F.coalesce("lines", F.lit(0)).alias("lines"))
+    joined = joined.select("session_id", "cost", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("commits", "lines")])
     return joined.withColumn("cost_per_line", F.when(F.col("lines") > 0, F.col("cost") / F.col("lines")))
 
 
 def rank_percentile(df: DataFrame, value: str, p: float) -> DataFrame:
-    """One row, threshold: the value at rank ceil((n - 1) * p), counted from 0, in ascending order.
-
-    Values are numbered within ranges that follow one another, not in one task."""
-    n = df.where(F.col(value).isNotNull()).count()
-    rank = -(-int((n - 1) * p * 1_000_000) // 1_000_000) if n else 0
-    top = df.where(F.col(value).isNotNull()).select(F.col(value).alias("threshold"))
-    counts = top.groupBy("threshold").agg(F.count("*").alias("c"))
-    edges = counts.stat.approxQuantile("threshold", [k / 32 for k in range(1, 32)], 0.01) if n > 1000 else []
-    bucket = F.array_size(F.filter(F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<double>"), lambda e: e < F.col("threshold")))
-    counts = counts.withColumn("_b", bucket)
-    before = counts.groupBy("_b").agg(F.sum("c").alias("s")).withColumn("_before", F.coalesce(F.sum("s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_before")
-    upto = counts.join(before, "_b").withColumn("_upto", F.col("_before") + F.sum("c").over(Window.partitionBy("_b").orderBy("threshold")))
-    return upto.where(F.col("_upto") > rank).agg(F.min("threshold").alias("threshold"))
+    """One row, threshold: the value at rank ceil((n - 1) * p), counted from 0, in ascending order."""
+    return upto(df, [], value).agg(at_rank(value, F.ceil((F.col("_c") - 1) * p - 1e-6) + 1).alias("threshold"))
 
 
 def expensive(costs: DataFrame, p: float = 0.9, most: int = 5) -> DataFrame:
@@ -57,26 +54,125 @@ def inside(folder: Column, repo: Column) -> Column:
     return F.coalesce((d == r) | F.startswith(d, F.concat(r, F.lit("/"))), F.lit(False))
 
 
-def owners(sessions: DataFrame, events: DataFrame, commits: DataFrame) -> DataFrame:
+def folders(sessions: DataFrame, commits: DataFrame) -> DataFrame:
+    """working_dir, repos: the repositories (as ``normal_dir`` writes them) that a folder is inside, at most one for each of
+    its parts."""
+    part = F.split(normal_dir(F.col("working_dir")), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(part)), lambda k: F.array_join(F.slice(part, F.lit(1), k), "/"))
+    each = sessions.where("working_dir is not null").select("working_dir").distinct().select("working_dir", F.explode(above).alias("repo"))
+    return each.join(commits.select(normal_dir(F.col("repo")).alias("repo")).distinct(), "repo").groupBy("working_dir").agg(F.collect_set("repo").alias("repos"))
+
+
+def stretches(sessions: DataFrame, events: DataFrame) -> DataFrame:
+    """session_id, start, working_dir, lo, hi, a, b: each session cut at its events; from lo to hi the last event is at a (or
+    there was none) and the next one at b (or there is none). Events outside of their session are left out."""
+    own = sessions.select("session_id", "working_dir", instant("start").alias("start"), instant("end").alias("end"))
+    marks = events.select("session_id", instant("ts").alias("a")).join(own, "session_id").where("a between start and end")
+    w = Window.partitionBy("session_id").orderBy("a")
+    marks = marks.withColumn("b", F.lead("a").over(w)).withColumn("_nth", F.row_number().over(w))
+    none = F.lit(None).cast("long")
+    after = F.struct(F.col("a").alias("lo"), F.coalesce("b", "end").alias("hi"), F.col("a").alias("a"), F.col("b").alias("b"))
+    before = F.struct(F.col("start").alias("lo"), F.col("a").alias("hi"), none.alias("a"), F.col("a").alias("b"))
+    pieces = F.when((F.col("_nth") == 1) & (F.col("start") < F.col("a")), F.array(before, after)).otherwise(F.array(after))
+    return marks.select("session_id", "start", "working_dir", F.explode(pieces).alias("p")).select("session_id", "start", "working_dir", "p.*")
+
+
+#: What a row of ``nearest`` is. At one instant stretches begin before commits, and end after them.
+BEGIN, COMMIT, END = 0, 1, 2
+
+
+def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each commit the stretch around it that began last and the one that ends first, with the gap to that event.
+
+    Rows: near, repo, range (a group), at, kind, v (the event at the stretch's begin or end), other (its other end), start,
+    session_id, of, hash; sorted by all up to session_id. A task holds the stretches that may still be the last to have
+    begun, and the commits that no end has reached yet."""
+    names = ["of", "hash", "near", "gap", "start", "session_id"]
+    group, same, rows = None, None, []
+    begun: list[tuple] = []  # by v; one that begins later and ends no earlier takes the place of those before it
+    waiting: list[tuple] = []
+    out: list[tuple] = []
+
+    def settle() -> None:
+        if not rows:
+            return
+        kind, v, at = same[1], same[2], same[0]
+        if kind == BEGIN:
+            for other, start, session, _, _ in reversed(rows):  # of equal ones the first is on top
+                while begun and begun[-1][1] <= other:
+                    begun.pop()
+                begun.append((v, other, start, session))
+        elif kind == COMMIT:
+            while begun and begun[-1][1] < at:
+                begun.pop()
+            for _, _, _, of, hash_ in rows:
+                if begun:
+                    out.append((of, hash_, group[0], at - begun[-1][0], *begun[-1][2:]))
+                waiting.append((at, of, hash_))
+        else:
+            for other, start, session, _, _ in rows:
+                while waiting and waiting[-1][0] >= other:
+                    t, of, hash_ = waiting.pop()
+                    out.append((of, hash_, group[0], v - t, start, session))
+
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(11)]
+        for near, repo, range_, at, kind, v, *row in zip(*columns, strict=True):
+            if (at, kind, v) != same or (near, repo, range_) != group:
+                settle()
+                rows = []
+                if (near, repo, range_) != group:
+                    group = (near, repo, range_)
+                    begun.clear()
+                    waiting.clear()
+                same = (at, kind, v)
+            rows.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds_of(batch))], names)
+        out.clear()
+    settle()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds_of(batch))], names)
+
+
+def kinds_of(batch: pa.RecordBatch) -> list[pa.DataType]:
+    return [batch.column(9).type, batch.column(10).type, pa.bool_(), pa.int64(), pa.int64(), batch.column(8).type]
+
+
+def owners(sessions: DataFrame, events: DataFrame, commits: DataFrame, width: int = HOUR) -> DataFrame:
     """repo, hash, session_id, gap: each commit's one session: of those around it, sessions working inside the repository
-    before others, then the one with the nearest event, then the one that started first.
-
-    The nearest event may be days away, so it isn't looked for by day: each session's events and candidate commits are
-    put in one order, and every commit takes the last event before and the first one after it."""
-    pairs = by_time(sessions, commits).select("repo", "hash", "committed_at", "session_id", "start", inside(F.col("working_dir"), F.col("repo")).alias("near"))
-    marks = events.select("session_id", F.col("ts").alias("at"), F.lit(1).alias("e")).join(pairs.select("session_id").distinct(), "session_id", "left_semi")
-    asked = pairs.select("session_id", F.col("committed_at").alias("at")).distinct().withColumn("e", F.lit(0))
-    w = Window.partitionBy("session_id").orderBy("at")
-    own = F.when(F.col("e") == 1, F.col("at"))
-    # ordered by range, so events at the commit's own time are on both sides
-    before = F.max(own).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.min(own).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    line = marks.unionByName(asked).withColumn("_a", before).withColumn("_b", after).where("e = 0")
-    gap = F.least(timegap.micros(F.col("_a"), F.col("at")), timegap.micros(F.col("at"), F.col("_b")))
-    gaps = line.select("session_id", F.col("at").alias("committed_at"), gap.alias("gap"))
-    ranked = pairs.join(gaps, ["session_id", "committed_at"])
-    order = F.struct((~F.col("near")).alias("a"), "gap", "start", "session_id")
-    return ranked.groupBy("repo", "hash").agg(F.min_by(F.struct("session_id", "gap"), order).alias("o")).select("repo", "hash", "o.session_id", "o.gap")
+    before others, then the one with the nearest event (gap in microseconds), then the one that started first.
+
+    A session's nearest event begins or ends the stretch between its events that the commit lies in, so only the stretch
+    that began last and the one that ends first can win. Of stretches that last throughout a range those two are kept for
+    each range, by an aggregate; those that begin or end in a range are sorted with its commits, and one pass finds the
+    two for each commit. Both are done for all sessions and for those inside each repository."""
+    pieces = stretches(sessions, events).join(folders(sessions, commits), "working_dir", "left")
+    scopes = F.concat(F.array(F.struct(F.lit(False).alias("near"), F.lit("").alias("repo"))), F.transform(F.coalesce("repos", F.array().cast("array<string>")), lambda r: F.struct(F.lit(True).alias("near"), r.alias("repo"))))
+    pieces = pieces.select(F.explode(scopes).alias("s"), "lo", "hi", "a", "b", "start", "session_id", span("lo", width).alias("first"), span("hi", width).alias("last"))
+    pieces = cut(pieces.select("s.*", "*").drop("s"))
+    kinds = {c: commits.schema[c].dataType for c in ("repo", "hash")}
+    none = [F.lit(None).cast(t).alias(k) for k, t in (("of", kinds["repo"]), ("hash", kinds["hash"]))]
+    edge = pieces.withColumn("range", F.explode(F.array_distinct(F.array("first", "last"))))
+    where = ["near", "repo", "range"]
+    begin = edge.where("a is not null").select(*where, F.greatest("lo", F.col("range") * width).alias("at"), F.lit(BEGIN).alias("kind"), F.col("a").alias("v"), F.col("hi").alias("other"), "start", "session_id", *none)
+    end = edge.where("b is not null").select(*where, F.least("hi", (F.col("range") + 1) * width - 1).alias("at"), F.lit(END).alias("kind"), F.col("b").alias("v"), F.col("lo").alias("other"), "start", "session_id", *none)
+    asked = commits.where("committed_at is not null").select(F.col("repo").alias("of"), "hash", instant("committed_at").alias("at"))
+    both = F.array(F.struct(F.lit(False).alias("near"), F.lit("").alias("repo")), F.struct(F.lit(True).alias("near"), normal_dir(F.col("of")).alias("repo")))
+    asked = asked.select(F.explode(both).alias("s"), "of", "hash", "at", span("at", width).alias("range")).where("s.repo is not null").select("s.*", "of", "hash", "at", "range")
+    line = asked.select(*where, "at", F.lit(COMMIT).alias("kind"), F.lit(0).cast("long").alias("v"), F.lit(0).cast("long").alias("other"), F.lit(0).cast("long").alias("start"), F.lit(None).cast(sessions.schema["session_id"].dataType).alias("session_id"), "of", "hash")
+    order = [*where, "at", "kind", "v", "start", "session_id"]
+    dealt = begin.unionByName(end).unionByName(line).select(*order[:6], "other", "start", "session_id", "of", "hash").repartition(*where).sortWithinPartitions(*order)
+    types = {k: t.simpleString() for k, t in (("of", kinds["repo"]), ("hash", kinds["hash"]), ("session_id", sessions.schema["session_id"].dataType))}
+    close = dealt.mapInArrow(nearest, f"of {types['of']}, hash {types['hash']}, near boolean, gap long, start long, session_id {types['session_id']}")
+    # what lasts throughout a range
+    through = pieces.where(F.col("last") - F.col("first") > 1).withColumn("range", F.explode(F.sequence(F.col("first") + 1, F.col("last") - 1)))
+    late = F.min(F.when(F.col("a").isNotNull(), F.struct((-F.col("a")).alias("v"), "start", "session_id")))
+    soon = F.min(F.when(F.col("b").isNotNull(), F.struct(F.col("b").alias("v"), "start", "session_id")))
+    through = through.groupBy(*where).agg(late.alias("late"), soon.alias("soon"))
+    two = F.array(F.struct((F.col("at") + F.col("late.v")).alias("gap"), "late.start", "late.session_id"), F.struct((F.col("soon.v") - F.col("at")).alias("gap"), "soon.start", "soon.session_id"))
+    far = asked.join(through, where).select("of", "hash", "near", F.explode(two).alias("x")).where("x.gap is not null").select("of", "hash", "near", "x.*")
+    best = F.min(F.struct((~F.col("near")).alias("far"), "gap", "start", "session_id")).alias("o")
+    return close.unionByName(far).groupBy(F.col("of").alias("repo"), "hash").agg(best).select("repo", "hash", "o.session_id", "o.gap")
 
 
 def by_repo(sessions: DataFrame, events: DataFrame, commits: DataFrame, threshold: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as n
+from .ordered import at_rank, median, nearest_rank, upto
 
 
 def limits(today: str, short: int, long: int) -> tuple[Column, Column, Column]:
@@ -52,14 +53,20 @@ def fingerprints(events: DataFrame) -> DataFrame:
 
 def slippage_baselines(events: DataFrame, today: str, min_events: int = 5, short: int = 7, long: int = 30) -> DataFrame:
     """For each fingerprint with enough recent events: numbers, medians of the window, the short part and the baseline,
-    and the 95th percentile (nearest rank)."""
+    and the 95th percentile (nearest rank). Ranks come from counts of equal costs, not from a group's sorted rows."""
     recent, start, end = limits(today, short, long)
-    rows = fingerprints(events).where(F.col("day").between(start, end))
-    new = F.col("day") >= recent
-    medians = {"median_cost": F.col("cost"), "median_cost_7d": F.when(new, F.col("cost")), "median_cost_baseline": F.when(~new, F.col("cost"))}
-    p95 = lambda c: F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {c})")
-    rows = rows.withColumn("_short", F.when(new, F.col("cost")))
-    out = rows.groupBy("provider", "model", "bucket").agg(F.count("*").alias("events"), F.sum(new.cast("long")).alias("events_7d"), *[F.coalesce(F.median(c), F.lit(0.0)).alias(k) for k, c in medians.items()], p95("cost").alias("p95_cost"), p95("_short").alias("p95_cost_7d"))
+    keys = ["provider", "model", "bucket"]
+    part = F.explode(F.array(F.lit("all"), F.when(F.col("day") >= recent, "new").otherwise("old")))
+    rows = fingerprints(events).where(F.col("day").between(start, end)).select(*keys, part.alias("part"), "cost")
+    is_ = lambda p: F.col("part") == p
+    rows_of = lambda p: F.coalesce(F.max(F.when(is_(p), F.col("_c"))), F.lit(0))
+    medians = {"median_cost": "all", "median_cost_7d": "new", "median_cost_baseline": "old"}
+    p95 = lambda p: at_rank("cost", nearest_rank(0.95), is_(p))
+    out = upto(rows, [*keys, "part"], "cost").groupBy(*keys).agg(
+        rows_of("all").alias("events"), rows_of("new").alias("events_7d"),
+        *[F.coalesce(median("cost", is_(p)), F.lit(0.0)).alias(k) for k, p in medians.items()],
+        p95("all").alias("p95_cost"), p95("new").alias("p95_cost_7d"),
+    )
     return out.where(F.col("events_7d") >= min_events)
 
 

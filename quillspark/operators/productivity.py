@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as n
+from ..session import cut
 from . import timegap
+from .ordered import at_rank, nearest_rank, upto
 
 #: Minutes of attention that each covered session costs at least.
 FLOOR_MINUTES = 5.0
@@ -23,7 +25,7 @@ def eligible(events: DataFrame) -> DataFrame:
 def units_by_session(events: DataFrame, tasks: DataFrame, gap_minutes: int = 2) -> DataFrame:
     """session_id, events, active_hours, baseline, effective, kind, start, end: sessions that have an estimate."""
     known = tasks.where("chunk_date is null").select("session_id", n.effective_hours(F.col("human_corrected_hours"), F.col("ai_baseline_hours")).alias("baseline")).where("baseline is not null")
-    units = timegap.active_by(events, ["session_id"], gap_minutes).join(timegap.spans(events, ["session_id"]).drop("events"), "session_id").join(known, "session_id")
+    units = timegap.gaps_by(timegap.with_session(events), ["session_id"], gap_minutes).join(known, "session_id")
     return units.withColumn("_g", n.guarded_hours(F.col("baseline"), F.col("active_hours"), F.col("events"))).select("*", "_g.hours", "_g.kind").withColumnRenamed("hours", "effective").drop("_g")
 
 
@@ -32,7 +34,7 @@ def units_by_day(events: DataFrame, tasks: DataFrame, gap_minutes: int = 2) -> D
     known = tasks.where("chunk_date is not null").select("session_id", F.col("chunk_date").alias("day"), n.effective_hours(F.col("human_corrected_hours"), F.col("ai_baseline_hours")).alias("baseline"))
     daily = events.withColumn("day", F.col("event_date"))
     keys = ["session_id", "day"]
-    units = timegap.active_by(daily, keys, gap_minutes).join(timegap.spans(daily, keys).drop("events"), keys).join(known, keys, "left")
+    units = timegap.gaps_by(timegap.with_session(daily), keys, gap_minutes).join(known, keys, "left")
     guard = F.when(F.col("baseline").isNotNull(), n.guarded_hours(F.col("baseline"), F.col("active_hours"), F.col("events")))
     return units.withColumn("_g", guard).select("*", F.col("_g.hours").alias("effective"), F.col("_g.kind").alias("kind")).drop("_g")
 
@@ -47,12 +49,17 @@ def guard_sums() -> list[Column]:
         F.coalesce(F.sum(F.when(F.col("kind") == "floor", gap)), F.lit(0.0)).alias("hours_floor_added"),
         F.coalesce(F.sum(ceiling.cast("long")), F.lit(0)).alias("baseline_ceiling_clamped"),
         F.coalesce(F.sum(F.when(ceiling, -gap)), F.lit(0.0)).alias("hours_ceiling_removed"),
-        F.coalesce(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY baseline / events)"), F.lit(0.0)).alias("baseline_per_event_p95"),
         F.count("*").alias("sessions_covered"),
         F.count_distinct("session_id").alias("distinct_sessions_covered"),
     ]
 
 
+def baseline_p95(units: DataFrame) -> DataFrame:
+    """One row: the 95th percentile (nearest rank) of the estimated hours an event."""
+    rates = upto(units.select((F.col("baseline") / F.col("events")).alias("rate")), [], "rate")
+    return rates.agg(F.coalesce(at_rank("rate", nearest_rank(0.95)), F.lit(0.0)).alias("baseline_per_event_p95"))
+
+
 def ratio(row: DataFrame) -> DataFrame:
     """Denominator, hours saved, multiplier and whether the floor decides, for rows of sums."""
     floor = F.col("distinct_sessions_covered") * (FLOOR_MINUTES / 60)
@@ -61,46 +68,64 @@ def ratio(row: DataFrame) -> DataFrame:
     return row.withColumn("denominator_hours", denominator).withColumn("hours_saved", F.col("hours_without_ai") - F.col("denominator_hours")).withColumn("multiplier", F.coalesce(F.try_divide("hours_without_ai", F.nullif(F.col("denominator_hours"), F.lit(0.0))), F.lit(0.0))).withColumn("denominator_is_floor", covered & (floor > F.col("human_attention_hours")))
 
 
+def together(rows: DataFrame, *more: DataFrame) -> DataFrame:
+    """Frames of one row each side by side."""
+    for other in more:
+        rows = rows.crossJoin(other)
+    return rows
+
+
 def by_session(events: DataFrame, tasks: DataFrame, prompts: DataFrame, cached: DataFrame, gap_minutes: int = 2) -> DataFrame:
-    """One row: the payload of session mode."""
-    own = eligible(events)
-    units = units_by_session(own, tasks, gap_minutes)
+    """One row: the payload of session mode. Eligible events and units are made once, as all figures start from them."""
+    own = cut(timegap.with_session(eligible(events)).select("session_id", "ts", "event_date"))
+    units = cut(units_by_session(own, tasks, gap_minutes))
     covered = own.join(units.select("session_id"), "session_id", "left_semi")
-    human = timegap.attention(units.select("session_id", F.lit(None).cast("date").alias("day")), prompts, cached, timegap.with_session(covered))
-    out = units.agg(*guard_sums())
-    for more in (timegap.active_merged(covered, gap_minutes), timegap.union_hours(units.select("start", "end")).withColumnRenamed("hours", "calendar_hours"), human.select(F.col("hours").alias("human_attention_hours"), F.col("fallbacks").alias("human_attention_fallbacks")), timegap.with_session(own).agg(F.count_distinct("session_id").alias("sessions_total"))):
-        out = out.crossJoin(more)  # one row each
-    return ratio(out)
+    human = timegap.attention(units.select("session_id", F.lit(None).cast("date").alias("day")), prompts, cached, covered)
+    return ratio(
+        together(
+            units.agg(*guard_sums()),
+            baseline_p95(units),
+            timegap.active_merged(covered, gap_minutes),
+            timegap.union_hours(units.select("start", "end")).withColumnRenamed("hours", "calendar_hours"),
+            human.select(F.col("hours").alias("human_attention_hours"), F.col("fallbacks").alias("human_attention_fallbacks")),
+            own.agg(F.count_distinct("session_id").alias("sessions_total")),
+        )
+    )
 
 
 def by_day(events: DataFrame, tasks: DataFrame, prompts: DataFrame, cached: DataFrame, today: str, gap_minutes: int = 2) -> DataFrame:
     """One row: the payload of day mode. Only past days count; the open day's figures are provisional and apart."""
-    own = eligible(events)
-    all_units = units_by_day(own, tasks, gap_minutes)
+    own = cut(timegap.with_session(eligible(events)).select("session_id", "ts", "event_date"))
+    all_units = cut(units_by_day(own, tasks, gap_minutes))
     at = F.lit(today).cast("date")
     closed = all_units.where((F.col("day") < at) & F.col("baseline").isNotNull())
     opened = all_units.where((F.col("day") == at) & F.col("baseline").isNotNull())
-    rows = timegap.with_session(own).withColumn("day", F.col("event_date"))
+    rows = own.withColumn("day", F.col("event_date"))
     covered = rows.join(closed.select("session_id", "day"), ["session_id", "day"], "left_semi")
-    human = timegap.attention(closed.select("session_id", "day"), prompts, cached, rows)
-    around = timegap.attention(all_units.select("session_id", "day"), prompts, cached, rows)
+    attention = lambda units: timegap.attention(units.select("session_id", "day"), prompts, cached, rows)
+    number = lambda condition: F.coalesce(F.sum(condition.cast("long")), F.lit(0))
     counts = all_units.agg(
-        F.coalesce(F.sum((F.col("day") < at).cast("long")), F.lit(0)).alias("units_eligible"),
-        F.coalesce(F.sum(((F.col("day") < at) & F.col("baseline").isNotNull()).cast("long")), F.lit(0)).alias("units_estimated"),
-        F.coalesce(F.sum((F.col("day") == at).cast("long")), F.lit(0)).alias("units_open"),
+        number(F.col("day") < at).alias("units_eligible"),
+        number((F.col("day") < at) & F.col("baseline").isNotNull()).alias("units_estimated"),
+        number(F.col("day") == at).alias("units_open"),
+    )
+    provisional = opened.agg(
+        F.count("*").alias("open_units_estimated"),
+        F.coalesce(F.sum("effective"), F.lit(0.0)).alias("open_hours_without_ai"),
+        F.count_distinct("session_id").alias("open_distinct_sessions"),
     )
-    out = closed.agg(*guard_sums()).crossJoin(counts)
-    parts = (
+    out = together(
+        closed.agg(*guard_sums()),
+        baseline_p95(closed),
+        counts,
         timegap.active_merged(covered, gap_minutes),
         timegap.union_hours(closed.select("start", "end")).withColumnRenamed("hours", "calendar_hours"),
         timegap.union_hours(all_units.select("start", "end")).withColumnRenamed("hours", "window_calendar_hours"),
-        human.select(F.col("hours").alias("human_attention_hours"), F.col("fallbacks").alias("human_attention_fallbacks")),
-        around.select(F.col("hours").alias("window_human_attention_hours")),
-        opened.agg(F.count("*").alias("open_units_estimated"), F.coalesce(F.sum("effective"), F.lit(0.0)).alias("open_hours_without_ai"), F.count_distinct("session_id").alias("open_distinct_sessions")),
-        timegap.attention(opened.select("session_id", "day"), prompts, cached, rows).select(F.col("hours").alias("open_human_attention_hours")),
+        attention(closed).select(F.col("hours").alias("human_attention_hours"), F.col("fallbacks").alias("human_attention_fallbacks")),
+        attention(all_units).select(F.col("hours").alias("window_human_attention_hours")),
+        provisional,
+        attention(opened).select(F.col("hours").alias("open_human_attention_hours")),
     )
-    for more in parts:
-        out = out.crossJoin(more)  # one row each
     unknown = F.col("units_eligible") - F.col("units_estimated")
     return ratio(out.withColumn("units_unknown", unknown).withColumn("window_complete", (F.col("units_eligible") > 0) & (unknown == 0)))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as n
+from .ordered import numbered
 from .timegap import with_session
 
 CLAIM = r"(?im)^claim:\s*(\S+)"
@@ -48,11 +49,9 @@ def envelopes(rows: DataFrame, text_col: str = "body", required: tuple[str, ...]
     return rows.withColumn("task", F.nullif(task, F.lit(""))).withColumn("valid", F.coalesce(valid, F.lit(False)))
 
 
-def lower_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Of each group the row in the middle, the lower one of two."""
-    w = Window.partitionBy(*keys)
-    numbered = rows.withColumn("_n", F.row_number().over(w.orderBy(value))).withColumn("_c", F.count("*").over(w))
-    return numbered.where(F.expr("_n = (_c - 1) div 2 + 1")).drop("_n", "_c")
+def lower_median(rows: DataFrame, keys: list[str], value: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Of each group the row in the middle by ``value`` and ``ties``, the lower one of two. Null values don't count."""
+    return numbered(rows, keys, value, ties).where(F.expr("_n = (_c - 1) div 2 + 1")).drop("_n", "_c")
 
 
 # Sizes of sessions, from small to large.

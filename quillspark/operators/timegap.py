@@ -1,61 +1,59 @@
 """Time metrics from gaps between events. All times are TIMESTAMP_NTZ; hours are doubles.
 
-Nothing orders all rows in one task: metrics over the pooled times of all sessions work within days, and the days' first
-and last times, one row a day, are joined up afterwards.
+Nothing orders all rows, a whole day or a whole session in one task: times are ordered within ranges of an hour (``width``),
+and the ranges' first and last times, one row a range, are joined up afterwards.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOUR = 3_600_000_000
-MINUTE = 60_000_000
-
+from ..session import cut
+from .ordered import HOUR, instant, micros, running, span
 
-def micros(a: Column, b: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", a, b)
+MINUTE = 60_000_000
 
 
 def with_session(events: DataFrame) -> DataFrame:
     return events.where((F.coalesce("session_id", F.lit("")) != "") & F.col("ts").isNotNull())
 
 
+def gaps_by(times: DataFrame, keys: list[str], gap_minutes: int, width: int = HOUR) -> DataFrame:
+    """keys, events, active_hours, start, end: the rows of each group, the sum of the gaps of at most ``gap_minutes`` between
+    them, the first time and the last."""
+    limit, own = gap_minutes * MINUTE, [*keys, "_range"]
+    near = lambda c: F.coalesce(F.sum(F.when(F.col(c) <= limit, F.col(c))), F.lit(0))
+    at = times.select(*keys, "ts", instant("ts").alias("at")).withColumn("_range", span("at", width))
+    inner = at.withColumn("_gap", F.col("at") - F.lag("at").over(Window.partitionBy(*own).orderBy("at")))
+    ranges = inner.groupBy(*own).agg(F.count("*").alias("_rows"), F.min("at").alias("_first"), F.max("at").alias("_last"), near("_gap").alias("_in"), F.min("ts").alias("_start"), F.max("ts").alias("_end"))
+    joined = ranges.withColumn("_over", F.col("_first") - F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")))
+    hours = (F.coalesce(F.sum("_in"), F.lit(0)) + near("_over")) / HOUR
+    return joined.groupBy(*keys).agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("events"), hours.alias("active_hours"), F.min("_start").alias("start"), F.max("_end").alias("end"))
+
+
 def active_by(events: DataFrame, keys: list[str], gap_minutes: int = 2) -> DataFrame:
     """keys, events, active_hours: the sum of the gaps of at most ``gap_minutes`` between a group's events."""
-    gap = micros(F.lag("ts").over(Window.partitionBy(*keys).orderBy("ts")), F.col("ts"))
-    rows = with_session(events).select(*keys, "ts").withColumn("_gap", gap)
-    near = F.sum(F.when(F.col("_gap") <= gap_minutes * MINUTE, F.col("_gap")).otherwise(0))
-    return rows.groupBy(*keys).agg(F.count("*").alias("events"), (near / HOUR).alias("active_hours"))
+    return gaps_by(with_session(events), keys, gap_minutes).drop("start", "end")
 
 
 def merged_hours(times: DataFrame, gap_minutes: int) -> DataFrame:
     """One row, hours: gaps of at most ``gap_minutes`` in the pooled times ``ts`` of all rows."""
-    limit = gap_minutes * MINUTE
-    daily = times.select("ts", F.to_date("ts").alias("_day"))
-    gap = micros(F.lag("ts").over(Window.partitionBy("_day").orderBy("ts")), F.col("ts"))
-    days = daily.withColumn("_gap", gap).groupBy("_day").agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"), F.sum(F.when(F.col("_gap") <= limit, F.col("_gap")).otherwise(0)).alias("_in"))
-    over = micros(F.lag("_last").over(Window.orderBy("_day")), F.col("_first"))
-    joined = days.withColumn("_over", over)
-    return joined.agg((F.coalesce(F.sum(F.col("_in") + F.when(F.col("_over") <= limit, F.col("_over")).otherwise(0)), F.lit(0)) / HOUR).alias("hours"))
+    return gaps_by(times.where("ts is not null"), [], gap_minutes).select(F.col("active_hours").alias("hours"))
 
 
 def active_merged(events: DataFrame, gap_minutes: int = 2) -> DataFrame:
     return merged_hours(with_session(events), gap_minutes).withColumnRenamed("hours", "active_hours")
 
 
-def union_hours(spans: DataFrame) -> DataFrame:
+def union_hours(spans: DataFrame, width: int = HOUR) -> DataFrame:
     """One row, hours: how long at least one of the spans (start, end) lasts; touching ones are one.
 
-    Spans are cut at midnight and merged within days, so no task orders all of them."""
-    whole = spans.where("start is not null and end is not null")
-    lo, hi = F.to_date("start"), F.to_date("end")
-    cut = whole.withColumn("_day", F.explode(F.sequence(lo, F.greatest(lo, hi))))
-    midnight = F.col("_day").cast("timestamp_ntz")
-    cut = cut.select("_day", F.greatest("start", midnight).alias("s"), F.least("end", midnight + F.expr("INTERVAL 1 DAY")).alias("e")).where("e > s")
-    before = F.max("e").over(Window.partitionBy("_day").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
-    new = F.greatest(F.lit(0), micros(F.greatest(F.col("s"), F.coalesce(before, F.col("s"))), F.col("e")))
-    return cut.withColumn("_new", new).agg((F.coalesce(F.sum("_new"), F.lit(0)) / HOUR).alias("hours"))
+    A span is two points, which open and close it; time counts while more are open than closed."""
+    ends = F.array(F.struct(instant("start").alias("at"), F.lit(1).alias("open")), F.struct(instant("end").alias("at"), F.lit(-1).alias("open")))
+    points = spans.where("start < end").select(F.explode(ends).alias("p")).select("p.*")
+    rows = running(points, ["at"], ["open"], width)
+    return rows.agg((F.coalesce(F.sum(F.when(F.col("open") > 0, F.col("_next") - F.col("at"))), F.lit(0)) / HOUR).alias("hours"))
 
 
 def spans(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,7 +76,7 @@ def attention(units: DataFrame, prompts: DataFrame, cached: DataFrame, events: D
     whole = u.where("unit_day is null").select("session_id", "unit").join(ai.select("session_id", "day").distinct(), "session_id")
     dated = u.where("unit_day is not null").select("session_id", "unit", F.col("unit_day").alias("day"))
     days = whole.unionByName(dated)
-    own = days.join(human, ["session_id", "day"]).select("session_id", "unit", "ts")
+    own = cut(days.join(human, ["session_id", "day"]).select("session_id", "unit", "ts"))
     missing = u.select("session_id", "unit").join(own.select("session_id", "unit").distinct(), ["session_id", "unit"], "left_anti")
     spare = days.join(missing, ["session_id", "unit"]).join(ai, ["session_id", "day"]).select("session_id", "unit", "ts")
     return merged_hours(own.unionByName(spare).select("ts"), gap_minutes).crossJoin(missing.agg(F.count("*").alias("fallbacks")))

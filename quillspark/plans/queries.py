@@ -660,7 +660,7 @@ def rechunk_plan(s, d):
 @query(f"WITH {LEDGER} SELECT provider_norm AS provider, CAST(ord AS BIGINT) AS ord, round(cost, 6) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY provider_norm ORDER BY cost, ord) AS r, count(*) OVER (PARTITION BY provider_norm) AS n FROM led WHERE cost IS NOT NULL) WHERE r = (n - 1) // 2 + 1")
 def lower_median_call(s, d):
     rows = window(s, d).where("cost_estimate_usd is not null").select(F.col("provider_norm").alias("provider"), "ord", F.col("cost_estimate_usd").alias("cost"))
-    return runs.lower_median(rows.withColumn("k", F.struct("cost", "ord")), ["provider"], "k").drop("k")
+    return runs.lower_median(rows, ["provider"], "cost", ("ord",))
 
 
 @query(f"""WITH {REPUTATION}, a AS (SELECT agent, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(successes) AS BIGINT) AS successes, count(*) AS roles, max(last_at) AS last_at FROM rw GROUP BY 1),

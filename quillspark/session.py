@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -14,7 +14,14 @@ ROOT = Path(__file__).resolve().parent.parent
 def session(master: str = "local[8]", **conf: str) -> SparkSession:
     """A session with the settings the queries are written for: UTC, adaptive execution, ANSI mode."""
     builder = SparkSession.builder.master(master).appName("quillspark")
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+    settings = {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": "8",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+    }
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -32,3 +39,23 @@ def ship_package(spark: SparkSession) -> None:
             z.write(path, path.relative_to(ROOT))
     sc.addPyFile(str(to))
     sc._quillspark_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session, which has no other
+    machines, may leave it unset; it gets a temporary one."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
+    return base
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows read from the shared checkpoint folder: made once, and not again where executors are lost."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
