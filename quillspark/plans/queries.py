@@ -674,3 +674,6 @@ def agent_cards(s, d):
 FROM w JOIN led ON event_date > DATE '2024-01-30' - CAST(days AS INT) AND event_date <= DATE '2024-01-30' GROUP BY 1""")
 def period_totals(s, d):
     return rollup.periods(v.ledger(s, d), TODAY, (1, 7, 30))
+
+
+from . import session_queries  # noqa: E402,F401 registers its queries here

@@ -19,11 +19,15 @@ STRINGS = ("session_id", "message_uuid", "model", "working_dir", "stop_reason",
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, v (a JSON object), file_rank and ord: lines that are objects, in the order of files and lines."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    v = F.try_parse_json("value")
-    # within a file, splits come by their start and lines within a split by the id
-    return raw.where(F.trim("value") != "").withColumn("v", v).where(F.schema_of_variant("v").startswith("OBJECT"))
+    """value, v (a JSON object), file, block and id: lines that are objects; within a file, splits come by their start and
+    lines within a split by the id."""
+    return parsed(spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")))
+
+
+def parsed(raw: DataFrame) -> DataFrame:
+    """Lines (value, ...) that are JSON objects, with them as v; a broken line costs only itself."""
+    rows = raw.where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
+    return rows.where(F.schema_of_variant("v").startswith("OBJECT"))
 
 
 def get(key: str, kind: str, v: str = "v") -> Column:
