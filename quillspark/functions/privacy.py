@@ -37,6 +37,11 @@ GATE = {
 ALLOW_MARKER = r"(?i)#\s*release-gate:\s*allow\b"
 
 
+def any_script(pattern: str) -> str:
+    """A pattern whose word signs are those of every script, as where it was written for."""
+    return "(?U)" + pattern
+
+
 def term_pattern(terms: list[str]) -> str | None:
     """One pattern for literal terms, the longest first, at the edges of words of any script; None without terms."""
     names = sorted({t.strip() for t in terms if t.strip() and not t.lstrip().startswith("#")}, key=lambda t: (-len(t), t))
@@ -49,14 +54,14 @@ def scrub(text: Column, terms: list[str] | None = None) -> Column:
     """Paths, addresses, tokens and given terms replaced by what they are; null gives an empty text."""
     out = F.coalesce(text, F.lit(""))
     for pattern, name in ((PATH_WIN, "[path]"), (PATH_UNIX, "[path]"), (EMAIL, "[email]"), (TOKEN, "[token]")):
-        out = F.regexp_replace(out, pattern, name)
+        out = F.regexp_replace(out, any_script(pattern), name)
     extra = term_pattern(terms or [])
     return F.regexp_replace(out, extra, "[client]") if extra else out
 
 
 def scan(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] | None = None) -> DataFrame:
     """id, kind, value: every passage that a pattern finds, one row each."""
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(text_col, F.lit(p), F.lit(0)).alias("values")) for k, p in (patterns or SCAN).items()])
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(text_col, F.lit(any_script(p)), F.lit(0)).alias("values")) for k, p in (patterns or SCAN).items()])
     return df.select(id_col, F.explode(found).alias("f")).select(id_col, "f.kind", F.explode("f.values").alias("value"))
 
 
@@ -68,7 +73,7 @@ def gate(df: DataFrame, id_col: str, text_col: str, allowed_emails: tuple[str, .
     extra = term_pattern(terms or [])
     if extra:
         rules["codename"] = ("fail", extra)
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.regexp_extract_all("_t", F.lit(p), F.lit(0)).alias("values")) for k, (s, p) in rules.items()])
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.regexp_extract_all("_t", F.lit(any_script(p)), F.lit(0)).alias("values")) for k, (s, p) in rules.items()])
     rows = lines.select(id_col, "line", F.explode(found).alias("f")).select(id_col, "line", "f.kind", "f.severity", F.explode("f.values").alias("value"))
     domains = tuple(e for e in allowed_emails if e.startswith("@"))
     fine = F.lower("value").isin(*[e.lower() for e in allowed_emails]) if allowed_emails else F.lit(False)

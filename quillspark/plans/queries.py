@@ -468,7 +468,8 @@ def recost(s, d):
 
 # -- Texts -----------------------------------------------------------------------------------------------------------
 
-WORDS = "regexp_extract_all(lower(text), '[a-z][a-z'']*')"
+LETTER = "A-Za-zА-Яа-яЁё"
+WORDS = f"regexp_extract_all(lower(text), '[{LETTER}][{LETTER}'']*')"
 HEDGE_1 = ", ".join(f"'{h}'" for h in t.HEDGES if " " not in h)
 IMPER = ", ".join(f"'{h}'" for h in t.IMPERATIVES)
 
@@ -477,7 +478,7 @@ def hits(phrases) -> str:
     return " + ".join("((length(lo) - length(replace(lo, '{0}', ''))) // {1})".format(p.replace("'", "''"), len(p)) for p in phrases)
 
 
-SLOP = f"""sl0 AS (SELECT doc_id, source, lower(text) AS lo, {WORDS} AS w FROM documents WHERE lang = 'en'),
+SLOP = f"""sl0 AS (SELECT doc_id, source, lower(text) AS lo, {WORDS} AS w FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)),
 sl1 AS (SELECT *, len(w) AS n, CASE WHEN len(w) < 3 THEN 0 ELSE 1 - len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) / (len(w) - 2) END AS tri, {hits(t.STOCK)} AS st,
  len(list_filter(w, lambda x: x IN ({HEDGE_1}))) + {hits([h for h in t.HEDGES if " " in h])} AS h, len(list_filter(w, lambda x: x IN ({IMPER}))) AS im FROM sl0),
 sl2 AS (SELECT doc_id, source, n AS word_count, tri AS trigram, CASE WHEN n > 0 THEN least(st * 100 / greatest(n, 1) / 5.0, 1) ELSE 0 END AS stock, CASE WHEN h = 0 THEN 0 WHEN im = 0 THEN 1 ELSE least(h / im, 1) END AS hedge FROM sl1),
@@ -486,43 +487,30 @@ sl AS (SELECT *, (0.4 * trigram + 0.3 * stock + 0.3 * hedge) * 100 AS score FROM
 
 @query(f"WITH {SLOP} SELECT doc_id, round(score, 6) AS score, round(trigram, 6) AS trigram, round(stock, 6) AS stock, round(hedge, 6) AS hedge, CAST(word_count AS INT) AS word_count FROM sl")
 def slop_components(s, d):
-    return t.slop(v.table(s, d, "documents").where("lang = 'en'")).select("doc_id", F.col("score").cast("double").alias("score"), "trigram", "stock", "hedge", "word_count")
+    return t.slop(v.table(s, d, "documents")).select("doc_id", F.col("score").cast("double").alias("score"), "trigram", "stock", "hedge", "word_count")
 
 
 @query(f"WITH {SLOP}, x AS (SELECT *, source AS agent, doc_id % 3 AS role FROM sl) SELECT agent, role, CAST(grouping(agent, role) AS BIGINT) AS level, count(*) AS texts, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score, round(avg(trigram), 6) AS mean_trigram, round(avg(stock), 6) AS mean_stock, round(avg(hedge), 6) AS mean_hedge FROM x GROUP BY GROUPING SETS ((agent), (role), (agent, role), ())")
 def slop_by_source(s, d):
-    rows = v.table(s, d, "documents").where("lang = 'en'").select(F.col("source").alias("agent"), (F.col("doc_id") % 3).alias("role"), "text")
-    return mining.slop_rollup(rows, ["agent", "role"])
-
-
-@query(None)
-def slop_components_all(s, d):
-    """Documents of all languages."""
-    return t.slop(v.table(s, d, "documents")).select("doc_id", F.col("score").cast("double").alias("score"), "trigram", "stock", "hedge", "word_count")
-
-
-@query(None)
-def slop_by_source_all(s, d):
-    """Documents of all languages."""
     rows = v.table(s, d, "documents").select(F.col("source").alias("agent"), (F.col("doc_id") % 3).alias("role"), "text")
     return mining.slop_rollup(rows, ["agent", "role"])
 
 
-@query("""WITH p AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7f]*') AND role = 'user'),
-k AS (SELECT CAST(conv_id AS VARCHAR) AS s, conv_id * 1000 + turn AS ord, array_to_string(w[1:2], ' ') AS prefix FROM p WHERE len(w) >= 2)
-SELECT prefix, count(*) AS occurrences, count(DISTINCT s) AS sessions, min(ord) AS first_at, max(ord) AS last_at, CAST(least(count(*), 3) AS INT) AS shown FROM k GROUP BY 1 HAVING count(*) >= 2""")
-def pattern_mining(s, d):
-    rows = v.table(s, d, "conversations").where((F.col("role") == "user") & F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    found = mining.patterns(rows.select(F.col("conv_id").cast("string").alias("session_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text"), 2)
-    return found.select("prefix", "occurrences", "sessions", "first_at", "last_at", F.size("examples").alias("shown"))
+NOISY = " OR ".join("starts_with(ltrim(lower(left(text, 80))), '{0}')".format(p.replace("'", "''")) for p in t.NOISE)
+KIND = "CASE WHEN split_part(prefix, ' ', 1) IN ({0}) THEN 'script' WHEN split_part(prefix, ' ', 1) IN ({1}) THEN 'prompt-template' WHEN len(string_split(prefix, ' ')) < 3 THEN 'noise' ELSE 'prompt-template' END".format(
+    *[", ".join(f"'{w}'" for w in dict.fromkeys(words)) for words in (t.VERBS, t.QUESTIONS)]
+)
 
 
-@query(None)
-def pattern_mining_all(s, d):
-    """All messages, with the operator's own tokens."""
+@query(f"""WITH p AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[{LETTER}0-9_]+') AS w FROM conversations WHERE role = 'user' AND NOT ({NOISY})),
+k AS (SELECT CAST(conv_id AS VARCHAR) AS s, conv_id * 1000 + turn AS ord, array_to_string(w[1:2], ' ') AS prefix FROM p WHERE len(w) >= 2),
+g AS (SELECT prefix, count(*) AS occurrences, count(DISTINCT s) AS sessions, min(ord) AS first_at, max(ord) AS last_at, CAST(least(count(*), 3) AS INT) AS shown FROM k GROUP BY 1 HAVING count(*) >= 2),
+n AS (SELECT *, coalesce(nullif(trim(regexp_replace(trim(prefix), '[^{LETTER}0-9]+', '-', 'g'), '-'), ''), 'pattern') AS name FROM g)
+SELECT prefix, occurrences, sessions, first_at, last_at, shown, {KIND} AS kind, left(lower(CASE WHEN regexp_full_match(name, '[A-Za-z0-9._-]+') THEN name ELSE 'pattern-' || left(sha256(name), 8) END), 60) AS slug FROM n""")
+def pattern_mining(s, d):
     rows = v.table(s, d, "conversations").where("role = 'user'")
     found = mining.patterns(rows.select(F.col("conv_id").cast("string").alias("session_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text"), 2)
-    return found.select("prefix", "occurrences", "sessions", "first_at", "last_at", F.size("examples").alias("shown"))
+    return found.select("prefix", "occurrences", "sessions", "first_at", "last_at", F.size("examples").alias("shown"), "kind", "slug")
 
 
 @query(None)
@@ -547,13 +535,13 @@ def consensus_findings(s, d):
 STOP = ", ".join(f"'{w}'" for w in sorted(set(t.STOP_WORDS)))
 
 
-@query(f"""WITH tk AS (SELECT doc_id, source AS run_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(regexp_extract(text, '^[^\\n]*')), '[a-z0-9_]+'), lambda x: len(x) > 1 AND x NOT IN ({STOP})))) AS w FROM documents WHERE lang = 'en')
+@query(f"""WITH tk AS (SELECT doc_id, source AS run_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(regexp_extract(text, '^[^\\n]*')), '[{LETTER}0-9_]+'), lambda x: len(x) > 1 AND x NOT IN ({STOP})))) AS w FROM documents WHERE text IS NOT NULL)
 SELECT a.run_id, a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS similarity
 FROM tk a JOIN tk b ON a.run_id = b.run_id AND a.doc_id < b.doc_id WHERE len(list_intersect(a.w, b.w)) > 0 AND len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.4""")
 def consensus_pairs(s, d):
-    first = F.lower(F.regexp_extract("text", r"^[^\n]*", 0))
-    ascii_tokens = F.filter(F.regexp_extract_all(first, F.lit("[a-z0-9_]+"), F.lit(0)), lambda x: (F.length(x) > 1) & ~x.isin(*t.STOP_WORDS))
-    rows = v.table(s, d, "documents").where("lang = 'en'").select(F.col("source").alias("run_id"), F.col("doc_id").alias("fid"), F.array_sort(F.array_distinct(ascii_tokens)).alias("tokens"))
+    """Documents by their titles: the operator compares titles of findings, and a document's is its first line."""
+    title = t.tokens(F.regexp_extract("text", r"^[^\n]*", 0))
+    rows = v.table(s, d, "documents").where("text IS NOT NULL").select(F.col("source").alias("run_id"), F.col("doc_id").alias("fid"), F.array_sort(F.array_distinct(title)).alias("tokens"))
     return mining.similar_pairs(rows)
 
 
@@ -570,9 +558,12 @@ def consensus_matrix(s, d):
 
 
 def scan_sql() -> str:
+    """Word signs of every script, spelled out as DuckDB needs them."""
+    signs = r"\p{L}\p{N}_"
     parts = []
-    for k in ("windows_path", "email", "telegram_id", "raw_message_id", "private_lan_ip"):
-        parts.append("SELECT doc_id, '{0}' AS kind, unnest(regexp_extract_all(text, '{1}')) AS value FROM documents".format(k, privacy.SCAN[k].replace("'", "''").replace(r"\w", "[A-Za-z0-9_]").replace("[[A-Za-z0-9_]", "[A-Za-z0-9_").replace("(?:", "(?:")))
+    for kind, pattern in privacy.SCAN.items():
+        p = pattern.replace("'", "''").replace(r"[\w", f"[{signs}").replace(r"\w", f"[{signs}]")
+        parts.append(f"SELECT doc_id, '{kind}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents")
     return " UNION ALL ".join(parts)
 
 

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 from datetime import datetime
 
+from quillspark.functions import privacy
 from quillspark.functions import text as t
 from quillspark.plans import queries as plans
 
@@ -114,7 +115,7 @@ def test_patterns_of_all_messages(spark, tmp_path):
     rows = [(c, k, "user", m) for c in range(3) for k, m in enumerate(["Сделай мне новый отчёт, пожалуйста", "run all the tests now", "run all the", "Ünder the old bridge — again", "<command-name> run all the tests"])]
     rows += [(9, 0, "assistant", "run all the tests now"), (9, 1, "user", None), (9, 2, "user", "nobody else says this")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = plans.QUERIES["pattern_mining_all"](spark, str(tmp_path)).select("prefix", "occurrences", "sessions", "first_at", "last_at", "shown").collect()
+    got = plans.QUERIES["pattern_mining"](spark, str(tmp_path)).select("prefix", "occurrences", "sessions", "first_at", "last_at", "shown").collect()
     seen = defaultdict(list)
     for c, k, role, m in rows:
         if role == "user" and m and not m.startswith("<command-name>") and len(own := words(m, 1)) >= 2:
@@ -133,10 +134,10 @@ def test_slop_of_all_languages(spark, tmp_path):
         h, i = sum(w in t.HEDGES for w in own), sum(w in t.IMPERATIVES for w in own)
         trigram, hedge = 1 - len(grams) / n if n > 0 else 0.0, 0.0 if not h else 1.0 if not i else min(h / i, 1)
         want[d] = (40 * trigram + 30 * hedge, len(own), source)
-    got = {r["doc_id"]: r for r in plans.QUERIES["slop_components_all"](spark, sf).collect()}
+    got = {r["doc_id"]: r for r in plans.QUERIES["slop_components"](spark, sf).collect()}
     assert {d: r["word_count"] for d, r in got.items()} == {d: n for d, (_, n, _) in want.items()}
     assert all(abs(got[d]["score"] - x) < 1e-5 for d, (x, _, _) in want.items()) and got[17]["score"] > 30
-    rows = {(r["agent"], r["role"], r["level"]): r for r in plans.QUERIES["slop_by_source_all"](spark, sf).collect()}
+    rows = {(r["agent"], r["role"], r["level"]): r for r in plans.QUERIES["slop_by_source"](spark, sf).collect()}
     for source in ("web", "books"):
         own = [x for x, _, s in want.values() if s == source]
         assert rows[source, None, 1]["texts"] == len(own) and abs(rows[source, None, 1]["mean_score"] - sum(own) / len(own)) < 1e-5
@@ -172,3 +173,33 @@ def test_all_kinds_are_scanned(spark, tmp_path):
     spark.createDataFrame([(k, f"see {x} there") for k, x in enumerate(passages)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = plans.QUERIES["privacy_findings"](spark, str(tmp_path)).select("doc_id", "kind", "value").collect()
     assert sorted(map(tuple, got)) == sorted((k, kind, x) for kind, own in values.items() for x in own for k, p in enumerate(passages) if x in p)
+
+
+def test_patterns_against_python(spark, tmp_path):
+    """Scrubbing, the release gate and counted markers with Python's regular expressions, which know look-behind too."""
+    texts = [
+        "mail me.too@ex-ample.org, C:\\Users\\me\\x.txt or /home/me/y and ~ here", "Fuck, DAMN it; thanks! Спасибо, сука", "key ghp_abcdefghijklmnop1234 at 10.1.2.3 and host.local:80",
+        "a@example.com b@other.net\n# release-gate: allow c@d.org\nsecret: " + "x" * 40, "D:/диск/файл and http://x/y 172.20.1.9", "", None, "plain", "sk-ant-abc123 xoxb-123456789-a github_pat_" + "a" * 22,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts) if t is not None], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def scrubbed(text):
+        for pattern, name in ((privacy.PATH_WIN, "[path]"), (privacy.PATH_UNIX, "[path]"), (privacy.EMAIL, "[email]"), (privacy.TOKEN, "[token]")):
+            text = re.sub(pattern, name, text)
+        return text
+
+    got = {r["doc_id"]: r["text"] for r in plans.QUERIES["public_scrub"](spark, str(tmp_path)).collect()}
+    assert got == {i: scrubbed(t or "") for i, t in enumerate(texts)}
+    count = lambda x, patterns: sum(len(list(re.finditer(p, x, re.I))) for p in patterns)
+    got = {r["conv_id"]: (r["profanity"], r["thanks"]) for r in plans.QUERIES["profanity_count"](spark, str(tmp_path)).collect()}
+    assert got == {i: (count(x, t.PROFANITY), count(x, t.THANKS)) for i, x in enumerate(texts) if x is not None}
+    want = []
+    for i, x in enumerate(texts):
+        for n, line in enumerate(re.split("\r\n|\n|\r", x or ""), 1):
+            if not re.search(privacy.ALLOW_MARKER, line):
+                for kind, (severity, pattern) in privacy.GATE.items():
+                    want += [(i, n, kind, severity, m[0]) for m in re.finditer(pattern, line) if kind != "email" or not m[0].lower().endswith("@example.com")]
+    got = [(r["doc_id"], r["line"], r["kind"], r["severity"], r["value"]) for r in plans.QUERIES["release_gate"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
