@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 from ..functions.normalize import blank_to_null
 
 TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "cached_input_tokens", "reasoning_tokens", "total_tokens")
@@ -51,8 +53,9 @@ def import_dedup(batch: DataFrame, known: DataFrame, id_col: str, key_col: str,
     while True:
         by_id, by_key = Window.partitionBy(id_col), Window.partitionBy(key_col)
         marked = left.withColumn("_i", F.min(order).over(by_id)).withColumn("_k", F.min(order).over(by_key))
-        new = marked.where((F.col("_i") == F.col(order)) & (F.col("_k") == F.col(order))).drop("_i", "_k").persist()
+        new = cut(marked.where((F.col("_i") == F.col(order)) & (F.col("_k") == F.col(order))).drop("_i", "_k"))
         if new.isEmpty():
             return accepted
         accepted = accepted.unionByName(new)
-        left = left.join(new.select(id_col), id_col, "left_anti").join(new.select(key_col), key_col, "left_anti").select(batch.columns)
+        rest = left.join(new.select(id_col), id_col, "left_anti").join(new.select(key_col), key_col, "left_anti")
+        left = cut(rest.select(batch.columns))

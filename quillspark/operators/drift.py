@@ -30,7 +30,7 @@ def cost_regressions(events: DataFrame, today: str, threshold: float = 1.2, min_
     rates = totals.select("provider", "model", (F.col("short_cost") / F.col("short_output")).alias("rate_short"), (F.col("base_cost") / F.col("base_output")).alias("rate_base")).where("rate_base > 0")
     found = rates.withColumn("ratio", F.col("rate_short") / F.col("rate_base")).where(F.col("ratio") > threshold)
     runs = elevated_runs(events, found.select("provider", "model", "rate_base"), recent, end, threshold)
-    return found.join(runs, ["provider", "model"], "left").select("provider", "model", "rate_short", "rate_base", "ratio", ((F.col("ratio") - 1) * 100).alias("delta_pct"), F.coalesce("run_start", recent).alias("window_start"), F.coalesce("run_end", end).alias("window_end"))
+    return found.join(runs, ["provider", "model"], "left").select("provider", "model", "rate_short", "rate_base", "ratio", ((F.col("ratio") - 1) * 100).alias("delta_pct"), F.coalesce("run_start", recent).alias("window_start"), F.coalesce("run_end", end).alias("window_end")).orderBy(F.desc("ratio"), "provider", "model")
 
 
 def elevated_runs(events: DataFrame, baselines: DataFrame, start: Column, end: Column, threshold: float) -> DataFrame:
@@ -67,10 +67,10 @@ def slippage_baselines(events: DataFrame, today: str, min_events: int = 5, short
         *[F.coalesce(median("cost", is_(p)), F.lit(0.0)).alias(k) for k, p in medians.items()],
         p95("all").alias("p95_cost"), p95("new").alias("p95_cost_7d"),
     )
-    return out.where(F.col("events_7d") >= min_events)
+    return out.where(F.col("events_7d") >= min_events).orderBy(F.desc("median_cost"), *keys)
 
 
 def slippages(baselines: DataFrame, threshold: float = 1.3) -> DataFrame:
     """Fingerprints whose recent median rose beyond the threshold."""
     ratio = F.col("median_cost_7d") / F.col("median_cost_baseline")
-    return baselines.where("median_cost_baseline > 0").withColumn("ratio", ratio).where(F.col("ratio") > threshold).withColumn("delta_pct", (F.col("ratio") - 1) * 100)
+    return baselines.where("median_cost_baseline > 0").withColumn("ratio", ratio).where(F.col("ratio") > threshold).withColumn("delta_pct", (F.col("ratio") - 1) * 100).orderBy(F.desc("ratio"), "provider", "model", "bucket")

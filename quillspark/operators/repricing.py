@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pricing
 
 
+def price_day(ts: Column) -> Column:
+    """The day that decides a call's price: the UTC day of a time in the session's zone."""
+    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts))
+
+
 def repriced(events: DataFrame) -> DataFrame:
     """The ledger with new_cost: by the producer's price table; other producers keep what they wrote."""
     claude = pricing.claude_cost(F.col("model"), F.col("input_tokens"), F.col("output_tokens"), F.col("cache_creation_tokens"), F.col("cache_read_tokens"), F.lit(0))
-    openai = pricing.openai_cost(F.col("model"), F.col("input_tokens"), F.col("cached_input_tokens"), F.col("output_tokens"), F.col("event_date"))
+    openai = pricing.openai_cost(F.col("model"), F.col("input_tokens"), F.col("cached_input_tokens"), F.col("output_tokens"), price_day(F.col("ts")))
     return events.withColumn("new_cost", F.when(F.col("provider_norm") == "anthropic", claude).when(F.col("provider_norm") == "openai", openai).otherwise(F.col("cost_estimate_usd")))
 
 

@@ -57,7 +57,7 @@ def by_provider(events: DataFrame) -> DataFrame:
 
 
 def by_origin(events: DataFrame) -> DataFrame:
-    return events.groupBy(F.col("provider_norm").alias("provider"), F.coalesce("origin_norm", F.lit("unknown")).alias("origin")).agg(*stats())
+    return events.groupBy(F.col("provider_norm").alias("provider"), F.coalesce("origin_norm", F.lit("unknown")).alias("origin")).agg(*stats()).orderBy("provider", F.desc("cost_estimate_usd"), F.desc("calls"), "origin")
 
 
 def by_day(events: DataFrame) -> DataFrame:

@@ -461,9 +461,9 @@ def pricing_effective_dated(s, d):
 
 @query(f"""WITH {LEDGER}, nc AS (SELECT *, CASE WHEN provider_norm = 'anthropic' THEN CASE WHEN model = 'claude-opus-4-1' THEN (input_tokens * 5.0 + output_tokens * 25.0 + cread * 0.5 + ccreate * 6.25) / 1000000
  WHEN model LIKE 'claude-sonnet-%' THEN (input_tokens * 3.0 + output_tokens * 15.0 + cread * 0.3 + ccreate * 3.75) / 1000000 END WHEN provider_norm = 'openai' THEN (net_input * 5.0 + cached * 0.5 + output_tokens * 30.0) / 1000000 ELSE cost END AS new_cost FROM led)
-SELECT provider_norm AS provider, count(*) AS events, round(coalesce(sum(cost), 0), 4) AS old_cost, round(coalesce(sum(new_cost), 0), 4) AS new_cost FROM nc GROUP BY 1""")
+SELECT provider_norm AS provider, count(*) AS events, CAST(sum(CASE WHEN new_cost IS DISTINCT FROM cost THEN 1 ELSE 0 END) AS BIGINT) AS changed, round(coalesce(sum(cost), 0), 4) AS old_cost, round(coalesce(sum(new_cost), 0), 4) AS new_cost FROM nc GROUP BY 1""")
 def recost(s, d):
-    return rounded(repricing.recost_report(window(s, d)).drop("changed"), 4)
+    return rounded(repricing.recost_report(window(s, d)), 4)
 
 
 # -- Texts -----------------------------------------------------------------------------------------------------------

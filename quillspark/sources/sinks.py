@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,24 @@ def append_lines(events: DataFrame, path: str) -> None:
 
 
 def write_payload(rows: DataFrame, path: str) -> None:
-    """A result as JSON lines in a folder that replaces the old one as a whole."""
-    rows.write.mode("overwrite").json(path)
+    """A result as JSON lines in a folder that replaces the old one as a whole: it is written beside it and renamed, so a
+    failure leaves the old one, and readers see one or the other."""
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    mark = uuid.uuid4().hex
+    new, old = f"{path}.new-{mark}", f"{path}.old-{mark}"
+    rows.write.json(new)
+    to = place(path)
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(to)
+    if there and not fs.rename(to, place(old)):
+        raise OSError(f"can't move {path}")
+    if not fs.rename(place(new), to):
+        if there:
+            fs.rename(place(old), to)
+        raise OSError(f"can't move {new}")
+    if there:
+        fs.delete(place(old), True)
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str, protected: tuple[str, ...] = ()) -> DataFrame:

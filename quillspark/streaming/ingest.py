@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import first_wins
+from ..sources.sinks import write_payload
 
 SCHEMA = "event_id string, session_id string, ts timestamp, provider string, model string, input_tokens bigint, output_tokens bigint, cost_estimate_usd double"
 
@@ -40,26 +41,35 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "2 d
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "session_id").agg(F.count("*").alias("events")).select("session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
-def append_new(table: str, key: str = "event_id", order: str = "ts") -> Callable[[DataFrame, int], None]:
+def append_new(table: str, key: str = "event_id", order: str = "ts", horizon: str = "7 days") -> Callable[[DataFrame, int], None]:
     """For foreachBatch: appends the rows whose key the table (a Parquet folder) doesn't have yet. A batch that is run
-    again appends nothing, so the sink may be at-least-once."""
+    again appends nothing, so the sink may be at-least-once.
+
+    Keys are compared with rows of the table whose time is within the horizon around the batch's, as in ``deduplicated``;
+    the condition reaches the scan, so old files are left alone."""
 
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         rows = first_wins(batch, [key], [order])
         try:
-            known = spark.read.parquet(table).select(key)
-            known.schema  # noqa: B018
+            known = spark.read.parquet(table).select(key, order)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
         else:
-            rows = rows.join(known, key, "left_anti")
+            low, high = batch.agg(F.min(order) - F.expr(f"INTERVAL {horizon}"), F.max(order) + F.expr(f"INTERVAL {horizon}")).first()
+            rows = rows.join(known.where(F.col(order).between(F.lit(low), F.lit(high))).select(key), key, "left_anti")
         rows.write.mode("append").parquet(table)
 
     return run
 
 
+def snapshots(events: DataFrame, make: Callable[[], DataFrame], path: str, checkpoint: str, every: str = "30 seconds"):
+    """Writes the payload that ``make`` gives to ``path`` whenever new events came, at most once in ``every``; the query."""
+    write = lambda _, __: write_payload(make(), path)
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str) -> None:
     """Takes in what is new and returns; for schedulers that run it again and again."""
     query = stream(spark, folder).writeStream.foreachBatch(append_new(table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

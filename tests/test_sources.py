@@ -4,7 +4,9 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillspark.operators import repricing
 from quillspark.operators.dedup import dedup_events
 from quillspark.sources import ledger, sinks, transcripts
 from quillspark.streaming import ingest
@@ -118,3 +120,35 @@ def test_streams(spark, tmp_path):
     assert [r[1:] for r in found["days"]] == [("openai", 3, 6, pytest.approx(1.5))]
     # a gap that equals the limit doesn't part
     assert [(r[0], r[1].minute, r[3]) for r in found["gaps"]] == [("s", 0, 3)]
+
+
+def test_payloads_replace_the_old_one_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "payload")
+    sinks.write_payload(spark.range(5), path)
+    sinks.write_payload(spark.range(2), path)
+    assert spark.read.json(path).count() == 2
+    failing = spark.range(3).select(F.raise_error(F.lit("no")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write_payload(failing, path)
+    assert spark.read.json(path).count() == 2
+    assert [p.name for p in tmp_path.iterdir() if ".old" in p.name] == []
+
+
+def test_prices_go_by_the_utc_day(spark):
+    """Late in the evening west of Greenwich the next day's prices hold already."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        rows = spark.createDataFrame([(datetime(2026, 8, 20, 21, 0),), (datetime(2026, 8, 20, 19, 0),)], "ts timestamp_ntz")
+        assert [str(r[0]) for r in rows.select(repricing.price_day(F.col("ts"))).collect()] == ["2026-08-21", "2026-08-20"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_snapshots(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "a.json", [{"event_id": "e", "ts": "2026-05-10T10:00:00Z"}])
+    query = ingest.snapshots(ingest.stream(spark, str(tmp_path / "in")), lambda: spark.range(1), str(tmp_path / "out"), str(tmp_path / "cp"), "1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert spark.read.json(str(tmp_path / "out")).count() == 1
