@@ -4,27 +4,21 @@ from __future__ import annotations
 
 import gc
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
-#: A word, for Spark's and DuckDB's regular expressions. ``bytes.split()`` cuts at exactly the same six bytes.
-WORD = r"[^\x20\x09-\x0D]+"
+from ..session import cut, shared_dir
 
+__all__ = ["WORD", "Pretokenizer", "Vocabulary", "apart", "byte_level", "calm_gc", "components", "cut", "fields", "map_columns", "new_path", "shared_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    return base
+#: A word, for Spark's and DuckDB's regular expressions. ``bytes.split()`` cuts at exactly the same six bytes.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -32,15 +26,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read from the shared checkpoint folder, so that lost executors need no long recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def apart(df: DataFrame, key: str) -> DataFrame:
+    """The same rows, which Spark no longer knows to be dealt by ``key``: a join on it then shuffles both sides for
+    itself, and adaptive execution may split a key with very many rows (it can't where a side was dealt before)."""
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
 
 
-def map_columns(df: DataFrame, inputs: list[str], schema: str, fn: Callable[..., list], rows: int = 2000) -> DataFrame:
+def map_columns(df: DataFrame, inputs: list[str], schema: StructType | str, fn: Callable[..., list], rows: int = 2000) -> DataFrame:
     """``fn(*columns)`` on slices of at most ``rows`` rows; each column comes as an Arrow array and ``fn`` returns one
     sequence or Arrow array for each field of ``schema``. Only the named inputs reach Python."""
+    struct = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names, types = struct.names, [to_arrow_type(f.dataType) for f in struct]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,11 +45,6 @@ def map_columns(df: DataFrame, inputs: list[str], schema: str, fn: Callable[...,
                 out = fn(*part.columns)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
-
-    struct = StructType.fromDDL(schema)
-    names, types = struct.names, [to_arrow_type(f.dataType) for f in struct]
     return df.select([F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(inputs)]).mapInArrow(run, struct)
 
 
@@ -64,18 +55,19 @@ def calm_gc() -> None:
     gc.set_threshold(200_000, 50, 1000)
 
 
-def kinds(df: DataFrame, columns: tuple[str, ...] | list[str]) -> str:
-    """The columns' names and types as DDL, with a comma after each."""
-    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
+def fields(df: DataFrame, columns: tuple[str, ...] | list[str], more: str) -> StructType:
+    """The columns as ``df`` has them, and the fields that ``more`` (DDL) adds."""
+    return StructType([StructField(c, df.schema[c].dataType) for c in columns] + StructType.fromDDL(more).fields)
 
 
 def star_round(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star round (Kiveris et al., 2014) over edges (u, v) with u > v."""
+    """One large-star and one small-star round (Kiveris et al., 2014) over edges (u, v) with u > v. A hub's edges meet its
+    least neighbour in joins that may be split."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    large = both.where("v > u").join(apart(least, "u"), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
     least = large.groupBy("u").agg(F.min("v").alias("m"))
-    near = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = large.join(apart(least, "u"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -103,7 +95,8 @@ def components(edges: DataFrame) -> DataFrame:
 _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _S = "\\t-\\r \x85\xa0"
-_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+# (letters first here: they can't begin with an apostrophe, and most pre-tokens are letters)
+_LATIN = re.compile(f" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: A code point whose class the pattern above doesn't know.
 _OTHER = re.compile("[^\x00-ɏ‐-‧‰-⁞₠-₿]")
 

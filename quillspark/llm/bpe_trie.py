@@ -6,7 +6,8 @@ stands before it, i.e. no merge across their border comes before the merges that
 trie in sorted order, so nodes are made depth first; each node's state is computed once, from its ancestors' states, and
 serves every word with that prefix. A word's tokens are read off from its end.
 
-Null and empty texts have no ids. Texts may be of any length: a word costs one trie node a byte. The trie is dropped and the
+Null and empty texts have no ids. Rows are kept as they come, repeated ones too; an empty table gives no rows; columns that
+aren't asked for are left out, whatever their names. Texts may be of any length: a word costs one trie node a byte. The trie is dropped and the
 table of finished words cut to the current ones when they reach a fixed size, so a Python worker's memory is bounded.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ._common import Pretokenizer, Vocabulary, calm_gc, kinds, map_columns
+from ._common import Pretokenizer, Vocabulary, calm_gc, fields, map_columns
 
 NEVER = 1 << 60
 
@@ -191,7 +192,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(keys: pa.Array, texts: pa.Array) -> list:
         return [keys, id_lists(path, texts)]
 
-    return map_columns(docs, [id_col, text_col], f"{kinds(docs, (id_col,))}ids array<int>", run, 500)
+    return map_columns(docs, [id_col, text_col], fields(docs, (id_col,), "ids array<int>"), run, 500)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -200,7 +201,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     def run(keys: pa.Array, ids: pa.Array, *more: pa.Array) -> list:
         return [keys, *more, id_texts(path, ids)]
 
-    return map_columns(encoded, [id_col, ids_col, *keep], f"{kinds(encoded, (id_col, *keep))}text string", run, 500)
+    return map_columns(encoded, [id_col, ids_col, *keep], fields(encoded, (id_col, *keep), "text string"), run, 500)
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -211,4 +212,4 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[s
         ids = id_lists(path, texts)
         return [*more, ids, id_texts(path, ids)]
 
-    return map_columns(docs, [text_col, *keep], f"{kinds(docs, keep)}ids array<int>, decoded string", run, 500)
+    return map_columns(docs, [text_col, *keep], fields(docs, keep, "ids array<int>, decoded string"), run, 500)

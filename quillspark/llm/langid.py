@@ -8,7 +8,10 @@ characters one after another, cut at the texts' ends, with rows of the matrix ad
 
 A null text and a text without a letter give ``und`` with score 0. The score is the share of the predicted language when
 log probabilities are divided by the square root of the number of n-grams. Without any labelled row every text gives
-``und``. Rows are kept as they come; equal texts give equal results.
+``und``. Texts of any length are scored whole, one text at least at a time. Rows are kept as they come, repeated ones and
+null ids too; equal texts give equal results, and of equally likely languages the first by name counts. An empty table
+gives no rows; other columns are left out, whatever their names. More than ``MAX_LANGUAGES`` languages raise ValueError:
+that many values are no languages, and the matrix would grow with them.
 """
 
 from __future__ import annotations
@@ -20,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_columns
+from ._common import fields, map_columns
 
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3)
 UNKNOWN = "und"
+#: The matrix has at most BUCKETS * MAX_LANGUAGES numbers.
+MAX_LANGUAGES = 1000
 #: Characters scored together.
 MOST = 500_000
 
@@ -110,6 +115,8 @@ def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     known = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     sample = bounded_sample(known.select(id_col, text_col, lang_col), id_col, max_rows).select(text_col, lang_col).repartition(12)
+    if rows.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of {lang_col}")
     sums = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sums.column("lang").to_pylist()
     names = sorted(set(langs))
@@ -133,9 +140,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             names[i], scores[i] = m.languages[k], s
         return [keys, names, scores]
 
-    rows = docs.select(F.col(id_col), F.col(text_col), has_letter(F.col(text_col)).alias("_letter"))
-    key = docs.schema[id_col].dataType.simpleString()
-    return map_columns(rows, [id_col, text_col, "_letter"], f"`{id_col}` {key}, lang_pred string, score double", run)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), has_letter(F.col(text_col)).alias("letter"))
+    return map_columns(rows, ["id", "text", "letter"], fields(docs, (id_col,), "lang_pred string, score double"), run)
 
 
 def has_letter(text: Column) -> Column:

@@ -6,7 +6,8 @@ in each frame as that frame's peaks, and pairs of peaks in nearby frames, stored
 number in the upper and (bin, bin, distance) in the lower 32 bits.
 
 Null payloads give null media and null media give null results. Payloads may be of any length: frames are transformed in
-blocks of fixed size. Equal payloads give equal media and fingerprints; rows are kept as they come.
+blocks of fixed size. Equal payloads give equal media and fingerprints; rows are kept as they come, repeated ids too. An
+empty table gives no rows; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_columns
+from ._common import fields, map_columns
 
 RATE = 8000
 #: Samples of a frame and between frames.
@@ -81,8 +82,7 @@ def store(df: DataFrame, payload_col: str = "payload", id_col: str = "doc_id") -
     def run(keys: pa.Array, payloads: pa.Array) -> list:
         return [keys, [None if x is None else to_wav(x) for x in payloads.to_pylist()]]
 
-    key = df.schema[id_col].dataType.simpleString()
-    return map_columns(df, [id_col, payload_col], f"`{id_col}` {key}, media binary", run, 500)
+    return map_columns(df, [id_col, payload_col], fields(df, (id_col,), "media binary"), run, 500)
 
 
 def load(df: DataFrame, media_col: str = "media", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -96,8 +96,7 @@ def load(df: DataFrame, media_col: str = "media", id_col: str = "doc_id", keep:
         null = pa.array([x is None for x in found])
         return [keys, *more, samples, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=null)]
 
-    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, *keep)]
-    return map_columns(df, [id_col, media_col, *keep], ", ".join([*kinds, "samples binary", "fingerprint array<long>"]), run, 500)
+    return map_columns(df, [id_col, media_col, *keep], fields(df, (id_col, *keep), "samples binary, fingerprint array<long>"), run, 500)
 
 
 def text_payload(text: str = "text", unit: int = 64):

@@ -10,7 +10,9 @@ shared again by weight. The end of that is the level L with sum(min(cap * size,
 over the sources in the order of cap * size / weight.
 
 Null texts have size 0; null sources are a source of their own, after all others; a source of size 0 has target 0 and
-rate 0; rows with equal ids share their draw, and a null id draws as the text 'null'. Empty input gives empty output.
+rate 0; rows with equal ids share their draw, and a null id draws as the text 'null'. Texts of any length are counted
+whole, in Spark. Repeated rows count each for itself. Empty input gives empty output. Rows keep all their columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -48,18 +50,18 @@ def draw(id_col: str, seed: int) -> Column:
 
 
 def planned(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows with _size, _source_size, _target (the source's) and _times, how often the mix takes them."""
-    sized = docs.withColumn("_size", words(F.col(text_col)))
-    targets = source_targets(sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("_size").alias("source_size")), weights, cap)
-    targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    joined = sized.join(targets, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_rate", rate)
-    whole = F.floor("_rate")
-    extra = (draw(id_col, seed) < F.col("_rate") - whole).cast("long")
-    return joined.withColumn("_times", (whole + extra).cast("long")).drop("_source", "_rate")
+    """(row, size, source_size, target, times): each row of ``docs`` as a struct, its size, its source's size and target, and
+    how often the mix takes it."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    sized = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("key"), F.col(f"`{source_col}`").alias("of"), words(F.col(f"`{text_col}`")).alias("size"))
+    targets = source_targets(sized.groupBy(F.col("of").alias("source")).agg(F.sum("size").alias("source_size")), weights, cap)
+    joined = sized.join(targets, F.col("of").eqNullSafe(F.col("source")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    extra = (draw("key", seed) < rate - F.floor(rate)).cast("long")
+    return joined.select("row", "size", "source_size", "target", (F.floor(rate) + extra).cast("long").alias("times"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    rows = planned(docs, **options).where("_times > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(docs.columns)
+    rows = planned(docs, **options).where("times > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).select("row.*")

@@ -27,8 +27,9 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media.text_payload("text").alias("payload"))
-    stored = media.store(docs.withColumn("k", F.struct("doc_id", "n_bytes")), "payload", "k")
-    read = media.load(stored, "media", "k", keep=("media",))
+    path = new_path(spark, "media")
+    media.store(docs.withColumn("k", F.struct("doc_id", "n_bytes")), "payload", "k").write.option("compression", "zstd").parquet(path)
+    read = media.load(spark.read.parquet(path), "media", "k", keep=("media",))
     code = F.array_join("fingerprint", ",")
     return read.select(
         "k.doc_id",
@@ -44,7 +45,7 @@ def op2_media_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.planned(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_times")).alias("taken"))
+    return rows.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def op4_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

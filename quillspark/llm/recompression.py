@@ -16,12 +16,20 @@ neighbouring windows then share).
    instead of its windows.
 3. What is covered by a window with an earlier document goes.
 
-Windows of runs, whose cores are empty, stand for themselves. Both shuffles spread by hashes of symbols and windows, and
-a common one has at most one row for each stretch in a document. Texts travel deflated by Zstandard, in one exchange that
-steps 2 and 3 share.
+Names are 64-bit hashes of what they stand for, so a name is global without a lookup and rounds need no shuffle of all
+words; the shuffles are those of 1 and 2. Two different windows count as equal if their 80 bits agree: with n shared
+windows the chance that this happens at all is about n^2 / 2^81. Wrong names in 1 only send more windows to 2.
+
+Windows of runs, whose cores are empty, stand for themselves. Hot symbols and windows are combined where they arise: of
+the documents that one part of a batch (about two megabytes) holds, the first sends its row under the symbol or window,
+and the others' rows, which are known to repeat it, travel under keys of their own. So a passage that a third of all
+documents share has a row for each part, not for each document, in the task that finds its first document. Texts travel
+deflated by Zstandard, in one exchange that steps 2 and 3 share.
 
 Null and empty texts have no words. Rows with equal ids are one document's rows: none repeats another. Rows with a null id
-neither lose words nor take any from others. Texts with fewer words than a window lose none. Every row is kept.
+neither lose words nor take any from others. Texts with fewer words than a window lose none. Texts of any length are
+taken whole: a text's words and stretches are in one task, as the text itself is. Every row is kept; an empty table gives
+no rows; columns that aren't asked for are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import kinds, map_columns
+from ._common import fields, map_columns
 
 ROUNDS = 3
 MAX_WORDS = 150_000
@@ -145,19 +153,19 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterato
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), unique: bool = False) -> DataFrame:
-    """(doc, row, z) and the kept columns: the id, what tells different texts with equal ids apart, and the text deflated."""
+    """(doc, row, z) and the kept columns: the id, what tells different texts with equal ids apart (a hash; 0 where ids are
+    unique), and the text deflated."""
 
     def run(keys: pa.Array, texts: pa.Array, *more: pa.Array) -> list:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1).compress
         raw = [None if t is None else t.encode() for t in texts.to_pylist()]
-        return [keys, [xxhash.xxh64_intdigest(t or b"") - 2**63 for t in raw], [None if t is None else press(t) for t in raw], *more]
+        row = [0] * len(raw) if unique else [xxhash.xxh64_intdigest(t or b"") - 2**63 for t in raw]
+        return [*more, keys, row, [None if t is None else press(t) for t in raw]]
 
-    rows = map_columns(docs.withColumn("_doc", F.col(id_col).cast("long")), ["_doc", text_col, *keep], f"doc long, row long, z binary, {kinds(docs, keep)}"[:-2], run)
-    if unique:
-        return rows.withColumn("row", F.lit(0).cast("long"))
-    return rows.withColumn("row", F.dense_rank().over(Window.partitionBy("doc").orderBy("row")).cast("long") - 1)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *[F.col(c) for c in keep])
+    return map_columns(rows, ["doc", "text", *keep], fields(rows, keep, "doc long, row long, z binary"), run)
 
 
 def places(doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,14 +186,43 @@ def wholes(names: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 #: Spans of a whole document: of a copy of an earlier one, and of the first.
-COPY, FIRST = -1, -2
-#: In the lower 32 bits of ``at``: all words, and a mark of windows that the document has again.
-EVERYTHING, AGAIN = 2**32 - 1, 2**31
+COPY, FIRST = 1 << 41, (1 << 41) + 1
+#: Marks of a span: its symbol is shared, and an earlier document has it.
+SHARED, LATER = 1 << 62, 1 << 61
+#: In the lower 32 bits of ``at``: all words, and a mark of windows that the document has again. Above them: a mark of
+#: windows that an earlier document is known to have.
+EVERYTHING, AGAIN, KNOWN = 2**32 - 1, 2**31, 1 << 47
+
+
+def met(doc: np.ndarray, *key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a key that several documents have here, and which of these are of another than the first one."""
+    shared, later = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
+    order = np.argsort(key[0])
+    same = key[0][order][1:] == key[0][order][:-1]
+    at = order[np.r_[False, same] | np.r_[same, False]]  # the rest has no other row with its key
+    if len(at):
+        at = at[np.lexsort((doc[at], *(k[at] for k in reversed(key))))]
+        new = np.ones(len(at), bool)
+        new[1:] = np.any([k[at][1:] != k[at][:-1] for k in key], axis=0)
+        first = np.flatnonzero(new)
+        sizes = np.diff(np.r_[first, len(at)])
+        least, most = doc[at][first], doc[at][np.r_[first[1:], len(at)] - 1]
+        shared[at] = np.repeat(least < most, sizes)
+        later[at] = doc[at] != np.repeat(least, sizes)
+    return shared, later
+
+
+def scattered(key: np.ndarray, doc: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """The keys, of their own for rows of ``later``."""
+    out = key.copy()
+    out[later] = mixed(mixed(key[later] + C) ^ doc[later].astype(np.uint64) * A)
+    return out
 
 
 def standing(docs: DataFrame, id_col: str, text_col: str, width: int, unique: bool = False) -> DataFrame:
     """(key, doc, span): the symbols that stand for a document's windows, once for each stretch of windows; a span is the
-    stretch's first window times 256, and its length. Where ids are unique, the symbol of all words has the span COPY."""
+    stretch's first window times 256, and its length, with marks. Where ids are unique, the symbol of all words has the span
+    COPY."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,18 +239,22 @@ def standing(docs: DataFrame, id_col: str, text_col: str, width: int, unique: bo
                 size = np.diff(np.r_[first, len(at)])
                 at = at[first]
                 long = np.flatnonzero(unique & (sizes >= width))
-                key = np.r_[stands[at], wholes(names, doc, part.num_rows)[long]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.r_[keys[doc[at]], keys[long]]), pa.array(np.r_[pos[first] << 8 | size, np.full(len(long), COPY)])], ["key", "doc", "span"])
+                key = np.r_[stands[at], wholes(names, doc, part.num_rows)[long]]
+                owner = np.r_[keys[doc[at]], keys[long]]
+                shared, later = met(owner, key)
+                span = np.r_[pos[first] << 8 | size, np.full(len(long), COPY)] | shared * SHARED | later * LATER
+                yield pa.RecordBatch.from_arrays([pa.array(scattered(key, owner, later).view(np.int64)), pa.array(owner), pa.array(span)], ["key", "doc", "span"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col))
     return rows.mapInArrow(run, "key long, doc long, span long")
 
 
-def windows(with_spans: DataFrame, width: int) -> DataFrame:
-    """(h, doc, at): hashes of a document's windows in its shared stretches (doc, row, z, ..., spans), and of all words of
-    copies and of what they are copies of; ``at`` has 16 more bits of the hash, 16 of the row, and where the window starts
-    (of wholes EVERYTHING). A window that a document has several times is sent once, marked AGAIN, so a common line
-    makes no more rows than there are documents with it."""
+def windows(with_spans: DataFrame, width: int, unique: bool = False) -> DataFrame:
+    """(h, doc, at; without ``unique`` row too): hashes of a document's windows in its shared stretches (doc, row, z, ...,
+    spans), and of all words of copies and of what they are copies of; ``at`` has 16 more bits of the hash, marks, and
+    where the window starts (of wholes EVERYTHING). A window that a document has several times is sent once, marked
+    AGAIN, so a common line makes no more rows than there are documents with it."""
+    names_ = ["h", "doc", "at"] if unique else ["h", "doc", "at", "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -229,9 +270,9 @@ def windows(with_spans: DataFrame, width: int) -> DataFrame:
                 span = spans.flatten().to_numpy(zero_copy_only=False)
                 whole = np.zeros(part.num_rows, bool)
                 copy = np.zeros(part.num_rows, bool)
-                whole[owner[span < 0]] = True
+                whole[owner[span >= COPY]] = True
                 copy[owner[span == COPY]] = True
-                own = (span >= 0) & ~copy[owner]
+                own = (span < COPY) & ~copy[owner]
                 owner, span = owner[own], span[own]
                 size = span & 255
                 pos = np.repeat((span >> 8) - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -252,24 +293,28 @@ def windows(with_spans: DataFrame, width: int) -> DataFrame:
                 w = wholes(names, doc, part.num_rows)[all_]
                 h, g = np.r_[h, w], np.r_[g, mixed(w * B)]
                 owner, pos = np.r_[owner, all_], np.r_[pos, np.full(len(all_), EVERYTHING)]
-                packed_at = (g >> np.uint64(48)).astype(np.uint16).view(np.int16).astype(np.int64) << 48 | rows[owner] << 32 | pos
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(docs[owner]), pa.array(packed_at)], ["h", "doc", "at"])
+                _, later = met(docs[owner], h, g >> np.uint64(48))
+                packed_at = (g >> np.uint64(48)).astype(np.uint16).view(np.int16).astype(np.int64) << 48 | later * KNOWN | pos
+                columns = [scattered(h, docs[owner], later).view(np.int64), docs[owner], packed_at, rows[owner]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns[: len(names_)]], names_)
 
-    return with_spans.mapInArrow(run, "h long, doc long, at long")
+    return with_spans.select("doc", "row", "z", "spans").mapInArrow(run, ", ".join(f"{c} long" for c in names_))
 
 
 def repeats(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, unique: bool = False) -> DataFrame:
-    """(doc, starts): where windows start that an earlier document has too, as ``at`` of ``windows``. ``rows``: what
-    ``packed`` makes of ``docs``."""
+    """(doc, starts): where windows start that an earlier document has too, as ``at`` of ``windows`` (without ``unique`` with
+    the row). ``rows``: what ``packed`` makes of ``docs``."""
     by_key = Window.partitionBy("key")
+    marked = lambda mark: F.col("span").bitwiseAND(F.lit(mark)) != 0
     shared = standing(docs, id_col, text_col, width, unique)
-    shared = shared.withColumn("a", F.min("doc").over(by_key)).withColumn("b", F.max("doc").over(by_key)).where("a < b")
-    span = F.when((F.col("span") == COPY) & (F.col("doc") == F.col("a")), FIRST).otherwise(F.col("span"))
+    shared = shared.withColumn("a", F.min("doc").over(by_key)).withColumn("b", F.max("doc").over(by_key)).where((F.col("a") < F.col("b")) | marked(SHARED))
+    plain = F.col("span").bitwiseAND(F.lit(LATER - 1))
+    span = F.when((plain == COPY) & (F.col("doc") == F.col("a")) & ~marked(LATER), FIRST).otherwise(plain)
     spans = shared.select("doc", span.cast("long").alias("span")).groupBy("doc").agg(F.collect_set("span").alias("spans"))
-    met = windows(rows.join(spans, "doc", "left"), width).repartition("h")
+    found = windows(rows.join(spans, "doc", "left"), width, unique).repartition("h")
     by_window = Window.partitionBy("h", F.shiftrightunsigned("at", 48))
-    met = met.withColumn("a", F.min("doc").over(by_window)).where("a < doc")
-    return met.groupBy("doc").agg(F.collect_set("at").alias("starts"))
+    found = found.withColumn("a", F.min("doc").over(by_window)).where((F.col("a") < F.col("doc")) | (F.col("at").bitwiseAND(F.lit(KNOWN)) != 0))
+    return found.groupBy("doc").agg(F.collect_set("at" if unique else F.struct("row", "at")).alias("starts"))
 
 
 def everywhere(words: list[bytes], starts: np.ndarray, width: int) -> np.ndarray:
@@ -294,9 +339,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The id, the kept columns, n_words, n_removed, text: each row's words that are kept, joined by single spaces. With
     ``whole`` a text that loses no word stays as it is (null: null)."""
     extra = tuple(f"_k{i}" for i in range(len(keep)))
-    unique = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
-    rows = packed(docs.select(id_col, text_col, *[F.col(c).alias(k) for c, k in zip(keep, extra, strict=True)]), id_col, text_col, extra, unique)
-    found = repeats(docs, rows, id_col, text_col, width, unique)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, extra, strict=True)])
+    known, nameless = own.where("doc_id is not null"), own.where("doc_id is null")
+    unique = known.groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = packed(known, "doc_id", "text", extra, unique)
+    found = repeats(known, rows, "doc_id", "text", width, unique)
+
+    def lasting(text: str | None, words: list[bytes], n: int) -> str | None:
+        return text if whole and len(words) == n else b" ".join(words).decode()
 
     def run(keys: pa.Array, row: pa.Array, z: pa.Array, starts: pa.Array, *more: pa.Array) -> list:
         import zstandard
@@ -307,15 +357,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             words = text.split() if text else []
             counts.append(len(words))
             if at.is_valid:
-                found = at.values.to_numpy(zero_copy_only=False)
-                found = (found & 0xFFFFFFFF)[(found >> 32 & 0xFFFF) == own]
+                if unique:
+                    found = at.values.to_numpy(zero_copy_only=False)
+                else:
+                    of, found = (at.values.field(k).to_numpy(zero_copy_only=False) for k in ("row", "at"))
+                    found = found[of == own]
+                found = found & 0xFFFFFFFF
                 drop = np.ones(len(words), bool) if (found == EVERYTHING).any() else covered(len(words), everywhere(words, found, width), width)
                 words = [w for w, d in zip(words, drop.tolist(), strict=True) if not d]
             gone.append(counts[-1] - len(words))
-            same = whole and not gone[-1]
-            texts.append((None if text is None else text.decode()) if same else b" ".join(words).decode())
-        return [keys, *more, counts, gone, texts]
+            texts.append(lasting(None if text is None else text.decode(), words, counts[-1]))
+        return [*more, keys, counts, gone, texts]
+
+    def keep_all(texts: pa.Array, *more: pa.Array) -> list:
+        cut = [(t, t.encode().split() if t else []) for t in texts.to_pylist()]
+        sizes = [len(w) for _, w in cut]
+        return [*more, [None] * len(cut), sizes, [0] * len(cut), [lasting(t, w, len(w)) for t, w in cut]]
 
     joined = rows.join(found, "doc", "left")
-    out = map_columns(joined, ["doc", "row", "z", "starts", *extra], f"`{id_col}` long, {kinds(rows, extra)}n_words long, n_removed long, text string", run, 500)
-    return out.select(id_col, *[F.col(k).alias(c) for c, k in zip(keep, extra, strict=True)], "n_words", "n_removed", "text")
+    shape = fields(own, extra, "doc_id long, n_words long, n_removed long, text string")
+    out = map_columns(joined, ["doc", "row", "z", "starts", *extra], shape, run, 500)
+    out = out.unionByName(map_columns(nameless, ["text", *extra], shape, keep_all, 500))
+    return out.select(F.col("doc_id").alias(id_col), *[F.col(k).alias(c) for c, k in zip(keep, extra, strict=True)], "n_words", "n_removed", "text")

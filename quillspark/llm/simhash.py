@@ -13,8 +13,9 @@ and gives, for each value, a forest that connects what is linked there, never al
 ``MEMBERS`` fingerprints share is dealt out as pairs of chunks, so no task holds an unbounded group. The sample is
 bounded by ``SAMPLE``; it sets the plan's speed only, never its result.
 
-Texts without words (null, empty, blank) have fingerprint zero and are linked like any other. Rows with equal ids are
-kept as they come. Null ids are kept, and are no class's id unless all of its ids are null.
+Texts without words (null, empty, blank) have fingerprint zero and are linked like any other. Texts of any length are
+hashed whole, in the task that reads them. Rows with equal ids are kept as they come. Null ids are kept, and are no class's
+id unless all of its ids are null. An empty table gives no rows. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, cut, map_columns
+from ._common import apart, components, cut, fields, map_columns
 
 SAMPLE = 2048
 MEMBERS = 16_384
@@ -68,8 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = np.array([simhash(t, width, seed) for t in texts.to_pylist()], np.uint64)
         return [keys, pa.array(found.view(np.int64))]
 
-    key = docs.schema[id_col].dataType.simpleString()
-    return map_columns(docs, [id_col, text_col], f"`{id_col}` {key}, fp long", run)
+    return map_columns(docs, [id_col, text_col], fields(docs, (id_col,), "fp long"), run)
 
 
 # -- The plan: partitions and thresholds -----------------------------------------------------------------------------
@@ -150,29 +150,32 @@ def flips(width: int, most: int) -> list[list[int]]:
 
 
 def keyed(fps: DataFrame, design: list[tuple[list[int], int]]) -> DataFrame:
-    """(key, probe, fp): each fingerprint under its own values (probe 0) and under the values it probes (probe 1). Of two
-    values that differ, the one with 0 at the lowest differing bit does the probing."""
+    """(key, probe, fp, node): each fingerprint under its own values (probe 0) and under the values it probes (probe 1). Of
+    two values that differ, the one with 0 at the lowest differing bit does the probing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 20_000):
                 fp = batch.column(0)[at : at + 20_000].to_numpy(zero_copy_only=False).view(np.uint64)
+                node = batch.column(1)[at : at + 20_000].to_numpy(zero_copy_only=False)
+                every = np.arange(len(fp))
                 for i, (bits, most) in enumerate(design):
                     own = values(fp, bits)
-                    keys, probes, rows = [own], [np.zeros(len(fp), np.int8)], [fp]
+                    keys, probes, rows = [own], [np.zeros(len(fp), np.int8)], [every]
                     for places in flips(len(bits), most):
                         zero = (own >> np.uint64(places[0])) & np.uint64(1) == 0
                         keys.append(own[zero] ^ np.uint64(sum(1 << k for k in places)))
-                        rows.append(fp[zero])
+                        rows.append(every[zero])
                         probes.append(np.ones(int(zero.sum()), np.int8))
                     key = np.concatenate(keys).astype(np.int64) | i << 56
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate(probes)), pa.array(np.concatenate(rows).view(np.int64))], ["key", "probe", "fp"])
+                    row = np.concatenate(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate(probes)), pa.array(fp[row].view(np.int64)), pa.array(node[row])], ["key", "probe", "fp", "node"])
 
-    return fps.select("fp").mapInArrow(run, "key long, probe tinyint, fp long")
+    return fps.select("fp", "node").mapInArrow(run, "key long, probe tinyint, fp long, node long")
 
 
 def forest(fp: np.ndarray, probe: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what is linked in one large group: least labels spread over the links, in blocks."""
+    """Edges (of places) that connect what is linked in one large group: least labels spread over the links, in blocks."""
     n = len(fp)
     label = np.arange(n)
     while True:
@@ -188,21 +191,21 @@ def forest(fp: np.ndarray, probe: np.ndarray, radius: int) -> tuple[np.ndarray,
             break
         label = new
     own = np.flatnonzero(label != np.arange(n))
-    return fp[own], fp[label[own]]
+    return own, label[own]
 
 
 def linked(batches: Iterator[pa.RecordBatch], radius: int, small: int = 48) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by group (a tuple of the first columns): pairs (u, v) that connect what is linked in each."""
+    """Over rows sorted by key: pairs (u, v) of nodes that connect what is linked in each group."""
 
-    def pairs(keys: np.ndarray, probe: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def pairs(keys: np.ndarray, probe: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[first, len(keys)])
-        us, vs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in np.flatnonzero(sizes > small):
             part = slice(first[k], first[k] + sizes[k])
             u, v = forest(fp[part], probe[part], radius)
-            us.append(u)
-            vs.append(v)
+            us.append(node[part][u])
+            vs.append(node[part][v])
         low = np.repeat(sizes <= small, sizes)
         left = np.repeat(first + sizes, sizes) - np.arange(len(keys))  # rows to the end of the group
         at = np.flatnonzero(low & (left > 1))
@@ -210,16 +213,16 @@ def linked(batches: Iterator[pa.RecordBatch], radius: int, small: int = 48) -> I
         while len(at):
             u, v = fp[at], fp[at + step]
             ok = (np.bitwise_count(u ^ v) <= radius) & (probe[at] + probe[at + step] < 2) & (u != v)
-            us.append(u[ok])
-            vs.append(v[ok])
+            us.append(node[at[ok]])
+            vs.append(node[at[ok] + step])
             step += 1
             at = at[left[at] > step]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], ["u", "v"])
 
     held: list[np.ndarray] | None = None
     for batch in batches:
-        key, probe, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        rows = [key, probe.astype(np.int64), fp.view(np.uint64)]
+        key, probe, fp, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        rows = [key, probe.astype(np.int64), fp.view(np.uint64), node]
         if held is not None:
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
         ended = int(np.searchsorted(rows[0] == rows[0][-1], True)) if len(rows[0]) else 0
@@ -231,7 +234,8 @@ def linked(batches: Iterator[pa.RecordBatch], radius: int, small: int = 48) -> I
 
 
 def links(fps: DataFrame, design: list[tuple[list[int], int]], radius: int = 4, members: int = MEMBERS) -> DataFrame:
-    """(u, v): pairs of distinct fingerprints of ``fps`` (fp) at most ``radius`` bits apart that connect all that are linked."""
+    """(u, v): pairs of nodes of ``fps`` (fp, node; each fingerprint once) at most ``radius`` bits apart that connect all that
+    are linked."""
     rows = keyed(fps, design)
     large = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > members))
     if not large.isEmpty():
@@ -240,20 +244,27 @@ def links(fps: DataFrame, design: list[tuple[list[int], int]], radius: int = 4,
         other = F.explode(F.when(F.col("c").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("c") - 1)))
         rows = rows.withColumn("other", other)
         # the upper byte has the partition, which leaves room for a hash of the pair of chunks
-        rows = rows.select(F.when(F.col("c").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), "probe", "fp")
+        rows = rows.select(F.when(F.col("c").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), "probe", "fp", "node")
     dealt = rows.repartition("key").sortWithinPartitions("key", "fp", "probe")
     return dealt.mapInArrow(lambda batches: linked(batches, radius), "u long, v long").distinct()
 
 
 def classes(fps: DataFrame, radius: int = 4, id_col: str = "doc_id") -> DataFrame:
-    """(fp, component_id): for each distinct fingerprint of ``fps`` (id, fp) the least id that its links reach."""
+    """(fp, component_id): for each distinct fingerprint of ``fps`` (id, fp) the least id that its links reach.
+
+    Where every fingerprint has a least id of its own, that id is its node, and the least node of a component is the
+    answer; null or repeated ids make the fingerprints themselves the nodes."""
     firsts = cut(fps.groupBy("fp").agg(F.min(id_col).alias("first")))
-    n = firsts.count()
+    sums = firsts.agg(F.count("*").alias("n"), F.count_distinct("first").alias("ids")).first()
+    own = sums["n"] == sums["ids"] and dict(firsts.dtypes)["first"] in ("bigint", "int", "smallint", "tinyint")
     sample = firsts.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    found = components(links(firsts, plan(sample, n, radius), radius))
-    joined = firsts.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("top", F.coalesce("component", "fp"))
+    nodes = firsts.select("fp", "first", F.col("first" if own else "fp").cast("long").alias("node"))
+    found = components(links(nodes, plan(sample, sums["n"], radius), radius))
+    joined = nodes.join(found, "node", "left").withColumn("top", F.coalesce("component", "node"))
+    if own:
+        return joined.select("fp", F.col("top").cast(firsts.schema["first"].dataType).alias("component_id"))
     least = joined.groupBy("top").agg(F.min("first").alias("component_id"))
-    return joined.join(least, "top").select("fp", "component_id")
+    return joined.join(apart(least, "top"), "top").select("fp", "component_id")
 
 
 def digits(fp: str) -> Column:

@@ -5,8 +5,9 @@ ranks of its adjacent pairs, takes its lowest, and merges all places of that pai
 second one, from the left); a sequence without a ranked pair is done, and its surviving symbols are its tokens. A merge
 only makes pairs of higher rank, so a round's merges never get in each other's way.
 
-Null and empty texts have no tokens. The table of counted words is cut to the current ones at a fixed size; memory grows with a batch's
-distinct words only.
+Null and empty texts have no tokens. Texts of any length are counted whole. Rows are kept as they come, repeated ones and
+null ids too; an empty table gives no rows; other columns are left out, whatever their names. The table of counted words is
+cut to the current ones at a fixed size; memory grows with a batch's distinct words only.
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ equal feature sets count once). The score is the probability of label 1; labels,
 inputs. The model's size is bounded by FEATURES and the alphabet, so it is broadcast.
 
 Null and empty texts score as texts without any feature. Without labels of both classes every score is the share of
-label 1, or 0. Rows are kept as they come; a document with several labels counts as toxic if any of them says so.
+label 1, or 0. Texts and words of any length are restored whole: a lattice is decoded from end to end with at most
+LETTERS ** 3 states. Rows are kept as they come, repeated ones and null ids too; a document with several labels counts as
+toxic if any of them says so; of equally telling words the first by name is a feature. An empty table gives no rows; other
+columns than those asked for are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, kinds, map_columns
+from ._common import cut, fields, map_columns
 from .langid import bounded_sample, fold
 
 LETTERS = 28  # 0: any sign, 1-26: a-z, 27: other letters
@@ -208,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharacterModel, id_col: str
     shared = spark.sparkContext.broadcast(model)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     known = bounded_sample(known, id_col, max_rows)
-    texts = docs.join(F.broadcast(known), id_col).select(text_col, "y")
+    texts = docs.select(id_col, text_col).join(F.broadcast(known.select(F.col(id_col).alias("_id"), "y")), F.col(id_col) == F.col("_id")).select(text_col, "y")
 
     def run(texts: pa.Array, y: pa.Array) -> list:
         cache: dict[bytes, str | None] = {}
@@ -245,7 +248,7 @@ def score(docs: DataFrame, model: CharacterModel, classifier: Classifier, text_c
             known.clear()
         return [*more, [c.score(features(t, characters, known, c.place)) for t in texts.to_pylist()]]
 
-    return map_columns(docs, [text_col, *keep], f"{kinds(docs, keep)}`{name}` double", run)
+    return map_columns(docs, [text_col, *keep], fields(docs, keep, f"`{name}` double"), run)
 
 
 def learnable(id_col: str) -> Column:

@@ -87,3 +87,22 @@ def test_op9_agrees_with_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = sorted(con.execute(q.ORACLE_SQL["op9_recompression"]).fetchall())
     assert sorted(map(tuple, q.op9_recompression(spark, sf).collect())) == want
+
+
+def test_very_many_texts_of_one_id(spark):
+    """More texts with one id than 16 bits count, all with a passage that an earlier document has."""
+    passage = " ".join(f"w{i}" for i in range(13))
+    n = 70_000
+    df = spark.range(n).selectExpr("1L AS doc_id", f"concat('n', id, ' {passage} m') AS text").unionByName(spark.createDataFrame([(0, passage)], "doc_id long, text string"))
+    got = recompression.remove_repeats(df).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 13, 0, 1), (1, 15, 13, n)]
+
+
+def test_common_passage_is_combined_where_it_arises():
+    """Of the rows of a hot symbol in one part of a batch only the first document's keeps it."""
+    doc = np.repeat(np.arange(1000), 2)
+    key = np.tile(np.array([7, 0], np.uint64), 1000) + np.tile(np.array([0, 1], np.uint64), 1000) * (doc + 100).astype(np.uint64)
+    shared, later = recompression.met(doc, key)
+    assert shared[::2].all() and not shared[1::2].any() and later.sum() == 999 and not later[0]
+    out = recompression.scattered(key, doc, later)
+    assert (out == 7).sum() == 1 and len(set(out.tolist())) == 2000
