@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from quillspark.llm import itq, simhash
@@ -76,7 +77,7 @@ def test_links_lose_nothing(spark):
     arr = np.array(fps, np.uint64)
     near = np.bitwise_count(arr[:, None] ^ arr[None, :]) <= 4
     want = classes(len(fps), zip(*np.nonzero(near), strict=True))
-    df = spark.createDataFrame([(int(x),) for x in arr.view(np.int64)], "fp long")
+    df = spark.createDataFrame([(int(x), int(x)) for x in arr.view(np.int64)], "fp long, node long")
     place = {int(x): i for i, x in enumerate(arr.view(np.int64))}
     for n, members in ((len(fps), 10**6), (10**9, 10**6), (len(fps), 40)):
         pairs = [(place[a], place[b]) for a, b in simhash.links(df, simhash.plan(arr, n), members=members).collect()]
@@ -128,6 +129,35 @@ def test_embeddings(spark):
     assert itq.near_duplicates(df.where("vec_id >= 244")).count() == len(vectors) - 244
 
 
+def test_vectors_of_several_lengths(spark):
+    """Each length has an index of its own; the longest ones being the most common costs the others nothing."""
+    r = np.random.default_rng(3)
+    rows = [(i, r.standard_normal(16).tolist()) for i in range(30)]
+    a = r.standard_normal(8)
+    rows += [(40, a.tolist()), (41, (a + 0.01 * r.standard_normal(8)).tolist()), (42, (a * 1e-200).tolist()), (43, [*a.tolist(), 0.0]), (44, [1.0]), (45, [2.0]), (46, [-1.0])]
+    rows += [(47, []), (None, (a * 3).tolist()), (41, r.standard_normal(16).tolist()), (48, [0.0, 1e-300]), (49, [-0.0, 1e300])]
+    df = spark.createDataFrame([(*x, "k", 1) for x in rows], "vec_id long, embedding array<double>, key string, links int")
+    got = {(str(x["vec_id"]), x["n_links"], str(x["component_id"])) for x in itq.near_duplicates(df).collect() if x["n_links"]}
+    assert got == {("40", 3, "40"), ("41", 3, "40"), ("42", 3, "40"), ("None", 3, "40"), ("44", 1, "44"), ("45", 1, "44"), ("48", 1, "48"), ("49", 1, "48")}
+    assert itq.near_duplicates(df).count() == len(rows)
+
+
+@pytest.mark.parametrize("far", [None, 64])
+def test_deeper_designs_find_the_same(spark, monkeypatch, far):
+    """Longer substrings with a wider radius, as many vectors get them, and no bound on differing bits."""
+    r = np.random.default_rng(4)
+    centres = r.standard_normal((80, 64))
+    vectors = [(c + s * r.standard_normal(64)).tolist() for c in centres for s in (0.1, 0.25, 0.3)]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    links, _ = brute([np.float32(v).astype(float).tolist() for v in vectors])
+    for tables, radius in ((5, 1), (4, 2), (3, 3)):
+        monkeypatch.setattr(itq, "design", lambda *_, t=tables, k=radius: (t, k))
+        found = {x["vec_id"]: x["n_links"] for x in itq.near_duplicates(df, far=far).collect()}
+        assert all(found[i] <= n for i, n in enumerate(links)) and sum(found.values()) >= 0.9 * sum(links)
+    monkeypatch.undo()
+    assert itq.design(10**3, 64, 0.9)[1] < itq.design(10**9, 64, 0.9)[1]
+
+
 def test_recall_at_the_threshold(spark):
     """Independent pairs of unit vectors with a cosine of 0.90 to 0.93: the index must find 0.9 of them."""
     r = np.random.default_rng(5)
