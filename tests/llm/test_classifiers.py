@@ -108,3 +108,79 @@ def test_words_that_share_a_hash_are_told_apart(spark):
 def test_long_words_are_decoded(characters):
     assert toxicity.restore("idi" + "o" * 300 + "t", characters) == "idiot"
     assert toxicity.restore("1d10t" * 60, characters) == "idiot" * 60
+
+
+def test_naive_bayes_of_single_n_grams(spark):
+    """The same model and scores from dictionaries, one n-gram of one text after another."""
+    r = random.Random(6)
+    rows = [(i, "".join(r.choice(s) for _ in range(r.randrange(1, 60))), lang) for i, (lang, s) in enumerate([("a", "abcd eÄ"), ("b", "bcxyz é"), ("c", "日本語 a")] * 15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+
+    def bucket(gram):
+        h = len(gram)
+        for c in gram:
+            h = (h ^ ord(c)) * 0x9E3779B1 % 2**32
+            h ^= h >> 15
+        return h % langid.BUCKETS
+
+    grams = lambda t: [bucket(t[i : i + n]) for n in langid.GRAMS for i in range(len(t) - n + 1)]
+    counts = {x: {} for x in "abc"}
+    for _, t, lang in rows:
+        for b in grams(t.lower()):
+            counts[lang][b] = counts[lang].get(b, 0) + 1
+    total = {x: sum(c.values()) + 0.1 * langid.BUCKETS for x, c in counts.items()}
+    for got in langid.identify(docs.withColumn("letter", F.lit(1)), model).collect():
+        t = rows[got["doc_id"]][1].lower()
+        if not any(map(str.isalpha, t)):
+            continue
+        logs = {x: sum(np.log((counts[x].get(b, 0) + 0.1) / total[x]) for b in grams(t)) / np.sqrt(len(langid.GRAMS) * len(t)) for x in "abc"}
+        best = max(logs, key=logs.get)
+        assert got["lang_pred"] == best
+        assert got["score"] == pytest.approx(1 / sum(np.exp(v - logs[best]) for v in logs.values()), abs=1e-4)
+
+
+def test_very_long_texts_and_many_languages(spark, monkeypatch):
+    model = langid.learn(spark.createDataFrame([(1, "abc abd", "x"), (2, "zyx zyw", "y")], "doc_id long, text string, lang string"))
+    rows = spark.createDataFrame([(1, "abc " * 300_000), (2, "zyx"), (2, "zyx")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in langid.identify(rows, model).collect()) == [(1, "x"), (2, "y"), (2, "y")]
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.learn(spark.createDataFrame([(i, "abc", f"l{i}") for i in range(3)], "doc_id long, text string, lang string"))
+
+
+def test_viterbi_against_all_paths(characters):
+    r = random.Random(9)
+    for _ in range(150):
+        word = "".join(r.choice("aeidotslcw0135@$!|*") for _ in range(r.randrange(1, 7)))
+        if r.random() < 0.4:
+            word += word[-1] * r.randrange(1, 4)
+        columns = toxicity.lattice(word)
+        if np.prod([len(c) for c in columns]) > 30_000:
+            continue
+        scored = []
+        for path in itertools.product(*columns):
+            text, cost = "".join(p for p, _ in path), sum(c for _, c in path)
+            a = b = c = 0
+            s = -cost
+            for ch in text:
+                k = toxicity.letter(ch)
+                s += float(characters.logs[(a * toxicity.LETTERS + b) * toxicity.LETTERS + c, k])
+                a, b, c = b, c, k
+            scored.append((s + float(characters.logs[(a * toxicity.LETTERS + b) * toxicity.LETTERS + c, 0]), text))
+        best = max(s for s, _ in scored)
+        assert toxicity.decode(word, characters) in {t for s, t in scored if s > best - 1e-6}
+
+
+def test_fit_against_descent():
+    """Newton's solution against plain gradient descent on the same loss."""
+    r = np.random.default_rng(2)
+    x = (r.random((300, 6)) < 0.4).astype(float)
+    y = (r.random(300) < 1 / (1 + np.exp(-(x @ [2, -1, 0, 1, 0.5, -2] - 0.5)))).astype(float)
+    w, b = np.zeros(6), 0.0
+    for _ in range(30_000):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        w -= 0.01 * (x.T @ (p - y) + w)
+        b -= 0.01 * ((p - y).sum() + 1e-6 * b)
+    weights, bias = toxicity.fit(x, y)
+    assert np.allclose(weights, w, atol=1e-4) and abs(bias - b) < 1e-4

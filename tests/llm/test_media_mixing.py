@@ -91,19 +91,19 @@ def test_targets(spark):
 def test_mix(spark, odd_docs, no_docs):
     rows = mixing.planned(odd_docs).collect()
     for r in rows:
-        assert r["_size"] == len((r["text"] or "").encode().split())
-        assert 0 <= r["_times"] <= 3
+        assert r["size"] == len((r["row"]["text"] or "").encode().split())
+        assert 0 <= r["times"] <= 3
     again = mixing.planned(odd_docs.repartition(7)).collect()
-    key = lambda r: (str(r["doc_id"]), r["text"] or "", r["_times"], r["_target"])
+    key = lambda r: (str(r["row"]["doc_id"]), r["row"]["text"] or "", r["times"], r["target"])
     assert sorted(map(key, rows)) == sorted(map(key, again))
-    assert mixing.mix(odd_docs).count() == sum(r["_times"] for r in rows)
+    assert mixing.mix(odd_docs).count() == sum(r["times"] for r in rows)
     assert mixing.mix(odd_docs).columns == odd_docs.columns
     assert mixing.mix(no_docs).count() == 0
 
 
 def test_taken_words_come_near_the_targets(spark):
     docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.least(F.col("id") % 9, F.lit(6)).cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")).alias("text"))
-    sums = mixing.planned(docs).groupBy("source").agg(F.sum(F.col("_size") * F.col("_times")).alias("taken"), F.max("_target").alias("target")).collect()
+    sums = mixing.planned(docs).groupBy("row.source").agg(F.sum(F.col("size") * F.col("times")).alias("taken"), F.max("target").alias("target")).collect()
     assert all(abs(r["taken"] / r["target"] - 1) < 0.05 for r in sums)
 
 
@@ -113,3 +113,36 @@ def test_op3_agrees_with_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = sorted(con.execute(q.ORACLE_SQL["op3_source_mix"]).fetchall())
     assert sorted(map(tuple, q.op3_source_mix(spark, sf).select("doc_id", "size", "source_size", "target", "taken").collect())) == want
+
+
+def test_fingerprint_against_the_definition():
+    """Every bin of every frame by the sum that defines it, and pairs by hand."""
+    r = np.random.default_rng(7)
+    for n in (64, 256, 700, 1500):
+        samples = r.integers(0, 256, n).astype(np.uint8)
+        size = max(media.FRAME, -(-n // media.HOP) * media.HOP)
+        x = np.zeros(size)
+        x[:n] = samples.astype(float) - 128
+        k = np.arange(media.FRAME)
+        hann = 0.5 - 0.5 * np.cos(2 * np.pi * k / (media.FRAME - 1))
+        frames = []
+        for at in range(0, size - media.FRAME + 1, media.HOP):
+            part = x[at : at + media.FRAME] * hann
+            power = [abs(np.sum(part * np.exp(-2j * np.pi * b * k / media.FRAME))) for b in range(media.FRAME // 2 + 1)]
+            mean = np.mean(power[media.BANDS[0] :])
+            frames.append([(max(range(lo, hi), key=lambda b, p=power: p[b]), max(power[lo:hi]) > mean) for lo, hi in zip(media.BANDS, media.BANDS[1:])])
+        want = []
+        for f, own in enumerate(frames):
+            for reach in range(1, media.REACH + 1):
+                if f + reach < len(frames):
+                    want += [f << 32 | a << 20 | b << 8 | reach for (a, s), (b, t) in zip(own, frames[f + reach]) if s and t]
+        assert media.fingerprint(samples).tolist() == sorted(want)
+
+
+def test_mix_of_clashing_names(spark):
+    names = ("_size", "_times", "_copy", "_source", "_target", "size", "times", "row", "target", "source_size", "key", "of", "copy", "rate")
+    docs = spark.createDataFrame([(i, "a b c", "s", *[i * 100 + k for k in range(len(names))]) for i in range(20)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    own = {tuple(r) for r in docs.collect()}
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.collect()} == own
+    assert mixing.planned(docs.where("false")).count() == 0

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -47,6 +48,12 @@ def test_repeated_and_null_ids(spark):
         stage(spark, docs.where("false"), SF).collect()
 
 
+def test_run_of_no_documents(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
+
+
 def test_run(spark):
     rows = p.run(spark, SF)
     assert rows.columns == ["doc_id", "source", "ids", "n_tokens", "decoded_sha256"] and rows.count() > 0
@@ -76,3 +83,28 @@ def test_planted_near_copies(spark):
                 top = [x if c == y else c for c in top]
     got = {r["doc_id"] for r in p.drop_near_copies(spark, docs, SF).collect()}
     assert got == set(top) and 40 < len(got) < 160
+
+
+CLASHING = ("_id", "_fp", "_k", "_own", "_score", "score", "_size", "_times", "_copy", "_source", "_target", "row", "key", "top", "of", "size", "times", "copy", "rest", "doc", "z", "starts", "spans", "n_words", "n_removed", "y", "fp", "node", "own", "component_id", "fingerprint", "ids", "decoded")
+
+
+@pytest.mark.parametrize("stage", range(5))
+@pytest.mark.parametrize("repeated", [False, True])
+def test_clashing_names_and_odd_rows(spark, odd_texts, stage, repeated):
+    """Every stage keeps every column as it is, with null, empty, long and repeated texts."""
+    texts = [*odd_texts, "long " + "word " * 60_000]
+    rows = [(0 if repeated and i == 1 else i, t, ["b", None, "a"][i % 3], len(t or ""), *[i * 100 + k for k in range(len(CLASHING))]) for i, t in enumerate(texts)]
+    rows += [(None, *rows[-2][1:]), (None, *rows[-2][1:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, " + ", ".join(f"`{c}` int" for c in CLASHING))
+    name, run = p.STAGES[stage]
+    out = run(spark, docs, SF)
+    got = out.collect()
+    assert run(spark, docs.where("false"), SF).count() == 0
+    if stage == 4:
+        assert len(got) == len(rows) and out.columns == ["doc_id", "source", "ids", "n_tokens", "decoded_sha256"]
+        return
+    assert out.columns == docs.columns and got
+    own = {(r[0], r[4:]) for r in rows}
+    assert {(r[0], tuple(r[4:])) for r in got} <= own
+    if name != "substring dedup":
+        assert {tuple(r) for r in got} <= set(rows)
