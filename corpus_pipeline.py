@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe_trie, mixing, recompression, simhash, toxicity
@@ -13,46 +13,77 @@ from quillspark.llm._common import cut, new_path
 TOXIC = 0.3
 
 
+def free(name: str, columns: list[str]) -> str:
+    """A name that none of the columns has."""
+    while name.lower() in map(str.lower, columns):
+        name = "_" + name
+    return name
+
+
+def whole(docs: DataFrame) -> Column:
+    """A row as one struct, so that none of its columns' names meets another."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC."""
+    """Documents whose toxicity score is below TOXIC. Rows keep all their columns; null and empty texts score as texts
+    without any sign of toxicity; repeated rows score alike; texts are scored whole; no documents give none."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(toxicity.learnable("doc_id"))
-    scored = toxicity.assess(docs, labels, keep=tuple(docs.columns), name="_score")
-    return scored.where(F.col("_score") < TOXIC).select(docs.columns)
+    name = free("score", docs.columns)
+    scored = toxicity.assess(docs, labels, keep=tuple(docs.columns), name=name)
+    return scored.where(F.col(f"`{name}`") < TOXIC).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least id; of equal rows of it one."""
+    """Of each class of near copies the document with the least id; of equal rows of it one.
+
+    Texts without words (null, empty, blank) are copies of each other. A class whose ids are all null keeps one row for
+    each fingerprint. Rows keep all their columns; no documents give none."""
     found = cut(simhash.near_duplicates(docs))
-    tops = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_fp"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    tops = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("top"), F.col("fingerprint").alias("of"))
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(tops, same, "left_semi")
-    marked = simhash.fingerprints(docs.withColumn("_k", F.struct(docs.columns)), "_k").select("_k.*", simhash.digits("fp").alias("_own"))
-    kept = marked.join(tops.distinct(), same & (F.col("_own") == F.col("_fp")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_own"]).select(docs.columns)
+        rows = docs.select(F.col("doc_id").alias("key"), whole(docs).alias("row"))
+        return rows.join(tops, F.col("key").eqNullSafe(F.col("top")), "left_semi").select("row.*")
+    marked = simhash.fingerprints(docs.select(whole(docs).alias("row"), "text"), "row", "text")
+    marked = marked.select("row", F.col("row.doc_id").alias("key"), simhash.digits("fp").alias("own"))
+    kept = marked.join(tops.distinct(), F.col("key").eqNullSafe(F.col("top")) & (F.col("own") == F.col("of")), "left_semi")
+    return kept.dropDuplicates(["key", "own"]).select("row.*")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document has; other texts stay as they are, emptied ones go."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = recompression.remove_repeats(docs, keep=rest, whole=True).where("n_removed = 0 or n_removed < n_words")
+    """Texts without the passages that an earlier document has; other texts stay as they are, emptied ones go.
+
+    Null and empty texts stay. Rows with equal ids are one document's; rows with a null id stay whole. Other columns stay
+    as they are, but for n_chars, which follows the text; no documents give none."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0)
+    out = recompression.remove_repeats(docs.select("doc_id", "text", row.alias("rest")), keep=("rest",), whole=True)
+    columns = {c: F.col(f"rest.`{c}`") for c in rest} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
     if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return out.where("n_removed = 0 or n_removed < n_words").select([columns[c].alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them. Rows keep all their columns; a null source is a source; texts
+    without words count nothing and are taken at their source's rate; no documents give none."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, the token ids, their number and a digest of the text that they decode to."""
+    """doc_id, source, the token ids, their number and a digest of the text that they decode to. Null and empty texts have
+    no ids; every row is encoded, repeated ones too; other columns are left out."""
     rows = bpe_trie.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("doc_id", "source"))
     return rows.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("toxicity", drop_toxic), ("simhash near-dedup", drop_near_copies), ("substring dedup", drop_repeats), ("source mixing", mix_sources), ("bpe encoding", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("substring dedup", drop_repeats),
+    ("source mixing", mix_sources),
+    ("bpe encoding", encode),
+]
 
 #: The first stages learn models and follow links of hashes that SQL doesn't have.
 ORACLE_SQL = None
