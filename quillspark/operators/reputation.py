@@ -48,28 +48,30 @@ def cards(entries: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def route(flow: DataFrame, entries: DataFrame, threshold: float = 0.7, min_runs: int = 5, timeouts: float = 0.2) -> DataFrame:
-    """flow_id, ord, role, agent, risk, action for each step of a flow (flow_id, ord, role, agent).
+    """flow_id, ord, role, agent, risk, action for each step of a flow (flow_id, ord, role, agent), in the order of ord, then
+    of role and agent.
 
-    A risky step without a reviewer next gets one, unless the step before it just did; a safe step's reviewer goes. The
-    state goes from step to step, so a flow is folded as an array; flows are short and independent."""
-    best = entries.withColumn("_n", F.row_number().over(Window.partitionBy("role", "agent").orderBy(F.desc("runs")))).where("_n = 1")
-    best = best.select("role", "agent", "runs", "success_rate", F.coalesce(F.try_element_at("statuses", F.lit("timeout")), F.lit(0)).alias("timeouts"))
+    A risky step without a reviewer next gets one, unless the step before it just did; a safe step's reviewer goes. So of
+    risky steps in a row every second one gets a reviewer, from the first."""
+    best = entries.groupBy("role", "agent").agg(F.max_by(F.struct("runs", "success_rate", "statuses"), "runs").alias("e"))
+    best = best.select("role", "agent", "e.runs", "e.success_rate", F.coalesce(F.try_element_at("e.statuses", F.lit("timeout")), F.lit(0)).alias("timeouts"))
     runs = F.coalesce("runs", F.lit(0))
-    risk = F.when(runs < max(min_runs, 1), "MED").when(F.col("success_rate") < threshold, "HIGH").when((F.col("timeouts") >= 1) & (F.col("timeouts") / runs >= timeouts), "MED").otherwise("LOW")
-    rows = flow.join(best, ["role", "agent"], "left").withColumn("risk", risk)
-    rows = rows.withColumn("next", F.lead("role").over(Window.partitionBy("flow_id").orderBy("ord")))
-    steps = rows.groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct("ord", "role", "agent", "risk", "next"))).alias("s"))
-    none = F.filter(F.transform("s", lambda x: F.struct(x["ord"].alias("ord"), x["role"].alias("role"), x["agent"].alias("agent"), x["risk"].alias("risk"), x["role"].alias("action"))), lambda x: F.lit(False))
-
-    def step(acc, x):
-        risky = x["risk"].isin("HIGH", "MED") & ~x["next"].eqNullSafe(F.lit("reviewer"))
-        inject = (x["role"] != "reviewer") & risky & ~acc["just"]
-        trim = (x["role"] != "reviewer") & (x["risk"] == "LOW") & x["next"].eqNullSafe(F.lit("reviewer"))
-        action = F.when(inject, "inject_reviewer").when(trim, "trim_reviewer").otherwise("keep")
-        return F.struct(inject.alias("just"), F.array_append(acc["out"], F.struct(x["ord"].alias("ord"), x["role"].alias("role"), x["agent"].alias("agent"), x["risk"].alias("risk"), action.alias("action"))).alias("out"))
-
-    folded = F.aggregate("s", F.struct(F.lit(False).alias("just"), none.alias("out")), step, lambda acc: acc["out"])
-    return steps.select("flow_id", F.inline(folded))
+    risk = (
+        F.when(runs < max(min_runs, 1), "MED")
+        .when(F.col("success_rate") < threshold, "HIGH")
+        .when((F.col("timeouts") >= 1) & (F.col("timeouts") / runs >= timeouts), "MED")
+        .otherwise("LOW")
+    )
+    order = ["ord", "role", "agent"]
+    w = Window.partitionBy("flow_id").orderBy(*order)
+    rows = flow.join(best, ["role", "agent"], "left").withColumn("risk", risk).withColumn("_next", F.lead("role").over(w).eqNullSafe(F.lit("reviewer")))
+    own = ~F.col("role").eqNullSafe(F.lit("reviewer"))
+    rows = rows.withColumn("_ask", own & (F.col("risk") != "LOW") & ~F.col("_next"))
+    rows = rows.withColumn("_row", F.sum((~F.col("_ask")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    nth = F.sum(F.col("_ask").cast("long")).over(Window.partitionBy("flow_id", "_row").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    trim = own & (F.col("risk") == "LOW") & F.col("_next")
+    action = F.when(F.col("_ask") & (nth % 2 == 1), "inject_reviewer").when(trim, "trim_reviewer").otherwise("keep")
+    return rows.select("flow_id", "ord", "role", "agent", "risk", action.alias("action"))
 
 
 def apply_route(decisions: DataFrame) -> DataFrame:

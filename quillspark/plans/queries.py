@@ -410,7 +410,13 @@ def direct_activity(s, d):
     return reputation.direct_activity(window(s, d), "2024-01-10", NOW)
 
 
-@query(None)
+@query(f"""WITH {REPUTATION}, fl AS (SELECT CAST(ord // 10 AS BIGINT) AS flow_id, CAST(ord AS BIGINT) AS ord, CASE WHEN ord % 4 = 3 THEN 'reviewer' ELSE role END AS role, agent FROM st),
+r AS (SELECT fl.*, CASE WHEN coalesce(runs, 0) < 5 THEN 'MED' WHEN rate < 0.7 THEN 'HIGH' WHEN tmo >= 1 AND tmo / runs >= 0.2 THEN 'MED' ELSE 'LOW' END AS risk,
+  lead(fl.role) OVER (PARTITION BY flow_id ORDER BY ord, fl.role, fl.agent) IS NOT DISTINCT FROM 'reviewer' AS nxt FROM fl LEFT JOIN rw ON rw.role = fl.role AND rw.agent = fl.agent),
+c AS (SELECT *, role <> 'reviewer' AND risk <> 'LOW' AND NOT nxt AS ask FROM r),
+g AS (SELECT *, sum(CASE WHEN ask THEN 0 ELSE 1 END) OVER (PARTITION BY flow_id ORDER BY ord, role, agent ROWS UNBOUNDED PRECEDING) AS grp FROM c)
+SELECT flow_id, ord, role, agent, risk, CASE WHEN ask AND row_number() OVER (PARTITION BY flow_id, grp, ask ORDER BY ord, role, agent) % 2 = 1 THEN 'inject_reviewer'
+  WHEN role <> 'reviewer' AND risk = 'LOW' AND nxt THEN 'trim_reviewer' ELSE 'keep' END AS action FROM g""")
 def disagreement_routing(s, d):
     steps = v.steps(s, d)
     flow = steps.select((F.col("ord") / 10).cast("long").alias("flow_id"), "ord", F.when(F.col("ord") % 4 == 3, "reviewer").otherwise(F.col("role")).alias("role"), "agent")
