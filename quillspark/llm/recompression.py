@@ -260,7 +260,7 @@ def windows(with_spans: DataFrame, width: int, unique: bool = False) -> DataFram
         import zstandard
 
         for batch in batches:
-            batch = batch.filter(batch.column("spans").is_valid())
+            batch = batch.filter(batch.column("spans").is_valid()).select(["doc", "row", "z", "spans"])
             for part in slices(batch, 2, 500_000):
                 docs, rows = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
                 names, doc = batch_words([None if z is None else zstandard.decompress(z) for z in part.column(2).to_pylist()])
@@ -298,7 +298,8 @@ def windows(with_spans: DataFrame, width: int, unique: bool = False) -> DataFram
                 columns = [scattered(h, docs[owner], later).view(np.int64), docs[owner], packed_at, rows[owner]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns[: len(names_)]], names_)
 
-    return with_spans.select("doc", "row", "z", "spans").mapInArrow(run, ", ".join(f"{c} long" for c in names_))
+    # all columns come along, so that the exchange of texts is the same as that of step 3
+    return with_spans.mapInArrow(run, ", ".join(f"{c} long" for c in names_))
 
 
 def repeats(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, unique: bool = False) -> DataFrame:

@@ -241,14 +241,17 @@ def score(docs: DataFrame, model: CharacterModel, classifier: Classifier, text_c
     shared = docs.sparkSession.sparkContext.broadcast((model, classifier))
     most = 150_000
 
-    def run(texts: pa.Array, *more: pa.Array) -> list:
+    inputs = list(dict.fromkeys([*keep, text_col]))  # a kept text travels once
+    at = inputs.index(text_col)
+
+    def run(*columns: pa.Array) -> list:
         characters, c = shared.value
         known = shared.__dict__.setdefault("known", {})
         if len(known) > most:
             known.clear()
-        return [*more, [c.score(features(t, characters, known, c.place)) for t in texts.to_pylist()]]
+        return [*columns[: len(keep)], [c.score(features(t, characters, known, c.place)) for t in columns[at].to_pylist()]]
 
-    return map_columns(docs, [text_col, *keep], fields(docs, keep, f"`{name}` double"), run)
+    return map_columns(docs, inputs, fields(docs, keep, f"`{name}` double"), run)
 
 
 def learnable(id_col: str) -> Column:
