@@ -69,7 +69,10 @@ def model_short(c: Column) -> Column:
         bare = F.when(F.startswith(bare, F.lit(prefix)), F.substring(bare, len(prefix) + 1, 10_000)).otherwise(bare)
     version = F.concat(F.regexp_extract(bare, r"^([^-]*)-(\d+)", 1), F.lit(" "), F.regexp_extract(bare, r"^[^-]*-(\d+)", 1))
     minor = F.regexp_extract(bare, r"^[^-]*-\d+-(\d+)(?:-|$)", 1)
-    return F.when(c.isNull(), "unknown").when(bare.rlike(r"^[^-]*-\d+(-|$)"), F.when(minor != "", F.concat(version, F.lit("."), minor)).otherwise(version)).otherwise(bare)
+    return F.when(c.isNull(), "unknown").when(
+        bare.rlike(r"^[^-]*-\d+(-|$)"),
+        F.when(minor != "", F.concat(version, F.lit("."), minor)).otherwise(version),
+    ).otherwise(bare)
 
 
 def uncached_input(tokens: Column, cached: Column) -> Column:
@@ -102,7 +105,10 @@ def session_size(events: Column) -> Column:
 
 
 # Markers of agents, the first that occurs decides.
-AGENT_MARKERS = (("claude", "claude"), ("anthropic", "claude"), ("codex", "codex"), ("opencode", "opencode"), ("deepseek", "opencode"), ("openclaw", "openclaw"), ("openai", "openai"), ("human", "human"))
+AGENT_MARKERS = (
+    ("claude", "claude"), ("anthropic", "claude"), ("codex", "codex"), ("opencode", "opencode"), ("deepseek", "opencode"),
+    ("openclaw", "openclaw"), ("openai", "openai"), ("human", "human"),
+)
 
 
 def agent(invocation: Column, model: Column, fallback: Column) -> Column:
@@ -129,7 +135,10 @@ def channel(text: Column) -> Column:
 def project_dir(name: Column) -> Column:
     """A working folder from its encoded name: what is before two hyphens is a drive, other hyphens are separators."""
     at = F.instr(name, "--")
-    return F.when(at > 0, F.concat(F.substring(name, F.lit(1), at - 1), F.lit(":/"), F.translate(F.substring(name, at + 2, F.length(name)), "-", "/"))).otherwise(F.translate(name, "-", "/"))
+    return F.when(
+        at > 0,
+        F.concat(F.substring(name, F.lit(1), at - 1), F.lit(":/"), F.translate(F.substring(name, at + 2, F.length(name)), "-", "/")),
+    ).otherwise(F.translate(name, "-", "/"))
 
 
 def _from_cp1251(texts: pd.Series) -> pd.Series:
@@ -155,7 +164,10 @@ def effective_hours(corrected: Column, baseline: Column) -> Column:
     return F.when(corrected.isNotNull(), corrected.try_cast("double")).otherwise(baseline.try_cast("double"))
 
 
-def guarded_hours(baseline: Column, active: Column, events: Column, *, trivial_events: int = 5, trivial_hours: float = 0.05, trivial_baseline: float = 1.0, per_event: float = 1.0, band: float = 6.0) -> Column:
+def guarded_hours(
+    baseline: Column, active: Column, events: Column, *, trivial_events: int = 5, trivial_hours: float = 0.05,
+    trivial_baseline: float = 1.0, per_event: float = 1.0, band: float = 6.0,
+) -> Column:
     """struct(hours, kind): no less than the active time, and no more than the number of events makes credible."""
     eff = F.greatest(baseline, active)
     ceiling = F.greatest(F.lit(band), events * per_event)

@@ -27,7 +27,10 @@ SCAN = {
 # What a release may not contain, with its severity.
 GATE = {
     "email": ("warn", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"),
-    "api_token": ("fail", r"\b(?:sk-or-v1-|sk-ant-)[A-Za-z0-9][A-Za-z0-9._-]{2,}\b|\bgh[po]_[A-Za-z0-9][A-Za-z0-9_]{15,}\b|\bgithub_pat_[A-Za-z0-9_]{20,}\b|\bxoxb-[A-Za-z0-9][A-Za-z0-9-]{8,}\b"),
+    "api_token": (
+        "fail",
+        r"\b(?:sk-or-v1-|sk-ant-)[A-Za-z0-9][A-Za-z0-9._-]{2,}\b|\bgh[po]_[A-Za-z0-9][A-Za-z0-9_]{15,}\b|\bgithub_pat_[A-Za-z0-9_]{20,}\b|\bxoxb-[A-Za-z0-9][A-Za-z0-9-]{8,}\b",
+    ),
     "named_secret": ("fail", r"""(?i)\b(?:api[_-]?key|api|token|secret|key)\b[\w .-]{0,32}[:=]\s*["']?[A-Za-z0-9_-]{32,}={0,2}"""),
     "absolute_path": ("warn", r"""(?<![\w.-])[A-Za-z]:[\\/][^\s"'<>`]+"""),
     "lan_address": ("warn", r"\b(?:10(?:\.\d{1,3}){3}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{1,3}){2}|192\.168(?:\.\d{1,3}){2})\b"),
@@ -68,7 +71,10 @@ def scan(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] | N
 def gate(df: DataFrame, id_col: str, text_col: str, allowed_emails: tuple[str, ...] = (), terms: list[str] | None = None) -> DataFrame:
     """id, line, kind, severity, value: what may not be released; lines with an allow marker are left out, and so are
     addresses that are allowed or of an allowed domain (``@…``)."""
-    lines = df.select(id_col, F.posexplode(F.split(text_col, "\r\n|\n|\r")).alias("line", "_t")).withColumn("line", F.col("line") + 1).where(~F.col("_t").rlike(ALLOW_MARKER))
+    lines = df.select(
+        id_col,
+        F.posexplode(F.split(text_col, "\r\n|\n|\r")).alias("line", "_t"),
+    ).withColumn("line", F.col("line") + 1).where(~F.col("_t").rlike(ALLOW_MARKER))
     rules = dict(GATE)
     extra = term_pattern(terms or [])
     if extra:

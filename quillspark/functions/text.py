@@ -6,9 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Stock phrases, hedges and imperatives.
-STOCK = ("in summary", "it is important to note", "it's important to note", "in conclusion", "as an ai language model", "let me know if you have", "let me know if you need", "feel free to ask", "i hope this helps", "please note that", "as a side note", "with that being said", "that being said", "in essence", "broadly speaking", "generally speaking", "to put it simply", "for example,", "for instance,", "in order to")
-HEDGES = ("might", "may", "could", "would", "should", "perhaps", "possibly", "potentially", "consider", "consider that", "consider whether", "it seems", "appears to", "tends to", "often", "sometimes", "in general", "typically", "arguably", "presumably")
-IMPERATIVES = ("run", "use", "do", "fix", "check", "verify", "add", "remove", "replace", "rename", "build", "test", "deploy", "commit", "push", "merge", "scan", "read", "write", "set", "ensure", "call", "import", "install", "open", "close", "rebase", "restart", "execute", "create", "delete", "update", "save", "compute", "extract", "render", "parse", "validate", "compile", "rebuild", "stage", "tag")
+STOCK = (
+    "in summary", "it is important to note", "it's important to note", "in conclusion", "as an ai language model",
+    "let me know if you have", "let me know if you need", "feel free to ask", "i hope this helps", "please note that",
+    "as a side note", "with that being said", "that being said", "in essence", "broadly speaking", "generally speaking",
+    "to put it simply", "for example,", "for instance,", "in order to",
+)
+HEDGES = (
+    "might", "may", "could", "would", "should", "perhaps", "possibly", "potentially", "consider", "consider that",
+    "consider whether", "it seems", "appears to", "tends to", "often", "sometimes", "in general", "typically", "arguably",
+    "presumably",
+)
+IMPERATIVES = (
+    "run", "use", "do", "fix", "check", "verify", "add", "remove", "replace", "rename", "build", "test", "deploy", "commit",
+    "push", "merge", "scan", "read", "write", "set", "ensure", "call", "import", "install", "open", "close", "rebase", "restart",
+    "execute", "create", "delete", "update", "save", "compute", "extract", "render", "parse", "validate", "compile", "rebuild",
+    "stage", "tag",
+)
 STOP_WORDS = """
 the a an and or but if then else not no yes is are was were be been being of to in on at by for from with into onto off
 out over under above below this that these those it its as such so than too very can may might shall should would could
@@ -105,7 +119,9 @@ def slop(df, text_col: str = "text"):
     """The rows with trigram, stock, hedge, word_count and score (0 to 100)."""
     lower = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     rows = df.withColumn("_w", words(lower)).withColumn("word_count", F.size("_w"))
-    rows = rows.withColumn("trigram", trigram_repetition(F.col("_w"))).withColumn("stock", stock_density(lower, F.col("word_count"))).withColumn("hedge", hedge_ratio(F.col("_w"), lower))
+    rows = rows.withColumn("trigram", trigram_repetition(F.col("_w"))).withColumn(
+        "stock", stock_density(lower, F.col("word_count")),
+    ).withColumn("hedge", hedge_ratio(F.col("_w"), lower))
     score = total([F.col(k) * w for k, w in WEIGHTS.items()]) * 100
     return rows.withColumn("score", score).drop("_w")
 
@@ -117,7 +133,10 @@ def prefix(text: Column, n: int) -> Column:
 
 
 # Openings of messages that a program wrote.
-NOISE = ("<system-reminder>", "<command-name>", "this session is being continued", "continue from where you", "caveat:", "<local-command-", "<task-notification", "base directory for this", "<command-message>", "the user has asked")
+NOISE = (
+    "<system-reminder>", "<command-name>", "this session is being continued", "continue from where you", "caveat:",
+    "<local-command-", "<task-notification", "base directory for this", "<command-message>", "the user has asked",
+)
 
 
 def is_noise(text: Column) -> Column:
@@ -139,7 +158,9 @@ QUESTIONS = "как что где почему зачем когда сколь
 
 def opener_kind(key: Column) -> Column:
     first = F.substring_index(key, " ", 1)
-    return F.when(first.isin(*VERBS), "script").when(first.isin(*QUESTIONS), "prompt-template").when(F.size(F.split(key, " ")) < 3, "noise").otherwise("prompt-template")
+    return F.when(first.isin(*VERBS), "script").when(
+        first.isin(*QUESTIONS), "prompt-template",
+    ).when(F.size(F.split(key, " ")) < 3, "noise").otherwise("prompt-template")
 
 
 def slug(text: Column) -> Column:

@@ -25,8 +25,13 @@ def session_costs(sessions: DataFrame, commits: DataFrame, width: int = HOUR) ->
     sessions = cut(sessions.select("session_id", "start", "end", "cost"))
     # at one instant: sessions' starts, commits, sessions' ends
     ends = F.array(F.struct(instant("start").alias("at"), F.lit(-1).alias("side")), F.struct(instant("end").alias("at"), F.lit(1).alias("side")))
-    own = sessions.where("start <= end").select("session_id", F.explode(ends).alias("p")).select("session_id", "p.*", F.lit(0).cast("long").alias("commits"), F.lit(0).cast("long").alias("lines"))
-    made = commits.where("committed_at is not null").select(F.lit(None).cast(sessions.schema["session_id"].dataType).alias("session_id"), instant("committed_at").alias("at"), F.lit(0).alias("side"), F.lit(1).cast("long").alias("commits"), F.coalesce("lines", F.lit(0)).cast("long").alias("lines"))
+    own = sessions.where("start <= end").select("session_id", F.explode(ends).alias("p")).select(
+        "session_id", "p.*", F.lit(0).cast("long").alias("commits"), F.lit(0).cast("long").alias("lines"),
+    )
+    made = commits.where("committed_at is not null").select(
+        F.lit(None).cast(sessions.schema["session_id"].dataType).alias("session_id"), instant("committed_at").alias("at"),
+        F.lit(0).alias("side"), F.lit(1).cast("long").alias("commits"), F.coalesce("lines", F.lit(0)).cast("long").alias("lines"),
+    )
     sums = running(own.unionByName(made), ["at", "side"], ["commits", "lines"], width).where("side <> 0")
     sums = sums.groupBy("session_id").agg(*[F.sum(F.col(c) * F.col("side")).alias(c) for c in ("commits", "lines")])
     joined = sessions.select("session_id", "cost").join(sums, "session_id", "left")
@@ -60,7 +65,9 @@ def folders(sessions: DataFrame, commits: DataFrame) -> DataFrame:
     part = F.split(normal_dir(F.col("working_dir")), "/")
     above = F.transform(F.sequence(F.lit(1), F.size(part)), lambda k: F.array_join(F.slice(part, F.lit(1), k), "/"))
     each = sessions.where("working_dir is not null").select("working_dir").distinct().select("working_dir", F.explode(above).alias("repo"))
-    return each.join(commits.select(normal_dir(F.col("repo")).alias("repo")).distinct(), "repo").groupBy("working_dir").agg(F.collect_set("repo").alias("repos"))
+    return each.join(
+        commits.select(normal_dir(F.col("repo")).alias("repo")).distinct(), "repo",
+    ).groupBy("working_dir").agg(F.collect_set("repo").alias("repos"))
 
 
 def stretches(sessions: DataFrame, events: DataFrame) -> DataFrame:
@@ -147,21 +154,41 @@ def owners(sessions: DataFrame, events: DataFrame, commits: DataFrame, width: in
     each range, by an aggregate; those that begin or end in a range are sorted with its commits, and one pass finds the
     two for each commit. Both are done for all sessions and for those inside each repository."""
     pieces = stretches(sessions, events).join(folders(sessions, commits), "working_dir", "left")
-    scopes = F.concat(F.array(F.struct(F.lit(False).alias("near"), F.lit("").alias("repo"))), F.transform(F.coalesce("repos", F.array().cast("array<string>")), lambda r: F.struct(F.lit(True).alias("near"), r.alias("repo"))))
-    pieces = pieces.select(F.explode(scopes).alias("s"), "lo", "hi", "a", "b", "start", "session_id", span("lo", width).alias("first"), span("hi", width).alias("last"))
+    scopes = F.concat(
+        F.array(F.struct(F.lit(False).alias("near"), F.lit("").alias("repo"))),
+        F.transform(F.coalesce("repos", F.array().cast("array<string>")), lambda r: F.struct(F.lit(True).alias("near"), r.alias("repo"))),
+    )
+    pieces = pieces.select(
+        F.explode(scopes).alias("s"), "lo", "hi", "a", "b", "start", "session_id", span("lo", width).alias("first"),
+        span("hi", width).alias("last"),
+    )
     pieces = cut(pieces.select("s.*", "*").drop("s"))
     kinds = {c: commits.schema[c].dataType for c in ("repo", "hash")}
     none = [F.lit(None).cast(t).alias(k) for k, t in (("of", kinds["repo"]), ("hash", kinds["hash"]))]
     edge = pieces.withColumn("range", F.explode(F.array_distinct(F.array("first", "last"))))
     where = ["near", "repo", "range"]
-    begin = edge.where("a is not null").select(*where, F.greatest("lo", F.col("range") * width).alias("at"), F.lit(BEGIN).alias("kind"), F.col("a").alias("v"), F.col("hi").alias("other"), "start", "session_id", *none)
-    end = edge.where("b is not null").select(*where, F.least("hi", (F.col("range") + 1) * width - 1).alias("at"), F.lit(END).alias("kind"), F.col("b").alias("v"), F.col("lo").alias("other"), "start", "session_id", *none)
+    begin = edge.where("a is not null").select(
+        *where, F.greatest("lo", F.col("range") * width).alias("at"), F.lit(BEGIN).alias("kind"), F.col("a").alias("v"),
+        F.col("hi").alias("other"), "start", "session_id", *none,
+    )
+    end = edge.where("b is not null").select(
+        *where, F.least("hi", (F.col("range") + 1) * width - 1).alias("at"), F.lit(END).alias("kind"), F.col("b").alias("v"),
+        F.col("lo").alias("other"), "start", "session_id", *none,
+    )
     asked = commits.where("committed_at is not null").select(F.col("repo").alias("of"), "hash", instant("committed_at").alias("at"))
     both = F.array(F.struct(F.lit(False).alias("near"), F.lit("").alias("repo")), F.struct(F.lit(True).alias("near"), normal_dir(F.col("of")).alias("repo")))
-    asked = asked.select(F.explode(both).alias("s"), "of", "hash", "at", span("at", width).alias("range")).where("s.repo is not null").select("s.*", "of", "hash", "at", "range")
-    line = asked.select(*where, "at", F.lit(COMMIT).alias("kind"), F.lit(0).cast("long").alias("v"), F.lit(0).cast("long").alias("other"), F.lit(0).cast("long").alias("start"), F.lit(None).cast(sessions.schema["session_id"].dataType).alias("session_id"), "of", "hash")
+    asked = asked.select(
+        F.explode(both).alias("s"), "of", "hash", "at", span("at", width).alias("range"),
+    ).where("s.repo is not null").select("s.*", "of", "hash", "at", "range")
+    line = asked.select(
+        *where, "at", F.lit(COMMIT).alias("kind"), F.lit(0).cast("long").alias("v"), F.lit(0).cast("long").alias("other"),
+        F.lit(0).cast("long").alias("start"),
+        F.lit(None).cast(sessions.schema["session_id"].dataType).alias("session_id"), "of", "hash",
+    )
     order = [*where, "at", "kind", "v", "start", "session_id"]
-    dealt = begin.unionByName(end).unionByName(line).select(*order[:6], "other", "start", "session_id", "of", "hash").repartition(*where).sortWithinPartitions(*order)
+    dealt = begin.unionByName(end).unionByName(line).select(
+        *order[:6], "other", "start", "session_id", "of", "hash",
+    ).repartition(*where).sortWithinPartitions(*order)
     types = {k: t.simpleString() for k, t in (("of", kinds["repo"]), ("hash", kinds["hash"]), ("session_id", sessions.schema["session_id"].dataType))}
     close = dealt.mapInArrow(nearest, f"of {types['of']}, hash {types['hash']}, near boolean, gap long, start long, session_id {types['session_id']}")
     # what lasts throughout a range
@@ -169,7 +196,10 @@ def owners(sessions: DataFrame, events: DataFrame, commits: DataFrame, width: in
     late = F.min(F.when(F.col("a").isNotNull(), F.struct((-F.col("a")).alias("v"), "start", "session_id")))
     soon = F.min(F.when(F.col("b").isNotNull(), F.struct(F.col("b").alias("v"), "start", "session_id")))
     through = through.groupBy(*where).agg(late.alias("late"), soon.alias("soon"))
-    two = F.array(F.struct((F.col("at") + F.col("late.v")).alias("gap"), "late.start", "late.session_id"), F.struct((F.col("soon.v") - F.col("at")).alias("gap"), "soon.start", "soon.session_id"))
+    two = F.array(
+        F.struct((F.col("at") + F.col("late.v")).alias("gap"), "late.start", "late.session_id"),
+        F.struct((F.col("soon.v") - F.col("at")).alias("gap"), "soon.start", "soon.session_id"),
+    )
     far = asked.join(through, where).select("of", "hash", "near", F.explode(two).alias("x")).where("x.gap is not null").select("of", "hash", "near", "x.*")
     best = F.min(F.struct((~F.col("near")).alias("far"), "gap", "start", "session_id")).alias("o")
     return close.unionByName(far).groupBy(F.col("of").alias("repo"), "hash").agg(best).select("repo", "hash", "o.session_id", "o.gap")
@@ -187,4 +217,7 @@ def shortstat(text: Column) -> Column:
     """struct(files, insertions, deletions) of git's --shortstat line."""
     number = lambda p: F.coalesce(n_or_null(F.regexp_extract(text, p, 1)), F.lit(0))
     n_or_null = lambda c: F.nullif(c, F.lit("")).cast("int")
-    return F.struct(number(r"(\d+) files? changed").alias("files"), number(r"(\d+) insertions?").alias("insertions"), number(r"(\d+) deletions?").alias("deletions"))
+    return F.struct(
+        number(r"(\d+) files? changed").alias("files"), number(r"(\d+) insertions?").alias("insertions"),
+        number(r"(\d+) deletions?").alias("deletions"),
+    )

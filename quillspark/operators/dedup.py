@@ -18,7 +18,9 @@ TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_
 def dedupe_group(event_id: Column, tracking_id: Column, parts: list[Column]) -> Column:
     """``event_id:…`` for a row that has an id of its own, else a legacy key of the given parts."""
     own = F.coalesce(blank_to_null(event_id), blank_to_null(tracking_id))
-    return F.when(own.isNotNull(), F.concat(F.lit("event_id:"), own)).otherwise(F.concat(F.lit("legacy:"), F.to_json(F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))))
+    return F.when(
+        own.isNotNull(), F.concat(F.lit("event_id:"), own),
+    ).otherwise(F.concat(F.lit("legacy:"), F.to_json(F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))))
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -17,9 +17,16 @@ def limits(today: str, short: int, long: int) -> tuple[Column, Column, Column]:
 def pair_totals(events: DataFrame, today: str, short: int = 7, long: int = 30) -> DataFrame:
     """provider, model, cost and output tokens of the short window and of the baseline before it."""
     recent, start, end = limits(today, short, long)
-    rows = events.where(F.col("event_date").between(start, end)).select(F.col("provider_norm").alias("provider"), n.model_name(F.col("model")).alias("model"), (F.col("event_date") >= recent).alias("_new"), F.coalesce("cost_estimate_usd", F.lit(0.0)).alias("_cost"), "output_tokens")
+    rows = events.where(F.col("event_date").between(start, end)).select(
+        F.col("provider_norm").alias("provider"), n.model_name(F.col("model")).alias("model"),
+        (F.col("event_date") >= recent).alias("_new"), F.coalesce("cost_estimate_usd", F.lit(0.0)).alias("_cost"),
+        "output_tokens",
+    )
     part = lambda c, new: F.coalesce(F.sum(F.when(F.col("_new") == new, F.col(c))), F.lit(0))
-    return rows.groupBy("provider", "model").agg(part("_cost", True).alias("short_cost"), part("output_tokens", True).alias("short_output"), part("_cost", False).alias("base_cost"), part("output_tokens", False).alias("base_output"))
+    return rows.groupBy("provider", "model").agg(
+        part("_cost", True).alias("short_cost"), part("output_tokens", True).alias("short_output"),
+        part("_cost", False).alias("base_cost"), part("output_tokens", False).alias("base_output"),
+    )
 
 
 def cost_regressions(events: DataFrame, today: str, threshold: float = 1.2, min_output: int = 10, short: int = 7, long: int = 30) -> DataFrame:
@@ -27,16 +34,26 @@ def cost_regressions(events: DataFrame, today: str, threshold: float = 1.2, min_
     ones the latest; the whole short window where no day is raised)."""
     recent, _, end = limits(today, short, long)
     totals = pair_totals(events, today, short, long).where((F.col("short_output") >= min_output) & (F.col("base_cost") != 0) & (F.col("base_output") > 0) & (F.col("short_output") > 0))
-    rates = totals.select("provider", "model", (F.col("short_cost") / F.col("short_output")).alias("rate_short"), (F.col("base_cost") / F.col("base_output")).alias("rate_base")).where("rate_base > 0")
+    rates = totals.select(
+        "provider", "model",
+        (F.col("short_cost") / F.col("short_output")).alias("rate_short"),
+        (F.col("base_cost") / F.col("base_output")).alias("rate_base"),
+    ).where("rate_base > 0")
     found = rates.withColumn("ratio", F.col("rate_short") / F.col("rate_base")).where(F.col("ratio") > threshold)
     runs = elevated_runs(events, found.select("provider", "model", "rate_base"), recent, end, threshold)
-    return found.join(runs, ["provider", "model"], "left").select("provider", "model", "rate_short", "rate_base", "ratio", ((F.col("ratio") - 1) * 100).alias("delta_pct"), F.coalesce("run_start", recent).alias("window_start"), F.coalesce("run_end", end).alias("window_end")).orderBy(F.desc("ratio"), "provider", "model")
+    return found.join(runs, ["provider", "model"], "left").select(
+        "provider", "model", "rate_short", "rate_base", "ratio", ((F.col("ratio") - 1) * 100).alias("delta_pct"),
+        F.coalesce("run_start", recent).alias("window_start"), F.coalesce("run_end", end).alias("window_end"),
+    ).orderBy(F.desc("ratio"), "provider", "model")
 
 
 def elevated_runs(events: DataFrame, baselines: DataFrame, start: Column, end: Column, threshold: float) -> DataFrame:
     """provider, model, run_start, run_end: the longest run of days whose rate is over threshold times rate_base."""
     keys = ["provider", "model"]
-    rows = events.where(F.col("event_date").between(start, end)).select(F.col("provider_norm").alias("provider"), n.model_name(F.col("model")).alias("model"), F.col("event_date").alias("day"), F.coalesce("cost_estimate_usd", F.lit(0.0)).alias("c"), F.col("output_tokens").alias("o"))
+    rows = events.where(F.col("event_date").between(start, end)).select(
+        F.col("provider_norm").alias("provider"), n.model_name(F.col("model")).alias("model"), F.col("event_date").alias("day"),
+        F.coalesce("cost_estimate_usd", F.lit(0.0)).alias("c"), F.col("output_tokens").alias("o"),
+    )
     daily = rows.groupBy(*keys, "day").agg(F.sum("c").alias("c"), F.sum("o").alias("o")).where("o > 0")
     high = daily.join(baselines, keys).where((F.col("c") / F.col("o")) / F.col("rate_base") > threshold)
     island = F.date_sub(F.col("day"), F.row_number().over(Window.partitionBy(*keys).orderBy("day")))
@@ -48,7 +65,11 @@ def elevated_runs(events: DataFrame, baselines: DataFrame, start: Column, end: C
 def fingerprints(events: DataFrame) -> DataFrame:
     """provider, model, bucket (by the size of the prompt), day, cost."""
     prompt = F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_creation_tokens")
-    return events.select(F.col("provider_norm").alias("provider"), n.model_name(F.col("model")).alias("model"), n.prompt_size(prompt).alias("bucket"), F.col("event_date").alias("day"), F.coalesce("cost_estimate_usd", F.lit(0.0)).alias("cost"))
+    return events.select(
+        F.col("provider_norm").alias("provider"), n.model_name(F.col("model")).alias("model"),
+        n.prompt_size(prompt).alias("bucket"), F.col("event_date").alias("day"),
+        F.coalesce("cost_estimate_usd", F.lit(0.0)).alias("cost"),
+    )
 
 
 def slippage_baselines(events: DataFrame, today: str, min_events: int = 5, short: int = 7, long: int = 30) -> DataFrame:
@@ -73,4 +94,6 @@ def slippage_baselines(events: DataFrame, today: str, min_events: int = 5, short
 def slippages(baselines: DataFrame, threshold: float = 1.3) -> DataFrame:
     """Fingerprints whose recent median rose beyond the threshold."""
     ratio = F.col("median_cost_7d") / F.col("median_cost_baseline")
-    return baselines.where("median_cost_baseline > 0").withColumn("ratio", ratio).where(F.col("ratio") > threshold).withColumn("delta_pct", (F.col("ratio") - 1) * 100).orderBy(F.desc("ratio"), "provider", "model", "bucket")
+    return baselines.where("median_cost_baseline > 0").withColumn("ratio", ratio).where(F.col("ratio") > threshold).withColumn("delta_pct", (F.col("ratio") - 1) * 100).orderBy(
+        F.desc("ratio"), "provider", "model", "bucket",
+    )

@@ -93,10 +93,17 @@ def running(points: DataFrame, order: list[str], sums: list[str], width: int) ->
     instant of the point after it. Points with equal ``order`` count together."""
     w = Window.partitionBy("_range").orderBy(*order)
     placed = points.withColumn("_range", span("at", width))
-    placed = placed.select("*", F.lead("at").over(Window.partitionBy("_range").orderBy(*order)).alias("_next"), *[F.sum(c).over(w).alias(f"_in_{c}") for c in sums])
+    placed = placed.select(
+        "*",
+        F.lead("at").over(Window.partitionBy("_range").orderBy(*order)).alias("_next"),
+        *[F.sum(c).over(w).alias(f"_in_{c}") for c in sums],
+    )
     every = Window.orderBy("_range")
     before = every.rowsBetween(Window.unboundedPreceding, -1)
     ranges = placed.groupBy("_range").agg(F.min("at").alias("_first"), *[F.sum(c).alias(f"_all_{c}") for c in sums])
-    ranges = ranges.select("_range", F.lead("_first").over(every).alias("_after"), *[F.coalesce(F.sum(f"_all_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in sums])
+    ranges = ranges.select(
+        "_range", F.lead("_first").over(every).alias("_after"),
+        *[F.coalesce(F.sum(f"_all_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in sums],
+    )
     total = {c: (F.col(f"_before_{c}") + F.col(f"_in_{c}")).alias(c) for c in sums}
     return placed.join(ranges, "_range").select(*[total.get(c, F.col(c)) for c in points.columns], F.coalesce("_next", "_after").alias("_next"))

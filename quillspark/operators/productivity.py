@@ -24,14 +24,23 @@ def eligible(events: DataFrame) -> DataFrame:
 
 def units_by_session(events: DataFrame, tasks: DataFrame, gap_minutes: int = 2) -> DataFrame:
     """session_id, events, active_hours, baseline, effective, kind, start, end: sessions that have an estimate."""
-    known = tasks.where("chunk_date is null").select("session_id", n.effective_hours(F.col("human_corrected_hours"), F.col("ai_baseline_hours")).alias("baseline")).where("baseline is not null")
+    known = tasks.where("chunk_date is null").select(
+        "session_id",
+        n.effective_hours(F.col("human_corrected_hours"), F.col("ai_baseline_hours")).alias("baseline"),
+    ).where("baseline is not null")
     units = timegap.gaps_by(timegap.with_session(events), ["session_id"], gap_minutes).join(known, "session_id")
-    return units.withColumn("_g", n.guarded_hours(F.col("baseline"), F.col("active_hours"), F.col("events"))).select("*", "_g.hours", "_g.kind").withColumnRenamed("hours", "effective").drop("_g")
+    return units.withColumn(
+        "_g",
+        n.guarded_hours(F.col("baseline"), F.col("active_hours"), F.col("events")),
+    ).select("*", "_g.hours", "_g.kind").withColumnRenamed("hours", "effective").drop("_g")
 
 
 def units_by_day(events: DataFrame, tasks: DataFrame, gap_minutes: int = 2) -> DataFrame:
     """As by session, for each (session_id, day); days without an estimate have nulls."""
-    known = tasks.where("chunk_date is not null").select("session_id", F.col("chunk_date").alias("day"), n.effective_hours(F.col("human_corrected_hours"), F.col("ai_baseline_hours")).alias("baseline"))
+    known = tasks.where("chunk_date is not null").select(
+        "session_id", F.col("chunk_date").alias("day"),
+        n.effective_hours(F.col("human_corrected_hours"), F.col("ai_baseline_hours")).alias("baseline"),
+    )
     daily = events.withColumn("day", F.col("event_date"))
     keys = ["session_id", "day"]
     units = timegap.gaps_by(timegap.with_session(daily), keys, gap_minutes).join(known, keys, "left")
@@ -65,7 +74,10 @@ def ratio(row: DataFrame) -> DataFrame:
     floor = F.col("distinct_sessions_covered") * (FLOOR_MINUTES / 60)
     covered = F.col("distinct_sessions_covered") > 0
     denominator = F.when(covered, F.greatest(F.col("human_attention_hours"), floor)).otherwise(F.col("active_hours"))
-    return row.withColumn("denominator_hours", denominator).withColumn("hours_saved", F.col("hours_without_ai") - F.col("denominator_hours")).withColumn("multiplier", F.coalesce(F.try_divide("hours_without_ai", F.nullif(F.col("denominator_hours"), F.lit(0.0))), F.lit(0.0))).withColumn("denominator_is_floor", covered & (floor > F.col("human_attention_hours")))
+    return row.withColumn("denominator_hours", denominator).withColumn("hours_saved", F.col("hours_without_ai") - F.col("denominator_hours")).withColumn(
+        "multiplier",
+        F.coalesce(F.try_divide("hours_without_ai", F.nullif(F.col("denominator_hours"), F.lit(0.0))), F.lit(0.0)),
+    ).withColumn("denominator_is_floor", covered & (floor > F.col("human_attention_hours")))
 
 
 def together(rows: DataFrame, *more: DataFrame) -> DataFrame:

@@ -19,7 +19,11 @@ def units(events: DataFrame) -> DataFrame:
 
 
 def with_tasks(rows: DataFrame, tasks: DataFrame) -> DataFrame:
-    known = tasks.where("chunk_date is not null").select("session_id", F.col("chunk_date").alias("day"), n.effective_hours(F.col("human_corrected_hours"), F.col("ai_baseline_hours")).alias("hours"), "day_input_version", "estimation_mode", "input_read_at")
+    known = tasks.where("chunk_date is not null").select(
+        "session_id", F.col("chunk_date").alias("day"),
+        n.effective_hours(F.col("human_corrected_hours"), F.col("ai_baseline_hours")).alias("hours"), "day_input_version",
+        "estimation_mode", "input_read_at",
+    )
     return rows.join(known, ["session_id", "day"], "left")
 
 
@@ -69,12 +73,18 @@ def after_watermark(records: DataFrame, marks: DataFrame) -> DataFrame:
 def stratified(sessions: DataFrame, k: int) -> DataFrame:
     """The first k sessions, by id, of each size."""
     rows = sessions.withColumn("bucket", n.session_size(F.col("events")))
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("bucket").orderBy("session_id"))).where(F.col("_n") <= k).select("session_id", "bucket", "events")
+    return rows.withColumn(
+        "_n",
+        F.row_number().over(Window.partitionBy("bucket").orderBy("session_id")),
+    ).where(F.col("_n") <= k).select("session_id", "bucket", "events")
 
 
 def saturated(events: DataFrame, tasks: DataFrame, most: int) -> DataFrame:
     """The sessions with the most events for an estimated hour."""
-    known = tasks.where("chunk_date is null").select("session_id", n.effective_hours(F.col("human_corrected_hours"), F.col("ai_baseline_hours")).alias("b")).where("b is not null")
+    known = tasks.where("chunk_date is null").select(
+        "session_id",
+        n.effective_hours(F.col("human_corrected_hours"), F.col("ai_baseline_hours")).alias("b"),
+    ).where("b is not null")
     counts = with_session(events).groupBy("session_id").agg(F.count("*").alias("events"))
     rows = counts.join(known, "session_id").select("session_id", (F.col("events") / F.greatest(F.col("b"), F.lit(0.1))).alias("saturation"))
     return rows.orderBy(F.desc("saturation"), "session_id").limit(most)

@@ -15,9 +15,15 @@ def price_day(ts: Column) -> Column:
 
 def repriced(events: DataFrame) -> DataFrame:
     """The ledger with new_cost: by the producer's price table; other producers keep what they wrote."""
-    claude = pricing.claude_cost(F.col("model"), F.col("input_tokens"), F.col("output_tokens"), F.col("cache_creation_tokens"), F.col("cache_read_tokens"), F.lit(0))
+    claude = pricing.claude_cost(
+        F.col("model"), F.col("input_tokens"), F.col("output_tokens"), F.col("cache_creation_tokens"), F.col("cache_read_tokens"),
+        F.lit(0),
+    )
     openai = pricing.openai_cost(F.col("model"), F.col("input_tokens"), F.col("cached_input_tokens"), F.col("output_tokens"), price_day(F.col("ts")))
-    return events.withColumn("new_cost", F.when(F.col("provider_norm") == "anthropic", claude).when(F.col("provider_norm") == "openai", openai).otherwise(F.col("cost_estimate_usd")))
+    return events.withColumn(
+        "new_cost",
+        F.when(F.col("provider_norm") == "anthropic", claude).when(F.col("provider_norm") == "openai", openai).otherwise(F.col("cost_estimate_usd")),
+    )
 
 
 def recost_report(events: DataFrame) -> DataFrame:

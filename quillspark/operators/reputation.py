@@ -15,9 +15,14 @@ def ledger(steps: DataFrame, min_runs: int = 1) -> DataFrame:
     keys = ["role", "agent"]
     by_status = steps.groupBy(*keys, "status").agg(F.count("*").alias("c")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "c")))).alias("statuses"))
     first = F.min(F.when(F.col("fingerprint").isNotNull(), F.struct("ord", "fingerprint")))["fingerprint"]
-    sums = steps.groupBy(*keys).agg(F.count("*").alias("runs"), F.sum(F.col("ok").cast("long")).alias("successes"), F.avg("duration_ms").alias("mean_duration_ms"), F.max("at").alias("last_at"), first.alias("fingerprint"))
+    sums = steps.groupBy(*keys).agg(
+        F.count("*").alias("runs"), F.sum(F.col("ok").cast("long")).alias("successes"),
+        F.avg("duration_ms").alias("mean_duration_ms"), F.max("at").alias("last_at"), first.alias("fingerprint"),
+    )
     rows = sums.where(F.col("runs") >= min_runs).join(by_status, keys)
-    return rows.withColumn("success_rate", F.col("successes") / F.col("runs")).withColumn("wilson", n.wilson(F.col("successes"), F.col("runs"))).withColumn("confidence", n.confidence(F.col("runs")))
+    return rows.withColumn("success_rate", F.col("successes") / F.col("runs")).withColumn(
+        "wilson", n.wilson(F.col("successes"), F.col("runs")),
+    ).withColumn("confidence", n.confidence(F.col("runs")))
 
 
 def best_by_role(entries: DataFrame) -> DataFrame:
@@ -29,7 +34,11 @@ def best_by_role(entries: DataFrame) -> DataFrame:
 def direct_activity(events: DataFrame, since: str, until: str) -> DataFrame:
     """provider, sessions, calls, cost, cost per session, last time."""
     rows = events.where(F.col("ts").between(F.lit(since).cast("timestamp_ntz"), F.lit(until).cast("timestamp_ntz")))
-    sums = rows.groupBy(F.col("provider_norm").alias("provider")).agg(F.count_distinct(n.blank_to_null(F.col("session_id"))).alias("sessions"), F.sum(1 - F.col("is_correction")).alias("calls"), F.coalesce(F.sum("cost_estimate_usd"), F.lit(0.0)).alias("cost"), F.max("ts").alias("last_ts"))
+    sums = rows.groupBy(F.col("provider_norm").alias("provider")).agg(
+        F.count_distinct(n.blank_to_null(F.col("session_id"))).alias("sessions"),
+        F.sum(1 - F.col("is_correction")).alias("calls"),
+        F.coalesce(F.sum("cost_estimate_usd"), F.lit(0.0)).alias("cost"), F.max("ts").alias("last_ts"),
+    )
     return sums.withColumn("cost_per_session", F.coalesce(F.try_divide("cost", F.nullif(F.col("sessions"), F.lit(0))), F.lit(0.0)))
 
 
@@ -42,9 +51,14 @@ def failure_modes(steps: DataFrame, most: int = 3) -> DataFrame:
 
 def cards(entries: DataFrame, steps: DataFrame) -> DataFrame:
     """agent, runs, successes, roles, last time, success rate and the three most common failures: one card for each agent."""
-    sums = entries.groupBy("agent").agg(F.sum("runs").alias("runs"), F.sum("successes").alias("successes"), F.count("*").alias("roles"), F.max("last_at").alias("last_at"))
+    sums = entries.groupBy("agent").agg(
+        F.sum("runs").alias("runs"), F.sum("successes").alias("successes"), F.count("*").alias("roles"),
+        F.max("last_at").alias("last_at"),
+    )
     modes = failure_modes(steps).groupBy("agent").agg(F.array_sort(F.collect_list(F.struct("nth", F.concat_ws(":", "status", F.col("failures").cast("string")).alias("t")))).alias("m"))
-    return sums.withColumn("success_rate", F.col("successes") / F.col("runs")).join(modes.select("agent", F.array_join(F.transform("m", lambda x: x["t"]), ",").alias("failures")), "agent", "left")
+    return sums.withColumn("success_rate", F.col("successes") / F.col("runs")).join(
+        modes.select("agent", F.array_join(F.transform("m", lambda x: x["t"]), ",").alias("failures")), "agent", "left",
+    )
 
 
 def route(flow: DataFrame, entries: DataFrame, threshold: float = 0.7, min_runs: int = 5, timeouts: float = 0.2) -> DataFrame:

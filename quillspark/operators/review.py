@@ -175,4 +175,7 @@ def report_lines(matrix: DataFrame) -> DataFrame:
     state), roles in the order of their names. A finding has a state for each role of its run, which are few."""
     cells = F.array_sort(F.collect_list(F.struct("role", "state")))
     each = F.transform(F.col("cells"), lambda c: F.concat(c["role"], F.lit(": "), c["state"]))
-    return matrix.groupBy("run_id", "canonical").agg(cells.alias("cells")).select("run_id", "canonical", F.concat(F.lit("| "), "canonical", F.lit(" | "), F.array_join(each, " | "), F.lit(" |")).alias("line"))
+    return matrix.groupBy("run_id", "canonical").agg(cells.alias("cells")).select(
+        "run_id", "canonical",
+        F.concat(F.lit("| "), "canonical", F.lit(" | "), F.array_join(each, " | "), F.lit(" |")).alias("line"),
+    )

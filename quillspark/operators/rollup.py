@@ -32,7 +32,10 @@ def stats() -> list[Column]:
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("output_tokens",)],
         F.coalesce(F.sum(F.col("cache_read_tokens") + F.col("cached_input_tokens")), F.lit(0)).alias("cache_read_tokens"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("cache_creation_tokens", "cached_input_tokens", "reasoning_tokens")],
-        F.coalesce(F.sum(n.total_tokens(*[F.col(c) for c in ("total_tokens", "input_tokens", "cached_input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")])), F.lit(0)).alias("total_tokens"),
+        F.coalesce(
+            F.sum(n.total_tokens(*[F.col(c) for c in ("total_tokens", "input_tokens", "cached_input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")])),
+            F.lit(0),
+        ).alias("total_tokens"),
         F.coalesce(F.sum("cost_estimate_usd"), F.lit(0.0)).alias("cost_estimate_usd"),
         F.coalesce(F.sum(F.col("cost_estimate_usd").isNull().cast("long")), F.lit(0)).alias("unknown_pricing_events"),
     ]
@@ -57,7 +60,9 @@ def by_provider(events: DataFrame) -> DataFrame:
 
 
 def by_origin(events: DataFrame) -> DataFrame:
-    return events.groupBy(F.col("provider_norm").alias("provider"), F.coalesce("origin_norm", F.lit("unknown")).alias("origin")).agg(*stats()).orderBy("provider", F.desc("cost_estimate_usd"), F.desc("calls"), "origin")
+    return events.groupBy(
+        F.col("provider_norm").alias("provider"), F.coalesce("origin_norm", F.lit("unknown")).alias("origin"),
+    ).agg(*stats()).orderBy("provider", F.desc("cost_estimate_usd"), F.desc("calls"), "origin")
 
 
 def by_day(events: DataFrame) -> DataFrame:
@@ -83,7 +88,10 @@ def model_shares(events: DataFrame) -> DataFrame:
     rows = events.where(~F.lower(F.coalesce("model", F.lit(""))).isin("<synthetic>", "synthetic", "unknown", ""))
     cost = rows.groupBy("provider_norm", "model").agg(F.coalesce(F.sum("cost_estimate_usd"), F.lit(0.0)).alias("cost"))
     total = F.sum("cost").over(Window.partitionBy())
-    return cost.select(F.col("provider_norm").alias("provider"), "model", n.model_short(F.col("model")).alias("label"), "cost", F.coalesce(F.try_divide(F.col("cost") * 100, F.nullif(total, F.lit(0.0))), F.lit(0.0)).alias("percent"))
+    return cost.select(
+        F.col("provider_norm").alias("provider"), "model", n.model_short(F.col("model")).alias("label"), "cost",
+        F.coalesce(F.try_divide(F.col("cost") * 100, F.nullif(total, F.lit(0.0))), F.lit(0.0)).alias("percent"),
+    )
 
 
 def most_common(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -96,13 +104,22 @@ def most_common(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def sessions(events: DataFrame) -> DataFrame:
     """session_id, first and last time, calls, cost, most common model."""
     rows = events.where(F.coalesce("session_id", F.lit("")) != "").withColumn("model", n.model_name(F.col("model")))
-    spans = rows.groupBy("session_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum(1 - F.col("is_correction")).alias("calls"), F.coalesce(F.sum("cost_estimate_usd"), F.lit(0.0)).alias("cost"))
+    spans = rows.groupBy("session_id").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum(1 - F.col("is_correction")).alias("calls"),
+        F.coalesce(F.sum("cost_estimate_usd"), F.lit(0.0)).alias("cost"),
+    )
     return spans.join(most_common(rows, ["session_id"], "model"), "session_id")
 
 
 def session_list(events: DataFrame, tasks: DataFrame, limit: int) -> DataFrame:
     """The latest sessions with what is known about their task; without a task its columns are null."""
-    joined = sessions(events).join(tasks.where("chunk_date is null").select("session_id", "brief_description", n.effective_hours(F.col("human_corrected_hours"), F.col("ai_baseline_hours")).alias("baseline_hours")), "session_id", "left")
+    joined = sessions(events).join(
+        tasks.where("chunk_date is null").select(
+            "session_id", "brief_description",
+            n.effective_hours(F.col("human_corrected_hours"), F.col("ai_baseline_hours")).alias("baseline_hours"),
+        ),
+        "session_id", "left",
+    )
     return joined.orderBy(F.desc("last_ts"), "session_id").limit(limit)
 
 
@@ -136,7 +153,11 @@ def periods(events: DataFrame, today: str, days: tuple[int, ...]) -> DataFrame:
     rows = dedup_events(events.where(F.col("event_date").between(F.date_sub(at, max(days) - 1), at) & ~F.col("model").eqNullSafe(F.lit(n.SYNTHETIC))))
     age = F.date_diff(at, F.col("event_date"))
     each = rows.withColumn("days", F.explode(F.filter(F.array(*map(F.lit, days)), lambda k: k > age)))
-    return each.groupBy("days").agg(F.sum(1 - F.col("is_correction")).cast("long").alias("calls"), F.coalesce(F.sum("cost_estimate_usd"), F.lit(0.0)).alias("cost"), F.count_distinct(n.blank_to_null(F.col("session_id"))).alias("sessions"))
+    return each.groupBy("days").agg(
+        F.sum(1 - F.col("is_correction")).cast("long").alias("calls"),
+        F.coalesce(F.sum("cost_estimate_usd"), F.lit(0.0)).alias("cost"),
+        F.count_distinct(n.blank_to_null(F.col("session_id"))).alias("sessions"),
+    )
 
 
 # Estimated limits of tokens in five hours.
@@ -152,7 +173,11 @@ def budget(events: DataFrame, now: str, limits: dict[str, int] | None = None) ->
     day = events.where(F.col("ts").between(at - F.expr("INTERVAL 24 HOURS"), at) & (F.col("provider_norm") == "anthropic"))
     recent = F.col("ts") >= at - F.expr("INTERVAL 5 HOURS")
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    out = day.agg(zero(F.when(recent, total)).alias("tokens_5h"), zero(F.when(recent, cache)).alias("cache_5h"), zero(total).alias("tokens_24h"), zero(cache).alias("cache_24h"), zero(1 - F.col("is_correction")).alias("calls_24h"), F.coalesce(F.sum("cost_estimate_usd"), F.lit(0.0)).alias("cost_24h"))
+    out = day.agg(
+        zero(F.when(recent, total)).alias("tokens_5h"), zero(F.when(recent, cache)).alias("cache_5h"),
+        zero(total).alias("tokens_24h"), zero(cache).alias("cache_24h"), zero(1 - F.col("is_correction")).alias("calls_24h"),
+        F.coalesce(F.sum("cost_estimate_usd"), F.lit(0.0)).alias("cost_24h"),
+    )
     for name, most in (limits or LIMITS).items():
         out = out.withColumn(f"percent_{name}", n.percent(F.col("tokens_5h"), F.lit(most)))
     return out

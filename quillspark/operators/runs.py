@@ -71,9 +71,15 @@ def rechunk_plan(units: DataFrame, tasks: DataFrame, multi_day_only: bool = True
     """session_id, days, missing, baseline: sessions with an estimate of their own whose days lack one.
 
     ``units``: (session_id, day)."""
-    whole = tasks.where("chunk_date is null").select("session_id", n.effective_hours(F.col("human_corrected_hours"), F.col("ai_baseline_hours")).alias("baseline")).where("baseline is not null")
+    whole = tasks.where("chunk_date is null").select(
+        "session_id",
+        n.effective_hours(F.col("human_corrected_hours"), F.col("ai_baseline_hours")).alias("baseline"),
+    ).where("baseline is not null")
     daily = tasks.where("chunk_date is not null").select("session_id", F.col("chunk_date").alias("day"), F.lit(1).alias("known")).distinct()
-    sums = units.distinct().join(daily, ["session_id", "day"], "left").groupBy("session_id").agg(F.count("*").alias("days"), F.sum((F.col("known").isNull()).cast("long")).alias("missing"))
+    sums = units.distinct().join(daily, ["session_id", "day"], "left").groupBy("session_id").agg(
+        F.count("*").alias("days"),
+        F.sum((F.col("known").isNull()).cast("long")).alias("missing"),
+    )
     return sums.join(whole, "session_id").where((F.col("missing") > 0) & ((F.col("days") > 1) if multi_day_only else F.lit(True)))
 
 
@@ -99,8 +105,17 @@ def imported_messages(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     number = lambda k: F.coalesce(F.get_json_object("data", f"$.{k}").try_cast("bigint"), F.lit(0))
     when = F.coalesce(*[n.epoch_ms(F.nullif(number(f"time.{k}"), F.lit(0))) for k in ("completed", "updated", "created")])
     joined = messages.alias("m").join(sessions.select(F.col("id").alias("_sid"), "directory"), F.col("m.session_id") == F.col("_sid"), "left")
-    fields = {"input_tokens": "tokens.input", "output_tokens": "tokens.output", "reasoning_tokens": "tokens.reasoning", "cache_read_tokens": "tokens.cache.read", "cache_creation_tokens": "tokens.cache.write"}
-    rows = joined.where(F.get_json_object("data", "$.role") == "assistant").select(F.col("m.id").alias("event_id"), "m.session_id", F.coalesce(F.get_json_object("data", "$.path.cwd"), "directory").alias("working_dir"), when.cast("timestamp_ntz").alias("ts"), F.get_json_object("data", "$.modelID").alias("model"), *[number(p).alias(c) for c, p in fields.items()], F.get_json_object("data", "$.cost").try_cast("double").alias("cost_estimate_usd"))
+    fields = {
+        "input_tokens": "tokens.input", "output_tokens": "tokens.output", "reasoning_tokens": "tokens.reasoning",
+        "cache_read_tokens": "tokens.cache.read", "cache_creation_tokens": "tokens.cache.write",
+    }
+    rows = joined.where(F.get_json_object("data", "$.role") == "assistant").select(
+        F.col("m.id").alias("event_id"), "m.session_id",
+        F.coalesce(F.get_json_object("data", "$.path.cwd"), "directory").alias("working_dir"),
+        when.cast("timestamp_ntz").alias("ts"), F.get_json_object("data", "$.modelID").alias("model"),
+        *[number(p).alias(c) for c, p in fields.items()],
+        F.get_json_object("data", "$.cost").try_cast("double").alias("cost_estimate_usd"),
+    )
     used = F.lit(False)
     for c in fields:
         used = used | (F.col(c) > 0)
@@ -112,7 +127,11 @@ def session_metrics(messages: DataFrame, gap_minutes: int = 2) -> DataFrame:
     from . import timegap
 
     rows = messages.where("ts is not null").withColumn("day", F.to_date("ts")).withColumn("session_id", F.col("path"))
-    counts = rows.groupBy("path", "day").agg(F.sum((F.col("role") == "user").cast("long")).alias("user_messages"), F.sum((F.col("role") == "assistant").cast("long")).alias("assistant_messages"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+    counts = rows.groupBy("path", "day").agg(
+        F.sum((F.col("role") == "user").cast("long")).alias("user_messages"),
+        F.sum((F.col("role") == "assistant").cast("long")).alias("assistant_messages"), F.min("ts").alias("start"),
+        F.max("ts").alias("end"),
+    )
     active = timegap.active_by(rows, ["path", "session_id", "day"], gap_minutes).select("path", "day", "active_hours")
     return counts.join(active, ["path", "day"])
 

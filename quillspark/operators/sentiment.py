@@ -43,7 +43,10 @@ def summary(rows: DataFrame) -> DataFrame:
         n.stress_trend(*halves).alias("stress_trend"),
         F.count("*").alias("sessions_covered"),
     ).where("sessions_covered > 0")
-    return sums.crossJoin(top).select("*", F.col("top.day").alias("top_day"), F.col("top.p").alias("top_day_profanity"), F.col("thanks.day").alias("top_appreciation_day")).drop("top", "thanks").withColumn("frustration_label", n.sentiment_label(F.col("frustration_avg")))
+    return sums.crossJoin(top).select(
+        "*", F.col("top.day").alias("top_day"), F.col("top.p").alias("top_day_profanity"),
+        F.col("thanks.day").alias("top_appreciation_day"),
+    ).drop("top", "thanks").withColumn("frustration_label", n.sentiment_label(F.col("frustration_avg")))
 
 
 def moods(rows: DataFrame, most: int = 3) -> DataFrame:
@@ -56,4 +59,6 @@ def daily(rows: DataFrame, start: str, end: str) -> DataFrame:
     from .rollup import calendar
 
     by_day = rows.groupBy("day").agg(F.sum("profanity").alias("profanity"), F.avg("frustration").alias("frustration"))
-    return calendar(rows.sparkSession, start, end).join(by_day, "day", "left").select("day", F.coalesce("profanity", F.lit(0)).alias("profanity"), F.coalesce("frustration", F.lit(0.0)).alias("frustration"))
+    return calendar(rows.sparkSession, start, end).join(by_day, "day", "left").select(
+        "day", F.coalesce("profanity", F.lit(0)).alias("profanity"), F.coalesce("frustration", F.lit(0.0)).alias("frustration"),
+    )

@@ -26,10 +26,16 @@ def gaps_by(times: DataFrame, keys: list[str], gap_minutes: int, width: int = HO
     near = lambda c: F.coalesce(F.sum(F.when(F.col(c) <= limit, F.col(c))), F.lit(0))
     at = times.select(*keys, "ts", instant("ts").alias("at")).withColumn("_range", span("at", width))
     inner = at.withColumn("_gap", F.col("at") - F.lag("at").over(Window.partitionBy(*own).orderBy("at")))
-    ranges = inner.groupBy(*own).agg(F.count("*").alias("_rows"), F.min("at").alias("_first"), F.max("at").alias("_last"), near("_gap").alias("_in"), F.min("ts").alias("_start"), F.max("ts").alias("_end"))
+    ranges = inner.groupBy(*own).agg(
+        F.count("*").alias("_rows"), F.min("at").alias("_first"), F.max("at").alias("_last"), near("_gap").alias("_in"),
+        F.min("ts").alias("_start"), F.max("ts").alias("_end"),
+    )
     joined = ranges.withColumn("_over", F.col("_first") - F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")))
     hours = (F.coalesce(F.sum("_in"), F.lit(0)) + near("_over")) / HOUR
-    return joined.groupBy(*keys).agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("events"), hours.alias("active_hours"), F.min("_start").alias("start"), F.max("_end").alias("end"))
+    return joined.groupBy(*keys).agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("events"), hours.alias("active_hours"), F.min("_start").alias("start"),
+        F.max("_end").alias("end"),
+    )
 
 
 def active_by(events: DataFrame, keys: list[str], gap_minutes: int = 2) -> DataFrame:

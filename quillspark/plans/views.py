@@ -47,7 +47,13 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     origin = n.codex_origin(F.lit(None).cast("string"), F.col("originator"), F.col("source"), F.col("model"), F.col("provider_norm"))
     parts = [F.col(c) for c in ("provider_norm", "session_id", "ts", "model", "input_tokens", "output_tokens")]
     rows = rows.withColumn("origin_norm", F.when(F.col("provider_norm") == "openai", origin))
-    return rows.withColumn("dedupe_group", dedupe_group(F.col("event_id"), F.lit(None).cast("string"), [p if i != 2 else F.date_format(p, "yyyy-MM-dd HH:mm:ss.SSSSSS") for i, p in enumerate(parts)]))
+    return rows.withColumn(
+        "dedupe_group",
+        dedupe_group(
+            F.col("event_id"), F.lit(None).cast("string"),
+            [p if i != 2 else F.date_format(p, "yyyy-MM-dd HH:mm:ss.SSSSSS") for i, p in enumerate(parts)],
+        ),
+    )
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +74,10 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     whole = c.selectExpr("CAST(c_custkey AS STRING) AS session_id", "CAST(NULL AS DATE) AS chunk_date", *common, "CAST(NULL AS TIMESTAMP_NTZ) AS input_read_at")
     days = c.selectExpr("CAST(c_custkey AS STRING) AS session_id", "explode(sequence(0, 29)) AS d", "*").where("(c_custkey + d) % 3 > 0")
-    days = days.selectExpr("session_id", "date_add(DATE'2024-01-01', d) AS chunk_date", *common, "CASE WHEN d % 4 = 0 THEN CAST(date_add(DATE'2024-01-01', d) AS TIMESTAMP_NTZ) + INTERVAL 8 HOURS WHEN d % 4 = 1 THEN CAST(date_add(DATE'2024-01-01', d) AS TIMESTAMP_NTZ) + INTERVAL 30 HOURS END AS input_read_at")
+    days = days.selectExpr(
+        "session_id", "date_add(DATE'2024-01-01', d) AS chunk_date", *common,
+        "CASE WHEN d % 4 = 0 THEN CAST(date_add(DATE'2024-01-01', d) AS TIMESTAMP_NTZ) + INTERVAL 8 HOURS WHEN d % 4 = 1 THEN CAST(date_add(DATE'2024-01-01', d) AS TIMESTAMP_NTZ) + INTERVAL 30 HOURS END AS input_read_at",
+    )
     return whole.unionByName(days)
 
 
@@ -83,13 +92,22 @@ def cached_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr("concat('/work/repo', o_orderkey % 2) AS repo", "CAST(o_orderkey AS STRING) AS hash", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(o_orderkey * 37 % 43200 AS INT)) AS committed_at", "CAST(o_totalprice AS BIGINT) % 400 AS lines")
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('/work/repo', o_orderkey % 2) AS repo", "CAST(o_orderkey AS STRING) AS hash",
+        "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(o_orderkey * 37 % 43200 AS INT)) AS committed_at",
+        "CAST(o_totalprice AS BIGINT) % 400 AS lines",
+    )
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of runs: a role, an agent, how it ended and how long it took."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.selectExpr("p_brand AS role", "concat('agent', l_suppkey % 8) AS agent", "CASE l_returnflag WHEN 'A' THEN 'ok' WHEN 'N' THEN 'error' ELSE 'timeout' END AS status", "l_returnflag = 'A' AS ok", "l_quantity * 1000 AS duration_ms", "l_shipdate AS at", "l_orderkey * 10 + l_linenumber AS ord", "CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linestatus END AS fingerprint")
+    return rows.selectExpr(
+        "p_brand AS role", "concat('agent', l_suppkey % 8) AS agent",
+        "CASE l_returnflag WHEN 'A' THEN 'ok' WHEN 'N' THEN 'error' ELSE 'timeout' END AS status", "l_returnflag = 'A' AS ok",
+        "l_quantity * 1000 AS duration_ms", "l_shipdate AS at", "l_orderkey * 10 + l_linenumber AS ord",
+        "CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linestatus END AS fingerprint",
+    )
 
 
 LEDGER = """
@@ -99,7 +117,8 @@ led0 AS (SELECT event_id AS ord,
   ts, CAST(ts AS DATE) AS event_date, CAST(user_id AS VARCHAR) AS session_id,
   CASE user_id % 6 WHEN 1 THEN 'openai' WHEN 2 THEN 'openrouter' WHEN 3 THEN 'opencode' WHEN 4 THEN 'openai' ELSE 'anthropic' END AS provider_norm,
   CASE WHEN k = 13 THEN '<synthetic>' WHEN event_type = 'purchase' THEN 'gpt-5.6-sol' WHEN event_type = 'view' THEN 'claude-sonnet-4-20250514'
-    WHEN event_type = 'signup' THEN 'openrouter/free' WHEN event_type = 'click' THEN 'claude-opus-4-1' WHEN k % 2 = 0 THEN '' ELSE 'codex-auto-review' END AS model,
+    WHEN event_type = 'signup' THEN 'openrouter/free' WHEN event_type = 'click' THEN 'claude-opus-4-1' WHEN k % 2 = 0 THEN ''
+  ELSE 'codex-auto-review' END AS model,
   user_id, CASE WHEN event_id % 50 = 7 THEN 1 ELSE 0 END AS is_correction,
   CASE WHEN event_id % 50 = 7 THEN 0 ELSE k END AS t, k, value FROM raw),
 led1 AS (SELECT *, 100 * t AS input_tokens, 10 * t AS output_tokens, 7 * (t % 5) AS cached, 3 * (t % 4) AS cread, 2 * (t % 3) AS ccreate, t % 2 AS reasoning,

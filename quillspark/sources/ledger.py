@@ -14,8 +14,14 @@ from ..operators.dedup import dedupe_group
 
 #: file name without its ending: (tag, default provider)
 FILES = {"claude": "anthropic", "codex": "openai", "openclaw": "openrouter", "opencode": "opencode", "dscall": "openrouter"}
-INTEGERS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "cached_input_tokens", "reasoning_tokens", "total_tokens", "tool_uses", "cache_creation_1h_tokens", "cache_creation_5m_tokens")
-STRINGS = ("session_id", "message_uuid", "model", "working_dir", "stop_reason", "provider", "codex_origin", "originator", "codex_source", "source", "openclaw_source", "opencode_agent", "opencode_provider_id", "correction_of", "kind", "reason", "agent_id")
+INTEGERS = (
+    "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "cached_input_tokens", "reasoning_tokens",
+    "total_tokens", "tool_uses", "cache_creation_1h_tokens", "cache_creation_5m_tokens",
+)
+STRINGS = (
+    "session_id", "message_uuid", "model", "working_dir", "stop_reason", "provider", "codex_origin", "originator", "codex_source",
+    "source", "openclaw_source", "opencode_agent", "opencode_provider_id", "correction_of", "kind", "reason", "agent_id",
+)
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -56,14 +62,32 @@ def read_events(spark: SparkSession, path: str, default_provider: str, tag: str)
     """Normalized events of one ledger: lines without a readable time and synthetic ones are left out."""
     rows = lines(spark, path)
     columns = [text(c).alias(c) for c in STRINGS] + [integer(c).alias(c) for c in INTEGERS]
-    rows = rows.select("file", "block", "id", F.col("value").alias("raw_json"), local_time(text("ts")).alias("ts"), text("ts").alias("ts_raw"), *columns, optional("cost_estimate_usd", "double").alias("cost_estimate_usd"), optional("duration_ms", "bigint").alias("duration_ms"), get("exit_code", "bigint").alias("exit_code"), text("event_id").alias("event_id"), text("tracking_run_id").alias("tracking_run_id"))
+    rows = rows.select(
+        "file", "block", "id", F.col("value").alias("raw_json"), local_time(text("ts")).alias("ts"), text("ts").alias("ts_raw"),
+        *columns,
+        optional("cost_estimate_usd", "double").alias("cost_estimate_usd"),
+        optional("duration_ms", "bigint").alias("duration_ms"), get("exit_code", "bigint").alias("exit_code"),
+        text("event_id").alias("event_id"), text("tracking_run_id").alias("tracking_run_id"),
+    )
     rows = rows.where(F.col("ts").isNotNull() & ~F.col("model").eqNullSafe(F.lit(n.SYNTHETIC)))
     given = F.coalesce(n.blank_to_null(F.col("provider")), F.lit(default_provider))
     rows = rows.withColumn("json_provider", F.col("provider")).withColumn("provider", F.lit(tag)).withColumn("provider_norm", n.provider(given)).withColumn("event_date", F.to_date("ts"))
     rows = rows.withColumn("is_correction", (F.coalesce("correction_of", F.lit("")) != "").cast("int"))
-    origin = F.when(F.col("provider_norm") == "openai", n.codex_origin(*[F.col(c) for c in ("codex_origin", "originator")], F.coalesce("codex_source", "source"), F.col("model"), F.col("provider_norm"))).when(F.col("provider_norm") == "openrouter", n.blank_to_null(F.col("openclaw_source"))).when(F.col("provider_norm") == "opencode", n.blank_to_null(F.coalesce("opencode_agent", "opencode_provider_id")))
+    origin = F.when(
+        F.col("provider_norm") == "openai",
+        n.codex_origin(
+            *[F.col(c) for c in ("codex_origin", "originator")], F.coalesce("codex_source", "source"), F.col("model"),
+            F.col("provider_norm"),
+        ),
+    ).when(F.col("provider_norm") == "openrouter", n.blank_to_null(F.col("openclaw_source"))).when(
+        F.col("provider_norm") == "opencode",
+        n.blank_to_null(F.coalesce("opencode_agent", "opencode_provider_id")),
+    )
     rows = rows.withColumn("origin_norm", origin)
-    parts = [n.dedupe_provider(F.col("json_provider"), F.lit(default_provider)), *[F.col(c) for c in ("session_id", "message_uuid", "ts_raw", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "cached_input_tokens", "reasoning_tokens", "total_tokens")]]
+    parts = [
+        n.dedupe_provider(F.col("json_provider"), F.lit(default_provider)),
+        *[F.col(c) for c in ("session_id", "message_uuid", "ts_raw", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "cached_input_tokens", "reasoning_tokens", "total_tokens")],
+    ]
     return rows.withColumn("dedupe_group", dedupe_group(F.col("event_id"), F.col("tracking_run_id"), parts))
 
 
@@ -85,34 +109,62 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     present = F.lit(False)
     for k in keys:
         present = present | F.array_contains(F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")), F.lit(k))
-    columns = ("human_corrected_hours", "ai_baseline_hours", "profanity_count", "appreciation_count", "frustration_score", "appreciation_score", "mood_arc", "sentiment_intensity", "brief_description", "estimation_mode", "transcript_path")
-    return rows.select("task_key", F.when(day == "", F.col("task_key")).otherwise(F.regexp_extract("task_key", r"^(.*):\d{4}-\d{2}-\d{2}$", 1)).alias("session_id"), F.try_to_date(n.blank_to_null(day)).alias("chunk_date"), *[text(c).alias(c) for c in columns], get("day_input_version", "int").alias("day_input_version"), local_time(text("day_input_read_at")).alias("input_read_at"), present.alias("has_sentiment"))
+    columns = (
+        "human_corrected_hours", "ai_baseline_hours", "profanity_count", "appreciation_count", "frustration_score",
+        "appreciation_score", "mood_arc", "sentiment_intensity", "brief_description", "estimation_mode", "transcript_path",
+    )
+    return rows.select(
+        "task_key",
+        F.when(day == "", F.col("task_key")).otherwise(F.regexp_extract("task_key", r"^(.*):\d{4}-\d{2}-\d{2}$", 1)).alias("session_id"),
+        F.try_to_date(n.blank_to_null(day)).alias("chunk_date"), *[text(c).alias(c) for c in columns],
+        get("day_input_version", "int").alias("day_input_version"),
+        local_time(text("day_input_read_at")).alias("input_read_at"), present.alias("has_sentiment"),
+    )
 
 
 def read_bus_events(spark: SparkSession, path: str) -> DataFrame:
     """Transitions of routed tasks: rows with a time and a transition."""
     columns = ("provider", "task_id", "session_id", "kind", "transition", "exec_id", "target_host")
-    rows = lines(spark, path).select(local_time(text("ts")).alias("ts"), *[text(c).alias(c) for c in columns], *[integer(c).alias(c) for c in ("issue_number", "lease_seconds", "input_tokens", "output_tokens")], optional("cost_estimate_usd", "double").alias("cost_estimate_usd"), optional("duration_ms", "bigint").alias("duration_ms"))
+    rows = lines(spark, path).select(
+        local_time(text("ts")).alias("ts"), *[text(c).alias(c) for c in columns],
+        *[integer(c).alias(c) for c in ("issue_number", "lease_seconds", "input_tokens", "output_tokens")],
+        optional("cost_estimate_usd", "double").alias("cost_estimate_usd"),
+        optional("duration_ms", "bigint").alias("duration_ms"),
+    )
     return rows.where(F.col("ts").isNotNull() & (F.coalesce("transition", F.lit("")) != ""))
 
 
 def read_attention_cache(spark: SparkSession, path: str) -> DataFrame:
     """session_id, ts from a map of objects with arrays of epoch seconds; what is no number is left out."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
-    rows = whole.select(F.explode("m").alias("session_id", "value")).select("session_id", F.explode(F.from_json(F.get_json_object("value", "$.ts"), "array<string>")).alias("t"))
+    rows = whole.select(F.explode("m").alias("session_id", "value")).select(
+        "session_id",
+        F.explode(F.from_json(F.get_json_object("value", "$.ts"), "array<string>")).alias("t"),
+    )
     return rows.select("session_id", F.timestamp_seconds(F.col("t").try_cast("double")).cast("timestamp_ntz").alias("ts")).where("ts is not null")
 
 
 def read_run_states(spark: SparkSession, path: str) -> DataFrame:
     """run_id, and each step's role, status, ok, duration and time (epoch seconds or ISO text)."""
     rows = spark.read.text(path, wholetext=True).withColumn("v", F.try_parse_json("value")).where("v is not null")
-    steps = rows.select(text("run_id").alias("run_id"), F.posexplode(F.from_json(F.get_json_object("value", "$.steps"), "array<string>")).alias("ord", "s")).withColumn("v", F.try_parse_json("s"))
+    steps = rows.select(
+        text("run_id").alias("run_id"),
+        F.posexplode(F.from_json(F.get_json_object("value", "$.steps"), "array<string>")).alias("ord", "s"),
+    ).withColumn("v", F.try_parse_json("s"))
     at = F.coalesce(F.timestamp_seconds(get("started_at", "double")), F.try_to_timestamp(text("started_at"))).cast("timestamp_ntz")
-    return steps.select("run_id", "ord", text("role").alias("role"), text("status").alias("status"), F.coalesce(get("result.ok", "boolean"), F.lit(False)).alias("ok"), get("result.duration_ms", "double").alias("duration_ms"), at.alias("at"))
+    return steps.select(
+        "run_id", "ord", text("role").alias("role"), text("status").alias("status"),
+        F.coalesce(get("result.ok", "boolean"), F.lit(False)).alias("ok"),
+        get("result.duration_ms", "double").alias("duration_ms"), at.alias("at"),
+    )
 
 
 def schema_coverage(spark: SparkSession, path: str) -> DataFrame:
     """file, records, how many bear a schema version, and how many are broken."""
     raw = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("v"))
     good = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    return raw.groupBy("file").agg(F.count("*").alias("records"), F.sum((good & get("schema_version", "int").isNotNull()).cast("long")).alias("versioned"), F.sum((~good).cast("long")).alias("broken"))
+    return raw.groupBy("file").agg(
+        F.count("*").alias("records"),
+        F.sum((good & get("schema_version", "int").isNotNull()).cast("long")).alias("versioned"),
+        F.sum((~good).cast("long")).alias("broken"),
+    )

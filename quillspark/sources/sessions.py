@@ -23,7 +23,10 @@ AGENTS = "subagents"
 def files(spark: SparkSession, root: str) -> DataFrame:
     """Lines of all session files below a folder, those of subagents included, with each file's ``stream_identity``."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root)
-    raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    raw = raw.select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+    )
     known = stream_identity(F.col("file"))
     return parsed(raw).withColumn("_i", known).where("_i.session_id is not null").select("*", "_i.*").drop("_i")
 
@@ -35,7 +38,9 @@ def stream_identity(path: Column) -> Column:
     agent = rf"/([^/]+)/([^/]+)/{AGENTS}/((?:.*/)?agent-[^/]*)\.jsonl$"
     main = r"/([^/]+)/([^/]+)\.jsonl$"
     inside = F.contains(bare, F.lit(f"/{AGENTS}/"))
-    of = lambda k, j: F.when(inside, n.blank_to_null(F.regexp_extract(bare, agent, k))).otherwise(n.blank_to_null(F.regexp_extract(bare, main, j)))
+    of = lambda k, j: F.when(
+        inside, n.blank_to_null(F.regexp_extract(bare, agent, k)),
+    ).otherwise(n.blank_to_null(F.regexp_extract(bare, main, j)))
     who = F.when(inside, n.blank_to_null(F.regexp_extract(bare, agent, 3)))
     return F.struct(of(2, 2).alias("session_id"), n.project_dir(of(1, 1)).alias("working_dir"), who.alias("agent_id"))
 
@@ -51,7 +56,9 @@ def switched_calls(rows: DataFrame, since: str | None = None) -> DataFrame:
     w = Window.partitionBy("file").orderBy("block", "id").rowsBetween(Window.unboundedPreceding, 0)
     at = local_time(F.coalesce(text("timestamp"), text("message.timestamp")))
     usage = get("message.usage", "variant")
-    call = (kind == "message") & (text("message.role") == "assistant") & F.coalesce(F.schema_of_variant(usage).startswith("OBJECT"), F.lit(False)) & at.isNotNull()
+    call = (kind == "message") & (text("message.role") == "assistant") & F.coalesce(
+        F.schema_of_variant(usage).startswith("OBJECT"), F.lit(False),
+    ) & at.isNotNull()
     if since is not None:
         call = call & (at >= F.lit(since).cast("timestamp_ntz"))
     call = F.coalesce(call, F.lit(False))

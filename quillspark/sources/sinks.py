@@ -57,7 +57,10 @@ def merge_cache(frozen: DataFrame, live: DataFrame) -> DataFrame:
     f, c = frozen.alias("f"), live.alias("l")
     joined = f.join(c, F.col("f.session_id") == F.col("l.session_id"), "full")
     take = F.col("l.ts").isNotNull() & ~F.size("l.ts").eqNullSafe(F.size("f.ts"))
-    return joined.select(F.coalesce("f.session_id", "l.session_id").alias("session_id"), F.when(take, F.col("l.ts")).otherwise(F.coalesce("f.ts", "l.ts")).alias("ts"))
+    return joined.select(
+        F.coalesce("f.session_id", "l.session_id").alias("session_id"),
+        F.when(take, F.col("l.ts")).otherwise(F.coalesce("f.ts", "l.ts")).alias("ts"),
+    )
 
 
 def snapshot(parts: dict[str, DataFrame]) -> DataFrame:

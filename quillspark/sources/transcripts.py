@@ -14,7 +14,10 @@ USER_BLOCKS = ("text", "input_text")
 def block_text(content: str) -> Column:
     """The text of a message: written as text, or the text blocks of an array, one on a line."""
     blocks = F.from_json(content, "array<struct<type:string,text:string>>")
-    joined = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"].isin("text", "input_text", "output_text")), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
+    joined = F.array_join(
+        F.transform(F.filter(blocks, lambda b: b["type"].isin("text", "input_text", "output_text")), lambda b: F.coalesce(b["text"], F.lit(""))),
+        "\n",
+    )
     return F.when(F.startswith(F.col(content), F.lit("[")), joined).otherwise(F.col(content))
 
 
@@ -52,9 +55,18 @@ def prompts(rows: DataFrame) -> DataFrame:
 def billable(rows: DataFrame) -> DataFrame:
     """Assistant messages with usage, model and id: one row for each id, the first."""
     usage = "message.usage"
-    fields = {"input_tokens": "input_tokens", "output_tokens": "output_tokens", "cache_read_tokens": "cache_read_input_tokens", "cache_creation_tokens": "cache_creation_input_tokens", "cache_creation_1h_tokens": "cache_creation.ephemeral_1h_input_tokens", "cache_creation_5m_tokens": "cache_creation.ephemeral_5m_input_tokens"}
+    fields = {
+        "input_tokens": "input_tokens", "output_tokens": "output_tokens", "cache_read_tokens": "cache_read_input_tokens",
+        "cache_creation_tokens": "cache_creation_input_tokens",
+        "cache_creation_1h_tokens": "cache_creation.ephemeral_1h_input_tokens",
+        "cache_creation_5m_tokens": "cache_creation.ephemeral_5m_input_tokens",
+    }
     own = rows.where((F.col("role") == "assistant") & F.col("uuid").isNotNull() & F.col("model").isNotNull() & text(usage).isNotNull())
-    out = own.select("path", "block", "id", "session_id", F.col("uuid").alias("message_uuid"), "ts", "model", F.col("cwd").alias("working_dir"), *[integer(f"{usage}.{k}").alias(c) for c, k in fields.items()])
+    out = own.select(
+        "path", "block", "id", "session_id", F.col("uuid").alias("message_uuid"), "ts", "model",
+        F.col("cwd").alias("working_dir"),
+        *[integer(f"{usage}.{k}").alias(c) for c, k in fields.items()],
+    )
     w = Window.partitionBy("session_id", "message_uuid").orderBy("path", "block", "id")
     return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
@@ -68,11 +80,21 @@ def rollout_calls(spark: SparkSession, path: str) -> DataFrame:
     w = Window.partitionBy("file").orderBy("block", "id").rowsBetween(Window.unboundedPreceding, 0)
     meta = lambda key: F.last(F.when(kind == "session_meta", text(f"payload.{key}")), ignorenulls=True).over(w)
     state = rows.withColumn("session_id", meta("id")).withColumn("originator", meta("originator")).withColumn("source", meta("source"))
-    state = state.withColumn("working_dir", F.last(F.when(kind.isin("session_meta", "turn_context"), text("payload.cwd")), ignorenulls=True).over(w)).withColumn("model", F.last(F.when(kind == "turn_context", text("payload.model")), ignorenulls=True).over(w))
+    state = state.withColumn(
+        "working_dir",
+        F.last(F.when(kind.isin("session_meta", "turn_context"), text("payload.cwd")), ignorenulls=True).over(w),
+    ).withColumn("model", F.last(F.when(kind == "turn_context", text("payload.model")), ignorenulls=True).over(w))
     usage = "payload.info.last_token_usage"
-    fields = {"input_tokens": "input_tokens", "cached_input_tokens": "cached_input_tokens", "output_tokens": "output_tokens", "reasoning_tokens": "reasoning_output_tokens", "total_tokens": "total_tokens"}
+    fields = {
+        "input_tokens": "input_tokens", "cached_input_tokens": "cached_input_tokens", "output_tokens": "output_tokens",
+        "reasoning_tokens": "reasoning_output_tokens", "total_tokens": "total_tokens",
+    }
     calls = state.where((kind == "event_msg") & (text("payload.type") == "token_count"))
-    out = calls.select("file", "block", "id", local_time(text("timestamp")).alias("ts"), "session_id", "originator", "source", "working_dir", "model", *[integer(f"{usage}.{k}").alias(c) for c, k in fields.items()])
+    out = calls.select(
+        "file", "block", "id", local_time(text("timestamp")).alias("ts"), "session_id", "originator", "source", "working_dir",
+        "model",
+        *[integer(f"{usage}.{k}").alias(c) for c, k in fields.items()],
+    )
     return out.where("ts is not null and session_id is not null and (input_tokens > 0 or output_tokens > 0 or total_tokens > 0)")
 
 
@@ -108,4 +130,9 @@ def log_events(spark: SparkSession, path: str) -> DataFrame:
     """Calls of a plain log: the session is the day, the id the beginning of the line's SHA-1."""
     rows = lines(spark, path)
     at = local_time(F.coalesce(text("ts"), text("time")))
-    return rows.select(F.substring(F.sha1(F.trim("value").cast("binary")), 1, 16).alias("event_id"), at.alias("ts"), F.concat(F.lit("dscall:"), F.to_date(at).cast("string")).alias("session_id"), text("model").alias("model"), integer("input_tokens").alias("input_tokens"), integer("output_tokens").alias("output_tokens"), get("cost", "double").alias("cost_estimate_usd")).where("ts is not null")
+    return rows.select(
+        F.substring(F.sha1(F.trim("value").cast("binary")), 1, 16).alias("event_id"), at.alias("ts"),
+        F.concat(F.lit("dscall:"), F.to_date(at).cast("string")).alias("session_id"), text("model").alias("model"),
+        integer("input_tokens").alias("input_tokens"), integer("output_tokens").alias("output_tokens"),
+        get("cost", "double").alias("cost_estimate_usd"),
+    ).where("ts is not null")

@@ -31,14 +31,19 @@ def daily(events: DataFrame, late: str | None = "2 days") -> DataFrame:
     """day, provider, calls, tokens, cost: tumbling days that close when their lateness has passed. None keeps the
     watermark that the events have, e.g. from ``deduplicated``."""
     rows = events.withWatermark("ts", late) if late else events
-    sums = rows.groupBy(F.window("ts", "1 day"), "provider").agg(F.count("*").alias("calls"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.sum("cost_estimate_usd").alias("cost"))
+    sums = rows.groupBy(F.window("ts", "1 day"), "provider").agg(
+        F.count("*").alias("calls"),
+        F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.sum("cost_estimate_usd").alias("cost"),
+    )
     return sums.select(F.to_date("window.start").alias("day"), "provider", "calls", "tokens", "cost")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "2 days") -> DataFrame:
     """session_id, start, end, events: stretches without a longer gap."""
     rows = events.withWatermark("ts", late) if late else events
-    return rows.groupBy(F.session_window("ts", gap).alias("w"), "session_id").agg(F.count("*").alias("events")).select("session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+    return rows.groupBy(F.session_window("ts", gap).alias("w"), "session_id").agg(F.count("*").alias("events")).select(
+        "session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events",
+    )
 
 
 def append_new(table: str, key: str = "event_id", order: str = "ts", horizon: str = "7 days") -> Callable[[DataFrame, int], None]:

@@ -20,12 +20,24 @@ def one(spark, column, **values):
     return spark.createDataFrame([row], ", ".join(f"{k} {kinds[type(v)]}" for k, v in zip(names, row, strict=True))).select(column.alias("r")).first()["r"]
 
 
-@pytest.mark.parametrize(("given", "want"), [("OpenAI", "openai"), ("codex", "openai"), ("openclaw", "openrouter"), ("opencode_openrouter", "opencode"), ("what", "anthropic"), (None, "anthropic")])
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("OpenAI", "openai"), ("codex", "openai"), ("openclaw", "openrouter"), ("opencode_openrouter", "opencode"),
+        ("what", "anthropic"), (None, "anthropic"),
+    ],
+)
 def test_providers(spark, given, want):
     assert one(spark, n.provider(F.col("p")), p=given) == want
 
 
-@pytest.mark.parametrize(("given", "want"), [("claude-opus-4-1", "opus 4.1"), ("claude-opus-5", "opus 5"), ("anthropic/claude-sonnet-4-20250514", "sonnet 4.20250514"), ("gpt-5.5", "gpt-5.5"), (None, "unknown")])
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("claude-opus-4-1", "opus 4.1"), ("claude-opus-5", "opus 5"), ("anthropic/claude-sonnet-4-20250514", "sonnet 4.20250514"),
+        ("gpt-5.5", "gpt-5.5"), (None, "unknown"),
+    ],
+)
 def test_model_labels(spark, given, want):
     assert one(spark, n.model_short(F.col("m").cast("string")), m=given) == want
 
@@ -41,7 +53,13 @@ def test_coercions(spark):
     assert one(spark, n.repair_cp1251(F.col("x")), x="Россия") == "Россия"
 
 
-@pytest.mark.parametrize(("values", "want"), [((0.5, 1.0, 10), (1.0, "floor")), ((9.0, 0.01, 3), (0.01, "ceiling_trivial")), ((9.0, 1.0, 3), (6.0, "ceiling_band")), ((2.0, 1.0, 10), (2.0, "normal")), ((50.0, 1.0, 20), (20.0, "ceiling_band"))])
+@pytest.mark.parametrize(
+    ("values", "want"),
+    [
+        ((0.5, 1.0, 10), (1.0, "floor")), ((9.0, 0.01, 3), (0.01, "ceiling_trivial")), ((9.0, 1.0, 3), (6.0, "ceiling_band")),
+        ((2.0, 1.0, 10), (2.0, "normal")), ((50.0, 1.0, 20), (20.0, "ceiling_band")),
+    ],
+)
 def test_guard(spark, values, want):
     r = one(spark, n.guarded_hours(F.col("b"), F.col("a"), F.col("e")), b=values[0], a=values[1], e=values[2])
     assert (r["hours"], r["kind"]) == want
@@ -60,11 +78,20 @@ def test_wilson(spark):
 def events(spark, rows):
     """rows: (session, minutes after T0, provider, cost)."""
     data = [(i, f"e{i}", s, T0 + timedelta(minutes=m), (T0 + timedelta(minutes=m)).date(), p, None if p != "openai" else "tui", "m", 100, 10, 0, 0, 0, 0, 0, c, 0, f"event_id:e{i}", None) for i, (s, m, p, c) in enumerate(rows)]
-    return spark.createDataFrame(data, "ord long, event_id string, session_id string, ts timestamp_ntz, event_date date, provider_norm string, origin_norm string, model string, input_tokens long, output_tokens long, cached_input_tokens long, cache_read_tokens long, cache_creation_tokens long, reasoning_tokens long, total_tokens long, cost_estimate_usd double, is_correction int, dedupe_group string, working_dir string")
+    return spark.createDataFrame(
+        data,
+        "ord long, event_id string, session_id string, ts timestamp_ntz, event_date date, provider_norm string, origin_norm string, model string, input_tokens long, output_tokens long, cached_input_tokens long, cache_read_tokens long, cache_creation_tokens long, reasoning_tokens long, total_tokens long, cost_estimate_usd double, is_correction int, dedupe_group string, working_dir string",
+    )
 
 
 def test_gaps_are_inclusive(spark):
-    rows = events(spark, [("a", 0, "anthropic", 1.0), ("a", 2, "anthropic", 1.0), ("a", 4.0001, "anthropic", 1.0), ("b", 1, "anthropic", 1.0), ("", 1, "anthropic", 1.0), (None, 1, "anthropic", 1.0)])
+    rows = events(
+        spark,
+        [
+            ("a", 0, "anthropic", 1.0), ("a", 2, "anthropic", 1.0), ("a", 4.0001, "anthropic", 1.0), ("b", 1, "anthropic", 1.0),
+            ("", 1, "anthropic", 1.0), (None, 1, "anthropic", 1.0),
+        ],
+    )
     got = {r["session_id"]: r["active_hours"] for r in timegap.active_by(rows, ["session_id"]).collect()}
     assert got == {"a": pytest.approx(2 / 60), "b": 0}
     assert timegap.active_merged(rows).first()[0] == pytest.approx(2 / 60)
@@ -109,7 +136,10 @@ def test_import_dedup_is_in_order(spark):
 def test_longest_run_of_raised_days(spark):
     def rows(raised):
         days = [(date(2026, 5, 1) + timedelta(days=i)) for i in range(30)]
-        return spark.createDataFrame([("p", "m", d, 100, 100.0 * (3 if d.day in raised else 1)) for d in days], "provider_norm string, model string, event_date date, output_tokens long, cost_estimate_usd double")
+        return spark.createDataFrame(
+            [("p", "m", d, 100, 100.0 * (3 if d.day in raised else 1)) for d in days],
+            "provider_norm string, model string, event_date date, output_tokens long, cost_estimate_usd double",
+        )
 
     run = lambda raised: drift.cost_regressions(rows(raised), "2026-05-30").first()
     r = run({24, 26, 27, 30})
@@ -127,9 +157,23 @@ def test_percentiles(spark):
 
 
 def test_one_owner_for_each_commit(spark):
-    ev = events(spark, [("near", 0, "anthropic", 1.0), ("near", 100, "anthropic", 1.0), ("far", 0, "anthropic", 2.0), ("far", 40, "anthropic", 2.0), ("far", 100, "anthropic", 2.0)])
-    sessions = timegap.spans(ev, ["session_id"]).withColumn("cost", F.lit(4.0)).withColumn("working_dir", F.when(F.col("session_id") == "near", "C:\\Repo\\src"))
-    commits = spark.createDataFrame([("c:/repo", "h1", T0 + timedelta(minutes=39), 10), ("/other", "h2", T0 + timedelta(minutes=39), 0), ("/other", "h3", T0 + timedelta(minutes=900), 5)], "repo string, hash string, committed_at timestamp_ntz, lines long")
+    ev = events(
+        spark,
+        [
+            ("near", 0, "anthropic", 1.0), ("near", 100, "anthropic", 1.0), ("far", 0, "anthropic", 2.0),
+            ("far", 40, "anthropic", 2.0), ("far", 100, "anthropic", 2.0),
+        ],
+    )
+    sessions = timegap.spans(ev, ["session_id"]).withColumn("cost", F.lit(4.0)).withColumn(
+        "working_dir", F.when(F.col("session_id") == "near", "C:\\Repo\\src"),
+    )
+    commits = spark.createDataFrame(
+        [
+            ("c:/repo", "h1", T0 + timedelta(minutes=39), 10), ("/other", "h2", T0 + timedelta(minutes=39), 0),
+            ("/other", "h3", T0 + timedelta(minutes=900), 5),
+        ],
+        "repo string, hash string, committed_at timestamp_ntz, lines long",
+    )
     own = {r["hash"]: (r["session_id"], r["gap"]) for r in attribution.owners(sessions, ev, commits).collect()}
     assert own == {"h1": ("near", 39 * 60_000_000), "h2": ("far", 60_000_000)}
     costs = {r["session_id"]: (r["commits"], r["lines"], r["cost_per_line"]) for r in attribution.session_costs(sessions, commits).collect()}
@@ -137,7 +181,10 @@ def test_one_owner_for_each_commit(spark):
 
 
 def test_prices(spark):
-    cost = lambda model, day, tokens=1_000_000: one(spark, pricing.openai_cost(F.col("m"), F.lit(tokens), F.lit(0), F.lit(0), F.lit(day).cast("date")), m=model)
+    cost = lambda model, day, tokens=1_000_000: one(
+        spark,
+        pricing.openai_cost(F.col("m"), F.lit(tokens), F.lit(0), F.lit(0), F.lit(day).cast("date")), m=model,
+    )
     assert cost("gpt-5.6-sol-ultra", "2026-08-20") == pytest.approx(5) and cost("gpt-5.6-sol", "2026-08-21") == pytest.approx(4)
     assert cost("gpt-6-astra", "2026-08-21") == pytest.approx(20) and cost("gpt-6-astra", "2026-08-21", 272_000) == pytest.approx(2.72)
     assert cost("unheard-of", "2026-08-21") == pytest.approx(5)
@@ -147,7 +194,10 @@ def test_prices(spark):
 
 
 def test_slop(spark):
-    rows = spark.createDataFrame([(1, ""), (2, "run run run run run run"), (3, "It is important to note that this might work"), (4, None)], "id int, text string")
+    rows = spark.createDataFrame(
+        [(1, ""), (2, "run run run run run run"), (3, "It is important to note that this might work"), (4, None)],
+        "id int, text string",
+    )
     got = {r["id"]: r for r in t.slop(rows).collect()}
     assert got[1]["score"] == 0 and got[4]["score"] == 0
     assert got[2]["trigram"] == pytest.approx(0.75)
@@ -165,7 +215,13 @@ def test_findings_skip_code(spark):
 
 
 def test_consensus(spark):
-    rows = spark.createDataFrame([("r", "a", "## broken parser cache\n- slow network retry"), ("r", "b", "- parser cache broken badly"), ("r", "c", "- unrelated colour scheme")], "run_id string, role string, text string")
+    rows = spark.createDataFrame(
+        [
+            ("r", "a", "## broken parser cache\n- slow network retry"), ("r", "b", "- parser cache broken badly"),
+            ("r", "c", "- unrelated colour scheme"),
+        ],
+        "run_id string, role string, text string",
+    )
     got = {(r["canonical"], r["role"]): r["state"] for r in mining.consensus(mining.findings(rows)).collect()}
     first = mining.findings(rows).where("title = 'broken parser cache'").first()["fid"]
     assert [got[first, role] for role in "abc"] == ["raised", "corroborated", "silent"]
@@ -193,8 +249,14 @@ def test_descriptions(spark):
 
 
 def test_routing(spark):
-    steps = spark.createDataFrame([("dev", "x", "error", False)] * 6 + [("qa", "x", "ok", True)] * 6, "role string, agent string, status string, ok boolean").withColumns({"duration_ms": F.lit(1.0), "at": F.lit(None).cast("timestamp"), "ord": F.monotonically_increasing_id(), "fingerprint": F.lit(None).cast("string")})
-    flow = spark.createDataFrame([(1, i, r, "x") for i, r in enumerate(["dev", "dev", "dev", "qa", "reviewer", "new"])], "flow_id long, ord long, role string, agent string")
+    steps = spark.createDataFrame(
+        [("dev", "x", "error", False)] * 6 + [("qa", "x", "ok", True)] * 6,
+        "role string, agent string, status string, ok boolean",
+    ).withColumns({"duration_ms": F.lit(1.0), "at": F.lit(None).cast("timestamp"), "ord": F.monotonically_increasing_id(), "fingerprint": F.lit(None).cast("string")})
+    flow = spark.createDataFrame(
+        [(1, i, r, "x") for i, r in enumerate(["dev", "dev", "dev", "qa", "reviewer", "new"])],
+        "flow_id long, ord long, role string, agent string",
+    )
     got = reputation.route(flow, reputation.ledger(steps)).orderBy("ord")
     assert [r["action"] for r in got.collect()] == ["inject_reviewer", "keep", "inject_reviewer", "trim_reviewer", "keep", "inject_reviewer"]
     assert [r["role"] for r in reputation.apply_route(got).orderBy("ord").collect()] == ["dev", "reviewer", "dev", "dev", "reviewer", "qa", "new", "reviewer"]
@@ -202,7 +264,9 @@ def test_routing(spark):
 
 def test_best_agent_has_been_seen_often(spark):
     rows = [("r", "flash", "ok", True)] + [("r", "steady", "ok", True)] * 9 + [("r", "steady", "error", False)]
-    steps = spark.createDataFrame(rows, "role string, agent string, status string, ok boolean").withColumns({"duration_ms": F.lit(1.0), "at": F.lit(None).cast("timestamp"), "ord": F.monotonically_increasing_id(), "fingerprint": F.lit(None).cast("string")})
+    steps = spark.createDataFrame(
+        rows, "role string, agent string, status string, ok boolean",
+    ).withColumns({"duration_ms": F.lit(1.0), "at": F.lit(None).cast("timestamp"), "ord": F.monotonically_increasing_id(), "fingerprint": F.lit(None).cast("string")})
     assert reputation.best_by_role(reputation.ledger(steps)).first()["agent"] == "steady"
 
 
@@ -222,6 +286,9 @@ def test_watermarks(spark):
 
 
 def test_ratio_with_a_floor(spark):
-    row = spark.createDataFrame([(10.0, 0.01, 2, 3.0)], "hours_without_ai double, human_attention_hours double, distinct_sessions_covered long, active_hours double")
+    row = spark.createDataFrame(
+        [(10.0, 0.01, 2, 3.0)],
+        "hours_without_ai double, human_attention_hours double, distinct_sessions_covered long, active_hours double",
+    )
     r = productivity.public_block(productivity.ratio(row)).first()
     assert r["denominator_is_floor"] and r["denominator_hours"] == pytest.approx(1 / 6) and r["shown_multiplier"] == 0

@@ -15,7 +15,9 @@ def test_order_of_roles():
 
 
 def test_comments_and_envelopes(spark):
-    rows = spark.createDataFrame([(1, 1, "claim: x1"), (1, 2, "so what"), (1, 3, "Heartbeat: x1 ok")], "issue int, id int, body string").selectExpr("*", "id as at")
+    rows = spark.createDataFrame(
+        [(1, 1, "claim: x1"), (1, 2, "so what"), (1, 3, "Heartbeat: x1 ok")], "issue int, id int, body string",
+    ).selectExpr("*", "id as at")
     assert sorted((r["id"], r["kind"], r["exec_id"]) for r in runs.parse_comments(rows).collect()) == [(1, "claim", "x1"), (3, "heartbeat", "x1")]
     task = '{"task_id": 1, "kind": "k"}'
     good = f"```json\n{task}\n```\nsha256: {hashlib.sha256(task.encode()).hexdigest()}"
@@ -32,24 +34,38 @@ def test_medians(spark):
 
 
 def test_rechunk_plan(spark):
-    units = spark.createDataFrame([("a", date(2026, 5, 1)), ("a", date(2026, 5, 2)), ("b", date(2026, 5, 1)), ("c", date(2026, 5, 1)), ("c", date(2026, 5, 2))], "session_id string, day date")
-    tasks = spark.createDataFrame([("a", None, "2", None), ("b", None, "2", None), ("c", None, "bad", None), ("a", date(2026, 5, 1), "1", None)], "session_id string, chunk_date date, ai_baseline_hours string, human_corrected_hours string")
+    units = spark.createDataFrame(
+        [("a", date(2026, 5, 1)), ("a", date(2026, 5, 2)), ("b", date(2026, 5, 1)), ("c", date(2026, 5, 1)), ("c", date(2026, 5, 2))],
+        "session_id string, day date",
+    )
+    tasks = spark.createDataFrame(
+        [("a", None, "2", None), ("b", None, "2", None), ("c", None, "bad", None), ("a", date(2026, 5, 1), "1", None)],
+        "session_id string, chunk_date date, ai_baseline_hours string, human_corrected_hours string",
+    )
     assert [(r["session_id"], r["days"], r["missing"]) for r in runs.rechunk_plan(units, tasks).collect()] == [("a", 2, 1)]
     assert {r["session_id"] for r in runs.rechunk_plan(units, tasks, False).collect()} == {"a", "b"}
 
 
 def test_imported_messages(spark):
     data = '{"role": "assistant", "modelID": "m", "tokens": {"input": 5, "cache": {"read": 2}}, "time": {"created": 1767225600000, "completed": 0}, "cost": 0.5}'
-    rows = spark.createDataFrame([("1", "s", data), ("2", "gone", data), ("3", "s", data.replace("assistant", "user")), ("4", "s", data.replace("1767225600000", "5"))], "id string, session_id string, data string")
+    rows = spark.createDataFrame(
+        [("1", "s", data), ("2", "gone", data), ("3", "s", data.replace("assistant", "user")), ("4", "s", data.replace("1767225600000", "5"))],
+        "id string, session_id string, data string",
+    )
     got = runs.imported_messages(rows, spark.createDataFrame([("s", "/w")], "id string, directory string")).orderBy("event_id").collect()
-    assert [(r["event_id"], r["working_dir"], r["ts"], r["input_tokens"], r["cache_read_tokens"]) for r in got] == [("1", "/w", datetime(2026, 1, 1), 5, 2), ("2", None, datetime(2026, 1, 1), 5, 2)]
+    assert [(r["event_id"], r["working_dir"], r["ts"], r["input_tokens"], r["cache_read_tokens"]) for r in got] == [
+        ("1", "/w", datetime(2026, 1, 1), 5, 2), ("2", None, datetime(2026, 1, 1), 5, 2),
+    ]
 
 
 def test_small_reports(spark):
     at = datetime(2026, 5, 10, 10)
     ev = spark.createDataFrame([("a", at), ("b", datetime(2026, 5, 1))], "session_id string, ts timestamp_ntz")
     assert [r["session_id"] for r in runs.recent_sessions(ev, "2026-05-11 10:00:00").collect()] == ["a"]
-    steps = spark.createDataFrame([("r", 1, "dev", "done"), ("r", 2, "qa", "done"), ("r", 3, "x", "failed")], "run_id string, ord int, role string, status string")
+    steps = spark.createDataFrame(
+        [("r", 1, "dev", "done"), ("r", 2, "qa", "done"), ("r", 3, "x", "failed")],
+        "run_id string, ord int, role string, status string",
+    )
     assert [r["role"] for r in runs.missing_hindsight(steps, steps.where("ord = 1")).collect()] == ["qa"]
     text = spark.createDataFrame([("# One Two\n## Three!",), ("none",)], "t string")
     assert [r[0] for r in text.select(runs.fingerprint(text["t"])).collect()] == ["one-two-three", None]

@@ -30,7 +30,9 @@ def test_folder_with_subagents(spark, tmp_path):
 
 
 def test_switched_calls(spark, tmp_path):
-    call = lambda at, usage, **more: {"type": "message", "timestamp": f"2026-05-10T10:0{at}:00Z", "message": {"role": "assistant", "usage": usage, **more}}
+    call = lambda at, usage, **more: {
+        "type": "message", "timestamp": f"2026-05-10T10:0{at}:00Z", "message": {"role": "assistant", "usage": usage, **more},
+    }
     rows = [
         call(0, {"input": 5}),
         {"type": "session", "id": "s", "cwd": "/w"},
@@ -51,13 +53,28 @@ def test_switched_calls(spark, tmp_path):
 
 
 def test_captured_runs(spark, tmp_path):
-    a = write(tmp_path / "a.jsonl", [{"thread_id": ""}, {"thread_id": "t1", "session_id": "s1"}, {"usage": {"input_tokens": 9}}, {"item": {"model": "m"}, "usage": {"prompt_tokens": 2, "input_tokens": "x", "total_tokens": 0, "output_reasoning_tokens": 4}}, {"usage": 3}])
+    a = write(
+        tmp_path / "a.jsonl",
+        [
+            {"thread_id": ""}, {"thread_id": "t1", "session_id": "s1"}, {"usage": {"input_tokens": 9}},
+            {"item": {"model": "m"}, "usage": {"prompt_tokens": 2, "input_tokens": "x", "total_tokens": 0, "output_reasoning_tokens": 4}},
+            {"usage": 3},
+        ],
+    )
     b = write(tmp_path / "b.jsonl", [{"type": "x"}])
     lines = ledger.lines(spark, a).unionByName(ledger.lines(spark, b))
-    given = spark.createDataFrame([("a.jsonl", 0, False, None), ("b.jsonl", 0, False, "asked"), ("c.jsonl", 1, True, None)], "file string, exit_code int, interrupted boolean, model string")
+    given = spark.createDataFrame(
+        [("a.jsonl", 0, False, None), ("b.jsonl", 0, False, "asked"), ("c.jsonl", 1, True, None)],
+        "file string, exit_code int, interrupted boolean, model string",
+    )
     rows = {r["file"]: r for r in sessions.captured_runs(lines, given).collect()}
-    assert (rows["a.jsonl"]["session_id"], rows["a.jsonl"]["model"], rows["a.jsonl"]["input_tokens"], rows["a.jsonl"]["total_tokens"], rows["a.jsonl"]["partial"]) == ("s1", "m", 0, 4, False)
-    assert (rows["b.jsonl"]["session_id"], rows["b.jsonl"]["model"], rows["b.jsonl"]["partial"], rows["b.jsonl"]["json_events"]) == ("codex-missing-thread-b.jsonl", "asked", True, 1)
+    assert (
+        rows["a.jsonl"]["session_id"], rows["a.jsonl"]["model"], rows["a.jsonl"]["input_tokens"], rows["a.jsonl"]["total_tokens"],
+        rows["a.jsonl"]["partial"],
+    ) == ("s1", "m", 0, 4, False)
+    assert (
+        rows["b.jsonl"]["session_id"], rows["b.jsonl"]["model"], rows["b.jsonl"]["partial"], rows["b.jsonl"]["json_events"],
+    ) == ("codex-missing-thread-b.jsonl", "asked", True, 1)
     assert (rows["c.jsonl"]["json_events"], rows["c.jsonl"]["partial"]) == (0, True)
 
 
@@ -78,12 +95,17 @@ def test_database_tables(spark, tmp_path):
 
 
 def test_roles(spark, tmp_path):
-    (tmp_path / "roles.toml").write_text("[role.dev]\nprovider = 'p'\ninvocation = 'claude -p'\n[role.qa]\nprovider = \"mine\"\n[role.odd]\nprovider = 3\n", encoding="utf-8")
+    (tmp_path / "roles.toml").write_text(
+        "[role.dev]\nprovider = 'p'\ninvocation = 'claude -p'\n[role.qa]\nprovider = \"mine\"\n[role.odd]\nprovider = 3\n",
+        encoding="utf-8",
+    )
     roles = sessions.read_roles(spark, str(tmp_path / "roles.toml"))
     assert {r["role"]: r["agent"] for r in roles.collect()} == {"dev": "claude", "qa": "mine", "odd": "unknown"}
     assert sessions.read_roles(spark, str(tmp_path / "none.toml")).count() == 0
     steps = spark.createDataFrame([("dev",), ("other",), (None,)], "role string")
-    assert sorted((str(r["role"]), r["agent"]) for r in sessions.with_agents(steps, roles).collect()) == [("None", "unknown"), ("dev", "claude"), ("other", "unknown")]
+    assert sorted((str(r["role"]), r["agent"]) for r in sessions.with_agents(steps, roles).collect()) == [
+        ("None", "unknown"), ("dev", "claude"), ("other", "unknown"),
+    ]
 
 
 def test_sanitizer_keeps_marked_passages(spark):
@@ -132,16 +154,30 @@ def test_sanitizer_keeps_marked_passages(spark):
 
 def test_small_reviews(spark):
     at = lambda m: datetime(2026, 5, 10, 10, m)
-    rows = spark.createDataFrame([("a", at(1), "user", "Damn it, damn"), ("a", at(0), "user", "damn"), ("a", at(5), "assistant", "damn"), ("b", at(9), "user", "fine")], "path string, ts timestamp_ntz, role string, text string")
+    rows = spark.createDataFrame(
+        [("a", at(1), "user", "Damn it, damn"), ("a", at(0), "user", "damn"), ("a", at(5), "assistant", "damn"), ("b", at(9), "user", "fine")],
+        "path string, ts timestamp_ntz, role string, text string",
+    )
     found = {r["path"]: r["markers"] for r in review.markers_since(rows, "2026-05-10 10:01:00", (r"\bdamn\b",)).collect()}
     assert found == {"a": 2, "b": 0}
     both = review.united(rows.select("role", "text"), rows.select("path", "text"))
     assert both.where("source = 'runs' and path is null").count() == 4 and both.count() == 8
-    commits = spark.createDataFrame([("s1234567890", None, 3, None), ("s1234567890", "b", None, 1)], "session_id string, subject string, insertions int, deletions int")
-    ex = spark.createDataFrame([("s1234567890", at(0), at(1), 2.0, 4, 0.5)], "session_id string, start timestamp_ntz, end timestamp_ntz, cost double, lines long, cost_per_line double")
+    commits = spark.createDataFrame(
+        [("s1234567890", None, 3, None), ("s1234567890", "b", None, 1)],
+        "session_id string, subject string, insertions int, deletions int",
+    )
+    ex = spark.createDataFrame(
+        [("s1234567890", at(0), at(1), 2.0, 4, 0.5)],
+        "session_id string, start timestamp_ntz, end timestamp_ntz, cost double, lines long, cost_per_line double",
+    )
     r = review.public_sessions(ex, commits).first()
     assert r["session_short"] == "s1234567" and [tuple(c) for c in r["commits"]] == [("", 3, 0), ("b", 0, 1)] and "session_id" not in r
-    changes = spark.createDataFrame([("dev", "keep", "claude", "high"), ("qa", "change", "codex", None)], "role string, action string, agent string, confidence string")
-    assert {r["role"]: r["line"] for r in review.role_lines(changes).collect()} == {"dev": "# Suggestion: keep current (claude). Confidence: high.", "qa": "# Suggestion: switch to codex. Confidence: none."}
+    changes = spark.createDataFrame(
+        [("dev", "keep", "claude", "high"), ("qa", "change", "codex", None)],
+        "role string, action string, agent string, confidence string",
+    )
+    assert {r["role"]: r["line"] for r in review.role_lines(changes).collect()} == {
+        "dev": "# Suggestion: keep current (claude). Confidence: high.", "qa": "# Suggestion: switch to codex. Confidence: none.",
+    }
     matrix = spark.createDataFrame([(1, "f", "qa", "silent"), (1, "f", "dev", "raised")], "run_id int, canonical string, role string, state string")
     assert review.report_lines(matrix).first()["line"] == "| f | dev: raised | qa: silent |"

@@ -18,11 +18,26 @@ def write(path, rows):
 
 
 def test_ledger(spark, tmp_path):
-    good = {"ts": "2026-05-10T10:00:00Z", "session_id": "s", "model": "claude-opus-4-1", "input_tokens": "5", "output_tokens": 3.7, "cost_estimate_usd": None, "event_id": "a"}
-    write(tmp_path / "claude.jsonl", ["", "broken {", "[1]", {**good, "model": "<synthetic>"}, {**good, "ts": "never"}, good, {**good, "input_tokens": 99}, {**good, "event_id": None, "cost_estimate_usd": 0}, {**good, "event_id": None, "cost_estimate_usd": 0}, {**good, "event_id": "c", "correction_of": "a", "cost_estimate_usd": 0.5}])
-    write(tmp_path / "codex.jsonl", [{"ts": "2026-05-10T13:00:00+03:00", "session_id": "x", "provider": "openai", "originator": "codex-tui", "cached_input_tokens": True, "duration_ms": "bad"}])
+    good = {
+        "ts": "2026-05-10T10:00:00Z", "session_id": "s", "model": "claude-opus-4-1", "input_tokens": "5", "output_tokens": 3.7,
+        "cost_estimate_usd": None, "event_id": "a",
+    }
+    write(
+        tmp_path / "claude.jsonl",
+        [
+            "", "broken {", "[1]", {**good, "model": "<synthetic>"}, {**good, "ts": "never"}, good, {**good, "input_tokens": 99},
+            {**good, "event_id": None, "cost_estimate_usd": 0}, {**good, "event_id": None, "cost_estimate_usd": 0},
+            {**good, "event_id": "c", "correction_of": "a", "cost_estimate_usd": 0.5},
+        ],
+    )
+    write(
+        tmp_path / "codex.jsonl",
+        [{"ts": "2026-05-10T13:00:00+03:00", "session_id": "x", "provider": "openai", "originator": "codex-tui", "cached_input_tokens": True, "duration_ms": "bad"}],
+    )
     rows = dedup_events(ledger.read_ledgers(spark, str(tmp_path), ["claude", "codex"])).orderBy("ord").collect()
-    assert [(r["provider_norm"], r["input_tokens"], r["output_tokens"], r["cost_estimate_usd"], r["is_correction"]) for r in rows] == [("anthropic", 5, 3, None, 0), ("anthropic", 5, 3, 0.0, 0), ("anthropic", 5, 3, 0.5, 1), ("openai", 0, 0, None, 0)]
+    assert [(r["provider_norm"], r["input_tokens"], r["output_tokens"], r["cost_estimate_usd"], r["is_correction"]) for r in rows] == [
+        ("anthropic", 5, 3, None, 0), ("anthropic", 5, 3, 0.0, 0), ("anthropic", 5, 3, 0.5, 1), ("openai", 0, 0, None, 0),
+    ]
     assert (rows[3]["origin_norm"], rows[3]["cached_input_tokens"], rows[3]["duration_ms"]) == ("tui", 1, 0)
     assert {r["ts"] for r in rows} == {datetime(2026, 5, 10, 10)}
     cover = ledger.schema_coverage(spark, str(tmp_path / "claude.jsonl")).first()
@@ -30,7 +45,10 @@ def test_ledger(spark, tmp_path):
 
 
 def test_tasks(spark, tmp_path):
-    path = write(tmp_path / "tasks.json", [{"s": {"ai_baseline_hours": 2, "mood_arc": None}, "s:2026-05-10": {"human_corrected_hours": "x", "day_input_version": 2}, "bad": 3}])
+    path = write(
+        tmp_path / "tasks.json",
+        [{"s": {"ai_baseline_hours": 2, "mood_arc": None}, "s:2026-05-10": {"human_corrected_hours": "x", "day_input_version": 2}, "bad": 3}],
+    )
     rows = {r["task_key"]: r for r in ledger.read_tasks(spark, path).collect()}
     assert set(rows) == {"s", "s:2026-05-10"}
     assert rows["s"]["has_sentiment"] and not rows["s:2026-05-10"]["has_sentiment"]
@@ -39,12 +57,23 @@ def test_tasks(spark, tmp_path):
 
 
 def test_bus_cache_and_runs(spark, tmp_path):
-    bus = write(tmp_path / "bus.jsonl", [{"ts": "2026-05-10T10:00:00Z", "transition": "claimed", "task_id": "t"}, {"ts": "2026-05-10T10:00:00Z", "transition": ""}, {"transition": "x"}])
+    bus = write(
+        tmp_path / "bus.jsonl",
+        [
+            {"ts": "2026-05-10T10:00:00Z", "transition": "claimed", "task_id": "t"},
+            {"ts": "2026-05-10T10:00:00Z", "transition": ""}, {"transition": "x"},
+        ],
+    )
     assert [r["task_id"] for r in ledger.read_bus_events(spark, bus).collect()] == ["t"]
     cache = write(tmp_path / "c.json", [{"s": {"ts": [0, "x", 60.5], "prompts": 2}}])
     assert [r["ts"].second for r in ledger.read_attention_cache(spark, cache).orderBy("ts").collect()] == [0, 0]
-    run = write(tmp_path / "state.json", [{"run_id": "r", "steps": [{"role": "dev", "status": "ok", "started_at": 60, "result": {"ok": True, "duration_ms": 5}}, {"role": "qa", "started_at": "2026-05-10T10:00:00Z"}]}])
-    assert [(r["role"], r["ok"], r["at"].year) for r in ledger.read_run_states(spark, run).orderBy("ord").collect()] == [("dev", True, 1970), ("qa", False, 2026)]
+    run = write(
+        tmp_path / "state.json",
+        [{"run_id": "r", "steps": [{"role": "dev", "status": "ok", "started_at": 60, "result": {"ok": True, "duration_ms": 5}}, {"role": "qa", "started_at": "2026-05-10T10:00:00Z"}]}],
+    )
+    assert [(r["role"], r["ok"], r["at"].year) for r in ledger.read_run_states(spark, run).orderBy("ord").collect()] == [
+        ("dev", True, 1970), ("qa", False, 2026),
+    ]
 
 
 def test_transcripts(spark, tmp_path):
@@ -56,8 +85,18 @@ def test_transcripts(spark, tmp_path):
         {"type": "user", "timestamp": at.format(3), "isSidechain": True, "message": {"role": "user", "content": "side"}},
         {"type": "user", "timestamp": at.format(4), "isCompactSummary": True, "message": {"role": "user", "content": "summary"}},
         {"type": "user", "timestamp": at.format(5), "message": {"role": "user", "content": "<environment_context> x"}},
-        {"type": "assistant", "timestamp": at.format(6), "uuid": "u", "sessionId": "s", "message": {"role": "assistant", "model": "claude-opus-5", "usage": {"input_tokens": 3, "cache_creation_input_tokens": 9, "cache_creation": {"ephemeral_1h_input_tokens": 4}}, "content": [{"type": "tool_use"}, {"type": "text", "text": "ok"}]}},
-        {"type": "assistant", "timestamp": at.format(7), "uuid": "u", "sessionId": "s", "message": {"role": "assistant", "model": "claude-opus-5", "usage": {"input_tokens": 99}, "content": "again"}},
+        {
+            "type": "assistant", "timestamp": at.format(6), "uuid": "u", "sessionId": "s",
+            "message": {
+                "role": "assistant", "model": "claude-opus-5",
+                "usage": {"input_tokens": 3, "cache_creation_input_tokens": 9, "cache_creation": {"ephemeral_1h_input_tokens": 4}},
+                "content": [{"type": "tool_use"}, {"type": "text", "text": "ok"}],
+            },
+        },
+        {
+            "type": "assistant", "timestamp": at.format(7), "uuid": "u", "sessionId": "s",
+            "message": {"role": "assistant", "model": "claude-opus-5", "usage": {"input_tokens": 99}, "content": "again"},
+        },
         "not json",
     ]
     found = transcripts.messages(spark, write(tmp_path / "a.jsonl", rows))
@@ -69,8 +108,15 @@ def test_transcripts(spark, tmp_path):
 
 
 def test_rollouts_carry_state_forward(spark, tmp_path):
-    count = lambda n: {"type": "event_msg", "timestamp": f"2026-05-10T10:00:0{n}Z", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": n, "total_tokens": n}}}}
-    rows = [{"type": "session_meta", "timestamp": "x", "payload": {"id": "s", "cwd": "/w", "originator": "codex-tui"}}, {"type": "turn_context", "payload": {"model": "m1"}}, count(1), count(0), {"type": "turn_context", "payload": {"model": "m2", "cwd": "/v"}}, count(2)]
+    count = lambda n: {
+        "type": "event_msg", "timestamp": f"2026-05-10T10:00:0{n}Z",
+        "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": n, "total_tokens": n}}},
+    }
+    rows = [
+        {"type": "session_meta", "timestamp": "x", "payload": {"id": "s", "cwd": "/w", "originator": "codex-tui"}},
+        {"type": "turn_context", "payload": {"model": "m1"}}, count(1), count(0),
+        {"type": "turn_context", "payload": {"model": "m2", "cwd": "/v"}}, count(2),
+    ]
     path = write(tmp_path / "r.jsonl", rows)
     got = [(r["session_id"], r["originator"], r["model"], r["working_dir"], r["input_tokens"]) for r in transcripts.rollout_calls(spark, path).orderBy("id").collect()]
     assert got == [("s", "codex-tui", "m1", "/w", 1), ("s", "codex-tui", "m2", "/v", 2)]
@@ -102,7 +148,10 @@ def test_documents(spark):
 def test_streams(spark, tmp_path):
     source, table = tmp_path / "in", str(tmp_path / "table")
     source.mkdir()
-    row = lambda i, minute=0: {"event_id": f"e{i}", "session_id": "s", "ts": f"2026-05-10T10:{minute:02}:00Z", "provider": "openai", "input_tokens": 1, "output_tokens": 1, "cost_estimate_usd": 0.5}
+    row = lambda i, minute=0: {
+        "event_id": f"e{i}", "session_id": "s", "ts": f"2026-05-10T10:{minute:02}:00Z", "provider": "openai", "input_tokens": 1,
+        "output_tokens": 1, "cost_estimate_usd": 0.5,
+    }
     write(source / "1.json", [row(1), row(2, 29), row(1), "broken"])
     ingest.ingest(spark, str(source), table, str(tmp_path / "c1"))
     write(source / "2.json", [row(2, 29), row(3, 59)])
@@ -114,7 +163,9 @@ def test_streams(spark, tmp_path):
     write(source / "3.json", [{**row(9), "ts": "2026-06-30T00:00:00Z"}])
     found = {}
     for name, made in (("days", ingest.daily(clean(), None)), ("gaps", ingest.sessions(clean(), late=None))):
-        query = made.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query = made.writeStream.format("memory").queryName(name).outputMode("append").option(
+            "checkpointLocation", str(tmp_path / name),
+        ).trigger(availableNow=True).start()
         query.awaitTermination()
         found[name] = sorted(map(tuple, spark.table(name).collect()))
     assert [r[1:] for r in found["days"]] == [("openai", 3, 6, pytest.approx(1.5))]

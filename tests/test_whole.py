@@ -16,7 +16,10 @@ def test_every_flow_is_routed(spark, tmp_path):
     lines = [(o, n, r.randrange(6), r.randrange(12), r.choice("AAAANR")) for o in (1, 2, 1999, 2000, 2001, 70_000, 10**9) for n in range(1, 8)]
     spark.createDataFrame(parts, "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     rows = [(*x, 5.0, datetime(2024, 1, 1), "O") for x in lines]
-    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_shipdate timestamp_ntz, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(
+        rows,
+        "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_shipdate timestamp_ntz, l_linestatus string",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
 
     stats = defaultdict(list)
     for _, _, p, s, flag in lines:
@@ -183,7 +186,9 @@ def test_patterns_against_python(spark, tmp_path):
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts) if t is not None], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(
+        [(i, 0, "user", t) for i, t in enumerate(texts) if t is not None], "conv_id long, turn long, role string, text string",
+    ).write.parquet(f"{tmp_path}/conversations.parquet")
 
     def scrubbed(text):
         for pattern, name in ((privacy.PATH_WIN, "[path]"), (privacy.PATH_UNIX, "[path]"), (privacy.EMAIL, "[email]"), (privacy.TOKEN, "[token]")):
