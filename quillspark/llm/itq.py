@@ -151,7 +151,9 @@ def keyed(reps: DataFrame, quantizer: Quantizer) -> DataFrame:
     return reps.select("node", "vector").mapInArrow(run, "key long, node long, code long")
 
 
-def candidates(q: Quantizer, far: int, key: np.ndarray, low: np.ndarray, high: np.ndarray, chunk: np.ndarray, code: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+def candidates(
+    q: Quantizer, far: int, key: np.ndarray, low: np.ndarray, high: np.ndarray, chunk: np.ndarray, code: np.ndarray,
+) -> Iterator[tuple[slice, np.ndarray]]:
     """For blocks of a group's rows which of all its rows may be linked with each, where the pair meets for the first time."""
     n, table = len(code), int(key[0] >> 56)
     code = code.view(np.uint64)
@@ -252,7 +254,9 @@ def links_of(reps: DataFrame, size: int, n: int, least: float, far: int | None,
         rows = rows.select("key", *[F.lit(0).alias(c) for c in ("low", "high", "chunk")], "node", "code")
     else:
         chunks = large.select("key", F.ceil(F.col("c") / members).cast("int").alias("c"))
-        rows = rows.join(chunks, "key", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+        rows = rows.join(chunks, "key", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn(
+            "chunk", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"),
+        )
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
         rows = rows.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "code")
     shared = reps.sparkSession.sparkContext.broadcast(q)
@@ -264,7 +268,10 @@ def links_of(reps: DataFrame, size: int, n: int, least: float, far: int | None,
     return dealt.mapInArrow(lambda b: by_group(b, 6, ["u", "v", "links"], lambda g: linked(shared.value, far, least, g)), "u long, v long, links long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", members: int = MEMBERS, far: int | None = None) -> DataFrame:
+def near_duplicates(
+    vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", members: int = MEMBERS,
+    far: int | None = None,
+) -> DataFrame:
     """(id, n_links, component_id, kept) for each row."""
     every = listed(vectors, id_col, vector_col)
     reps = every.where("vector is not null").groupBy("a", "b", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
@@ -285,4 +292,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     out = every.select("id", "a", "b").join(found.select("a", "b", "links", "component", F.lit(True).alias("known")), ["a", "b"], "left")
     component = F.when(F.col("known"), F.col("component")).otherwise(F.col("id")).cast("long")
     kept = F.coalesce(F.col("id") == component, F.lit(False))
-    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))
+    return out.select(
+        F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        kept.alias("kept"),
+    )

@@ -49,7 +49,10 @@ def draw(id_col: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(2**52)
 
 
-def planned(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def planned(
+    docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id",
+    text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
     """(row, size, source_size, target, times): each row of ``docs`` as a struct, its size, its source's size and target, and
     how often the mix takes it."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,11 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token_ids")
     range_coder.write(table(spark, sf_dir, "documents"), path, tokenizer())
-    return range_coder.read(spark, path).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return range_coder.read(spark, path).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+    )
 
 
 def op2_media_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media.text_payload("text").alias("payload"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media.text_payload("text").alias("payload"),
+    )
     path = new_path(spark, "media")
     media.store(docs.withColumn("k", F.struct("doc_id", "n_bytes")), "payload", "k").write.option("compression", "zstd").parquet(path)
     read = media.load(spark.read.parquet(path), "media", "k", keep=("media",))
@@ -54,7 +59,10 @@ def op4_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe_trie.round_trip(table(spark, sf_dir, "documents"), tokenizer())
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +94,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_ids, op2_media_fingerprint, op3_source_mix, op4_itq_near_duplicates, op5_bpe_trie, op6_language_id, op7_simhash_near_duplicates, op8_token_counts, op9_recompression, op10_toxicity)
+    for f in (
+        op1_token_ids, op2_media_fingerprint, op3_source_mix, op4_itq_near_duplicates, op5_bpe_trie, op6_language_id,
+        op7_simhash_near_duplicates, op8_token_counts, op9_recompression, op10_toxicity,
+    )
 }
 
 ORACLE_SQL = {

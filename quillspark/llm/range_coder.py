@@ -222,7 +222,10 @@ def pack_block(keys: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> by
     sizes); the lanes' numbers of words; their words. Little-endian."""
     symbols = int(ids.max()) + 1
     counts, words = encode_lanes(ids, symbols)
-    index = zlib.compress(np.array([k is None for k in keys], np.uint8).tobytes() + np.array([k or 0 for k in keys], "<i8").tobytes() + sizes.astype("<u4").tobytes(), 1)
+    index = zlib.compress(
+        np.array([k is None for k in keys], np.uint8).tobytes() + np.array([k or 0 for k in keys], "<i8").tobytes() + sizes.astype("<u4").tobytes(),
+        1,
+    )
     body = struct.pack("<IQIII", len(keys), len(ids), symbols, len(counts), len(index)) + index + counts.astype("<u4").tobytes() + words.astype("<u4").tobytes()
     return MAGIC + struct.pack("<I", zlib.crc32(body)) + body
 
@@ -294,7 +297,10 @@ def write(docs: DataFrame, to: str, tokenizer: str, end_id: int = 2, id_col: str
         def close() -> pa.RecordBatch:
             nonlocal block, start, keys, rows, size
             data = pack_block(keys, np.array([len(x) // 4 for x in rows]), np.frombuffer(b"".join(rows), "<i4").astype(np.int64))
-            made = pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, block, start, len(keys), size, data)], ["part", "block", "start", "n_docs", "n_ids", "data"])
+            made = pa.RecordBatch.from_arrays(
+                [pa.array([x]) for x in (part, block, start, len(keys), size, data)],
+                ["part", "block", "start", "n_docs", "n_ids", "data"],
+            )
             block, start, keys, rows, size = block + 1, start + size, [], [], 0
             return made
 
@@ -310,7 +316,9 @@ def write(docs: DataFrame, to: str, tokenizer: str, end_id: int = 2, id_col: str
         if rows:
             yield close()
 
-    sorted_ = docs.select(F.col(f"`{id_col}`").cast("long").alias("k"), F.col(f"`{text_col}`").alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
+    sorted_ = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("k"), F.col(f"`{text_col}`").alias("t"),
+    ).repartitionByRange("k").sortWithinPartitions("k", "t")
     sorted_.mapInArrow(run, "part long, block long, start long, n_docs long, n_ids long, data binary").write.option("compression", "none").parquet(to)
 
 
@@ -328,6 +336,9 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
                 ends = np.cumsum(sizes)
                 raw = pa.py_buffer(ids.astype("<u4").tobytes())
                 cut = pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(start + ends - sizes), pa.Array.from_buffers(pa.binary(), len(keys), [None, cut, raw])], [id_col, "start", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.int64()), pa.array(start + ends - sizes), pa.Array.from_buffers(pa.binary(), len(keys), [None, cut, raw])],
+                    [id_col, "start", "ids"],
+                )
 
     return blocks.mapInArrow(run, StructType([StructField(id_col, LongType()), *StructType.fromDDL("start long, ids binary")]))

@@ -243,7 +243,10 @@ def standing(docs: DataFrame, id_col: str, text_col: str, width: int, unique: bo
                 owner = np.r_[keys[doc[at]], keys[long]]
                 shared, later = met(owner, key)
                 span = np.r_[pos[first] << 8 | size, np.full(len(long), COPY)] | shared * SHARED | later * LATER
-                yield pa.RecordBatch.from_arrays([pa.array(scattered(key, owner, later).view(np.int64)), pa.array(owner), pa.array(span)], ["key", "doc", "span"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(scattered(key, owner, later).view(np.int64)), pa.array(owner), pa.array(span)],
+                    ["key", "doc", "span"],
+                )
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col))
     return rows.mapInArrow(run, "key long, doc long, span long")
@@ -336,7 +339,10 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, keep: tuple[str, ...] = (),
+    whole: bool = False,
+) -> DataFrame:
     """The id, the kept columns, n_words, n_removed, text: each row's words that are kept, joined by single spaces. With
     ``whole`` a text that loses no word stays as it is (null: null)."""
     extra = tuple(f"_k{i}" for i in range(len(keep)))

@@ -169,7 +169,10 @@ def keyed(fps: DataFrame, design: list[tuple[list[int], int]]) -> DataFrame:
                         probes.append(np.ones(int(zero.sum()), np.int8))
                     key = np.concatenate(keys).astype(np.int64) | i << 56
                     row = np.concatenate(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate(probes)), pa.array(fp[row].view(np.int64)), pa.array(node[row])], ["key", "probe", "fp", "node"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key), pa.array(np.concatenate(probes)), pa.array(fp[row].view(np.int64)), pa.array(node[row])],
+                        ["key", "probe", "fp", "node"],
+                    )
 
     return fps.select("fp", "node").mapInArrow(run, "key long, probe tinyint, fp long, node long")
 
@@ -244,7 +247,10 @@ def links(fps: DataFrame, design: list[tuple[list[int], int]], radius: int = 4,
         other = F.explode(F.when(F.col("c").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("c") - 1)))
         rows = rows.withColumn("other", other)
         # the upper byte has the partition, which leaves room for a hash of the pair of chunks
-        rows = rows.select(F.when(F.col("c").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), "probe", "fp", "node")
+        rows = rows.select(
+            F.when(F.col("c").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"),
+            "probe", "fp", "node",
+        )
     dealt = rows.repartition("key").sortWithinPartitions("key", "fp", "probe")
     return dealt.mapInArrow(lambda batches: linked(batches, radius), "u long, v long").distinct()
 

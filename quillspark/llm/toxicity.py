@@ -36,7 +36,10 @@ LETTERS = 28  # 0: any sign, 1-26: a-z, 27: other letters
 HASH = 1 << 20
 FEATURES = 256
 #: Letters that signs stand for.
-LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "£": "l", "¡": "i", "µ": "u"}
+LOOKS = {
+    "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
+    "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "£": "l", "¡": "i", "µ": "u",
+}
 ANY = "*#%&?"
 CHANGE, DROP, WILD = 1.0, 3.0, 3.2
 
@@ -205,7 +208,10 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 25) ->
     return w[:-1], float(w[-1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, model: CharacterModel, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000) -> Classifier:
+def learn(
+    docs: DataFrame, labels: DataFrame, model: CharacterModel, id_col: str = "doc_id", text_col: str = "text",
+    label_col: str = "toxic", max_rows: int = 12_000,
+) -> Classifier:
     """A classifier from the rows of ``labels`` (id, label 0/1); those used are bounded, so that they may be broadcast."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -236,7 +242,10 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharacterModel, id_col: str
     return Classifier(place, weights, bias)
 
 
-def score(docs: DataFrame, model: CharacterModel, classifier: Classifier, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+def score(
+    docs: DataFrame, model: CharacterModel, classifier: Classifier, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
+    name: str = "score",
+) -> DataFrame:
     """The kept columns and the score of each row."""
     shared = docs.sparkSession.sparkContext.broadcast((model, classifier))
     most = 150_000
@@ -259,7 +268,10 @@ def learnable(id_col: str) -> Column:
     return fold(id_col, 4) != 2
 
 
-def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+def assess(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
+    name: str = "score",
+) -> DataFrame:
     """Counts the character model over ``docs``, learns from ``labels`` (id, toxic) and scores every row of ``docs``."""
     model = character_model(docs, text_col)
     return score(docs, model, learn(docs, labels, model, id_col, text_col), text_col, keep, name)

@@ -9,7 +9,10 @@ WORDS = ["the", "of", "Ünder", "río", "naïve", "can't", "x1", "—", "end.",
 @pytest.fixture(scope="session")
 def odd_texts():
     r = random.Random(5)
-    texts = [None, "", " \t\n", "a", "one two three", "one two three", "日本語 テキスト 😀", "<|endoftext|> in a text", "x" * 3000, "  spaces   and\ttabs\r\n", "a " * 400]
+    texts = [
+        None, "", " \t\n", "a", "one two three", "one two three", "日本語 テキスト 😀", "<|endoftext|> in a text", "x" * 3000,
+        "  spaces   and\ttabs\r\n", "a " * 400,
+    ]
     texts += [" ".join(r.choice(WORDS) for _ in range(r.choice([3, 15, 60]))) for _ in range(30)]
     return texts
 

@@ -57,7 +57,10 @@ def characters(spark):
 
 
 def test_restoring(characters):
-    want = {"1d10t": "idiot", "stup1d": "stupid", "cl0wn!!": "clown", "IDIOT***": "idiot", "l.o.s.e.r": "loser", "looooser": "loser", "p@thetic": "pathetic", "tr4$h": "trash", "the&&&": "the", "house": "house", "108.51.216.133": "", "###": ""}
+    want = {
+        "1d10t": "idiot", "stup1d": "stupid", "cl0wn!!": "clown", "IDIOT***": "idiot", "l.o.s.e.r": "loser", "looooser": "loser",
+        "p@thetic": "pathetic", "tr4$h": "trash", "the&&&": "the", "house": "house", "108.51.216.133": "", "###": "",
+    }
     assert {w: toxicity.restore(w, characters) for w in want} == want
     spaced = toxicity.features("he is an i d i o t today", characters, {}, None)
     assert zlib.crc32(b"idiot") % toxicity.HASH in spaced
@@ -71,7 +74,10 @@ def test_toxic_words_are_learnt_and_found_in_disguise(spark):
     rows = [(i, f"he was such an {names[i % 2][i % 3]} about the " + " ".join(r.choice(some) for _ in range(6))) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
-    more = spark.createDataFrame([(1000, "a m0r0n lives here"), (1001, "an artist lives here"), (1002, None), (1003, "what an i d i o t")], "doc_id long, text string")
+    more = spark.createDataFrame(
+        [(1000, "a m0r0n lives here"), (1001, "an artist lives here"), (1002, None), (1003, "what an i d i o t")],
+        "doc_id long, text string",
+    )
     rows = {r["doc_id"]: r["score"] for r in toxicity.assess(docs.unionByName(more), labels).collect()}
     assert rows[1000] > 0.5 and rows[1003] > 0.5 and rows[1001] < 0.5 and rows[1002] == rows[1002]
     assert all(0 <= s <= 1 for s in rows.values())

@@ -102,7 +102,11 @@ def test_mix(spark, odd_docs, no_docs):
 
 
 def test_taken_words_come_near_the_targets(spark):
-    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.least(F.col("id") % 9, F.lit(6)).cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")).alias("text"))
+    docs = spark.range(30_000).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("s"), F.least(F.col("id") % 9, F.lit(6)).cast("string")).alias("source"),
+        F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")).alias("text"),
+    )
     sums = mixing.planned(docs).groupBy("row.source").agg(F.sum(F.col("size") * F.col("times")).alias("taken"), F.max("target").alias("target")).collect()
     assert all(abs(r["taken"] / r["target"] - 1) < 0.05 for r in sums)
 
@@ -141,7 +145,10 @@ def test_fingerprint_against_the_definition():
 
 def test_mix_of_clashing_names(spark):
     names = ("_size", "_times", "_copy", "_source", "_target", "size", "times", "row", "target", "source_size", "key", "of", "copy", "rate")
-    docs = spark.createDataFrame([(i, "a b c", "s", *[i * 100 + k for k in range(len(names))]) for i in range(20)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    docs = spark.createDataFrame(
+        [(i, "a b c", "s", *[i * 100 + k for k in range(len(names))]) for i in range(20)],
+        "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names),
+    )
     own = {tuple(r) for r in docs.collect()}
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and {tuple(r) for r in mixed.collect()} == own

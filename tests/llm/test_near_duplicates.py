@@ -134,7 +134,10 @@ def test_vectors_of_several_lengths(spark):
     r = np.random.default_rng(3)
     rows = [(i, r.standard_normal(16).tolist()) for i in range(30)]
     a = r.standard_normal(8)
-    rows += [(40, a.tolist()), (41, (a + 0.01 * r.standard_normal(8)).tolist()), (42, (a * 1e-200).tolist()), (43, [*a.tolist(), 0.0]), (44, [1.0]), (45, [2.0]), (46, [-1.0])]
+    rows += [
+        (40, a.tolist()), (41, (a + 0.01 * r.standard_normal(8)).tolist()), (42, (a * 1e-200).tolist()), (43, [*a.tolist(), 0.0]),
+        (44, [1.0]), (45, [2.0]), (46, [-1.0]),
+    ]
     rows += [(47, []), (None, (a * 3).tolist()), (41, r.standard_normal(16).tolist()), (48, [0.0, 1e-300]), (49, [-0.0, 1e300])]
     df = spark.createDataFrame([(*x, "k", 1) for x in rows], "vec_id long, embedding array<double>, key string, links int")
     got = {(str(x["vec_id"]), x["n_links"], str(x["component_id"])) for x in itq.near_duplicates(df).collect() if x["n_links"]}

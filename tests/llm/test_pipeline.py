@@ -40,8 +40,15 @@ def test_stages(spark):
 
 def test_repeated_and_null_ids(spark):
     text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
-    rows = [(1, text), (1, text), (2, text), (3, "quite another text about other things, long enough to be its own"), (3, "and one more with the same id but nothing else in common at all"), (None, "no id"), (None, "no id")]
-    docs = spark.createDataFrame([(d, t, "en", "s", len(t), "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _fp string")
+    rows = [
+        (1, text), (1, text), (2, text),
+        (3, "quite another text about other things, long enough to be its own"),
+        (3, "and one more with the same id but nothing else in common at all"), (None, "no id"), (None, "no id"),
+    ]
+    docs = spark.createDataFrame(
+        [(d, t, "en", "s", len(t), "x") for d, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, _fp string",
+    )
     kept = p.drop_near_copies(spark, docs.drop("_fp"), SF).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted((str(d), t) for d, t in {rows[0], rows[3], rows[4], rows[5]})
     for _, stage in p.STAGES:
@@ -85,7 +92,11 @@ def test_planted_near_copies(spark):
     assert got == set(top) and 40 < len(got) < 160
 
 
-CLASHING = ("_id", "_fp", "_k", "_own", "_score", "score", "_size", "_times", "_copy", "_source", "_target", "row", "key", "top", "of", "size", "times", "copy", "rest", "doc", "z", "starts", "spans", "n_words", "n_removed", "y", "fp", "node", "own", "component_id", "fingerprint", "ids", "decoded")
+CLASHING = (
+    "_id", "_fp", "_k", "_own", "_score", "score", "_size", "_times", "_copy", "_source", "_target", "row", "key", "top", "of",
+    "size", "times", "copy", "rest", "doc", "z", "starts", "spans", "n_words", "n_removed", "y", "fp", "node", "own",
+    "component_id", "fingerprint", "ids", "decoded",
+)
 
 
 @pytest.mark.parametrize("stage", range(5))

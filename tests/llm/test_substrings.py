@@ -93,7 +93,9 @@ def test_very_many_texts_of_one_id(spark):
     """More texts with one id than 16 bits count, all with a passage that an earlier document has."""
     passage = " ".join(f"w{i}" for i in range(13))
     n = 70_000
-    df = spark.range(n).selectExpr("1L AS doc_id", f"concat('n', id, ' {passage} m') AS text").unionByName(spark.createDataFrame([(0, passage)], "doc_id long, text string"))
+    df = spark.range(n).selectExpr(
+        "1L AS doc_id", f"concat('n', id, ' {passage} m') AS text",
+    ).unionByName(spark.createDataFrame([(0, passage)], "doc_id long, text string"))
     got = recompression.remove_repeats(df).groupBy("doc_id", "n_words", "n_removed").count().collect()
     assert sorted(map(tuple, got)) == [(0, 13, 0, 1), (1, 15, 13, n)]
 

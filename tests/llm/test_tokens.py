@@ -51,7 +51,9 @@ def test_encode_and_decode(spark, odd_docs, odd_texts):
     assert len(rows) == len(odd_texts) + 1
     assert sorted((r["text"], r["ids"]) for r in rows) == sorted((t or "", ids(t)) for t in [*odd_texts, "no id here"])
     some = spark.createDataFrame([(1, [50256, 447, 50256]), (2, None), (3, [])], "doc_id long, ids array<int>")
-    assert {r["doc_id"]: r["text"] for r in bpe_trie.decode(some, PATH).collect()} == {1: LIBRARY.decode([50256, 447, 50256], skip_special_tokens=False), 2: None, 3: ""}
+    assert {r["doc_id"]: r["text"] for r in bpe_trie.decode(some, PATH).collect()} == {
+        1: LIBRARY.decode([50256, 447, 50256], skip_special_tokens=False), 2: None, 3: "",
+    }
 
 
 def test_counts(odd_docs, odd_texts):
