@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as n
 from ..session import cut
-from . import timegap
+from . import rollup, timegap
 from .ordered import at_rank, nearest_rank, upto
 
 #: Minutes of attention that each covered session costs at least.
@@ -142,6 +145,31 @@ def by_day(events: DataFrame, tasks: DataFrame, prompts: DataFrame, cached: Data
     return ratio(out.withColumn("units_unknown", unknown).withColumn("window_complete", (F.col("units_eligible") > 0) & (unknown == 0)))
 
 
+def by_periods(ledger: DataFrame, tasks: DataFrame, prompts: DataFrame, cached: DataFrame, today: str, days: tuple[int, ...] = (7, 30)) -> DataFrame:
+    """days and the payload of day mode for each window of so many days that ends today; every window is deduplicated for
+    itself."""
+    rows = []
+    for n_days in days:
+        start = date.fromisoformat(today) - timedelta(days=n_days - 1)
+        payload = by_day(rollup.window(ledger, start, today), tasks, prompts, cached, today)
+        rows.append(payload.withColumn("days", F.lit(n_days)))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def today_payload(ledger: DataFrame, tasks: DataFrame, prompts: DataFrame, cached: DataFrame, today: str, now: str) -> DataFrame:
+    """One row: all that is shown of the open day, i.e. its totals, the budget of the last 5 and 24 hours, the sessions of the
+    last 24 hours and their human hours with the ratio that may be shown."""
+    day = rollup.window(ledger, today, today)
+    at = F.lit(now).cast("timestamp_ntz")
+    last = timegap.with_session(ledger).where(F.col("ts").between(at - F.expr("INTERVAL 24 HOURS"), at) & (F.col("model") != n.SYNTHETIC))
+    return together(
+        rollup.totals(day),
+        rollup.budget(rollup.dedup_events(last), now),
+        last.agg(F.count_distinct("session_id").alias("sessions_24h"), F.max("ts").alias("last_ts")),
+        today_block(by_day(day, tasks, prompts, cached, today)).drop("active_hours"),
+    )
+
+
 def public_block(rows: DataFrame) -> DataFrame:
     """The ratio as it may be shown: none (0) where the floor decides or where nothing is saved."""
     unsafe = F.col("denominator_is_floor") | (F.col("multiplier") < 1) | (F.col("hours_saved") < 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -302,7 +303,8 @@ def productivity_session(s, d):
     return productivity.public_block(productivity.by_session(window(s, d), v.tasks(s, d), v.prompts(s, d), v.cached_prompts(s, d)))
 
 
-@query(f"""WITH {LEDGER}, {TASKS}, {ATTENTION}, el AS (SELECT *, event_date AS day FROM elig),
+def chunk_sql(ledger: str = LEDGER) -> str:
+    return f"""WITH {ledger}, {TASKS}, {ATTENTION}, el AS (SELECT *, event_date AS day FROM elig),
   {units_sql("un", "session_id, day", "el", "tday", "t.session_id = a.session_id AND t.day = a.day")},
 cl AS (SELECT * FROM un WHERE day < DATE '2024-01-30'), op AS (SELECT * FROM un WHERE day = DATE '2024-01-30'), cov AS (SELECT el.*
   FROM el SEMI JOIN cl ON el.session_id = cl.session_id AND el.day = cl.day),
@@ -323,17 +325,61 @@ fallbacks AS human_attention_fallbacks, round(wh, 6) AS window_human_attention_h
 (SELECT count(*) FROM op) AS open_units_estimated, round((SELECT coalesce(sum(effective), 0) FROM op), 6) AS open_hours_without_ai,
   (SELECT count(DISTINCT session_id) FROM op) AS open_distinct_sessions, round(oh, 6) AS open_human_attention_hours,
 round(den, 6) AS denominator_hours, round(eff - den, 6) AS hours_saved, round(eff / den, 6) AS multiplier,
-  distinct_sessions_covered * 5.0 / 60 > hours AS denominator_is_floor FROM x""")
+  distinct_sessions_covered * 5.0 / 60 > hours AS denominator_is_floor FROM x"""
+
+
+@query(chunk_sql())
 def productivity_chunk(s, d):
     return productivity.by_day(window(s, d), v.tasks(s, d), v.prompts(s, d), v.cached_prompts(s, d), TODAY)
 
 
-@query(None)
+def period_sql(days: int) -> str:
+    start = (date.fromisoformat(TODAY) - timedelta(days=days - 1)).isoformat()
+    return f"SELECT CAST({days} AS INT) AS days, * FROM ({chunk_sql(LEDGER.replace(f"DATE '{START}'", f"DATE '{start}'"))})"
+
+
+@query(f"{period_sql(7)} UNION ALL {period_sql(30)}")
+def productivity_periods(s, d):
+    return productivity.by_periods(v.ledger(s, d), v.tasks(s, d), v.prompts(s, d), v.cached_prompts(s, d), TODAY, (7, 30))
+
+
+ZERO, NONE = "CAST(0 AS DOUBLE)", "CAST(0 AS BIGINT)"
+#: The ledger of the open day alone, which has no closed units: all closed figures are zero.
+TODAY_LEDGER = LEDGER.replace(f"BETWEEN DATE '{START}' AND DATE '{END}'", f"BETWEEN DATE '{TODAY}' AND DATE '{TODAY}'")
+
+
+@query(f"""WITH {TODAY_LEDGER}, {TASKS}, {ATTENTION}, el AS (SELECT *, event_date AS day FROM elig),
+{units_sql("un", "session_id, day", "el", "tday", "t.session_id = a.session_id AND t.day = a.day")},
+uo AS (SELECT session_id, day AS ud FROM un), ua AS (SELECT session_id, day AS ud FROM un_a),
+{attention_sql("ato", "uo", "el")}, {attention_sql("ata", "ua", "el")}, iw AS ({UNION.format("un_a")}),
+x AS (SELECT (SELECT count(*) FROM un_a) AS uop, (SELECT count(*) FROM un) AS n, (SELECT coalesce(sum(effective), 0) FROM un) AS own,
+ (SELECT count(DISTINCT session_id) FROM un) AS ds, (SELECT hours FROM ato) AS oh, (SELECT hours FROM ata) AS wh,
+ (SELECT coalesce(sum(greatest(0, date_diff('microsecond', greatest(s, coalesce(p, s)), e))), 0) / 3600000000.0 FROM iw) AS wcal),
+y AS (SELECT *, greatest(oh, ds * 5.0 / 60) AS den FROM x),
+z AS (SELECT *, CASE WHEN den > 0 THEN own / den ELSE 0 END AS ratio FROM y),
+f AS (SELECT *, oh >= ds * 5.0 / 60 AND oh >= 0.5 AND ratio BETWEEN 1 AND 50 AS fine FROM z)
+SELECT {", ".join(f"{ZERO} AS {c}" for c in (
+    "hours_without_ai", "active_hours_per_session_sum", "hours_floor_added", "hours_ceiling_removed", "baseline_per_event_p95", "active_hours",
+    "calendar_hours", "human_attention_hours", "denominator_hours", "hours_saved", "multiplier", "estimated_hours"))},
+{", ".join(f"{NONE} AS {c}" for c in (
+    "baseline_floor_clamped", "baseline_ceiling_clamped", "sessions_covered", "distinct_sessions_covered", "human_attention_fallbacks",
+    "units_eligible", "units_estimated", "units_unknown"))},
+FALSE AS denominator_is_floor, FALSE AS window_complete, uop AS units_open, n AS open_units_estimated, round(own, 6) AS open_hours_without_ai,
+ds AS open_distinct_sessions, round(oh, 6) AS open_human_attention_hours, round(wh, 6) AS window_human_attention_hours,
+round(wcal, 6) AS window_calendar_hours, round(CASE WHEN uop > 0 AND fine THEN ratio ELSE 0 END, 6) AS shown_multiplier,
+round(CASE WHEN uop = 0 THEN 0 WHEN fine THEN own - den END, 6) AS shown_hours_saved FROM f""")
 def productivity_today(s, d):
     day = rollup.window(v.ledger(s, d), TODAY, TODAY)
     return productivity.today_block(productivity.by_day(day, v.tasks(s, d), v.prompts(s, d), v.cached_prompts(s, d), TODAY))
 
 
+@query(f"""SELECT * EXCLUDE (active_hours) FROM (WITH {TODAY_LEDGER} SELECT {STATS} FROM led), ({SQL["budget_windows"]}), ({SQL["productivity_today"]}),
+(WITH {LEDGER} SELECT count(DISTINCT session_id) AS sessions_24h, max(ts) AS last_ts FROM led2
+ WHERE ts BETWEEN TIMESTAMP '2024-01-29 23:59:59' AND TIMESTAMP '{NOW}' AND model <> '<synthetic>')""")
+def today_payload(s, d):
+    return productivity.today_payload(v.ledger(s, d), v.tasks(s, d), v.prompts(s, d), v.cached_prompts(s, d), TODAY, NOW)
+
+
 SENT = f"""{LEDGER}, {TASKS}, sp AS (SELECT session_id, CAST(min(ts) AS DATE) AS day FROM elig GROUP BY 1),
 cv AS (SELECT sp.session_id, day, CASE WHEN day - DATE '2024-01-01' < 15 THEN 1 ELSE 2 END AS half, c_custkey % 4 AS profanity, c_custkey % 3 AS thanks,
  least(1.0, (c_custkey % 13) / 10) AS fr, least(1.0, (c_custkey % 9) / 8) AS ap, CASE WHEN c_custkey % 6 = 0 THEN NULL
