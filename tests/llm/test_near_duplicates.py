@@ -165,7 +165,7 @@ def test_recall_at_the_threshold(spark):
     """Independent pairs of unit vectors with a cosine of 0.90 to 0.93: the index must find 0.9 of them."""
     r = np.random.default_rng(5)
     rows = []
-    for i in range(600):
+    for i in range(3000):  # too many for one exact group
         a = r.standard_normal(64)
         a /= np.linalg.norm(a)
         b = r.standard_normal(64)
@@ -174,6 +174,7 @@ def test_recall_at_the_threshold(spark):
         c = r.uniform(0.901, 0.93)
         rows += [(2 * i, a.tolist()), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * b).tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert itq.design(len(rows), 64, 0.9)[0] > 1
     assert itq.near_duplicates(df).where("n_links > 0").count() >= 0.9 * len(rows)
 
 
