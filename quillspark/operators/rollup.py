@@ -16,11 +16,12 @@ MONTH_DAYS = 30.0
 
 
 def window(events: DataFrame, start: date | str, end: date | str, providers: list[str] | None = None) -> DataFrame:
-    """The deduplicated ledger of some days (both included) and providers: the filters come first and reach the scan."""
+    """The deduplicated ledger of some days (both included) and providers, by any of their names: the filters come first and
+    reach the scan."""
     rows = events.where(F.col("event_date").between(F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date")))
     rows = rows.where(~F.col("model").eqNullSafe(F.lit(n.SYNTHETIC)))
     if providers is not None:
-        rows = rows.where(F.col("provider_norm").isin(*providers))
+        rows = rows.where(F.col("provider_norm").isin(*[n.provider(F.lit(p)) for p in providers]))
     return dedup_events(rows)
 
 

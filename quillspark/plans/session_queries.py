@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import review
-from ..sources import ledger, sessions
+from ..operators import review, rollup
+from ..operators.dedup import dedup_events
+from ..sources import ledger, sessions, transcripts
 from . import views as v
 from .queries import COSTS, query
-from .views import TODAY
+from .views import LEDGER, STATS, TODAY
 
 
 def session_lines(s, d) -> DataFrame:
@@ -179,3 +180,81 @@ def markers_since(s, d):
         f"TIMESTAMP_NTZ'{TODAY} 10:00:00' + make_dt_interval(0, 0, CAST(turn AS INT)) AS ts", "role", "text",
     )
     return review.markers_since(rows, f"{TODAY} 10:02:00", (*t.PROFANITY, *t.THANKS))
+
+
+@query(f"""WITH {LEDGER}, own AS (SELECT * FROM led2 WHERE model <> '<synthetic>' QUALIFY row_number() OVER (PARTITION BY grp ORDER BY ord) = 1)
+SELECT provider_norm AS provider, {STATS} FROM own GROUP BY 1""")
+def ledger_lines(s, d):
+    """Events written as lines, some numbers as text, with broken lines among them, and read back."""
+    raw = v.raw_ledger(s, d)
+    numbers = ("input_tokens", "output_tokens", "cached_input_tokens", "cache_read_tokens", "cache_creation_tokens", "reasoning_tokens")
+    fields = [
+        *[f"'{c}', {c}" for c in ("event_id", "session_id", "provider", "model", "originator", "source", "working_dir", "cost_estimate_usd")],
+        *[f"'{c}', CAST({c} AS STRING)" for c in numbers], "'total_tokens', total_tokens", "'correction_of', IF(is_correction = 1, 'x', '')",
+        "'ts', concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\"), 'Z')",
+    ]
+    good = raw.selectExpr(f"to_json(named_struct({', '.join(fields)})) AS value", "ord AS id")
+    bad = raw.where("ord % 97 = 0").selectExpr("concat('{\"ts\": ', ord) AS value", "ord AS id")
+    lines = ledger.parsed(good.unionByName(bad).selectExpr("value", "'claude.jsonl' AS file", "0L AS block", "id"))
+    events = ledger.events_of(lines, "anthropic", "claude").withColumn("ord", F.col("id"))
+    return dedup_events(events).groupBy(F.col("provider_norm").alias("provider")).agg(*rollup.stats())
+
+
+def transcript_lines(s, d) -> DataFrame:
+    """Conversations as transcripts: tool results beside some texts, side chains, summaries, and calls that are written twice."""
+    c = v.table(s, d, "conversations")
+    content = "IF(turn % 4 = 0, to_json(array(named_struct('type', 'tool_result', 'text', 'no'), named_struct('type', 'text', 'text', text))), text)"
+    usage = "named_struct('input_tokens', turn + conv_id % 10, 'output_tokens', 2, 'cache_creation', named_struct('ephemeral_1h_input_tokens', turn))"
+    line = f"""to_json(named_struct('type', role, 'timestamp', concat('2026-05-10T10:0', turn, ':00Z'), 'uuid', concat('u', CAST(turn / 4 AS INT)),
+      'sessionId', concat('c', conv_id), 'isSidechain', conv_id % 5 = 4, 'isCompactSummary', turn = 6,
+      'message', named_struct('role', role, 'content', 'TEXT', 'model', IF(role = 'assistant', concat('m', turn % 3), NULL),
+      'usage', IF(role = 'assistant' AND conv_id % 7 > 0, {usage}, NULL))))"""
+    text = f"IF(turn % 4 = 0, {content}, to_json(named_struct('t', text)))"
+    rows = c.selectExpr(f"{line} AS line", f"{text} AS t", "turn % 4 = 0 AS blocks", "concat('f', conv_id, '.jsonl') AS file", "0L AS block", "turn AS id")
+    # the text as JSON: an array of blocks, or what stands between the braces and the key of an object
+    inner = F.when(F.col("blocks"), F.col("t")).otherwise(F.expr("substring(t, 6, length(t) - 6)"))
+    return ledger.parsed(rows.select(F.replace("line", F.lit('"TEXT"'), inner).alias("value"), "file", "block", "id"))
+
+
+@query("""SELECT 'f' || conv_id || '.jsonl' AS path, turn AS id, text FROM conversations
+WHERE role = 'user' AND conv_id % 5 <> 4 AND turn <> 6 AND trim(text) <> '' AND NOT (ltrim(text) LIKE '<environment_context>%')""")
+def transcript_prompts(s, d):
+    return transcripts.prompts(transcripts.messages_of(transcript_lines(s, d))).select("path", "id", "text")
+
+
+@query("""SELECT 'c' || conv_id AS session_id, 'u' || (turn // 4) AS message_uuid, 'm' || (turn % 3) AS model,
+  TIMESTAMP '2026-05-10 10:00:00' + to_minutes(CAST(turn AS INT)) AS ts,
+CAST(turn + conv_id % 10 AS BIGINT) AS input_tokens, CAST(2 AS BIGINT) AS output_tokens, CAST(turn AS BIGINT) AS cache_creation_1h_tokens FROM conversations
+WHERE role = 'assistant' AND conv_id % 7 > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn // 4 ORDER BY turn) = 1""")
+def transcript_calls(s, d):
+    calls = transcripts.billable(transcripts.messages_of(transcript_lines(s, d)))
+    return calls.select("session_id", "message_uuid", "model", "ts", "input_tokens", "output_tokens", "cache_creation_1h_tokens")
+
+
+@query("""WITH a AS (SELECT *, CASE WHEN role = 'user' AND turn % 4 = 0 THEN 'm' || (turn + conv_id) END AS m, CASE WHEN role = 'user'
+  AND turn % 3 = 0 THEN '/w/' || turn WHEN turn = 0 THEN '/w' END AS w FROM conversations),
+b AS (SELECT *, last_value(m IGNORE NULLS) OVER o AS model, last_value(w IGNORE NULLS) OVER o AS wd FROM a WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
+SELECT 'f' || conv_id AS file, 's' || conv_id AS session_id, model, wd AS working_dir, CAST(turn * (conv_id % 3) AS BIGINT) AS input_tokens,
+  CAST(conv_id % 2 AS BIGINT) AS total_tokens
+FROM b WHERE role = 'assistant' AND (turn * (conv_id % 3) > 0 OR conv_id % 2 > 0)""")
+def rollout_calls(s, d):
+    """Rollouts of conversations: a head, contexts that change model and folder, and token counts."""
+    c = v.table(s, d, "conversations")
+    parts = (
+        ("turn = 0", "named_struct('type', 'session_meta', 'payload', named_struct('id', concat('s', conv_id), 'cwd', '/w', 'originator', 'codex-tui'))"),
+        (
+            "role = 'user' AND (turn % 4 = 0 OR turn % 3 = 0)",
+            """named_struct('type', 'turn_context', 'payload',
+              named_struct('model', IF(turn % 4 = 0, concat('m', turn + conv_id), NULL), 'cwd', IF(turn % 3 = 0, concat('/w/', turn), NULL)))""",
+        ),
+        (
+            "role = 'assistant'",
+            """named_struct('type', 'event_msg', 'timestamp', concat('2026-05-10T10:0', turn, ':00Z'), 'payload', named_struct('type', 'token_count',
+              'info', named_struct('last_token_usage', named_struct('input_tokens', turn * (conv_id % 3), 'total_tokens', conv_id % 2))))""",
+        ),
+    )
+    rows = None
+    for k, (where, line) in enumerate(parts):
+        some = c.where(where).selectExpr(f"to_json({line}) AS value", "concat('f', conv_id) AS file", "0L AS block", f"turn * 3 + {k} AS id")
+        rows = some if rows is None else rows.unionByName(some)
+    return transcripts.rollout_calls_of(ledger.parsed(rows)).select("file", "session_id", "model", "working_dir", "input_tokens", "total_tokens")

@@ -59,8 +59,12 @@ def local_time(raw: Column) -> Column:
 
 
 def read_events(spark: SparkSession, path: str, default_provider: str, tag: str) -> DataFrame:
-    """Normalized events of one ledger: lines without a readable time and synthetic ones are left out."""
-    rows = lines(spark, path)
+    """Normalized events of one ledger."""
+    return events_of(lines(spark, path), default_provider, tag)
+
+
+def events_of(rows: DataFrame, default_provider: str, tag: str) -> DataFrame:
+    """Normalized events of a ledger's lines: those without a readable time and synthetic ones are left out."""
     columns = [text(c).alias(c) for c in STRINGS] + [integer(c).alias(c) for c in INTEGERS]
     rows = rows.select(
         "file", "block", "id", F.col("value").alias("raw_json"), local_time(text("ts")).alias("ts"), text("ts").alias("ts_raw"),
@@ -71,7 +75,8 @@ def read_events(spark: SparkSession, path: str, default_provider: str, tag: str)
     )
     rows = rows.where(F.col("ts").isNotNull() & ~F.col("model").eqNullSafe(F.lit(n.SYNTHETIC)))
     given = F.coalesce(n.blank_to_null(F.col("provider")), F.lit(default_provider))
-    rows = rows.withColumn("json_provider", F.col("provider")).withColumn("provider", F.lit(tag)).withColumn("provider_norm", n.provider(given)).withColumn("event_date", F.to_date("ts"))
+    rows = rows.withColumn("json_provider", F.col("provider")).withColumn("provider_norm", n.provider(given))
+    rows = rows.withColumn("provider", F.lit(tag)).withColumn("event_date", F.to_date("ts"))
     rows = rows.withColumn("is_correction", (F.coalesce("correction_of", F.lit("")) != "").cast("int"))
     origin = F.when(
         F.col("provider_norm") == "openai",
@@ -100,6 +105,11 @@ def read_ledgers(spark: SparkSession, folder: str, tags: list[str] | None = None
     return rows.withColumn("ord", F.struct("rank", "file", "block", "id")).drop("rank", "file", "block", "id")
 
 
+def in_time(events: DataFrame) -> DataFrame:
+    """Events by time, those of one instant in the order of files and lines."""
+    return events.orderBy("ts", "ord")
+
+
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     """task_key, session_id, chunk_date and estimates from a map of objects; a broken file gives no rows."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))

@@ -22,8 +22,13 @@ def block_text(content: str) -> Column:
 
 
 def messages(spark: SparkSession, path: str) -> DataFrame:
-    """file, id, ts, role, text, uuid, sidechain, summary, model, usage: messages of both dialects, in order of id."""
-    rows = lines(spark, path).withColumn("path", F.col("file"))
+    """Messages of transcripts in files."""
+    return messages_of(lines(spark, path))
+
+
+def messages_of(rows: DataFrame) -> DataFrame:
+    """path, block, id, ts, role, text, uuid, sidechain, summary, model, v: messages of lines of both dialects."""
+    rows = rows.withColumn("path", F.col("file"))
     kind = text("type")
     rollout = kind.isin("session_meta", "turn_context", "response_item", "event_msg", "compacted")
     payload = F.coalesce(text("payload.type") == "message", F.lit(False))
@@ -72,10 +77,14 @@ def billable(rows: DataFrame) -> DataFrame:
 
 
 def rollout_calls(spark: SparkSession, path: str) -> DataFrame:
+    """Token counts of rollouts in files."""
+    return rollout_calls_of(lines(spark, path))
+
+
+def rollout_calls_of(rows: DataFrame) -> DataFrame:
     """Token counts of rollouts with what was said before them carried forward: session, folder, originator, model.
 
     State goes from line to line within a file, as the last value that isn't null."""
-    rows = lines(spark, path)
     kind = text("type")
     w = Window.partitionBy("file").orderBy("block", "id").rowsBetween(Window.unboundedPreceding, 0)
     meta = lambda key: F.last(F.when(kind == "session_meta", text(f"payload.{key}")), ignorenulls=True).over(w)

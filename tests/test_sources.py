@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import repricing
+from quillspark.operators import repricing, rollup
 from quillspark.operators.dedup import dedup_events
 from quillspark.sources import ledger, sinks, transcripts
 from quillspark.streaming import ingest
@@ -40,6 +40,9 @@ def test_ledger(spark, tmp_path):
     ]
     assert (rows[3]["origin_norm"], rows[3]["cached_input_tokens"], rows[3]["duration_ms"]) == ("tui", 1, 0)
     assert {r["ts"] for r in rows} == {datetime(2026, 5, 10, 10)}
+    every = ledger.read_ledgers(spark, str(tmp_path), ["claude", "codex"])
+    assert [r["provider_norm"] for r in ledger.in_time(every).collect()] == ["anthropic"] * 5 + ["openai"]
+    assert rollup.window(every, "2026-05-10", "2026-05-10", ["Codex"]).count() == 1
     cover = ledger.schema_coverage(spark, str(tmp_path / "claude.jsonl")).first()
     assert (cover["records"], cover["versioned"], cover["broken"]) == (9, 0, 2)
 
