@@ -25,18 +25,20 @@ SCAN = {
     "private_lan_ip": r"\b(?:10|172\.(?:1[6-9]|2[0-9]|3[01])|192\.168)\.\d{1,3}\.\d{1,3}\b",
 }
 # What a release may not contain, with its severity.
-GATE = {
-    "email": ("warn", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"),
-    "api_token": (
-        "fail",
-        r"\b(?:sk-or-v1-|sk-ant-)[A-Za-z0-9][A-Za-z0-9._-]{2,}\b|\bgh[po]_[A-Za-z0-9][A-Za-z0-9_]{15,}\b|\bgithub_pat_[A-Za-z0-9_]{20,}\b|\bxoxb-[A-Za-z0-9][A-Za-z0-9-]{8,}\b",
-    ),
-    "named_secret": ("fail", r"""(?i)\b(?:api[_-]?key|api|token|secret|key)\b[\w .-]{0,32}[:=]\s*["']?[A-Za-z0-9_-]{32,}={0,2}"""),
-    "absolute_path": ("warn", r"""(?<![\w.-])[A-Za-z]:[\\/][^\s"'<>`]+"""),
-    "lan_address": ("warn", r"\b(?:10(?:\.\d{1,3}){3}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{1,3}){2}|192\.168(?:\.\d{1,3}){2})\b"),
-    "mdns_name": ("warn", r"""(?i)(?<![\w.-])(?:[a-z0-9-]+\.)+local(?=[:/\s'")\]}]|$)"""),
-    "cyrillic_path": ("warn", r"""(?<![\w.-])(?:[A-Za-z]:[\\/]|~/|/)[^\s"'<>`]*[Ѐ-ӿ][^\s"'<>`]*"""),
-}
+GATE = (
+    ("email", "warn", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"),
+    ("api_token", "fail", r"\bsk-or-v1-[A-Za-z0-9][A-Za-z0-9._-]{2,}\b"),
+    ("api_token", "fail", r"\bsk-ant-[A-Za-z0-9][A-Za-z0-9._-]{2,}\b"),
+    ("api_token", "fail", r"\bghp_[A-Za-z0-9][A-Za-z0-9_]{15,}\b"),
+    ("api_token", "fail", r"\bgithub_pat_[A-Za-z0-9_]{20,}\b"),
+    ("api_token", "fail", r"\bgho_[A-Za-z0-9][A-Za-z0-9_]{15,}\b"),
+    ("api_token", "fail", r"\bxoxb-[A-Za-z0-9][A-Za-z0-9-]{8,}\b"),
+    ("named_secret", "fail", r"""(?i)\b(?:api[_-]?key|api|token|secret|key)\b[\w .-]{0,32}[:=]\s*["']?[A-Za-z0-9_-]{32,}={0,2}"""),
+    ("absolute_path", "warn", r"""(?<![\w.-])[A-Za-z]:[\\/][^\s"'<>`]+"""),
+    ("lan_address", "warn", r"\b(?:10(?:\.\d{1,3}){3}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{1,3}){2}|192\.168(?:\.\d{1,3}){2})\b"),
+    ("mdns_name", "warn", r"""(?i)(?<![\w.-])(?:[a-z0-9-]+\.)+local(?=[:/\s'")\]}]|$)"""),
+    ("cyrillic_path", "warn", r"""(?<![\w.-])(?:[A-Za-z]:[\\/]|~/|/)[^\s"'<>`]*[Ѐ-ӿ][^\s"'<>`]*"""),
+)
 ALLOW_MARKER = r"(?i)#\s*release-gate:\s*allow\b"
 
 
@@ -75,11 +77,12 @@ def gate(df: DataFrame, id_col: str, text_col: str, allowed_emails: tuple[str, .
         id_col,
         F.posexplode(F.split(text_col, "\r\n|\n|\r")).alias("line", "_t"),
     ).withColumn("line", F.col("line") + 1).where(~F.col("_t").rlike(ALLOW_MARKER))
-    rules = dict(GATE)
     extra = term_pattern(terms or [])
-    if extra:
-        rules["codename"] = ("fail", extra)
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.regexp_extract_all("_t", F.lit(any_script(p)), F.lit(0)).alias("values")) for k, (s, p) in rules.items()])
+    rules = (*GATE, ("codename", "fail", extra)) if extra else GATE
+    found = F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.lit(severity).alias("severity"), F.regexp_extract_all("_t", F.lit(any_script(p)), F.lit(0)).alias("values"))
+        for k, severity, p in rules
+    ])
     rows = lines.select(id_col, "line", F.explode(found).alias("f")).select(id_col, "line", "f.kind", "f.severity", F.explode("f.values").alias("value"))
     domains = tuple(e for e in allowed_emails if e.startswith("@"))
     fine = F.lower("value").isin(*[e.lower() for e in allowed_emails]) if allowed_emails else F.lit(False)

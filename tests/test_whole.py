@@ -204,7 +204,7 @@ def test_patterns_against_python(spark, tmp_path):
     for i, x in enumerate(texts):
         for n, line in enumerate(re.split("\r\n|\n|\r", x or ""), 1):
             if not re.search(privacy.ALLOW_MARKER, line):
-                for kind, (severity, pattern) in privacy.GATE.items():
+                for kind, severity, pattern in privacy.GATE:
                     want += [(i, n, kind, severity, m[0]) for m in re.finditer(pattern, line) if kind != "email" or not m[0].lower().endswith("@example.com")]
     got = [(r["doc_id"], r["line"], r["kind"], r["severity"], r["value"]) for r in plans.QUERIES["release_gate"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
