@@ -92,13 +92,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 # Classes of the code points below U+0250, for the published byte-level pattern
 #   's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
-_L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-_N = "0-9\xb2\xb3\xb9\xbc-\xbe"
-_S = "\\t-\\r \x85\xa0"
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
+NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+SPACES = "\\t-\\r \x85\xa0"
 # (letters first here: they can't begin with an apostrophe, and most pre-tokens are letters)
-_LATIN = re.compile(f" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: A code point whose class the pattern above doesn't know.
-_OTHER = re.compile("[^\x00-ɏ‐-‧‰-⁞₠-₿]")
+_LATIN = re.compile(
+    f" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+",
+)
+#: A code point whose class isn't among those above.
+UNKNOWN = re.compile("[^\x00-ɏ‐-‧‰-⁞₠-₿]")
 
 
 class Pretokenizer:
@@ -115,7 +117,7 @@ class Pretokenizer:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def plain(self, text: str) -> list[str]:
-        if text.isascii() or not _OTHER.search(text):
+        if text.isascii() or not UNKNOWN.search(text):
             return _LATIN.findall(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 

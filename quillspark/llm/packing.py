@@ -20,6 +20,8 @@ columns of the pieces and adds its two.
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ._common import calm_gc, cut
+from ._common import LETTERS, NUMBERS, SPACES, UNKNOWN, byte_level, calm_gc, cut
 
 
 @dataclass(frozen=True)
@@ -126,11 +128,19 @@ def plan(lengths: np.ndarray, counts: np.ndarray, limits: Limits = Limits()) ->
     return Plan(*(np.ascontiguousarray(c) for c in table.T), sequences=opened)
 
 
-class ChunkEncoder:
-    """The library's ids of texts. White space ends every pre-token of this kind of tokenizer and leaves none itself, so a
-    text's ids are those of its chunks between the six ASCII white-space signs; each distinct chunk is encoded once."""
+# The published pattern of word-end BPE, over lower-cased text, for the classes of code points below U+0250
+#   's|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+
+# (letters first here: they can't begin with an apostrophe)
+_WORDS = re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
-    MAX_CHUNKS = 400_000
+
+class WordEncoder:
+    """The ids that the library gives for a file of this kind: NFC, lower case, pre-tokens by the pattern above, byte-level
+    BPE with word ends. The library's BPE model is asked once for each distinct pre-token that a worker holds. Texts beyond
+    Latin script are encoded by the library itself, by chunks: white space ends every pre-token and leaves none, so a text's
+    ids are those of its chunks between the six ASCII white-space signs."""
+
+    MAX_WORDS = 500_000
 
     def __init__(self, path: str) -> None:
         import os
@@ -142,26 +152,43 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.chunks: dict[bytes, bytes] = {}
+        self.model = self.library.model
+        self.signs = {b: c for c, b in byte_level().items()}
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        #: ids by pre-token, and by chunk (as bytes)
+        self.words: dict[str | bytes, bytes] = {}
+
+    def cut(self, text: str | None) -> list[str] | list[bytes]:
+        """Pre-tokens, or chunks where the pattern doesn't know a sign or added tokens are in the text."""
+        if not text:
+            return []
+        low = text.lower()
+        known = text.isascii() or not (UNKNOWN.search(text) or UNKNOWN.search(low))
+        if known and not any(t in text for t in self.added):
+            return _WORDS.findall(low)
+        return text.encode().split()
+
+    def ids(self, word: str | bytes) -> bytes:
+        if isinstance(word, bytes):
+            return np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        found = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.signs))]
+        return struct.pack(f"<{len(found)}I", *found)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        known = self.chunks
-        cut_ = [t.encode().split() if t else [] for t in texts]
+        words = self.words
+        cut_ = list(map(self.cut, texts))
         seen = set(chain.from_iterable(cut_))
-        if len(known) > self.MAX_CHUNKS:
-            self.chunks = known = {c: known[c] for c in seen if c in known}
-        new = list(seen.difference(known))
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            for c, e in zip(some, self.library.encode_batch([c.decode() for c in some], add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
+        if len(words) > self.MAX_WORDS:
+            self.words = words = {w: words[w] for w in seen if w in words}
+        for word in seen.difference(words):
+            words[word] = self.ids(word)
+        get = words.__getitem__
         return [b"".join(map(get, x)) for x in cut_]
 
 
 @cache
-def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def write(
