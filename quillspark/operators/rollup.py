@@ -25,6 +25,29 @@ def window(events: DataFrame, start: date | str, end: date | str, providers: lis
     return dedup_events(rows)
 
 
+#: What the measures are made of.
+INPUTS = (
+    "is_correction", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "cached_input_tokens",
+    "reasoning_tokens", "total_tokens", "cost_estimate_usd",
+)
+
+
+def row_stats() -> list[Column]:
+    """What a row adds to each measure. Corrections restate money; they are no calls."""
+    c = {name: F.col(name) for name in INPUTS}
+    tokens = [c[x] for x in ("total_tokens", "input_tokens", "cached_input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")]
+    return [
+        (1 - c["is_correction"]).cast("long").alias("calls"),
+        n.uncached_input(c["input_tokens"], c["cached_input_tokens"]).cast("long").alias("input_tokens"),
+        c["output_tokens"].cast("long").alias("output_tokens"),
+        (c["cache_read_tokens"] + c["cached_input_tokens"]).cast("long").alias("cache_read_tokens"),
+        *[c[x].cast("long").alias(x) for x in ("cache_creation_tokens", "cached_input_tokens", "reasoning_tokens")],
+        n.total_tokens(*tokens).cast("long").alias("total_tokens"),
+        c["cost_estimate_usd"].alias("cost_estimate_usd"),
+        c["cost_estimate_usd"].isNull().cast("long").alias("unknown_pricing_events"),
+    ]
+
+
 def stats() -> list[Column]:
     """The measures of every rollup. Corrections restate money; they are no calls."""
     return [
