@@ -2,8 +2,8 @@
 
 ``sessions``: session_id, start, end, cost, working_dir. ``commits``: repo, hash, committed_at, lines. ``events``:
 session_id, ts. Sessions and the commits made while they last never meet as pairs: sums over a session are differences of
-running sums, and a commit's owner is found by one pass over sorted times (see ``owners``). A range of time (``width``)
-is the unit of work; it may be made smaller where times are dense.
+running sums, and a commit's owner is found by one pass over sorted times (see ``owners``). A range of time, which holds
+about ``depth`` rows, is the unit of work.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .ordered import HOUR, at_rank, instant, running, span, upto
+from .ordered import DEPTH, at_rank, borders, instant, ranged, running, upto
 
 
-def session_costs(sessions: DataFrame, commits: DataFrame, width: int = HOUR) -> DataFrame:
+def session_costs(sessions: DataFrame, commits: DataFrame, depth: int = DEPTH) -> DataFrame:
     """session_id, cost, commits, lines, cost_per_line: a commit counts for every session around it, both ends included.
 
     Commits are added up over time once; a session takes the sums up to its end less those before its start."""
@@ -32,7 +32,7 @@ def session_costs(sessions: DataFrame, commits: DataFrame, width: int = HOUR) ->
         F.lit(None).cast(sessions.schema["session_id"].dataType).alias("session_id"), instant("committed_at").alias("at"),
         F.lit(0).alias("side"), F.lit(1).cast("long").alias("commits"), F.coalesce("lines", F.lit(0)).cast("long").alias("lines"),
     )
-    sums = running(own.unionByName(made), ["at", "side"], ["commits", "lines"], width).where("side <> 0")
+    sums = running(own.unionByName(made), ["at", "side"], ["commits", "lines"], depth).where("side <> 0")
     sums = sums.groupBy("session_id").agg(*[F.sum(F.col(c) * F.col("side")).alias(c) for c in ("commits", "lines")])
     joined = sessions.select("session_id", "cost").join(sums, "session_id", "left")
     joined = joined.select("session_id", "cost", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("commits", "lines")])
@@ -145,7 +145,7 @@ def kinds_of(batch: pa.RecordBatch) -> list[pa.DataType]:
     return [batch.column(9).type, batch.column(10).type, pa.bool_(), pa.int64(), pa.int64(), batch.column(8).type]
 
 
-def owners(sessions: DataFrame, events: DataFrame, commits: DataFrame, width: int = HOUR) -> DataFrame:
+def owners(sessions: DataFrame, events: DataFrame, commits: DataFrame, depth: int = DEPTH) -> DataFrame:
     """repo, hash, session_id, gap: each commit's one session: of those around it, sessions working inside the repository
     before others, then the one with the nearest event (gap in microseconds), then the one that started first.
 
@@ -158,28 +158,30 @@ def owners(sessions: DataFrame, events: DataFrame, commits: DataFrame, width: in
         F.array(F.struct(F.lit(False).alias("near"), F.lit("").alias("repo"))),
         F.transform(F.coalesce("repos", F.array().cast("array<string>")), lambda r: F.struct(F.lit(True).alias("near"), r.alias("repo"))),
     )
-    pieces = pieces.select(
-        F.explode(scopes).alias("s"), "lo", "hi", "a", "b", "start", "session_id", span("lo", width).alias("first"),
-        span("hi", width).alias("last"),
-    )
-    pieces = cut(pieces.select("s.*", "*").drop("s"))
+    pieces = cut(pieces.select(F.explode(scopes).alias("s"), "lo", "hi", "a", "b", "start", "session_id").select("s.*", "*").drop("s"))
+    commits = commits.where("committed_at is not null")
+    # what a range holds: commits, and stretches that begin or end there
+    times = commits.select(instant("committed_at").alias("at")).unionByName(pieces.select(F.explode(F.array("lo", "hi")).alias("at")))
+    cuts = borders(times, depth=depth)
+    pieces = ranged(ranged(pieces, cuts, "lo", "first"), cuts, "hi", "last")
+    # a row for each range, MOST at most
+    ends = zip(range(len(cuts) + 1), [None, *cuts], [*cuts, None], strict=True)
+    edges = F.broadcast(sessions.sparkSession.createDataFrame(list(ends), "range long, low long, high long"))
     kinds = {c: commits.schema[c].dataType for c in ("repo", "hash")}
     none = [F.lit(None).cast(t).alias(k) for k, t in (("of", kinds["repo"]), ("hash", kinds["hash"]))]
-    edge = pieces.withColumn("range", F.explode(F.array_distinct(F.array("first", "last"))))
+    edge = pieces.withColumn("range", F.explode(F.array_distinct(F.array("first", "last")))).join(edges, "range")
     where = ["near", "repo", "range"]
     begin = edge.where("a is not null").select(
-        *where, F.greatest("lo", F.col("range") * width).alias("at"), F.lit(BEGIN).alias("kind"), F.col("a").alias("v"),
+        *where, F.greatest("lo", "low").alias("at"), F.lit(BEGIN).alias("kind"), F.col("a").alias("v"),
         F.col("hi").alias("other"), "start", "session_id", *none,
     )
     end = edge.where("b is not null").select(
-        *where, F.least("hi", (F.col("range") + 1) * width - 1).alias("at"), F.lit(END).alias("kind"), F.col("b").alias("v"),
+        *where, F.least("hi", F.col("high") - 1).alias("at"), F.lit(END).alias("kind"), F.col("b").alias("v"),
         F.col("lo").alias("other"), "start", "session_id", *none,
     )
-    asked = commits.where("committed_at is not null").select(F.col("repo").alias("of"), "hash", instant("committed_at").alias("at"))
+    asked = ranged(commits.select(F.col("repo").alias("of"), "hash", instant("committed_at").alias("at")), cuts, "at", "range")
     both = F.array(F.struct(F.lit(False).alias("near"), F.lit("").alias("repo")), F.struct(F.lit(True).alias("near"), normal_dir(F.col("of")).alias("repo")))
-    asked = asked.select(
-        F.explode(both).alias("s"), "of", "hash", "at", span("at", width).alias("range"),
-    ).where("s.repo is not null").select("s.*", "of", "hash", "at", "range")
+    asked = asked.select(F.explode(both).alias("s"), "of", "hash", "at", "range").where("s.repo is not null").select("s.*", "of", "hash", "at", "range")
     line = asked.select(
         *where, "at", F.lit(COMMIT).alias("kind"), F.lit(0).cast("long").alias("v"), F.lit(0).cast("long").alias("other"),
         F.lit(0).cast("long").alias("start"),

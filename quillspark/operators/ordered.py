@@ -1,15 +1,24 @@
 """Orders and running sums of large tables, without a task that sorts a whole table or a whole group.
 
 Rows are dealt into ranges that follow one another (of time, or of a number's magnitude). Work is done within ranges; one
-row for each range is put in order afterwards and brings the ranges together. Ranges are much fewer than rows: their number
-depends on the span that the rows cover and on the width, not on how many rows there are.
+row for each range is put in order afterwards and brings the ranges together. Ranges of time are cut where a sketch of the
+rows' quantiles says that about equally many lie between the cuts, so an hour into which everything falls is many ranges.
+Ranges of magnitude hold distinct values, counted where the rows are, so a value that most rows have is one row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from ..session import cut
 
+#: Rows of a range of equal depth, and the number of ranges at most.
+DEPTH, MOST = 100_000, 1024
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
 
@@ -45,25 +54,15 @@ def back(rows: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(named, on).drop(*[f"_r_{k}" for k in keys])
 
 
-def numbered(rows: DataFrame, keys: list[str], value: str, ties: tuple[str, ...] = ()) -> DataFrame:
-    """The rows whose value isn't null with _n, their place in their group's order by value and ties (from 1), and _c, the
-    group's rows."""
-    own = [*keys, "_range"]
-    dealt = rows.where(F.col(value).isNotNull()).withColumn("_range", magnitude(F.col(value).cast("double")))
-    placed = dealt.withColumn("_in", F.row_number().over(Window.partitionBy(*own).orderBy(value, *ties)).cast("long"))
-    w = Window.partitionBy(*keys)
-    before = F.sum("_rows").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    ranges = placed.groupBy(*own).agg(F.count("*").alias("_rows"))
-    ranges = ranges.select(*own, F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_rows").over(w).alias("_c"))
-    return back(placed, ranges, own).withColumn("_n", F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")
-
-
-def upto(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+def upto(rows: DataFrame, keys: list[str], value: str, size: Column | None = None) -> DataFrame:
     """keys, value, _n, _c: for each distinct value of a group how many of its rows have it or a lower one, and the group's
-    rows. Equal values are counted where the rows are."""
+    rows. Equal values are counted where the rows are. ``size``: a number that orders values by magnitude; without it, the
+    value itself (the distinct values of a column that holds no numbers are one range)."""
     own = [*keys, "_range"]
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_one"))
-    counts = counts.withColumn("_range", magnitude(F.col(value).cast("double")))
+    if size is None and isinstance(rows.schema[value].dataType, NumericType):
+        size = F.col(value)
+    counts = counts.withColumn("_range", F.lit(0).cast("long") if size is None else magnitude(size.cast("double")))
     placed = counts.withColumn("_in", F.sum("_one").over(Window.partitionBy(*own).orderBy(value)))
     w = Window.partitionBy(*keys)
     before = F.sum("_rows").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
@@ -88,11 +87,60 @@ def nearest_rank(p: float) -> Column:
     return F.ceil(F.col("_c") * p - 1e-9)
 
 
-def running(points: DataFrame, order: list[str], sums: list[str], width: int) -> DataFrame:
+def row_at(rows: DataFrame, keys: list[str], columns: list[str], rank: Column) -> DataFrame:
+    """Of each group the row at a rank (counted from 1, made of _c, the group's rows whose first column isn't null) in the
+    order of ``columns``. The rank's value is found among the distinct ones; rows that have it go on to the next column."""
+    left = rows.where(F.col(columns[0]).isNotNull())
+    asked: DataFrame | None = None
+    for k, column in enumerate(columns):
+        # (a null tie counts as the least)
+        named = left.withColumn("_v", F.struct(F.col(column).isNotNull().alias("has"), F.col(column).alias("is")))
+        number = isinstance(rows.schema[column].dataType, NumericType)
+        counts = upto(named, keys, "_v", F.coalesce(F.col("_v.is").cast("double"), F.lit(-1.7e308)) if number else None)
+        if asked is None:
+            counts = counts.withColumn("_rank", rank)
+        else:
+            counts = back(counts, asked, keys)
+        reached = counts.where("_n >= _rank").groupBy(*keys).agg(F.min("_v").alias("_at"), F.min("_rank").alias("_rank"))
+        below = back(counts, reached.withColumnRenamed("_rank", "_r"), keys).where("_v < _at").groupBy(*keys).agg(F.max("_n").alias("_below"))
+        asked = cut(named_back(reached, below, keys))
+        left = cut(back(named, asked.select(*keys, "_at"), keys).where("_v = _at").drop("_v", "_at"))
+        asked = asked.select(*keys, "_rank")
+    return left.groupBy(*keys).agg(F.first(F.struct(*rows.columns)).alias("_row")).select("_row.*")
+
+
+def named_back(reached: DataFrame, below: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _at, _rank: the value at the rank, and the rank among the rows that have it."""
+    on = reduce(lambda a, k: a & F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")), keys, F.lit(True))
+    joined = reached.alias("r").join(below.alias("b"), on, "left")
+    return joined.select(*[F.col(f"r.{k}") for k in keys], "_at", (F.col("_rank") - F.coalesce("_below", F.lit(0))).alias("_rank"))
+
+
+def borders(rows: DataFrame, at: str = "at", depth: int = DEPTH) -> list[int]:
+    """Instants that cut the rows into ranges of about ``depth`` rows, fewer than MOST: one row of a sketch's quantiles."""
+    shares = [k / MOST for k in range(1, MOST)]
+    found = rows.agg(F.count(at).alias("n"), F.percentile_approx(at, shares, 10_000).alias("q")).first()
+    if not found["n"]:
+        return []
+    each = max(1, int(MOST * depth / found["n"]))
+    return sorted(set(found["q"][each - 1 :: each]))
+
+
+def ranged(rows: DataFrame, cuts: list[int], at: str = "at", name: str = "_range") -> DataFrame:
+    """The rows with the number of their range: how many cuts aren't after them."""
+    if not cuts:
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    splits = [float("-inf"), *map(float, cuts), float("inf")]
+    dealt = Bucketizer(splits=splits, inputCol="_at", outputCol="_to").transform(rows.withColumn("_at", F.col(at).cast("double")))
+    return dealt.withColumn(name, F.col("_to").cast("long")).drop("_at", "_to")
+
+
+def running(points: DataFrame, order: list[str], sums: list[str], depth: int = DEPTH) -> DataFrame:
     """points (at in microseconds, ...) with each column of ``sums`` added up over all points up to each one, and _next, the
-    instant of the point after it. Points with equal ``order`` count together."""
+    instant of the point after it. Points with equal ``order``, which begins with ``at``, count together."""
+    points = cut(points)
     w = Window.partitionBy("_range").orderBy(*order)
-    placed = points.withColumn("_range", span("at", width))
+    placed = ranged(points, borders(points, depth=depth))
     placed = placed.select(
         "*",
         F.lead("at").over(Window.partitionBy("_range").orderBy(*order)).alias("_next"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as n
-from .ordered import numbered
+from .ordered import row_at
 from .timegap import with_session
 
 CLAIM = r"(?im)^claim:\s*(\S+)"
@@ -51,7 +51,7 @@ def envelopes(rows: DataFrame, text_col: str = "body", required: tuple[str, ...]
 
 def lower_median(rows: DataFrame, keys: list[str], value: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """Of each group the row in the middle by ``value`` and ``ties``, the lower one of two. Null values don't count."""
-    return numbered(rows, keys, value, ties).where(F.expr("_n = (_c - 1) div 2 + 1")).drop("_n", "_c")
+    return row_at(rows, keys, [value, *ties], F.expr("(_c - 1) div 2 + 1"))
 
 
 # Sizes of sessions, from small to large.

@@ -1,7 +1,8 @@
 """Time metrics from gaps between events. All times are TIMESTAMP_NTZ; hours are doubles.
 
-Nothing orders all rows, a whole day or a whole session in one task: times are ordered within ranges of an hour (``width``),
-and the ranges' first and last times, one row a range, are joined up afterwards.
+Nothing orders all rows, a whole day or a whole session in one task. For gaps, times are first reduced to seconds where the
+rows are, then ordered within hours, of 3,600 seconds at most however many rows there are; the hours' first and last times are
+joined up afterwards. Unions of intervals are made of ranges of equal depth.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .ordered import HOUR, instant, micros, running, span
+from .ordered import DEPTH, HOUR, SECOND, instant, running, span
 
 MINUTE = 60_000_000
 
@@ -19,16 +20,22 @@ def with_session(events: DataFrame) -> DataFrame:
     return events.where((F.coalesce("session_id", F.lit("")) != "") & F.col("ts").isNotNull())
 
 
-def gaps_by(times: DataFrame, keys: list[str], gap_minutes: int, width: int = HOUR) -> DataFrame:
+def gaps_by(times: DataFrame, keys: list[str], gap_minutes: float, width: int = HOUR) -> DataFrame:
     """keys, events, active_hours, start, end: the rows of each group, the sum of the gaps of at most ``gap_minutes`` between
-    them, the first time and the last."""
-    limit, own = gap_minutes * MINUTE, [*keys, "_range"]
+    them, the first time and the last.
+
+    Gaps within a second (or within the limit, if that is shorter) all count and add up to the span of its times."""
+    limit, own = int(gap_minutes * MINUTE), [*keys, "_range"]
+    unit = max(1, min(SECOND, limit))
     near = lambda c: F.coalesce(F.sum(F.when(F.col(c) <= limit, F.col(c))), F.lit(0))
-    at = times.select(*keys, "ts", instant("ts").alias("at")).withColumn("_range", span("at", width))
-    inner = at.withColumn("_gap", F.col("at") - F.lag("at").over(Window.partitionBy(*own).orderBy("at")))
+    at = times.select(*keys, "ts", instant("ts").alias("at")).withColumn("_range", span("at", width)).withColumn("_unit", span("at", unit))
+    units = at.groupBy(*own, "_unit").agg(
+        F.count("*").alias("_rows"), F.min("at").alias("_first"), F.max("at").alias("_last"), F.min("ts").alias("_start"), F.max("ts").alias("_end"),
+    )
+    inner = units.withColumn("_gap", F.col("_first") - F.lag("_last").over(Window.partitionBy(*own).orderBy("_unit")))
     ranges = inner.groupBy(*own).agg(
-        F.count("*").alias("_rows"), F.min("at").alias("_first"), F.max("at").alias("_last"), near("_gap").alias("_in"),
-        F.min("ts").alias("_start"), F.max("ts").alias("_end"),
+        F.sum("_rows").alias("_rows"), F.min("_first").alias("_first"), F.max("_last").alias("_last"),
+        (near("_gap") + F.coalesce(F.sum(F.col("_last") - F.col("_first")), F.lit(0))).alias("_in"), F.min("_start").alias("_start"), F.max("_end").alias("_end"),
     )
     joined = ranges.withColumn("_over", F.col("_first") - F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")))
     hours = (F.coalesce(F.sum("_in"), F.lit(0)) + near("_over")) / HOUR
@@ -52,13 +59,13 @@ def active_merged(events: DataFrame, gap_minutes: int = 2) -> DataFrame:
     return merged_hours(with_session(events), gap_minutes).withColumnRenamed("hours", "active_hours")
 
 
-def union_hours(spans: DataFrame, width: int = HOUR) -> DataFrame:
+def union_hours(spans: DataFrame, depth: int = DEPTH) -> DataFrame:
     """One row, hours: how long at least one of the spans (start, end) lasts; touching ones are one.
 
     A span is two points, which open and close it; time counts while more are open than closed."""
     ends = F.array(F.struct(instant("start").alias("at"), F.lit(1).alias("open")), F.struct(instant("end").alias("at"), F.lit(-1).alias("open")))
     points = spans.where("start < end").select(F.explode(ends).alias("p")).select("p.*")
-    rows = running(points, ["at"], ["open"], width)
+    rows = running(points.groupBy("at").agg(F.sum("open").alias("open")), ["at"], ["open"], depth)
     return rows.agg((F.coalesce(F.sum(F.when(F.col("open") > 0, F.col("_next") - F.col("at"))), F.lit(0)) / HOUR).alias("hours"))
 
 
