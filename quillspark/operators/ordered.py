@@ -19,6 +19,8 @@ from ..session import cut
 
 #: Rows of a range of equal depth, and the number of ranges at most.
 DEPTH, MOST = 100_000, 1024
+#: Lines of a file that are carried forward in one go.
+CHUNK = 1 << 16
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
 
@@ -155,3 +157,28 @@ def running(points: DataFrame, order: list[str], sums: list[str], depth: int = D
     )
     total = {c: (F.col(f"_before_{c}") + F.col(f"_in_{c}")).alias(c) for c in sums}
     return placed.join(ranges, "_range").select(*[total.get(c, F.col(c)) for c in points.columns], F.coalesce("_next", "_after").alias("_next"))
+
+
+def carried(
+    rows: DataFrame, values: dict[str, Column], keys: tuple[str, ...] = ("file",), order: tuple[str, str] = ("block", "id"), line: str | None = None,
+) -> DataFrame:
+    """The rows with columns that hold, of each value, the last one that isn't null up to the row, in its file; ``line``: the
+    row's number, from 1.
+
+    In two levels, so that no task has a whole file: within chunks, i.e. splits (``order[0]``) cut by the line's number, and
+    then from chunk to chunk, of which there is one row each."""
+    block, place = order
+    own = [*keys, block, "_chunk"]
+    named = [f"_v_{k}" for k in values]
+    dealt = rows.select("*", *[c.alias(n) for n, c in zip(named, values.values(), strict=True)], F.expr(f"`{place}` div {CHUNK}").alias("_chunk"))
+    w = Window.partitionBy(*own).orderBy(place)
+    upto_row = w.rowsBetween(Window.unboundedPreceding, 0)
+    inner = dealt.select(*rows.columns, "_chunk", *[F.last(c, ignorenulls=True).over(upto_row).alias(c) for c in named], F.row_number().over(w).alias("_line"))
+    chunks = inner.groupBy(*own).agg(F.max("_line").alias("_lines"), *[F.max_by(c, "_line").alias(f"_c{c}") for c in named])
+    before = Window.partitionBy(*keys).orderBy(block, "_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(
+        *own, F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_lines"), *[F.last(f"_c{c}", ignorenulls=True).over(before).alias(f"_c{c}") for c in named],
+    )
+    joined = back(inner, chunks, own)
+    number = [] if line is None else [(F.col("_lines") + F.col("_line")).alias(line)]
+    return joined.select(*rows.columns, *number, *[F.coalesce(c, f"_c{c}").alias(k) for k, c in zip(values, named, strict=True)])

@@ -883,4 +883,4 @@ def period_totals(s, d):
     return rollup.periods(v.ledger(s, d), TODAY, (1, 7, 30))
 
 
-from . import session_queries, state_queries  # noqa: E402,F401 register their queries here
+from . import session_queries, state_queries, text_queries  # noqa: E402,F401 register their queries here

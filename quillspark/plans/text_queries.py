@@ -1,0 +1,101 @@
+"""Queries over texts: envelopes of tasks, contexts within a budget, and findings with what stands around them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import privacy, terms
+from ..operators import bus
+from ..sources import transcripts
+from . import views as v
+from .queries import query
+
+ORDERS = """c AS (SELECT *, floor(o_totalprice)::BIGINT - 200000 AS lease, CASE o_orderpriority WHEN '5-LOW' THEN 2 ELSE 1 END AS ver FROM orders),
+k AS (SELECT *, '{"created_at":"' || strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z","idempotency_key":"é' || o_orderstatus || '","kind":"' || o_orderpriority
+  || '","lease_seconds":' || lease || ',"payload_ref":"p","payload_sha256":"' || sha256(CAST(o_orderkey AS VARCHAR)) || '","schema_version":' || ver
+  || ',"target_host":"h' || o_custkey || '","task_id":"t' || o_orderkey || '"}' AS canon FROM c)"""
+
+
+@query(f"""WITH {ORDERS} SELECT o_orderkey, o_orderstatus <> 'P' AS verified,
+CASE WHEN o_orderstatus <> 'P' AND lease > 0 AND ver = 1 THEN canon END AS task FROM k""")
+def task_envelopes(s, d):
+    """Orders as tasks: keys in another order, spaces and escapes in the JSON, and wrong digests for those of one status."""
+    rows = v.table(s, d, "orders").selectExpr(
+        "*", "CAST(floor(o_totalprice) AS BIGINT) - 200000 AS lease", "IF(o_orderpriority = '5-LOW', 2, 1) AS ver",
+        "date_format(o_orderdate, 'yyyy-MM-dd') AS day", "sha2(CAST(o_orderkey AS STRING), 256) AS payload",
+    )
+    canon = F.format_string(
+        '{"created_at":"%sT00:00:00Z","idempotency_key":"é%s","kind":"%s","lease_seconds":%s,"payload_ref":"p","payload_sha256":"%s","schema_version":%s,"target_host":"h%s","task_id":"t%s"}',
+        "day", "o_orderstatus", "o_orderpriority", "lease", "payload", "ver", "o_custkey", "o_orderkey",
+    )
+    body = F.format_string(
+        '{ "task_id" : "t%s",\n  "schema_version": %s, "kind": "%s",\t"target_host": "h%s", "payload_ref": "p",\n "payload_sha256":"%s", "lease_seconds":  %s, "idempotency_key": "\\u00e9%s", "created_at": "%sT00:00:00Z" }',
+        "o_orderkey", "ver", "o_orderpriority", "o_custkey", "payload", "lease", "o_orderstatus", "day",
+    )
+    digest = F.sha2(F.when(F.col("o_orderstatus") == "P", F.reverse(canon)).otherwise(canon), 256)
+    text = F.concat(F.lit("Please:\n<!-- x-task:v1 sha256="), F.upper(digest), F.lit(" -->\n"), body, F.lit("\n<!-- /x-task:v1 -->\nThanks"))
+    return bus.envelopes(rows.select("o_orderkey", text.alias("body"))).drop("body")
+
+
+def context_sql(limits: tuple[int, int], most: int) -> str:
+    cut = lambda n: f"CASE WHEN length(text) <= {n} THEN text ELSE regexp_replace(substr(text, 1, {n}), '\\s+$', '') || chr(10) || '...[truncated]' END"
+    part = lambda role, title, n: f"'### {title}' || E'\\n\\n' || string_agg('[{role} ' || n || ']' || chr(10) || {cut(n)}, E'\\n\\n' ORDER BY n) FILTER (role = '{role}')"
+    whole = lambda n: f"concat_ws(E'\\n\\n', {part('user', 'First user messages', n)}, {part('assistant', 'Last assistant messages', n)})"
+    head, mark = most // 3, "\n...[middle truncated]...\n"
+    return f"""WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS up,
+  row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS down FROM conversations WHERE role IN ('user', 'assistant')),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM m
+  WHERE (role = 'user' AND up <= 3) OR (role = 'assistant' AND down <= 5)),
+c AS (SELECT conv_id, {whole(limits[0])} AS a, {whole(limits[1])} AS b FROM f GROUP BY conv_id),
+w AS (SELECT conv_id, CASE WHEN length(a) > {most} THEN b ELSE a END AS t FROM c)
+SELECT conv_id, CASE WHEN length(t) <= {most} THEN t ELSE regexp_replace(substr(t, 1, {head}), '\\s+$', '') || chr(10) || '...[middle truncated]...' || chr(10)
+  || regexp_replace(right(t, {most - head - len(mark)}), '^\\s+', '') END AS context FROM w"""
+
+
+def conversations(s, d) -> DataFrame:
+    return v.table(s, d, "conversations").selectExpr("conv_id", "0L AS block", "turn AS id", "role", "text")
+
+
+@query(context_sql(transcripts.MESSAGE_LIMITS, transcripts.CONTEXT_LIMIT))
+def transcript_context(s, d):
+    return transcripts.context(conversations(s, d), ("conv_id",))
+
+
+@query(context_sql((700, 250), 1500))
+def transcript_context_tight(s, d):
+    """The same where all limits bind."""
+    return transcripts.context(conversations(s, d), ("conv_id",), limits=(700, 250), most=1500)
+
+
+SIGN = r"[\p{L}\p{N}_]"
+
+
+@query(rf"""WITH tm AS (SELECT term, row_number() OVER (ORDER BY term) AS k FROM (SELECT DISTINCT lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) AS term FROM benchmark)),
+o AS (SELECT doc_id, text, term, k, string_split(lower(text), term) AS parts FROM documents JOIN tm ON contains(lower(text), term)),
+x AS (SELECT *, unnest(range(1, len(parts))) AS j FROM o),
+y AS (SELECT *, CAST(list_sum(list_transform(parts[1:j], lambda p: length(p))) AS BIGINT) + (j - 1) * length(term) AS pos FROM x)
+SELECT doc_id, 'private_term_' || k AS kind, substr(text, pos + 1, length(term)) AS value,
+  replace(substr(text, greatest(pos - 80, 0) + 1, least(pos, 80) + length(term) + 120), chr(10), '\n') AS context FROM y
+WHERE NOT (pos > 0 AND regexp_matches(substr(text, pos, 1), '{SIGN}')) AND NOT regexp_matches(substr(text, pos + length(term) + 1, 1), '{SIGN}')""")
+def term_findings(s, d):
+    """Where the documents have the first two words of a benchmark's item, in any case."""
+    first = v.table(s, d, "benchmark").select(F.lower(F.concat_ws(" ", F.slice(F.split("text", " "), 1, 2))).alias("t")).distinct().orderBy("t")
+    names = [r[0] for r in first.collect()]  # a list of terms, as a deployment keeps one
+    return terms.find_terms(v.table(s, d, "documents"), "doc_id", "text", list(enumerate(names, 1)))
+
+
+def contexts_sql() -> str:
+    signs = r"\p{L}\p{N}_"
+    parts = []
+    for kind, pattern in privacy.SCAN.items():
+        p = pattern.replace("'", "''").replace(r"[\w", f"[{signs}").replace(r"\w", f"[{signs}]")
+        parts.append(f"SELECT doc_id, text, '{kind}' AS kind, regexp_extract_all(text, '{p}') AS v, regexp_split_to_array(text, '{p}') AS s FROM documents")
+    return f"""WITH o AS ({' UNION ALL '.join(parts)}), x AS (SELECT *, unnest(range(1, len(v) + 1)) AS j FROM o),
+y AS (SELECT *, CAST(list_sum(list_transform(s[1:j], lambda p: length(p))) + coalesce(list_sum(list_transform(v[1:j - 1], lambda p: length(p))), 0) AS BIGINT) AS pos FROM x)
+SELECT doc_id, kind, v[j] AS value, replace(substr(text, greatest(pos - 80, 0) + 1, least(pos, 80) + length(v[j]) + 120), chr(10), '\\n') AS context FROM y"""
+
+
+@query(contexts_sql())
+def privacy_contexts(s, d):
+    return terms.find_patterns(v.table(s, d, "documents"), "doc_id", "text")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import normalize as n
+from ..operators.ordered import carried
 from .ledger import get, local_time, parsed, text
 
 AGENTS = "subagents"
@@ -49,11 +50,10 @@ def switched_calls(rows: DataFrame, since: str | None = None) -> DataFrame:
     """Calls of sessions that name their provider and model in lines before: file, line, event_id, ts, session_id, provider,
     model, tokens, cost, exit_code, partial, working_dir, channel, response_id.
 
-    State goes from line to line within a file, as the last value that isn't null: ``session`` lines set id and folder,
+    State goes from line to line within a file, as the last value that isn't null (see ``ordered.carried``): ``session`` lines set id and folder,
     ``model_change`` lines provider and model, the runtime context the channel, and a call its own provider and model for
     those after it. Calls without any usage are left out, but what they set stays."""
     kind = text("type")
-    w = Window.partitionBy("file").orderBy("block", "id").rowsBetween(Window.unboundedPreceding, 0)
     at = local_time(F.coalesce(text("timestamp"), text("message.timestamp")))
     usage = get("message.usage", "variant")
     call = (kind == "message") & (text("message.role") == "assistant") & F.coalesce(
@@ -68,16 +68,18 @@ def switched_calls(rows: DataFrame, since: str | None = None) -> DataFrame:
     provider = F.when(named.isin("openrouter_openclaw", "openclaw"), "openrouter").otherwise(n.blank_to_null(named))
     model = F.when(change, first("modelId", "model")).when(call, first("message.model", "message.responseModel"))
     context = F.when((kind == "custom_message") & (text("customType") == "openclaw.runtime-context"), n.channel(text("content")))
-    last = lambda c: F.last(c, ignorenulls=True).over(w)
     number = lambda key: F.coalesce(get(f"message.usage.{key}", "bigint"), F.lit(0).cast("bigint"))
-    state = rows.select(
+    known = carried(rows, {
+        "_id": F.when(started, first("id")), "_cwd": F.when(started, first("cwd")), "_provider": provider, "_model": model, "_channel": context,
+    }, line="_line")
+    state = known.select(
         "file",
-        F.row_number().over(Window.partitionBy("file").orderBy("block", "id")).alias("line"),
-        F.coalesce(last(F.when(started, first("id"))), F.regexp_replace("file", r"\.jsonl$", "")).alias("session_id"),
-        F.coalesce(last(F.when(started, first("cwd"))), F.lit("")).alias("working_dir"),
-        F.coalesce(last(provider), F.lit("openrouter")).alias("provider"),
-        F.coalesce(last(model), F.lit("unknown")).alias("model"),
-        F.coalesce(last(context), F.lit("workspace")).alias("channel"),
+        F.col("_line").alias("line"),
+        F.coalesce("_id", F.regexp_replace("file", r"\.jsonl$", "")).alias("session_id"),
+        F.coalesce("_cwd", F.lit("")).alias("working_dir"),
+        F.coalesce("_provider", F.lit("openrouter")).alias("provider"),
+        F.coalesce("_model", F.lit("unknown")).alias("model"),
+        F.coalesce("_channel", F.lit("workspace")).alias("channel"),
         at.alias("ts"),
         *[number(k).alias(c) for c, k in (("input_tokens", "input"), ("output_tokens", "output"), ("cache_read_tokens", "cacheRead"), ("cache_creation_tokens", "cacheWrite"), ("written", "totalTokens"))],
         F.coalesce(F.round(get("message.usage.cost.total", "double"), 10), F.lit(0.0)).alias("cost_estimate_usd"),

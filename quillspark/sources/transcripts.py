@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators.ordered import carried
 from .ledger import get, integer, lines, local_time, text
 
 USER_BLOCKS = ("text", "input_text")
@@ -84,15 +85,13 @@ def rollout_calls(spark: SparkSession, path: str) -> DataFrame:
 def rollout_calls_of(rows: DataFrame) -> DataFrame:
     """Token counts of rollouts with what was said before them carried forward: session, folder, originator, model.
 
-    State goes from line to line within a file, as the last value that isn't null."""
+    State goes from line to line within a file, as the last value that isn't null (see ``ordered.carried``)."""
     kind = text("type")
-    w = Window.partitionBy("file").orderBy("block", "id").rowsBetween(Window.unboundedPreceding, 0)
-    meta = lambda key: F.last(F.when(kind == "session_meta", text(f"payload.{key}")), ignorenulls=True).over(w)
-    state = rows.withColumn("session_id", meta("id")).withColumn("originator", meta("originator")).withColumn("source", meta("source"))
-    state = state.withColumn(
-        "working_dir",
-        F.last(F.when(kind.isin("session_meta", "turn_context"), text("payload.cwd")), ignorenulls=True).over(w),
-    ).withColumn("model", F.last(F.when(kind == "turn_context", text("payload.model")), ignorenulls=True).over(w))
+    meta = lambda key: F.when(kind == "session_meta", text(f"payload.{key}"))
+    state = carried(rows, {
+        "session_id": meta("id"), "originator": meta("originator"), "source": meta("source"),
+        "working_dir": F.when(kind.isin("session_meta", "turn_context"), text("payload.cwd")), "model": F.when(kind == "turn_context", text("payload.model")),
+    })
     usage = "payload.info.last_token_usage"
     fields = {
         "input_tokens": "input_tokens", "cached_input_tokens": "cached_input_tokens", "output_tokens": "output_tokens",
@@ -135,6 +134,61 @@ def daily_input(rows: DataFrame, first: int = 3, last: int = 5, limit: int = 200
     return counts.join(few, ["path", "day"]).withColumn("context", context).drop("m")
 
 
+# Limits of a message, the second where the first gives too much, and of the whole context.
+MESSAGE_LIMITS, CONTEXT_LIMIT = (2_500, 1_200), 15_000
+
+
+def clipped(text: Column, limit: int) -> Column:
+    """A message's beginning, with a mark where the rest was."""
+    return F.when(F.length(text) <= limit, text).otherwise(
+        F.concat(F.regexp_replace(F.substring(text, 1, limit), r"(?U)\s+\z", ""), F.lit("\n...[truncated]")),
+    )
+
+
+def without_middle(text: Column, limit: int) -> Column:
+    """A third of the limit from the beginning, the rest of it, less the mark, from the end."""
+    mark = "\n...[middle truncated]...\n"
+    head = limit // 3
+    tail = limit - head - len(mark)
+    return F.when(F.length(text) <= limit, text).otherwise(
+        F.concat(
+            F.regexp_replace(F.substring(text, 1, head), r"(?U)\s+\z", ""), F.lit(mark),
+            F.regexp_replace(F.substring(text, -tail, tail), r"(?U)\A\s+", ""),
+        ),
+    )
+
+
+def context(
+    rows: DataFrame, keys: tuple[str, ...] = ("path",), first: int = 3, last: int = 5, limits: tuple[int, int] = MESSAGE_LIMITS, most: int = CONTEXT_LIMIT,
+) -> DataFrame:
+    """keys, context: a conversation's first user messages and its last assistant ones, each cut to the first limit, or to
+    the second if the whole is longer than ``most``, which then loses its middle. Only messages that are kept are gathered,
+    each as its beginning: of ``rows`` (keys, block, id, role, text) no more than ``first`` + ``last`` for each key."""
+    said = rows.where(F.col("role").isin("user", "assistant")).select(*keys, "block", "id", "role", F.coalesce("text", F.lit("")).alias("text"))
+    place = F.struct("block", "id")
+    # (Spark keeps the few of each task before it shuffles them)
+    up = F.row_number().over(Window.partitionBy(*keys, "role").orderBy("block", "id"))
+    down = F.row_number().over(Window.partitionBy(*keys, "role").orderBy(F.desc("block"), F.desc("id")))
+    users = said.where("role = 'user'").withColumn("_n", up).where(F.col("_n") <= first)
+    assistants = said.where("role = 'assistant'").withColumn("_n", down).where(F.col("_n") <= last)
+    longest = max(limits)
+    begun = F.struct(place.alias("at"), F.substring("text", 1, longest + 1).alias("text"))
+    few = users.unionByName(assistants).groupBy(*keys).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("role") == r, begun))).alias(r) for r in ("user", "assistant")],
+    )
+
+    def section(role: str, title: str, limit: int) -> Column:
+        lines = F.transform(role, lambda m, i: F.concat(F.lit(f"[{role} "), (i + 1).cast("string"), F.lit("]\n"), clipped(m["text"], limit)))
+        return F.when(F.size(role) > 0, F.concat_ws("\n\n", F.lit(title), F.array_join(lines, "\n\n")))
+
+    def rendered(limit: int) -> Column:
+        whole = F.concat_ws("\n\n", section("user", "### First user messages", limit), section("assistant", "### Last assistant messages", limit))
+        return F.when(whole == "", "No readable transcript text found.").otherwise(whole)
+
+    long = rendered(limits[0])
+    return few.select(*keys, without_middle(F.when(F.length(long) > most, rendered(limits[1])).otherwise(long), most).alias("context"))
+
+
 def log_events(spark: SparkSession, path: str) -> DataFrame:
     """Calls of a plain log: the session is the day, the id the beginning of the line's SHA-1."""
     rows = lines(spark, path)
