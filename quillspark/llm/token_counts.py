@@ -5,6 +5,10 @@ ranks of its adjacent pairs, takes its lowest, and merges all places of that pai
 second one, from the left); a sequence without a ranked pair is done, and its surviving symbols are its tokens. A merge
 only makes pairs of higher rank, so a round's merges never get in each other's way.
 
+Long pre-tokens would take as many such rounds as they have ranks, each over all their symbols. They are kept as linked
+arrays instead, with the places of every rank in a bucket: a round takes the lowest bucket and touches only its places and
+their neighbours, whose new pairs go to later buckets. That is near-linear in a pre-token's length.
+
 Null and empty texts have no tokens. Texts of any length are counted whole. Rows are kept as they come, repeated ones and
 null ids too; an empty table gives no rows; other columns are left out, whatever their names. The table of counted words is
 cut to the current ones at a fixed size; memory grows with a batch's distinct words only.
@@ -12,6 +16,7 @@ cut to the current ones at a fixed size; memory grows with a batch's distinct wo
 
 from __future__ import annotations
 
+import heapq
 from functools import cache
 from itertools import chain
 
@@ -25,6 +30,8 @@ NONE = np.int64(1) << 40
 MAX_WORDS = 200_000
 #: Bytes of pre-tokens merged together.
 MAX_BYTES = 4_000_000
+#: Bytes from which a pre-token is a long one.
+LONG = 200
 
 
 class Counter:
@@ -38,6 +45,7 @@ class Counter:
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
         self.merged = np.array([c for _, _, c in v.merges], np.int64)
+        self.pairs = [(a, b) for a, b, _ in v.merges]
         self.byte_ids = np.array(v.byte_ids, np.int64)
         self.words: dict[str, int] = {}
 
@@ -78,6 +86,55 @@ class Counter:
             symbols, which = symbols[kept], which[~done]
         return counts
 
+    def merge_long(self, words: list[bytes]) -> np.ndarray:
+        """The same for long pre-tokens."""
+        sizes = np.array(list(map(len, words)), np.int64)
+        ends = np.cumsum(sizes)
+        n = int(ends[-1])
+        symbols = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        # after the last symbol comes one that pairs with nothing, and it is its own neighbour
+        symbols = np.append(symbols, -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[n], before[0] = n, n
+        after[ends - 1], before[ends[:-1]] = n, n
+        buckets: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def put(places: np.ndarray) -> None:
+            other = symbols[after[places]]
+            places, other = places[other >= 0], other[other >= 0]
+            ranks = self.ranks(symbols[places], other)
+            order = np.flatnonzero(ranks != NONE)
+            if not len(order):
+                return
+            order = order[np.argsort(ranks[order], kind="stable")]
+            ranks, places = ranks[order], places[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            for rank, some in zip(ranks[np.r_[0, cuts]].tolist(), np.split(places, cuts), strict=True):
+                if rank not in buckets:
+                    buckets[rank] = []
+                    heapq.heappush(queue, rank)
+                buckets[rank].append(some)
+
+        put(np.arange(n))
+        while queue:
+            rank = heapq.heappop(queue)
+            places = np.unique(np.concatenate(buckets.pop(rank)))
+            left, right = self.pairs[rank]
+            places = places[(symbols[places] == left) & (symbols[after[places]] == right)]
+            if left == right and len(places) > 1:
+                first = np.ones(len(places), bool)
+                first[1:] = after[places[:-1]] != places[1:]
+                nth = np.arange(len(places)) - np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))
+                places = places[nth % 2 == 0]
+            gone = after[places]
+            symbols[places], symbols[gone] = self.merged[rank], -2
+            after[places] = after[gone]
+            before[after[places]] = places
+            around = before[places]
+            put(np.unique(np.concatenate([places, around[around < n]])))
+        return np.add.reduceat((symbols[:n] >= 0).astype(np.int64), ends - sizes)
+
     def __call__(self, texts: list[str | None]) -> list[int]:
         words = self.words
         cut = list(map(self.pretokens, texts))
@@ -88,6 +145,10 @@ class Counter:
         words.update((w, 1) for w in new if w in self.added)
         new = [w for w in new if w not in self.added]
         raw = [w.encode() for w in new]
+        long = [i for i, w in enumerate(raw) if len(w) > LONG]
+        if long:
+            words.update(zip([new[i] for i in long], self.merge_long([raw[i] for i in long]).tolist(), strict=True))
+            new, raw = [w for w in new if w not in words], [w for w in raw if len(w) <= LONG]
         at = 0
         while at < len(new):
             end, size = at, 0
