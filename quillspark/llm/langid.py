@@ -1,17 +1,17 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Texts are lower-cased and every n-gram of one to three characters falls into one of ``BUCKETS`` buckets by a hash. Learning
-counts buckets for each language over a bounded sample of labelled rows (``max_rows``, chosen by a hash of the id), as
-sparse rows that Spark sums; the matrix of log probabilities, buckets by languages, is broadcast. Its size is bounded by
-the buckets and the number of languages. Scoring treats a batch as one sparse matrix: the bucket numbers of all its
+counts buckets for each language over a bounded sample of labelled rows (``max_rows``, about as many of each language,
+chosen by a hash of the id), as sparse rows that Spark sums; the languages' prior probabilities are those of all labelled
+rows. The matrix of log probabilities, buckets by languages, is broadcast. Its size is bounded by the buckets and by
+``MAX_LANGUAGES``: of more values of the language column the most frequent ones are learnt. Scoring treats a batch as one sparse matrix: the bucket numbers of all its
 characters one after another, cut at the texts' ends, with rows of the matrix added up for each text in numpy.
 
 A null text and a text without a letter give ``und`` with score 0. The score is the share of the predicted language when
 log probabilities are divided by the square root of the number of n-grams. Without any labelled row every text gives
 ``und``. Texts of any length are scored whole, one text at least at a time. Rows are kept as they come, repeated ones and
 null ids too; equal texts give equal results, and of equally likely languages the first by name counts. An empty table
-gives no rows; other columns are left out, whatever their names. More than ``MAX_LANGUAGES`` languages raise ValueError:
-that many values are no languages, and the matrix would grow with them.
+gives no rows; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -66,10 +66,13 @@ def grouped(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 class Model:
-    """Languages and log probabilities; the row after the last bucket is zero."""
+    """Languages, their log probabilities (``texts``: how many of each there are) and those of buckets; the row after the
+    last bucket is zero."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray, smooth: float = 0.1) -> None:
+    def __init__(self, languages: list[str], counts: np.ndarray, texts: np.ndarray | None = None, smooth: float = 0.1) -> None:
         self.languages = languages
+        n = np.ones(len(languages)) if texts is None else np.asarray(texts, np.float64)
+        self.prior = np.log(n / n.sum()) if len(languages) else n
         share = np.log((counts + smooth) / (counts + smooth).sum(axis=0, keepdims=True)) if len(languages) else counts
         self.logs = np.vstack([share, np.zeros((1, len(languages)))]).astype(np.float32)
 
@@ -83,7 +86,7 @@ class Model:
             for row in rows[1:]:
                 each += self.logs[row]
             total = np.add.reduceat(each, starts, axis=0, dtype=np.float64)
-            scaled = total / np.sqrt(len(GRAMS) * (ends - starts))[:, None]
+            scaled = (total + self.prior) / np.sqrt(len(GRAMS) * (ends - starts))[:, None]
             best[a:b] = scaled.argmax(axis=1)
             share[a:b] = 1 / np.exp(scaled - scaled.max(axis=1, keepdims=True)).sum(axis=1)
         return best, share
@@ -113,17 +116,21 @@ def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             at = np.flatnonzero(counts[:BUCKETS])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "bucket", "n"])
 
-    known = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    sample = bounded_sample(known.select(id_col, text_col, lang_col), id_col, max_rows).select(text_col, lang_col).repartition(12)
-    if rows.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} values of {lang_col}")
+    known = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(id_col, text_col, lang_col)
+    kept = known.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MAX_LANGUAGES).collect()
+    # a row for each language, MAX_LANGUAGES at most; of each about as many texts, so that rare ones are learnt too
+    share = [(r["_lang"], min(1 << 30, max_rows * (1 << 30) // (len(kept) * r["_n"]))) for r in kept]
+    rates = F.broadcast(rows.sparkSession.createDataFrame(share, "_lang string, _rate long"))
+    chosen = known.join(rates, F.col(lang_col) == F.col("_lang")).where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) < F.col("_rate"))
+    sample = chosen.select(text_col, lang_col)
     sums = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sums.column("lang").to_pylist()
     names = sorted(set(langs))
     place = {x: i for i, x in enumerate(names)}
     counts = np.zeros((BUCKETS, len(names)))
     counts[sums.column("bucket").to_numpy(), [place[x] for x in langs]] = sums.column("n").to_numpy()
-    return Model(names, counts)
+    texts = {r["_lang"]: r["_n"] for r in kept}
+    return Model(names, counts, np.array([texts[x] for x in names]))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
