@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -67,6 +68,47 @@ def test_restoring(characters):
     assert toxicity.features(None, characters, {}, None) == toxicity.features("", characters, {}, None) == set()
 
 
+def test_restoring_spacing_separators_and_doubles(characters):
+    known = {}
+    words = lambda text: toxicity.found(text, characters, known, lambda w: w or None)
+    for text in ("id.iot", "id-iot", "i-d-i-o-t", "idiiot", "iidiot", "1d.i0t", "an id io t", "an i d i o t", "i_d_i_o_t!!"):
+        assert "idiot" in words(text), text
+    assert {"stupid", "idiot"} <= words("he is s t u p i d i d i o t now")
+    assert words("house river near nobody") == {"house", "river", "near", "nobody"}
+    assert toxicity.restore("2024", characters) == toxicity.restore("10", characters) == ""
+    assert toxicity.restore("@$", characters) in ("", "as", "a", "s") and toxicity.restore("###", characters) == ""
+
+
+def test_doubled_letters_are_decided_as_by_the_lattice(characters):
+    r = random.Random(5)
+    some = 0
+    for _ in range(3000):
+        word = "".join(r.choice("aeiotdsnrßé") * r.choice([1, 1, 1, 2]) for _ in range(r.randrange(1, 9)))
+        plain = toxicity.undoubled(word, characters)
+        some += plain is not None
+        assert plain is None or plain == toxicity.decode(word, characters), word
+    assert some > 1000
+
+
+def test_wide_lattices(characters, monkeypatch):
+    """Arrays of states give what dictionaries give, whatever the segment, and thousands of wildcards are no matter."""
+    r = random.Random(11)
+    for _ in range(12):
+        word = "".join(r.choice(["idi", "o", "t", "*", "#", "%%", "a", "1", "s--t"]) for _ in range(r.randrange(4, 9)))
+        columns = toxicity.lattice(word)
+        monkeypatch.setattr(toxicity, "WIDE", 10**9)
+        want = toxicity.viterbi(columns, characters)
+        for wide, few, segment in ((10, 5, 2), (50, 40, 3), (3000, 40, 2048)):
+            monkeypatch.setattr(toxicity, "WIDE", wide)
+            monkeypatch.setattr(toxicity, "FEW", few)
+            monkeypatch.setattr(toxicity, "SEGMENT", segment)
+            got = toxicity.viterbi(columns, characters)
+            assert got[1] == pytest.approx(want[1], abs=1e-3), word
+    began = time.process_time()
+    assert toxicity.restore("a" + "*#" * 500 + "b", characters)
+    assert time.process_time() - began < 30
+
+
 def test_toxic_words_are_learnt_and_found_in_disguise(spark):
     r = random.Random(1)
     some = "green red house river stone old new tall road field cloud rain".split()
@@ -119,7 +161,7 @@ def test_long_words_are_decoded(characters):
 def test_naive_bayes_of_single_n_grams(spark):
     """The same model and scores from dictionaries, one n-gram of one text after another."""
     r = random.Random(6)
-    rows = [(i, "".join(r.choice(s) for _ in range(r.randrange(1, 60))), lang) for i, (lang, s) in enumerate([("a", "abcd eÄ"), ("b", "bcxyz é"), ("c", "日本語 a")] * 15)]
+    rows = [(i, "".join(r.choice(s) for _ in range(r.randrange(1, 60))), lang) for i, (lang, s) in enumerate([("a", "abcd eÄ"), ("b", "bcxyz é"), ("c", "日本語 a"), ("a", "abcd eÄ")] * 12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.learn(docs)
 
@@ -140,7 +182,7 @@ def test_naive_bayes_of_single_n_grams(spark):
         t = rows[got["doc_id"]][1].lower()
         if not any(map(str.isalpha, t)):
             continue
-        logs = {x: sum(np.log((counts[x].get(b, 0) + 0.1) / total[x]) for b in grams(t)) / np.sqrt(len(langid.GRAMS) * len(t)) for x in "abc"}
+        logs = {x: (np.log(sum(r[2] == x for r in rows) / len(rows)) + sum(np.log((counts[x].get(b, 0) + 0.1) / total[x]) for b in grams(t))) / np.sqrt(len(langid.GRAMS) * len(t)) for x in "abc"}
         best = max(logs, key=logs.get)
         assert got["lang_pred"] == best
         assert got["score"] == pytest.approx(1 / sum(np.exp(v - logs[best]) for v in logs.values()), abs=1e-4)
@@ -151,8 +193,20 @@ def test_very_long_texts_and_many_languages(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "abc " * 300_000), (2, "zyx"), (2, "zyx")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["lang_pred"]) for r in langid.identify(rows, model).collect()) == [(1, "x"), (2, "y"), (2, "y")]
     monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
-    with pytest.raises(ValueError):
-        langid.learn(spark.createDataFrame([(i, "abc", f"l{i}") for i in range(3)], "doc_id long, text string, lang string"))
+    many = [(i, "abc", f"l{i % 3 + (i % 5 == 0)}") for i in range(30)]
+    model = langid.learn(spark.createDataFrame(many, "doc_id long, text string, lang string"))
+    counts = {x: sum(r[2] == x for r in many) for x in {r[2] for r in many}}
+    assert model.languages == sorted(sorted(counts, key=lambda x: (-counts[x], x))[:2])
+
+
+def test_rare_languages_are_learnt(spark):
+    rows = [(i, "the house and the river", "en") for i in range(5000)] + [(9000 + i, "żółć źdźbło ćma", "pl") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, max_rows=100)
+    assert model.languages == ["en", "pl"]
+    assert np.allclose(np.exp(model.prior), [5000 / 5003, 3 / 5003])
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert got[0] == "en" and got[9000] == "pl"
 
 
 def test_viterbi_against_all_paths(characters):

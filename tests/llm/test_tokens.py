@@ -2,6 +2,7 @@
 
 import hashlib
 import tempfile
+import time
 import zlib
 
 import numpy as np
@@ -45,6 +46,20 @@ def test_long_words_and_small_caches(monkeypatch):
     assert COUNTER.merge([b"aaa", b"aaaa", b"-" * 77]).tolist() == [len(ids("aaa")), len(ids("aaaa")), len(ids("-" * 77))]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aabetxé-0"), min_size=1, max_size=400).map(str.encode), min_size=1, max_size=4))
+def test_long_pre_tokens_by_buckets(words):
+    assert COUNTER.merge_long(words).tolist() == COUNTER.merge(words).tolist()
+
+
+def test_very_long_pre_tokens():
+    r = np.random.default_rng(3)
+    words = ["".join(map(chr, r.integers(97, 123, 100_000))), "ab" * 50_000, "-" * 99_999]
+    began = time.process_time()
+    assert COUNTER(words) == [len(ids(w)) for w in words]
+    assert time.process_time() - began < 20
+
+
 def test_encode_and_decode(spark, odd_docs, odd_texts):
     encoded = bpe_trie.encode(odd_docs, PATH)
     rows = bpe_trie.decode(encoded, PATH, keep=("ids",)).collect()
