@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import privacy, terms
-from ..operators import bus
-from ..sources import transcripts
+from ..functions import text as t
+from ..operators import attribution, bus, repricing
+from ..sources import ledger, transcripts
 from . import views as v
 from .queries import query
+from .views import LEDGER
 
 ORDERS = """c AS (SELECT *, floor(o_totalprice)::BIGINT - 200000 AS lease, CASE o_orderpriority WHEN '5-LOW' THEN 2 ELSE 1 END AS ver FROM orders),
 k AS (SELECT *, '{"created_at":"' || strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z","idempotency_key":"é' || o_orderstatus || '","kind":"' || o_orderpriority
@@ -99,3 +101,70 @@ SELECT doc_id, kind, v[j] AS value, replace(substr(text, greatest(pos - 80, 0) +
 @query(contexts_sql())
 def privacy_contexts(s, d):
     return terms.find_patterns(v.table(s, d, "documents"), "doc_id", "text")
+
+
+def dialect_lines(s, d) -> DataFrame:
+    """Conversations as transcripts: those whose system speaks first as rollouts, the others in the other dialect. A question
+    as long as 350 signs comes from a compaction; an answer's lines are its calls of tools, as blocks or as records of their own."""
+    c = v.table(s, d, "conversations").withColumn("rollout", F.expr("max(role = 'system') OVER (PARTITION BY conv_id)"))
+    c = c.withColumn("uses", F.expr("IF(role = 'assistant', size(split(text, '\n')) - 1, 0)")).withColumn("at", F.expr("concat('2026-05-1', turn div 3, 'T10:00:0', turn, 'Z')"))
+    blocks = "concat(array(named_struct('type', 'text', 'text', text)), transform(IF(uses > 0, sequence(1, uses), array()), x -> named_struct('type', 'tool_use', 'text', CAST(NULL AS STRING))))"
+    plain = f"to_json(named_struct('type', role, 'timestamp', at, 'isCompactSummary', role = 'user' AND length(text) >= 350, 'message', named_struct('role', role, 'content', {blocks})))"
+    said = """to_json(named_struct('type', 'response_item', 'timestamp', at, 'payload', named_struct('type', 'message', 'role', IF(role = 'system', 'developer', role),
+      'content', array(named_struct('type', IF(role = 'user', 'input_text', 'output_text'), 'text', text)))))"""
+    record = "to_json(named_struct('type', 'response_item', 'timestamp', at, 'payload', named_struct('type', 'custom_tool_call')))"
+    lines = c.selectExpr(
+        "concat('c', conv_id) AS file", "0L AS block", "turn AS id",
+        f"IF(rollout, concat(array({said}), array_repeat({record}, CAST(uses AS INT))), array({plain})) AS all",
+    )
+    each = lines.selectExpr("file", "block", "id AS turn", "posexplode(all) AS (k, value)")
+    return ledger.parsed(each.selectExpr("file", "block", "turn * 1000 + k AS id", "value"))
+
+
+DIALECTS = """cv AS (SELECT *, bool_or(role = 'system') OVER (PARTITION BY conv_id) AS rollout, DATE '2026-05-10' + CAST(turn // 3 AS INT) AS day,
+  len(string_split(text, chr(10))) - 1 AS breaks FROM conversations)"""
+
+
+@query(f"""WITH {DIALECTS} SELECT 'c' || conv_id AS file, day, count(*) FILTER (role = 'user' AND (rollout OR length(text) < 350)) AS user_messages,
+  count(*) FILTER (role = 'assistant') AS assistant_messages, CAST(sum(CASE WHEN role = 'assistant' THEN breaks ELSE 0 END) AS BIGINT) AS tool_calls
+FROM cv GROUP BY 1, 2""")
+def conversation_sizes(s, d):
+    return transcripts.sizes(dialect_lines(s, d), ("file", "day")).drop("start", "end")
+
+
+@query(f"""WITH {DIALECTS}, u AS (SELECT *, row_number() OVER (PARTITION BY conv_id, day ORDER BY turn) AS n FROM cv WHERE role = 'user')
+SELECT DISTINCT 'c' || conv_id AS file, day FROM u WHERE n <= 3 AND NOT rollout AND length(text) >= 350""")
+def compaction_days(s, d):
+    return transcripts.compaction_days(dialect_lines(s, d))
+
+
+@query(f"""WITH {LEDGER}, ev AS (SELECT *, 'c' || ord AS id FROM led2), done AS (SELECT 'c' || (ord - 5) AS id FROM led2 WHERE is_correction = 1),
+c AS (SELECT id, least(greatest(k % 4, 0), ccreate) * CASE WHEN model LIKE 'claude-opus-%' THEN 3.75 WHEN model LIKE 'claude-sonnet-%' THEN 2.25 END / 1000000 AS delta
+  FROM ev WHERE is_correction = 0 AND id NOT IN (SELECT id FROM done))
+SELECT id AS event_id, round(delta * 1000000, 6) AS delta_micro FROM c WHERE delta > 0""")
+def cache_corrections(s, d):
+    """What calls of the long cache cost more; what their transcripts say of the cache comes twice, and the last one counts."""
+    events = v.ledger(s, d).withColumn("k", F.col("output_tokens") / 10).select(
+        F.concat(F.lit("c"), "ord").alias("event_id"), F.concat(F.lit("m"), "ord").alias("message_uuid"), "model", "is_correction", "input_tokens", "output_tokens",
+        "cache_creation_tokens", "cache_read_tokens", F.when(F.col("is_correction") == 1, F.concat(F.lit("c"), F.col("ord") - 5)).alias("correction_of"), "ord", "k",
+    )
+    hour = events.select("message_uuid", (F.col("k") % 4).cast("long").alias("cache_creation_1h_tokens"), F.col("ord").alias("ord"))
+    first = hour.withColumn("cache_creation_1h_tokens", F.lit(9).cast("long")).withColumn("ord", F.col("ord") - 1_000_000)
+    rows = repricing.cache_corrections(events.drop("ord", "k"), first.unionByName(hour))
+    return rows.select("event_id", (F.col("delta") * 1_000_000).alias("delta_micro"))
+
+
+@query("""SELECT o_orderkey, CAST(o_custkey % 50 + 1 AS INT) AS files, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE CAST(floor(o_totalprice / 1000) AS INT) END AS insertions,
+CASE WHEN o_orderstatus = 'O' THEN 0 ELSE CAST(length(o_orderpriority) AS INT) END AS deletions FROM orders""")
+def commit_stats(s, d):
+    line = """concat(' ', o_custkey % 50 + 1, IF(o_custkey % 50 = 0, ' file', ' files'), ' changed', IF(o_orderstatus = 'F', '', concat(', ', CAST(floor(o_totalprice / 1000) AS INT), ' insertions(+)')),
+      IF(o_orderstatus = 'O', '', concat(', ', length(o_orderpriority), ' deletions(-)')))"""
+    rows = v.table(s, d, "orders").selectExpr("o_orderkey", f"{line} AS line")
+    return rows.select("o_orderkey", attribution.shortstat(F.col("line")).alias("x")).select("o_orderkey", "x.*")
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE substr(text, 1, 299) || '…' END AS shown FROM documents""")
+def terminal_texts(s, d):
+    """Texts that came coloured from a terminal, without the colours and cut to a length."""
+    coloured = F.concat(F.lit("\u001b[1;32m"), F.regexp_replace("text", " ", " \u001b[0m"), F.lit("\u001b[K"))
+    return v.table(s, d, "documents").select("doc_id", t.clip_end(t.strip_ansi(F.when(F.col("text").isNotNull(), coloured)), 300).alias("shown"))

@@ -106,6 +106,54 @@ def rollout_calls_of(rows: DataFrame) -> DataFrame:
     return out.where("ts is not null and session_id is not null and (input_tokens > 0 or output_tokens > 0 or total_tokens > 0)")
 
 
+# Records of a rollout that are calls of a tool; their results are records of their own.
+TOOL_RECORDS = ("function_call", "custom_tool_call", "web_search_call")
+
+
+def signals(rows: DataFrame) -> DataFrame:
+    """The lines (value, v, file, block, id) with what they add to the size of a conversation, whatever the dialect: role
+    (user, assistant or null), calls (of tools), ts and summary (whether the line is a compaction's).
+
+    Of rollouts only genuine messages count, and records that call a tool; else every line with a role, the tool blocks of
+    an assistant's message or, without any, a line with a tool's id. A compaction's lines count for nothing."""
+    kind, payload = text("type"), text("payload.type")
+    rollout = F.coalesce(kind == "response_item", F.lit(False))
+    summary = F.coalesce(get("isCompactSummary", "boolean"), F.lit(False)) | F.coalesce(kind == "compacted", F.lit(False))
+    rows = rows.withColumn("_content", F.when(rollout, text("payload.content")).otherwise(text("message.content")))
+    said = F.trim(F.regexp_replace(F.coalesce(block_text("_content"), F.lit("")), r"(?U)^\s+|\s+$", ""))
+    genuine = F.when((payload == "message") & (said != ""), text("payload.role"))
+    genuine = F.when((genuine == "assistant") | ((genuine == "user") & ~t.is_injected(said)), genuine)
+    written = F.coalesce(F.when(text("message.role").isin("user", "assistant"), text("message.role")), F.when(kind.isin("user", "assistant"), kind))
+    role = F.when(rollout, genuine).otherwise(written)
+    used = F.size(F.filter(F.from_json("_content", "array<struct<type:string>>"), lambda b: b["type"] == "tool_use"))
+    blocks = F.when((written == "assistant") & F.startswith("_content", F.lit("[")), F.greatest(used, F.lit(0))).otherwise(0)
+    calls = F.when(rollout, payload.isin(*TOOL_RECORDS).cast("int")).when(F.coalesce(blocks, F.lit(0)) > 0, blocks).otherwise(text("toolUseID").isNotNull().cast("int"))
+    return rows.select(
+        "file", "block", "id", local_time(F.coalesce(text("timestamp"), text("ts"))).alias("ts"), summary.alias("summary"),
+        F.when(~summary, role).alias("role"), F.when(~summary, F.coalesce(calls, F.lit(0))).otherwise(0).cast("long").alias("calls"),
+        F.when(rollout, F.when(payload == "message", text("payload.role"))).otherwise(written).alias("written_role"), (said != "").alias("has_text"),
+    )
+
+
+def sizes(lines_: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """keys (``day`` is a line's), user_messages, assistant_messages, tool_calls, and the first and last time."""
+    rows = signals(lines_).withColumn("day", F.to_date("ts"))
+    if "day" in keys:
+        rows = rows.where("day is not null")
+    return rows.groupBy(*keys).agg(
+        F.count_if(F.col("role") == "user").alias("user_messages"), F.count_if(F.col("role") == "assistant").alias("assistant_messages"),
+        F.sum("calls").alias("tool_calls"), F.min("ts").alias("start"), F.max("ts").alias("end"),
+    )
+
+
+def compaction_days(lines_: DataFrame, first: int = 3) -> DataFrame:
+    """file, day: days with a compaction's summary among their first so many user lines that have text, as they were once
+    read: summaries count like prompts."""
+    rows = signals(lines_).where("written_role = 'user' AND has_text AND ts IS NOT NULL").withColumn("day", F.to_date("ts"))
+    nth = F.row_number().over(Window.partitionBy("file", "day").orderBy("block", "id"))
+    return rows.withColumn("_n", nth).where(F.col("_n") <= first).groupBy("file", "day").agg(F.max("summary").alias("_s")).where("_s").select("file", "day")
+
+
 def tool_calls(rows: DataFrame) -> DataFrame:
     """path, calls: tool uses in assistant messages."""
     used = F.size(F.filter(F.from_json("content", "array<struct<type:string>>"), lambda b: b["type"] == "tool_use"))
