@@ -744,6 +744,31 @@ def consensus_pairs(s, d):
     return mining.similar_pairs(rows)
 
 
+@query(f"""WITH tk AS (SELECT doc_id, source AS run_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[{LETTER}0-9_]+'),
+  lambda x: len(x) > 1 AND x NOT IN ({STOP})))) AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT run_id, w, min(doc_id) AS class, count(*) AS size FROM tk GROUP BY 1, 2)
+SELECT tk.run_id, tk.doc_id AS fid, g.class, g.size FROM tk JOIN g ON tk.run_id IS NOT DISTINCT FROM g.run_id AND tk.w = g.w""")
+def consensus_classes(s, d):
+    """Whole documents with the same tokens."""
+    return mining.similar_classes(document_tokens(s, d))[0]
+
+
+@query(f"""WITH tk AS (SELECT doc_id, source AS run_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[{LETTER}0-9_]+'),
+  lambda x: len(x) > 1 AND x NOT IN ({STOP})))) AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT run_id, w, min(doc_id) AS fid FROM tk GROUP BY 1, 2)
+SELECT a.run_id, a.fid AS a, b.fid AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS similarity
+FROM g a JOIN g b ON a.run_id = b.run_id AND a.fid < b.fid AND least(len(a.w), len(b.w)) >= 0.4 * greatest(len(a.w), len(b.w))
+WHERE len(list_intersect(a.w, b.w)) > 0 AND len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.4""")
+def consensus_class_pairs(s, d):
+    """Pairs of classes of whole documents."""
+    return mining.similar_classes(document_tokens(s, d))[1]
+
+
+def document_tokens(s, d):
+    rows = v.table(s, d, "documents").where("text IS NOT NULL")
+    return rows.select(F.col("source").alias("run_id"), F.col("doc_id").alias("fid"), F.array_sort(F.array_distinct(t.tokens(F.col("text")))).alias("tokens"))
+
+
 @query(None)
 def consensus_pairs_all(s, d):
     """Whole documents of all languages, with the operator's own tokens."""
