@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as n
+from ..functions import privacy, text
 from ..session import cut
 from . import rollup, timegap
 from .ordered import at_rank, nearest_rank, upto
@@ -170,6 +171,31 @@ def today_payload(ledger: DataFrame, tasks: DataFrame, prompts: DataFrame, cache
     )
 
 
+def recent(ledger: DataFrame, now: str) -> DataFrame:
+    """The deduplicated events of the last 24 hours, both ends included."""
+    at = F.lit(now).cast("timestamp_ntz")
+    rows = ledger.where(F.col("ts").between(at - F.expr("INTERVAL 24 HOURS"), at) & ~F.col("model").eqNullSafe(F.lit(n.SYNTHETIC)))
+    return rollup.dedup_events(rows)
+
+
+def today_sessions(ledger: DataFrame, tasks: DataFrame, now: str, limit: int = 50) -> DataFrame:
+    """The sessions of the last 24 hours, the latest first, with what may be shown of their tasks."""
+    rows = rollup.session_list(recent(ledger, now), tasks, limit)
+    return rows.withColumn("brief_description", privacy.description(F.col("brief_description"))).orderBy(F.desc("last_ts"), "session_id")
+
+
+def today_markers(ledger: DataFrame, tasks: DataFrame, messages: DataFrame, now: str, patterns: tuple[str, ...] = text.PROFANITY) -> DataFrame:
+    """session_id, markers: marks in what users wrote in the last 24 hours, for the sessions of that time. A session whose
+    transcript isn't there (``messages``: session_id, ts, role, text) has what was counted for it as a whole."""
+    at = F.lit(now).cast("timestamp_ntz")
+    known = recent(ledger, now).where(F.coalesce("session_id", F.lit("")) != "").select("session_id").distinct()
+    late = (F.col("role") == "user") & (F.col("ts") >= at - F.expr("INTERVAL 24 HOURS"))
+    counted = messages.groupBy("session_id").agg(F.coalesce(F.sum(F.when(late, text.count_markers(F.col("text"), patterns))), F.lit(0)).alias("_m"))
+    whole = tasks.where("chunk_date is null").select("session_id", n.as_int(F.col("profanity_count")).alias("_t"))
+    rows = known.join(counted, "session_id", "left").join(whole, "session_id", "left")
+    return rows.select("session_id", F.coalesce("_m", "_t", F.lit(0)).cast("long").alias("markers"))
+
+
 def public_block(rows: DataFrame) -> DataFrame:
     """The ratio as it may be shown: none (0) where the floor decides or where nothing is saved."""
     unsafe = F.col("denominator_is_floor") | (F.col("multiplier") < 1) | (F.col("hours_saved") < 0)

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import privacy, terms
 from ..functions import text as t
-from ..operators import attribution, bus, repricing
+from ..operators import attribution, bus, productivity, repricing
 from ..sources import ledger, transcripts
 from . import views as v
 from .queries import query
-from .views import LEDGER
+from .views import LEDGER, NOW, TASKS
 
 ORDERS = """c AS (SELECT *, floor(o_totalprice)::BIGINT - 200000 AS lease, CASE o_orderpriority WHEN '5-LOW' THEN 2 ELSE 1 END AS ver FROM orders),
 k AS (SELECT *, '{"created_at":"' || strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z","idempotency_key":"é' || o_orderstatus || '","kind":"' || o_orderpriority
@@ -168,3 +168,29 @@ def terminal_texts(s, d):
     """Texts that came coloured from a terminal, without the colours and cut to a length."""
     coloured = F.concat(F.lit("\u001b[1;32m"), F.regexp_replace("text", " ", " \u001b[0m"), F.lit("\u001b[K"))
     return v.table(s, d, "documents").select("doc_id", t.clip_end(t.strip_ansi(F.when(F.col("text").isNotNull(), coloured)), 300).alias("shown"))
+
+
+RECENT = """rec AS (SELECT * FROM led2 WHERE ts BETWEEN TIMESTAMP '2024-01-29 23:59:59' AND TIMESTAMP '2024-01-30 23:59:59' AND model <> '<synthetic>'
+  QUALIFY row_number() OVER (PARTITION BY grp ORDER BY ord) = 1)"""
+
+
+@query(f"""WITH {LEDGER}, {TASKS}, {RECENT}, s AS (SELECT session_id, min(ts) AS first_ts, max(ts) AS last_ts, CAST(sum(1 - is_correction) AS BIGINT) AS calls,
+  coalesce(sum(cost), 0) AS cost FROM rec GROUP BY 1),
+m AS (SELECT session_id, model_name FROM (SELECT session_id, model_name, count(*) AS c FROM rec GROUP BY 1, 2)
+  QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY c DESC, model_name) = 1)
+SELECT s.session_id, first_ts, last_ts, calls, round(cost, 6) AS cost, model_name AS model, coalesce(c_name, '') AS brief_description, round(baseline, 6) AS baseline_hours
+FROM s JOIN m USING (session_id) LEFT JOIN tsess USING (session_id) ORDER BY last_ts DESC, session_id LIMIT 50""")
+def today_sessions(s, d):
+    rows = productivity.today_sessions(v.ledger(s, d), v.tasks(s, d), NOW)
+    return rows.withColumn("brief_description", F.coalesce("brief_description", F.lit("")))
+
+
+@query(f"""WITH {LEDGER}, {RECENT}, k AS (SELECT DISTINCT session_id FROM rec),
+m AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(sum(CASE WHEN role = 'user' AND turn <= 4 THEN len(regexp_extract_all(lower(text), ' the ')) ELSE 0 END) AS BIGINT) AS m
+  FROM conversations GROUP BY 1)
+SELECT k.session_id, coalesce(m.m, c_custkey % 4, 0) AS markers FROM k LEFT JOIN m USING (session_id) LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = k.session_id""")
+def today_markers(s, d):
+    messages = v.table(s, d, "conversations").selectExpr(
+        "CAST(conv_id AS STRING) AS session_id", f"TIMESTAMP_NTZ'{NOW}' - make_dt_interval(0, CAST(6 * turn AS INT)) AS ts", "role", "text",
+    )
+    return productivity.today_markers(v.ledger(s, d), v.tasks(s, d), messages, NOW, (" the ",))

@@ -12,13 +12,14 @@ ROOT = Path(__file__).resolve().parent.parent
 
 
 def session(master: str = "local[8]", **conf: str) -> SparkSession:
-    """A session with the settings the queries are written for: UTC, adaptive execution, ANSI mode."""
+    """A session with the settings the queries are written for: UTC, adaptive execution, ANSI mode. On a cluster the number of
+    shuffle partitions is the caller's; a local session has few, and small tables."""
     builder = SparkSession.builder.master(master).appName("quillspark")
-    settings = {
+    settings = {"spark.sql.shuffle.partitions": "8"} if master.startswith("local") else {}
+    settings |= {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }

@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import normalize as n
 from ..operators.ordered import carried
+from .folders import FileSystem
 from .ledger import get, local_time, parsed, text
 
 AGENTS = "subagents"
@@ -188,11 +189,12 @@ def sqlite_table(spark: SparkSession, path: str, table: str, partitions: int = 8
 
 
 def read_roles(spark: SparkSession, path: str) -> DataFrame:
-    """role, provider, invocation, model, agent: the map of roles, a small TOML file. A missing or broken one gives no rows."""
+    """role, provider, invocation, model, agent: the map of roles, a small TOML file wherever Spark can read. A missing or
+    broken one gives no rows."""
+    fs = FileSystem(spark, path)
     try:
-        with open(path, "rb") as f:
-            table = tomllib.load(f).get("role")
-    except (OSError, tomllib.TOMLDecodeError):
+        table = tomllib.loads(fs.read(path)).get("role") if fs.exists(path) else None
+    except (tomllib.TOMLDecodeError, UnicodeDecodeError):
         table = None
     of = lambda c, k: c.get(k) if isinstance(c.get(k), str) and c.get(k) else None
     found = [(str(r), of(c, "provider"), of(c, "invocation"), of(c, "model")) for r, c in (table or {}).items() if isinstance(c, dict)] if isinstance(table, dict) else []

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .folders import Conflict, Folders
+
 
 def append_lines(events: DataFrame, path: str) -> None:
     """Rows as JSON lines beside those that are there; a broken last line of an old file stays a line of its own."""
@@ -15,7 +17,8 @@ def append_lines(events: DataFrame, path: str) -> None:
 
 def write_payload(rows: DataFrame, path: str) -> None:
     """A result as JSON lines in a folder that replaces the old one as a whole: it is written beside it and renamed, so a
-    failure leaves the old one, and readers see one or the other."""
+    failure leaves the old one. Between the two renames there is no folder for a moment; see ``publish`` for readers that
+    may not meet that."""
     spark = rows.sparkSession
     place = spark._jvm.org.apache.hadoop.fs.Path
     mark = uuid.uuid4().hex
@@ -34,6 +37,33 @@ def write_payload(rows: DataFrame, path: str) -> None:
         fs.delete(place(old), True)
 
 
+def publish(rows: DataFrame, path: str, keep: int = 2) -> int:
+    """A result as a version of the table of folders at ``path``; the version's number. Readers have the old one or the new one
+    and never none: what they follow is moved by one rename. Of older versions the last ``keep`` - 1 stay, for those who still
+    read them."""
+    table = Folders(rows.sparkSession, path)
+    folder = table.place("version")
+    rows.write.parquet(f"{table.at}/{folder}")
+    while True:
+        last, state = table.state()
+        old = [v["folder"] for _, v in sorted(state.items())]
+        put = {f"{k:03d}": {"folder": f} for k, f in enumerate([folder, *old[: keep - 1]])}
+        try:
+            number = table.commit(put, [k for k in state if k not in put], after=last)
+        except Conflict:
+            continue
+        for gone in old[keep - 1 :]:
+            table.fs.delete(f"{table.at}/{gone}")
+        return number
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version at ``path``; None before the first."""
+    table = Folders(spark, path)
+    newest = table.state()[1].get("000")
+    return newest and spark.read.parquet(f"{table.at}/{newest['folder']}")
+
+
 def upsert(table: DataFrame, changes: DataFrame, key: str, protected: tuple[str, ...] = ()) -> DataFrame:
     """The table with changed rows replaced and new ones added. A null never replaces a value of a protected column."""
     old, new = table.alias("o"), changes.alias("c")

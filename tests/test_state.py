@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.daily import NAMES, Daily, build, measures
 from quillspark.operators.lifetime import Lifetime
-from quillspark.sources import append, ledger
+from quillspark.sources import append, ledger, sinks
 from quillspark.sources.folders import Conflict, Folders
 from quillspark.streaming import ingest, leases
 
@@ -308,3 +308,24 @@ def test_leases_end_without_an_event(spark, tmp_path, order):
     out = Folders(spark, str(tmp_path / "out")).rows("issue long, exec_id string, renewed_at timestamp, expired_at timestamp")
     want = leases.expired_by(spark.createDataFrame(CASES, COMMENTS), "2026-05-13 12:00:00")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+# -- Published payloads ----------------------------------------------------------------------------------------------
+
+
+def test_published_versions_replace_one_another(spark, tmp_path):
+    path = str(tmp_path / "payload")
+    assert sinks.published(spark, path) is None
+    sinks.publish(spark.range(5), path)
+    old = sinks.published(spark, path)
+    assert old.count() == 5
+    failing = spark.range(3).select(F.when(F.col("id") == 2, F.raise_error(F.lit("no"))).otherwise(F.col("id").cast("string")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        sinks.publish(failing, path)
+    assert sinks.published(spark, path).count() == 5
+    sinks.publish(spark.range(2), path)
+    assert sinks.published(spark, path).count() == 2 and old.count() == 5  # those who still read the old one may
+    for k in range(3):
+        sinks.publish(spark.range(k), path)
+    assert sinks.published(spark, path).count() == 2
+    assert sum(x.startswith("version-") for x in os.listdir(path)) == 3  # two kept, and the one that failed

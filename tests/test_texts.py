@@ -16,6 +16,7 @@ from quillspark.functions.privacy import SCAN
 from quillspark.operators import bus, ordered
 from quillspark.session import cut
 from quillspark.sources import transcripts
+from quillspark.sources.ledger import lines as lines_of
 
 # -- Envelopes -------------------------------------------------------------------------------------------------------
 
@@ -201,3 +202,45 @@ def test_no_task_has_a_whole_file(spark, tmp_path, monkeypatch):
         assert calls.select("block").distinct().count() > 3
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+# -- Sizes of conversations ------------------------------------------------------------------------------------------
+
+AT = "2026-05-10T10:00:00Z"
+PLAIN = [
+    {"type": "user", "timestamp": AT, "isCompactSummary": True, "message": {"role": "user", "content": "This session is being continued"}},
+    {"type": "user", "timestamp": AT, "message": {"role": "user", "content": "do it"}},
+    {"type": "user", "timestamp": AT, "message": {"role": "user", "content": [{"type": "tool_result", "content": "x"}]}},
+    {"type": "assistant", "timestamp": AT, "message": {"role": "assistant", "content": [{"type": "text", "text": "ok"}, {"type": "tool_use"}, {"type": "tool_use"}]}},
+    {"type": "assistant", "timestamp": AT, "message": {"role": "assistant", "content": "done"}},
+    {"type": "progress", "timestamp": AT, "toolUseID": "t1"}, {"type": "progress", "timestamp": AT}, {"type": "user", "message": {"role": "user", "content": "no time"}},
+]
+ROLLOUT = [
+    {"type": "session_meta", "timestamp": AT, "payload": {"id": "s"}},
+    {"type": "response_item", "timestamp": AT, "payload": {"type": "message", "role": "developer", "content": [{"type": "input_text", "text": "rules"}]}},
+    {"type": "response_item", "timestamp": AT, "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "<environment_context>x</environment_context>"}]}},
+    {"type": "response_item", "timestamp": AT, "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "go"}]}},
+    {"type": "response_item", "timestamp": AT, "payload": {"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": "gone"}]}},
+    {"type": "response_item", "timestamp": AT, "payload": {"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": " "}]}},
+    {"type": "response_item", "timestamp": AT, "payload": {"type": "function_call"}}, {"type": "response_item", "timestamp": AT, "payload": {"type": "web_search_call"}},
+    {"type": "response_item", "timestamp": AT, "payload": {"type": "function_call_output"}}, {"type": "compacted", "timestamp": AT, "payload": {"message": "x"}},
+    {"type": "event_msg", "timestamp": AT, "payload": {"type": "token_count"}},
+]
+
+
+def test_sizes_in_both_dialects(spark, tmp_path):
+    for name, lines in (("plain.jsonl", PLAIN), ("rollout.jsonl", ROLLOUT)):
+        (tmp_path / name).write_text("".join(json.dumps(x) + "\n" for x in lines))
+    rows = lines_of(spark, str(tmp_path))
+    got = {r["file"]: (r["user_messages"], r["assistant_messages"], r["tool_calls"]) for r in transcripts.sizes(rows).collect()}
+    assert got == {"plain.jsonl": (3, 2, 3), "rollout.jsonl": (1, 1, 2)}
+    daily = {r["file"]: (str(r["day"]), r["user_messages"]) for r in transcripts.sizes(rows, ("file", "day")).collect()}
+    assert daily == {"plain.jsonl": ("2026-05-10", 2), "rollout.jsonl": ("2026-05-10", 1)}
+
+
+def test_days_whose_input_had_a_compaction(spark, tmp_path):
+    said = lambda day, text, summary=False: {"type": "user", "timestamp": f"2026-05-{day:02}T10:00:00Z", "isCompactSummary": summary, "message": {"role": "user", "content": text}}
+    lines = [said(1, "a"), said(1, "sum", True), said(2, "a"), said(2, " "), said(2, "b"), said(2, "c"), said(2, "sum", True), said(3, "", True), said(3, "a"), said(4, "sum", True)]
+    (tmp_path / "f.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    got = sorted(r["day"].day for r in transcripts.compaction_days(lines_of(spark, str(tmp_path))).collect())
+    assert got == [1, 4]
