@@ -37,8 +37,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the least id; of equal rows of it one.
 
-    Texts without words (null, empty, blank) are copies of each other. A class whose ids are all null keeps one row for
-    each fingerprint. Rows keep all their columns; no documents give none."""
+    Texts without words (null, empty, blank) are copies of each other. Texts of any length are looked at whole. A class whose
+    ids are all null keeps one row for each fingerprint. Rows keep all their columns; no documents give none."""
     found = cut(simhash.near_duplicates(docs))
     tops = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("top"), F.col("fingerprint").alias("of"))
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -66,13 +66,16 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them. Rows keep all their columns; a null source is a source; texts
-    without words count nothing and are taken at their source's rate; no documents give none."""
+    without words count nothing and are taken at their source's rate; very long texts count whole, and are taken or not as
+    a whole; rows with equal ids are drawn alike, and sources that tie in size or limit are in the order of their names; no
+    documents give none."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, the token ids, their number and a digest of the text that they decode to. Null and empty texts have
-    no ids; every row is encoded, repeated ones too; other columns are left out."""
+    no ids; every row is encoded, repeated ones too, and texts of any length whole; other columns are left out; no documents
+    give none."""
     rows = bpe_trie.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("doc_id", "source"))
     return rows.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
