@@ -7,6 +7,9 @@ them, and adds them to the sums. That is exact for every window of whole days, w
 
 ``refresh`` reads the events of the days that changed, and of the days kept so far one column, to find groups that now
 occur in several cells; the days of those are made anew from their cells, without their events. All changes are one commit.
+Cells have a folder for each day. Sums and shared cells have one for each refresh, in the order of days, so that a window
+opens few files; days that a later refresh made again are passed over, and when there are many such folders the next refresh
+brings them together.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .dedup import first_wins
 DIMENSIONS = ("event_date", "provider", "model", "origin")
 MEASURES = "calls long, input_tokens long, output_tokens long, cache_read_tokens long, cache_creation_tokens long, cached_input_tokens long, reasoning_tokens long, total_tokens long, cost_estimate_usd double, unknown_pricing_events long"
 NAMES = [x.split()[0] for x in MEASURES.split(", ")]
+#: Folders of sums from which the next refresh makes one.
+MANY = 6
 SUMS = f"event_date date, provider string, model string, origin string, {MEASURES}"
 
 
@@ -55,10 +60,7 @@ class Daily:
     def keys(state: dict, kind: str, days: list[str]) -> list[str]:
         return [x["folder"] for d in days if (x := state.get(f"{kind}/{d}")) and x["folder"]]
 
-    def days(self) -> set[str]:
-        return {k.partition("/")[2] for k in self.folders.state()[1] if k.startswith("sums/")}
-
-    def write(self, rows: DataFrame, kind: str, days: list[str]) -> dict[str, dict]:
+    def write_days(self, rows: DataFrame, kind: str, days: list[str]) -> dict[str, dict]:
         """Writes rows, a folder for each day; entries for all of ``days``, also those without rows."""
         name = self.folders.place(kind)
         rows.withColumn("day", F.col("event_date").cast("string")).write.partitionBy("day").parquet(f"{self.folders.at}/{name}")
@@ -66,6 +68,23 @@ class Daily:
         there = {s.getPath().getName().partition("=")[2] for s in fs.fs.listStatus(fs.path(f"{self.folders.at}/{name}")) if s.isDirectory()}
         return {f"{kind}/{d}": {"folder": f"{name}/day={d}" if d in there else None} for d in days}
 
+    def write(self, rows: DataFrame, kind: str, days: list[str]) -> dict[str, dict]:
+        """Writes rows, days one after another, to one folder."""
+        name = self.folders.place(kind)
+        rows.repartitionByRange("event_date").sortWithinPartitions("event_date").write.parquet(f"{self.folders.at}/{name}")
+        return {f"{kind}/{d}": {"folder": name} for d in days}
+
+    def kept(self, state: dict, kind: str, days: list[str], schema: StructType | str) -> DataFrame:
+        """The rows of some days from the folders that hold them now."""
+        where: dict[str, list[str]] = {}
+        for d in days:
+            if x := state.get(f"{kind}/{d}"):
+                where.setdefault(x["folder"], []).append(d)
+        out = self.folders.read([], schema)
+        for folder, own in where.items():
+            out = out.unionByName(self.folders.read([folder], schema).where(F.col("event_date").isin([date.fromisoformat(d) for d in own])))
+        return out
+
     def refresh(self, events: DataFrame, days: list[date | str]) -> list[str]:
         """Makes these days anew from the events that they have now; the days whose aggregates changed.
 
@@ -75,7 +94,7 @@ class Daily:
         known = sorted(k.partition("/")[2] for k in state if k.startswith("cells/"))
         made = cells(events.where(F.col("event_date").isin([F.lit(d).cast("date") for d in days])))
         schema = made.schema
-        put = self.write(made, "cells", days)
+        put = self.write_days(made, "cells", days)
         at = state | put
         old = self.folders.read(self.keys(state, "cells", [d for d in known if d in days]), schema)
         new = self.folders.read(self.keys(put, "cells", days), schema)
@@ -87,26 +106,32 @@ class Daily:
         own = self.folders.read(self.keys(at, "cells", again), schema)
         every = self.folders.read(self.keys(at, "cells", sorted({*known, *days})), schema).select("g")
         several = cut(every.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"))
-        put |= self.write(sums(own.join(several, "g", "left_anti"), list(DIMENSIONS)), "sums", again)
-        put |= self.write(own.join(several, "g", "left_semi"), "shared", again)
+        whole = sums(own.join(several, "g", "left_anti"), list(DIMENSIONS))
+        shared = own.join(several, "g", "left_semi")
+        rest: list[str] = []
+        if len({v["folder"] for k, v in state.items() if k.startswith("sums/")}) >= MANY:
+            rest = [d for d in known if d not in again]
+            whole = whole.unionByName(self.kept(state, "sums", rest, SUMS))
+            shared = shared.unionByName(self.kept(state, "shared", rest, schema))
+        put |= self.write(whole, "sums", [*again, *rest])
+        put |= self.write(shared, "shared", [*again, *rest])
         # the schema of ``ord`` is the ledger's
         self.folders.commit(put | {"schema": {"folder": None, "json": schema.json()}}, after=last)
         return again
 
-    def covers(self, start: date | str, end: date | str) -> bool:
+    def state(self, start: date | str, end: date | str) -> dict | None:
+        """What is kept, if it has all days of a window."""
+        state = self.folders.state()[1]
         first, last = date.fromisoformat(str(start)), date.fromisoformat(str(end))
-        kept = self.days()
-        return all(str(first + timedelta(k)) in kept for k in range((last - first).days + 1))
+        return state if all(f"sums/{first + timedelta(k)}" in state for k in range((last - first).days + 1)) else None
 
-    def window(self, start: date | str, end: date | str, providers: list[str] | None = None) -> DataFrame:
+    def window(self, state: dict, start: date | str, end: date | str, providers: list[str] | None = None) -> DataFrame:
         """Rows with the dimensions and measures whose sums are those of the deduplicated window."""
-        _, state = self.folders.state()
         days = [d for d in sorted(k.partition("/")[2] for k in state if k.startswith("sums/")) if str(start) <= d <= str(end)]
-        schema = StructType.fromJson(json.loads(state["schema"]["json"])) if "schema" in state else None
-        whole = self.folders.read(self.keys(state, "sums", days), SUMS)
-        if schema is None:
+        whole = self.kept(state, "sums", days, SUMS)
+        if "schema" not in state:
             return whole
-        shared = self.folders.read(self.keys(state, "shared", days), schema)
+        shared = self.kept(state, "shared", days, StructType.fromJson(json.loads(state["schema"]["json"])))
         if providers is not None:
             named = F.col("provider").isin(*[n.provider(F.lit(p)) for p in providers])
             whole, shared = whole.where(named), shared.where(named)
@@ -120,8 +145,9 @@ def measures(
 ) -> DataFrame:
     """The measures of a window by some columns: from the daily aggregates if they have all its days and dimensions and no
     other condition is asked for, from the events otherwise. ``grand_total`` adds a row, with nulls, for all."""
-    if daily is not None and where is None and set(by) <= set(DIMENSIONS) and daily.covers(start, end):
-        rows = daily.window(start, end, providers)
+    plain = daily is not None and where is None and set(by) <= set(DIMENSIONS)
+    if plain and (state := daily.state(start, end)) is not None:
+        rows = daily.window(state, start, end, providers)
     else:
         kept = events if where is None else events.where(where)
         rows = rollup.window(kept, start, end, providers)

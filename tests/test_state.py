@@ -112,10 +112,10 @@ def test_windows_from_aggregates_are_those_from_events(spark, tmp_path):
     rows += [event(90, 3, model="<synthetic>"), event(91, 2, model=None), event(92, 5, is_correction=1)]
     events = spark.createDataFrame(rows, EVENTS)
     daily = Daily(spark, str(tmp_path / "d"))
-    assert not daily.covers("2026-05-01", "2026-05-01")
+    assert daily.state("2026-05-01", "2026-05-01") is None
     daily.refresh(events, [f"2026-05-{x:02}" for x in (4, 5, 6, 7)])
     daily.refresh(events, [f"2026-05-{x:02}" for x in (1, 2, 3)])
-    assert daily.covers("2026-05-01", "2026-05-07") and not daily.covers("2026-05-01", "2026-05-08")
+    assert daily.state("2026-05-01", "2026-05-07") and daily.state("2026-05-01", "2026-05-08") is None
     for start, end in ((1, 7), (2, 4), (3, 3), (7, 7)):
         for by in ((), ("provider", "model"), ("event_date",), ("provider", "origin")):
             for providers in (None, ["codex"], ["claude", "openai"]):
@@ -155,6 +155,17 @@ def test_a_refresh_reads_the_events_of_its_days_only(spark, tmp_path):
     assert all("/d/" in x for x in fast.inputFiles()) and fast.inputFiles()
 
 
+def test_folders_are_brought_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("quillspark.operators.daily.MANY", 3)
+    events = spark.createDataFrame([event(i, 1 + i % 5, group=f"g{i % 20}" if i % 2 else None) for i in range(60)], EVENTS)
+    daily = Daily(spark, str(tmp_path / "d"))
+    for day in (1, 2, 3, 4, 5, 3, 1):
+        daily.refresh(events, [f"2026-05-{day:02}"])
+    assert len({v["folder"] for k, v in daily.folders.state()[1].items() if k.startswith("sums/")}) <= 3
+    both(daily, events, 1, 5, ("event_date", "provider"))
+    both(daily, events, 2, 4, ("model",))
+
+
 def test_other_questions_go_to_the_events(spark, tmp_path):
     events = spark.createDataFrame([event(i, 1 + i % 2) for i in range(10)], EVENTS)
     daily = Daily(spark, str(tmp_path / "d"))
