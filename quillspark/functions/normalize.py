@@ -75,6 +75,19 @@ def model_short(c: Column) -> Column:
     ).otherwise(bare)
 
 
+def model_label(c: Column) -> Column:
+    """The same for agents' labels: only one prefix goes, the first that fits."""
+    low = F.lower(c)
+    bare = low
+    for prefix in reversed(("anthropic/", "openai/", "claude-", "claude/")):
+        bare = F.when(F.startswith(low, F.lit(prefix)), F.substring(low, len(prefix) + 1, 10_000)).otherwise(bare)
+    parts = F.split(bare, "-", -1)
+    digits = lambda k: F.coalesce(F.get(parts, F.lit(k)).rlike(r"^\d+$"), F.lit(False))
+    version = F.concat(F.get(parts, F.lit(0)), F.lit(" "), F.get(parts, F.lit(1)))
+    label = F.when(digits(1) & digits(2), F.concat(version, F.lit("."), F.get(parts, F.lit(2)))).when(digits(1), version).otherwise(bare)
+    return F.coalesce(label, F.lit("unknown"))
+
+
 def uncached_input(tokens: Column, cached: Column) -> Column:
     return F.greatest(tokens - cached, F.lit(0))
 

@@ -15,6 +15,27 @@ from ..functions.normalize import blank_to_null
 TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "cached_input_tokens", "reasoning_tokens", "total_tokens")
 
 
+# What makes two calls of a vendor the same, and the provider of calls that name none.
+SEMANTIC_KEYS = {
+    "codex": ("openai", ("session_id", "model", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_tokens", "total_tokens")),
+    "openclaw": (
+        "openrouter",
+        ("session_id", "response_id", "model", "input_tokens", "cache_read_tokens", "cache_creation_tokens", "output_tokens", "total_tokens"),
+    ),
+    "opencode": (
+        "opencode",
+        ("session_id", "message_id", "model", "input_tokens", "cache_read_tokens", "cache_creation_tokens", "output_tokens", "reasoning_tokens", "total_tokens"),
+    ),
+}
+
+
+def semantic_key(vendor: str, provider: str = "provider") -> Column:
+    """A text that two calls of a vendor share if they are the same; absent parts are parts of their own."""
+    default, parts = SEMANTIC_KEYS[vendor]
+    named = F.coalesce(blank_to_null(F.col(provider)), F.lit(default))
+    return F.to_json(F.array(named, *[F.col(p).cast("string") for p in parts]))
+
+
 def dedupe_group(event_id: Column, tracking_id: Column, parts: list[Column]) -> Column:
     """``event_id:…`` for a row that has an id of its own, else a legacy key of the given parts."""
     own = F.coalesce(blank_to_null(event_id), blank_to_null(tracking_id))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,6 +147,25 @@ def session_list(events: DataFrame, tasks: DataFrame, limit: int) -> DataFrame:
     return joined.orderBy(F.desc("last_ts"), "session_id").limit(limit)
 
 
+def models_by_calls(events: DataFrame) -> DataFrame:
+    """provider, model, calls: a provider's models, the most called first, of equally called ones the first by name."""
+    rows = events.groupBy(F.col("provider_norm").alias("provider"), n.model_name(F.col("model")).alias("model"))
+    return rows.agg(F.sum(1 - F.col("is_correction")).cast("long").alias("calls")).orderBy("provider", F.desc("calls"), "model")
+
+
+def session_ids(events: DataFrame) -> DataFrame:
+    """session_id, first: the sessions in the order in which they come up, told by their first event's place."""
+    named = events.where(F.coalesce("session_id", F.lit("")) != "")
+    return named.groupBy("session_id").agg(F.min("ord").alias("first")).orderBy("first")
+
+
+def period(today: date, days: int = 1, start: str | None = None, end: str | None = None) -> tuple[date, date]:
+    """The first and the last day of what is asked for: two days, one of them with the number of days, or the last days."""
+    length = timedelta(max(days, 1) - 1)
+    first, last = (x and date.fromisoformat(x) for x in (start, end))
+    return first or (last or today) - length, last or today
+
+
 def calendar(spark, start: date | str, end: date | str) -> DataFrame:
     """day: every day from start to end."""
     return spark.range(1).select(F.explode(F.sequence(F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date"))).alias("day"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import normalize as n
 from ..functions import privacy, terms
 from ..functions import text as t
-from ..operators import attribution, bus, productivity, repricing
+from ..operators import attribution, bus, dedup, productivity, repricing, rollup
 from ..sources import ledger, transcripts
 from . import views as v
-from .queries import query
+from .queries import query, window
 from .views import LEDGER, NOW, TASKS
 
 ORDERS = """c AS (SELECT *, floor(o_totalprice)::BIGINT - 200000 AS lease, CASE o_orderpriority WHEN '5-LOW' THEN 2 ELSE 1 END AS ver FROM orders),
@@ -194,3 +195,53 @@ def today_markers(s, d):
         "CAST(conv_id AS STRING) AS session_id", f"TIMESTAMP_NTZ'{NOW}' - make_dt_interval(0, CAST(6 * turn AS INT)) AS ts", "role", "text",
     )
     return productivity.today_markers(v.ledger(s, d), v.tasks(s, d), messages, NOW, (" the ",))
+
+
+@query(f"WITH {LEDGER} SELECT provider_norm AS provider, model_name AS model, CAST(sum(1 - is_correction) AS BIGINT) AS calls FROM led GROUP BY 1, 2 ORDER BY 1, 3 DESC, 2")
+def models_by_calls(s, d):
+    return rollup.models_by_calls(window(s, d))
+
+
+@query(f"WITH {LEDGER}, {RECENT} SELECT session_id, min(ord) AS first FROM rec GROUP BY 1 ORDER BY 2")
+def today_session_ids(s, d):
+    return rollup.session_ids(productivity.recent(v.ledger(s, d), NOW))
+
+
+def joined(*columns: str) -> str:
+    return "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns) + ")"
+
+
+@query(f"""WITH {LEDGER}, v AS (SELECT ord, provider_norm, cost, CASE provider_norm
+  WHEN 'openai' THEN {joined("session_id", "model", "input_tokens", "cached", "output_tokens", "reasoning", "written_total")}
+  WHEN 'openrouter' THEN {joined("session_id", "model", "input_tokens", "cread", "ccreate", "output_tokens", "written_total")}
+  ELSE {joined("session_id", "model", "input_tokens", "cread", "ccreate", "output_tokens", "reasoning", "written_total")} END AS k FROM led2 WHERE provider_norm <> 'anthropic'),
+f AS (SELECT *, row_number() OVER (PARTITION BY provider_norm, k ORDER BY ord) > 1 AS dropped FROM v)
+SELECT provider_norm AS provider, dropped, count(*) AS events, round(coalesce(sum(cost), 0), 6) AS cost FROM f GROUP BY 1, 2""")
+def vendor_duplicates(s, d):
+    """Repeated calls by what each vendor's importer takes for the same."""
+    none = F.lit(None).cast("string")
+    rows = v.ledger(s, d).withColumns({"response_id": none, "message_id": none, "provider": none})
+    parts = [rows.where(F.col("provider_norm") == p).withColumn("k", dedup.semantic_key(vendor)) for p, vendor in (("openai", "codex"), ("openrouter", "openclaw"), ("opencode", "opencode"))]
+    all_ = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return dedup.semantic_dedup(all_, ["provider_norm", "k"]).groupBy(F.col("provider_norm").alias("provider"), "dropped").agg(
+        F.count("*").alias("events"), F.coalesce(F.sum("cost_estimate_usd"), F.lit(0.0)).alias("cost"),
+    )
+
+
+@query(f"""WITH {LEDGER}, m AS (SELECT DISTINCT 'anthropic/' || model AS model FROM led UNION SELECT DISTINCT model FROM led)
+SELECT model, CASE model WHEN 'claude-sonnet-4-20250514' THEN 'sonnet 4.20250514' WHEN 'claude-opus-4-1' THEN 'opus 4.1'
+  ELSE CASE WHEN starts_with(model, 'anthropic/') THEN substr(model, 11) ELSE model END END AS label FROM m""")
+def model_labels(s, d):
+    names = window(s, d).select("model").distinct()
+    both = names.select(F.concat(F.lit("anthropic/"), "model").alias("model")).unionByName(names).distinct()
+    return both.select("model", n.model_label(F.col("model")).alias("label"))
+
+
+@query("""SELECT 'f' || conv_id AS file, 's' || conv_id AS session_id, CASE WHEN any_value(rollout) THEN 'codex-tui' END AS originator, min_by(role, turn) AS source,
+  '/w/' || min(turn) AS working_dir FROM (SELECT *, bool_or(role = 'system') OVER (PARTITION BY conv_id) AS rollout FROM conversations) GROUP BY conv_id""")
+def rollout_heads(s, d):
+    """Conversations whose every turn is a head; the first one counts."""
+    c = v.table(s, d, "conversations").withColumn("rollout", F.expr("max(role = 'system') OVER (PARTITION BY conv_id)"))
+    line = "named_struct('id', concat('s', conv_id), 'originator', IF(rollout, 'codex-tui', NULL), 'source', role, 'cwd', concat('/w/', turn))"
+    lines = c.selectExpr("concat('f', conv_id) AS file", "0L AS block", "turn AS id", f"to_json(named_struct('type', 'session_meta', 'payload', {line})) AS value")
+    return transcripts.rollout_meta(ledger.parsed(lines))

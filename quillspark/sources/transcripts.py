@@ -77,6 +77,13 @@ def billable(rows: DataFrame) -> DataFrame:
     return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def rollout_meta(rows: DataFrame) -> DataFrame:
+    """file, session_id, originator, source, working_dir: what the first head of each rollout (v, file, block, id) says."""
+    fields = {"session_id": "id", "originator": "originator", "source": "source", "working_dir": "cwd"}
+    heads = rows.where(text("type") == "session_meta").select("file", "block", "id", *[text(f"payload.{k}").alias(c) for c, k in fields.items()])
+    return heads.groupBy("file").agg(F.min_by(F.struct(*fields), F.struct("block", "id")).alias("m")).select("file", "m.*")
+
+
 def rollout_calls(spark: SparkSession, path: str) -> DataFrame:
     """Token counts of rollouts in files."""
     return rollout_calls_of(lines(spark, path))
