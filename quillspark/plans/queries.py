@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import date, timedelta
 
@@ -702,7 +703,16 @@ def pattern_mining(s, d):
     return found.select("prefix", "occurrences", "sessions", "first_at", "last_at", F.size("examples").alias("shown"), "kind", "slug")
 
 
-@query(None)
+def marker_sql(text: str, patterns) -> str:
+    """How often patterns occur. Borders are signs that are part of no word of any script; all such signs are doubled before,
+    so that two words may share one."""
+    start, end = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+    spelled = [re.sub(r"\\b(?=$|[|)])", lambda _: end, p).replace(r"\b", start).replace("'", "''") for p in patterns]
+    doubled = f"regexp_replace(coalesce({text}, ''), '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g')"
+    return " + ".join(f"len(regexp_extract_all({doubled}, '(?i){p}'))" for p in spelled)
+
+
+@query(f"SELECT conv_id, turn, CAST({marker_sql('text', t.PROFANITY)} AS INT) AS profanity, CAST({marker_sql('text', t.THANKS)} AS INT) AS thanks FROM conversations")
 def profanity_count(s, d):
     rows = v.table(s, d, "conversations")
     return rows.select(
@@ -769,11 +779,14 @@ def document_tokens(s, d):
     return rows.select(F.col("source").alias("run_id"), F.col("doc_id").alias("fid"), F.array_sort(F.array_distinct(t.tokens(F.col("text")))).alias("tokens"))
 
 
-@query(None)
+@query(f"""WITH tk AS (SELECT doc_id AS fid, source AS run_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[{LETTER}0-9_]+'),
+  lambda x: len(x) > 1 AND x NOT IN ({STOP})))) AS w FROM documents WHERE text IS NOT NULL)
+SELECT a.run_id, a.fid AS a, b.fid AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS similarity
+FROM tk a JOIN tk b ON a.run_id = b.run_id AND a.fid < b.fid AND least(len(a.w), len(b.w)) >= 0.4 * greatest(len(a.w), len(b.w))
+WHERE len(list_intersect(a.w, b.w)) > 0 AND len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.4""")
 def consensus_pairs_all(s, d):
     """Whole documents of all languages, with the operator's own tokens."""
-    rows = v.table(s, d, "documents").where("text IS NOT NULL")
-    return mining.similar_pairs(rows.select(F.col("source").alias("run_id"), F.col("doc_id").alias("fid"), F.array_sort(F.array_distinct(t.tokens(F.col("text")))).alias("tokens")))
+    return mining.similar_pairs(document_tokens(s, d))
 
 
 @query(None)
@@ -781,13 +794,17 @@ def consensus_matrix(s, d):
     return mining.consensus(mining.findings(outputs(s, d)))
 
 
+def spelled_signs(pattern: str) -> str:
+    """A pattern whose word signs are those of every script, for DuckDB."""
+    signs = r"\p{L}\p{N}_"
+    return pattern.replace("'", "''").replace(r"[\w", f"[{signs}").replace(r"[^\w", f"[^{signs}").replace(r"\w", f"[{signs}]")
+
+
 def scan_sql() -> str:
     """Word signs of every script, spelled out as DuckDB needs them."""
-    signs = r"\p{L}\p{N}_"
     parts = []
     for kind, pattern in privacy.SCAN.items():
-        p = pattern.replace("'", "''").replace(r"[\w", f"[{signs}").replace(r"\w", f"[{signs}]")
-        parts.append(f"SELECT doc_id, '{kind}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents")
+        parts.append(f"SELECT doc_id, '{kind}' AS kind, unnest(regexp_extract_all(text, '{spelled_signs(pattern)}')) AS value FROM documents")
     return " UNION ALL ".join(parts)
 
 
@@ -796,12 +813,35 @@ def privacy_findings(s, d):
     return privacy.scan(v.table(s, d, "documents"), "doc_id", "text")
 
 
-@query(None)
+def scrub_sql() -> str:
+    out = "coalesce(text, '')"
+    for pattern, name in ((privacy.PATH_WIN, "[path]"), (privacy.PATH_UNIX, "[path]"), (privacy.EMAIL, "[email]"), (privacy.TOKEN, "[token]")):
+        # what stands before a path is kept
+        p = re.sub(r"\(\?<!\[(.*?)\]\)", r"(^|[^\1])", pattern)
+        out = f"regexp_replace({out}, '{spelled_signs(p)}', '{chr(92) + '1' if p != pattern else ''}{name}', 'g')"
+    return f"SELECT doc_id, {out} AS text FROM documents"
+
+
+def gate_sql() -> str:
+    parts = []
+    for kind, severity, pattern in privacy.GATE:
+        flags, rest = re.match(r"(\(\?i\))?(.*)$", pattern, re.S).groups()
+        before, rest = re.match(r"(?:\(\?<!\[(.*?)\]\))?(.*)$", rest, re.S).groups()
+        rest, after = re.match(r"(.*?)(?:\(\?=(.*)\))?$", rest, re.S).groups()
+        p = (flags or "") + (f"(?:^|[^{before}])" if before else "") + f"({rest})" + (f"(?:{after})" if after else "")
+        parts.append(f"SELECT doc_id, line, '{kind}' AS kind, '{severity}' AS severity, unnest(regexp_extract_all(t, '{spelled_signs(p)}', 1)) AS value FROM l")
+    return f"""WITH x AS (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS ls FROM documents),
+l AS (SELECT * FROM (SELECT doc_id, unnest(range(1, len(ls) + 1))::INTEGER AS line, unnest(ls) AS t FROM x) WHERE NOT regexp_matches(t, '{privacy.ALLOW_MARKER}')),
+f AS ({" UNION ALL ".join(parts)})
+SELECT * FROM f WHERE kind <> 'email' OR NOT ends_with(lower(value), '@example.com')"""
+
+
+@query(scrub_sql())
 def public_scrub(s, d):
     return v.table(s, d, "documents").select("doc_id", privacy.scrub(F.col("text")).alias("text"))
 
 
-@query(None)
+@query(gate_sql())
 def release_gate(s, d):
     return privacy.gate(v.table(s, d, "documents"), "doc_id", "text", ("@example.com",))
 

@@ -10,7 +10,7 @@ from ..operators import review, rollup
 from ..operators.dedup import dedup_events
 from ..sources import ledger, sessions, transcripts
 from . import views as v
-from .queries import COSTS, query
+from .queries import COSTS, marker_sql, query
 from .views import LEDGER, STATS, TODAY
 
 
@@ -173,7 +173,8 @@ def sanitized_documents(s, d):
     return review.sanitize(v.table(s, d, "documents"))
 
 
-@query(None)
+@query(f"""SELECT 'c' || conv_id AS path, CAST(sum({marker_sql("text", (*t.PROFANITY, *t.THANKS))}) AS BIGINT) AS markers FROM conversations
+WHERE role = 'user' AND turn >= 2 GROUP BY 1""")
 def markers_since(s, d):
     rows = v.table(s, d, "conversations").selectExpr(
         "concat('c', conv_id) AS path",
