@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import normalize as n
 from ..functions import privacy, terms
 from ..functions import text as t
-from ..operators import attribution, bus, dedup, productivity, repricing, rollup
+from ..operators import attribution, bus, dedup, productivity, report, repricing, rollup
 from ..sources import ledger, transcripts
 from . import views as v
 from .queries import query, window
-from .views import LEDGER, NOW, TASKS
+from .views import END, LEDGER, NOW, START, STATS, TASKS
 
 ORDERS = """c AS (SELECT *, floor(o_totalprice)::BIGINT - 200000 AS lease, CASE o_orderpriority WHEN '5-LOW' THEN 2 ELSE 1 END AS ver FROM orders),
 k AS (SELECT *, '{"created_at":"' || strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z","idempotency_key":"é' || o_orderstatus || '","kind":"' || o_orderpriority
@@ -245,3 +245,28 @@ def rollout_heads(s, d):
     line = "named_struct('id', concat('s', conv_id), 'originator', IF(rollout, 'codex-tui', NULL), 'source', role, 'cwd', concat('/w/', turn))"
     lines = c.selectExpr("concat('f', conv_id) AS file", "0L AS block", "turn AS id", f"to_json(named_struct('type', 'session_meta', 'payload', {line})) AS value")
     return transcripts.rollout_meta(ledger.parsed(lines))
+
+
+ROW_LINE = """'| ' || label || ' | ' || format('{:,}', calls) || ' | ' || format('{:,}', input_tokens) || ' | ' || format('{:,}', output_tokens) || ' | '
+  || CAST(CASE WHEN cache_read_tokens + input_tokens > 0 THEN round_even(cache_read_tokens * 100.0 / (cache_read_tokens + input_tokens), 0) ELSE 0 END AS BIGINT)
+  || '% | ' || printf('%.2f', cost_estimate_usd) || ' |'"""
+
+
+@query(f"""WITH {LEDGER}, m AS (SELECT provider_norm, model_name, CASE WHEN starts_with(lower(model_name), provider_norm || '/') THEN model_name
+  ELSE provider_norm || '/' || model_name END AS name, {STATS} FROM led GROUP BY GROUPING SETS ((provider_norm, model_name), ())),
+d AS (SELECT event_date, {STATS} FROM led GROUP BY 1),
+c AS (SELECT cost_estimate_usd AS cost, (SELECT sum(CASE WHEN p IN ('anthropic', 'openai') THEN 200.0 ELSE 0 END) FROM (SELECT DISTINCT provider_norm AS p FROM led)) AS paid
+  FROM m WHERE provider_norm IS NULL)
+SELECT 0 AS part, '0' AS key, '{report.TITLE.format(f"{START}..{END} (30 days)")}' AS line UNION ALL SELECT 0, '1', ''
+UNION ALL SELECT 1, '0', '{report.HEADS[0].format("Model")}' UNION ALL SELECT 1, '1', '{report.HEADS[1]}'
+UNION ALL SELECT CASE WHEN provider_norm IS NULL THEN 3 ELSE 2 END, coalesce(name, ''), {ROW_LINE} FROM (SELECT *, coalesce(name, '**Total**') AS label FROM m)
+UNION ALL SELECT 4, '0', '' UNION ALL SELECT 4, '1', 'Unknown pricing note: ' || sum(unknown_pricing_events) || ' events have unknown pricing and are counted as $0 in totals ('
+  || string_agg(name || ': ' || unknown_pricing_events, ', ' ORDER BY name || ': ' || unknown_pricing_events) || ').' FROM m WHERE provider_norm IS NOT NULL AND unknown_pricing_events > 0
+UNION ALL SELECT 5, '0', '' UNION ALL SELECT 5, '1', '**Period API cost**: $' || printf('%.2f', cost) FROM c UNION ALL SELECT 5, '2', '**Subscriptions prorated**: $' || printf('%.2f', paid) FROM c
+UNION ALL SELECT 5, '3', CASE WHEN cost >= paid THEN '**Savings vs API rates**: $' || printf('%.2f', cost - paid) || ' ✅' ELSE '**Subscription not fully used**: $' || printf('%.2f', paid - cost) END FROM c
+UNION ALL SELECT 5, '4', 'If paid by API rates would owe $' || printf('%.2f', cost) || '; subscription costs $' || printf('%.2f', paid) || ' for this period; '
+  || CASE WHEN cost >= paid THEN 'saved $' ELSE 'unused subscription value $' END || printf('%.2f', abs(cost - paid)) || '.' FROM c
+UNION ALL SELECT 6, '0', '' UNION ALL SELECT 6, '1', '### Daily aggregates' UNION ALL SELECT 6, '2', '' UNION ALL SELECT 6, '3', '{report.HEADS[0].format("Date")}' UNION ALL SELECT 6, '4', '{report.HEADS[1]}'
+UNION ALL SELECT 7, CAST(event_date AS VARCHAR), {ROW_LINE} FROM (SELECT *, CAST(event_date AS VARCHAR) AS label FROM d)""")
+def summary_report(s, d):
+    return report.summary(window(s, d), START, END)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import normalize, terms
 from quillspark.functions.privacy import SCAN
-from quillspark.operators import bus, dedup, ordered, rollup
+from quillspark.operators import bus, dedup, ordered, report, rollup
 from quillspark.session import cut
 from quillspark.sources import transcripts
 from quillspark.sources.ledger import lines as lines_of
@@ -272,3 +272,13 @@ def test_labels_and_keys(spark):
     codex, openclaw = key("codex"), key("openclaw")
     assert codex[0] == codex[1] == codex[2] != codex[3] and openclaw[0] != openclaw[1] and openclaw[0] != openclaw[2] != openclaw[3]
     assert len(set(key("opencode"))) == 3
+
+
+def test_summary_of_nothing(spark):
+    from quillspark.plans import views
+
+    empty = rollup.window(views.ledger(spark, "/root/testdata/sf0.001"), "1999-01-01", "1999-01-02")
+    assert [r["line"] for r in report.summary(empty, "1999-01-01", "1999-01-02").collect()] == ["No events in period"]
+    one = rollup.window(views.ledger(spark, "/root/testdata/sf0.001"), "2024-01-05", "2024-01-05")
+    lines = [r["line"] for r in report.summary(one, "2024-01-05", "2024-01-05").collect()]
+    assert lines[0].endswith("2024-01-05 (1 day)") and "### Daily aggregates" not in lines and sum(x.startswith("| **Total**") for x in lines) == 1
