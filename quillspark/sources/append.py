@@ -2,7 +2,7 @@
 
 A Python data source. Tasks write their lines to files beside the ledger; the commit, on the driver's side, ends an open last
 line, appends the tasks' files in the order of their partitions through a buffer of fixed size, and removes them. A job that
-fails leaves the ledger's bytes as they were. An append that dies half-way leaves a torn line, which readers skip and the
+fails leaves the ledger's bytes as they were (a task that outlives it may leave a file, which the next job removes). An append that dies half-way leaves a torn line, which readers skip and the
 next append closes; rows that are then appended again are duplicates, which event ids tell. For one writer at a time, and
 batches of the size of hooks' and imports'; large loads are folders of their own (``sources.folders``).
 """
@@ -10,10 +10,12 @@ batches of the size of hooks' and imports'; large loads are folders of their own
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
@@ -57,22 +59,26 @@ class LedgerWriter(DataSourceWriter):
         part, attempt = context.partitionId(), context.taskAttemptId()
         name = f"{self.path}.{self.job}-{part}-{attempt}"
         count = 0
-        out = None
-        for row in iterator:
-            if out is None:
-                out = open(name, "w", encoding="utf-8", newline="\n")
-            out.write(row[0] + "\n")
-            count += 1
-        if out is not None:
-            out.flush()
-            os.fsync(out.fileno())
-            out.close()
+        first = next(iterator, None)
+        if first is None:
+            return Written(part, name, 0)
+        try:
+            with open(name, "w", encoding="utf-8", newline="\n") as out:
+                for row in chain([first], iterator):
+                    out.write(row[0] + "\n")
+                    count += 1
+                out.flush()
+                os.fsync(out.fileno())
+        except BaseException:
+            os.remove(name)
+            raise
         return Written(part, name, count)
 
     def leftovers(self) -> list[str]:
+        """Tasks' files beside the ledger: this job's, and those of tasks that outlived a failed job."""
         folder, name = os.path.split(self.path)
         folder = folder or "."
-        return [os.path.join(folder, x) for x in os.listdir(folder) if x.startswith(f"{name}.{self.job}-")]
+        return [os.path.join(folder, x) for x in os.listdir(folder) if re.fullmatch(re.escape(name) + r"\.[0-9a-f]{32}-\d+-\d+", x)]
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         parts = sorted((m for m in messages if isinstance(m, Written) and m.lines), key=lambda m: m.part)

@@ -29,7 +29,7 @@ def test_log_of_commits(spark, tmp_path):
     table.commit({}, ["k3"])
     assert sorted(r[0] for r in Folders(spark, str(tmp_path / "t"), full=3).rows("id long").collect()) == [0, 1, 2, 4, 5, 6, 7]
     gone = table.vacuum()
-    assert len(gone) == 1 and table.rows("id long").count() == 7
+    assert len(gone) == 1 and table.rows("id long").count() == 7 and table.numbers() == [6, 7, 8]
 
 
 def test_one_of_two_writers_gets_a_commit(spark, tmp_path):
@@ -272,7 +272,9 @@ def test_empty_batches_and_failures_leave_the_ledger_alone(spark, tmp_path):
     path.write_text('{"id": 1}')
     with pytest.raises(Exception, match="no"):
         append.append_events(spark.range(8).select(F.when(F.col("id") == 7, F.raise_error(F.lit("no"))).otherwise(F.col("id").cast("string")).alias("id")), str(path))
-    assert path.read_text() == '{"id": 1}' and os.listdir(tmp_path) == ["claude.jsonl"]
+    assert path.read_text() == '{"id": 1}'
+    append.append_events(spark.range(1), str(path))
+    assert path.read_text() == '{"id": 1}\n{"id":0}\n' and os.listdir(tmp_path) == ["claude.jsonl"]
 
 
 # -- Leases ----------------------------------------------------------------------------------------------------------
