@@ -46,7 +46,11 @@ def canonicals(bodies: pd.Series) -> pd.Series:
 def valid(task: Column) -> Column:
     """Whether a JSON object has a task's fields: texts that aren't blank, a digest of the payload, a lease of whole seconds
     above 0, and a time."""
-    v = F.try_parse_json(task)
+    # (parsed once, as the one element of an array)
+    return F.get(F.transform(F.array(F.try_parse_json(task)), lambda v: has_fields(v, task)), F.lit(0))
+
+
+def has_fields(v: Column, task: Column) -> Column:
     kind = lambda key: F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
     text = lambda key: F.when(kind(key) == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
     good = F.lit(True)
@@ -87,7 +91,7 @@ def envelopes(rows: DataFrame, text_col: str = "body") -> DataFrame:
 def serialized(task: Column, prefix: str) -> Column:
     """An envelope around a JSON object; null for what isn't one or hasn't a task's fields."""
     one = F.get(canonicals(F.array(task)), F.lit(0))
-    body = F.when(valid(one["task"]), one["task"])
+    body = F.when(has_fields(F.try_parse_json(one["task"]), one["task"]), one["task"])
     return F.concat(F.lit(f"<!-- {prefix}-task:v1 sha256="), one["digest"], F.lit(" -->\n"), body, F.lit(f"\n<!-- /{prefix}-task:v1 -->"))
 
 
