@@ -55,7 +55,7 @@ class Lifetime:
                 F.min_by(blank_to_null(F.col("session_id")), F.struct("block", "id")).alias("session_id"),
             )
             folder = self.partials.place("partial")
-            firsts.withColumn("part", F.md5(F.col("file").cast("binary"))).write.partitionBy("part").parquet(f"{self.partials.at}/{folder}")
+            firsts.withColumn("part", F.md5(F.col("file").cast("binary"))).repartition("part").write.partitionBy("part").parquet(f"{self.partials.at}/{folder}")
             for name, (key, _, size, time) in changed.items():
                 part = f"{folder}/part={hashlib.md5(name.encode()).hexdigest()}"
                 put[key] = {"folder": part if self.partials.fs.exists(f"{self.partials.at}/{part}") else None, "size": size, "time": time}
