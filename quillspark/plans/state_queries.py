@@ -97,14 +97,14 @@ def committed_batches(s, d):
 CAST(count(*) FILTER (event_id % 5 = 0) AS BIGINT) AS unpriced FROM events WHERE event_id <> 0 GROUP BY 1""")
 def appended_ledger(s, d):
     folder = new_folder(s, "ledger")
-    path = append.local(f"{folder}/claude.jsonl")
+    path = f"{folder}/claude.jsonl"
     s.range(0).write.parquet(folder)  # makes the folder
     rows = v.table(s, d, "events").selectExpr(
         "concat('e', event_id) AS event_id", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS ts", "IF(event_type = 'click', 'codex', NULL) AS provider",
         "event_type AS model", "event_id % 7 AS input_tokens", "IF(event_id % 5 = 0, NULL, value) AS cost_estimate_usd", "event_id AS ord",
     )
     append.append_events(rows.where("ord % 2 = 1"), path, ("ord",))
-    with open(path, "a", encoding="utf-8") as f:  # a writer that died within a line
+    with open(append.local(path), "a", encoding="utf-8") as f:  # a writer that died within a line
         f.write('{"event_id": "e0", "ts": "2024-01-0')
     append.append_events(rows.where("ord % 2 = 0 AND ord <> 0"), path, ("ord",))
     events = ledger.read_events(s, path, "anthropic", "claude")
