@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as n
 from ..functions import privacy, text
-from ..session import cut
+from ..session import cut, shuffled
 from . import rollup, timegap
 from .ordered import at_rank, nearest_rank, upto
 
@@ -47,7 +47,7 @@ def units_by_day(events: DataFrame, tasks: DataFrame, gap_minutes: int = 2) -> D
     )
     daily = events.withColumn("day", F.col("event_date"))
     keys = ["session_id", "day"]
-    units = timegap.gaps_by(timegap.with_session(daily), keys, gap_minutes).join(known, keys, "left")
+    units = timegap.gaps_by(timegap.with_session(daily), keys, gap_minutes).join(shuffled(known), keys, "left")
     guard = F.when(F.col("baseline").isNotNull(), n.guarded_hours(F.col("baseline"), F.col("active_hours"), F.col("events")))
     return units.withColumn("_g", guard).select("*", F.col("_g.hours").alias("effective"), F.col("_g.kind").alias("kind")).drop("_g")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as n
+from ..session import shuffled
 from .timegap import with_session
 
 #: Categories of closed days in the order in which they are taken.
@@ -24,7 +25,7 @@ def with_tasks(rows: DataFrame, tasks: DataFrame) -> DataFrame:
         n.effective_hours(F.col("human_corrected_hours"), F.col("ai_baseline_hours")).alias("hours"), "day_input_version",
         "estimation_mode", "input_read_at",
     )
-    return rows.join(known, ["session_id", "day"], "left")
+    return rows.join(shuffled(known), ["session_id", "day"], "left")
 
 
 def closed_days(events: DataFrame, tasks: DataFrame, today: str, *, version: int, fixed_at: str, mode: str, compacted: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as n
+from ..session import shuffled
 from .ordered import row_at
 from .timegap import with_session
 
@@ -76,7 +77,7 @@ def rechunk_plan(units: DataFrame, tasks: DataFrame, multi_day_only: bool = True
         n.effective_hours(F.col("human_corrected_hours"), F.col("ai_baseline_hours")).alias("baseline"),
     ).where("baseline is not null")
     daily = tasks.where("chunk_date is not null").select("session_id", F.col("chunk_date").alias("day"), F.lit(1).alias("known")).distinct()
-    sums = units.distinct().join(daily, ["session_id", "day"], "left").groupBy("session_id").agg(
+    sums = units.distinct().join(shuffled(daily), ["session_id", "day"], "left").groupBy("session_id").agg(
         F.count("*").alias("days"),
         F.sum((F.col("known").isNull()).cast("long")).alias("missing"),
     )

@@ -60,3 +60,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows read from the shared checkpoint folder: made once, and not again where executors are lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled, never broadcast: for tables that grow with the input and that Spark believes to be
+    small, as it counts compressed files and takes the rows that an ``explode`` makes for one."""
+    return df.hint("shuffle_merge")

@@ -1,11 +1,12 @@
 """Runs, envelopes, claims and plans of work."""
 
 import hashlib
+import re
 from datetime import date, datetime
 
 import pytest
 
-from quillspark.operators import runs
+from quillspark.operators import productivity, queue, runs
 
 
 def test_order_of_roles():
@@ -74,3 +75,16 @@ def test_small_reports(spark):
     m = spark.createDataFrame([("p", at, "user"), ("p", datetime(2026, 5, 10, 10, 1), "assistant")], "path string, ts timestamp_ntz, role string")
     r = runs.session_metrics(m).first()
     assert (r["user_messages"], r["assistant_messages"], r["active_hours"]) == (1, 1, pytest.approx(1 / 60))
+
+
+def test_days_of_tasks_are_never_broadcast(spark):
+    """Spark takes the rows that an explode makes for one, so the days of many tasks look small to it."""
+    events = spark.createDataFrame([("1", datetime(2026, 5, 1, 10), date(2026, 5, 1), "anthropic")], "session_id string, ts timestamp_ntz, event_date date, provider_norm string")
+    tasks = spark.range(3).selectExpr(
+        "CAST(id AS STRING) AS session_id", "explode(sequence(DATE'2026-05-01', DATE'2026-05-20')) AS chunk_date", "'1' AS ai_baseline_hours", "CAST(NULL AS STRING) AS human_corrected_hours",
+        "1 AS day_input_version", "'' AS estimation_mode", "CAST(NULL AS TIMESTAMP_NTZ) AS input_read_at",
+    )
+    units = events.selectExpr("session_id", "event_date AS day", "'claude' AS provider")
+    for made in (productivity.units_by_day(events, tasks), queue.with_tasks(units, tasks), runs.rechunk_plan(units.select("session_id", "day"), tasks)):
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and re.search(r"\bday#|chunk_date#|event_date#", x)], plan
