@@ -26,11 +26,19 @@ def repriced(events: DataFrame) -> DataFrame:
     )
 
 
+def exact_sum(dollars: Column) -> Column:
+    """A sum of dollars that doesn't depend on the order of rows, added up as decimals of 12 digits (prices of a token have
+    fewer); as doubles where a value is no such decimal. 0 without values."""
+    whole = dollars.try_cast("decimal(28,12)")
+    odd = F.count_if(dollars.isNotNull() & whole.isNull())
+    return F.coalesce(F.when(odd > 0, F.sum(dollars)).otherwise(F.sum(whole).cast("double")), F.lit(0.0))
+
+
 def recost_report(events: DataFrame) -> DataFrame:
     """provider, events, changed, old and new cost."""
     rows = repriced(events)
     changed = ~F.col("new_cost").eqNullSafe(F.col("cost_estimate_usd"))
-    sums = [F.coalesce(F.sum(c), F.lit(0.0)).alias(a) for c, a in (("cost_estimate_usd", "old_cost"), ("new_cost", "new_cost"))]
+    sums = [exact_sum(F.col(c)).alias(a) for c, a in (("cost_estimate_usd", "old_cost"), ("new_cost", "new_cost"))]
     return rows.groupBy(F.col("provider_norm").alias("provider")).agg(F.count("*").alias("events"), F.sum(changed.cast("long")).alias("changed"), *sums)
 
 

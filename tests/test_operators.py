@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import normalize as n
 from quillspark.functions import pricing, privacy
 from quillspark.functions import text as t
-from quillspark.operators import attribution, dedup, drift, mining, productivity, queue, reputation, rollup, timegap
+from quillspark.operators import attribution, dedup, drift, mining, productivity, queue, repricing, reputation, rollup, timegap
 
 T0 = datetime(2026, 5, 10, 10, 0)
 
@@ -193,6 +193,12 @@ def test_prices(spark):
     assert claude("other", 1, 0) is None and claude("claude-haiku-1", 1_000_000, 9_000_000) == pytest.approx(2)
 
 
+def test_sums_of_dollars_are_exact(spark):
+    rows = spark.createDataFrame([("a", 0.1)] * 10 + [("b", 1e300), ("b", 1.0), ("c", None), ("d", float("nan"))], "k string, x double")
+    got = dict(map(tuple, rows.groupBy("k").agg(repricing.exact_sum(F.col("x"))).collect()))
+    assert got["a"] == 1.0 and got["b"] == 1e300 and got["c"] == 0.0 and got["d"] != got["d"]  # ten times 0.1 is 0.9999999999999999 in doubles
+
+
 def test_slop(spark):
     rows = spark.createDataFrame(
         [(1, ""), (2, "run run run run run run"), (3, "It is important to note that this might work"), (4, None)],
