@@ -7,6 +7,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.functions import privacy
 from quillspark.functions import text as t
@@ -234,3 +235,18 @@ def test_pairs_shuffle_no_row_for_each_token(spark):
     """Before, each token of each text was a row of two shuffles."""
     rows = spark.range(2).selectExpr("'r' AS run_id", "id AS fid", "array('a', 'b') AS tokens")
     assert "Generate explode(tokens" not in mining.similar_pairs(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_copies_are_dealt_out(spark):
+    """Before, all pairs of a run's copies came from one task."""
+    rows = spark.range(2500).selectExpr("'r' AS run_id", "id AS fid", "IF(id < 2100, array('a', 'b', 'c'), IF(id < 2490, array('a', 'b'), array('x'))) AS tokens")
+    found = mining.similar_pairs(rows).groupBy("similarity", F.spark_partition_id().alias("task")).agg(
+        F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.count_if(F.col("a") >= F.col("b")).alias("wrong"),
+    ).collect()
+    sets = [range(2100), range(2100, 2490), range(2490, 2500)]
+    same = sum(len(x) * (len(x) - 1) // 2 for x in sets)
+    assert {round(x["similarity"], 6) for x in found} == {1.0, 0.666667} and not any(x["wrong"] for x in found)
+    assert sum(x["n"] for x in found if x["similarity"] == 1) == same and sum(x["n"] for x in found) == same + 2100 * 390
+    assert sum(x["a"] for x in found) == sum(k * (x[-1] - k) for x in sets for k in x) + sum(sets[0]) * 390
+    assert sum(x["b"] for x in found) == sum(k * (k - x[0]) for x in sets for k in x) + sum(sets[1]) * 2100
+    assert len({x["task"] for x in found}) > 2
