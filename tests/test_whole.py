@@ -250,3 +250,25 @@ def test_pairs_of_copies_are_dealt_out(spark):
     assert sum(x["a"] for x in found) == sum(k * (x[-1] - k) for x in sets for k in x) + sum(sets[0]) * 390
     assert sum(x["b"] for x in found) == sum(k * (k - x[0]) for x in sets for k in x) + sum(sets[1]) * 2100
     assert len({x["task"] for x in found}) > 2
+
+
+def test_titles_between_fences(spark):
+    """Any mix of fences, line ends and items, against a loop over lines; before, each title copied those before it, and
+    tokens were made twice."""
+    r = random.Random(4)
+    bits = ["```", "~~~", " ```x", "\n", "\n", "\r\n", "\r", "- a b", "* c", "## h", "##", "1. item", " - no", "text", " ", "\t```", "-  "]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(14))) for _ in range(3000)] + [None]
+    got = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select("k", t.finding_titles(F.col("text")).alias("x")).collect()
+    for row in got:
+        want, fenced = [], False
+        for line in re.split("\r\n|\n|\r", texts[row["k"]] or ""):
+            own = line.strip(" ")
+            if own.startswith(("```", "~~~")):
+                fenced = not fenced
+            elif not fenced and own.startswith("##"):
+                want.append(own.lstrip("# "))
+            elif not fenced and (m := re.match(r"(?:[-*+]|[0-9]+\.)\s+(.+)", line)) and m[1].strip(" "):
+                want.append(m[1].rstrip(" "))
+        assert row["x"] == want, texts[row["k"]]
+    plan = mining.findings(spark.createDataFrame([(1, "a", "- b")], "run_id long, role string, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and "aggregate(" not in plan
