@@ -60,11 +60,11 @@ def daily_by_origin(s, d):
 
 
 def ledger_files(s: SparkSession, d: str, folder: str, where: str = "true") -> None:
-    """The events as part files of one ledger, in order; more files come beside those that are there."""
+    """The events as part files of one ledger, in order, as many as the rows need; more files come beside those that are there."""
     raw = v.raw_ledger(s, d).where(where).withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     columns = ["event_id", "ts", "session_id", "provider", "model", "originator", "source", *[c for c in raw.columns if c.endswith("_tokens")], "cost_estimate_usd"]
     lines = raw.select("ord", F.to_json(F.struct(*columns, F.when(F.col("is_correction") == 1, "x").alias("correction_of"))).alias("value"))
-    lines.repartitionByRange(4, "ord").sortWithinPartitions("ord").select("value").write.mode("append").text(f"{folder}/claude.jsonl")
+    lines.repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.mode("append").text(f"{folder}/claude.jsonl")
 
 
 @query(f"""WITH {LEDGER}, life AS (SELECT * FROM led2 WHERE model <> '<synthetic>' AND (provider_norm = 'anthropic' OR (provider_norm = 'openai'

@@ -32,7 +32,8 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parsed(raw: DataFrame) -> DataFrame:
     """Lines (value, ...) that are JSON objects, with them as v; a broken line costs only itself."""
-    rows = raw.where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
+    # a generator's column: as a plain one it would be parsed anew for each place in the filters that come after it
+    rows = raw.where(F.trim("value") != "").select("*", F.explode(F.array(F.try_parse_json("value"))).alias("v"))
     return rows.where(F.schema_of_variant("v").startswith("OBJECT"))
 
 

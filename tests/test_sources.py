@@ -206,3 +206,13 @@ def test_snapshots(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    """Before, filters on what a line says parsed it anew for each place they name it."""
+    from quillspark.operators.productivity import eligible
+
+    (tmp_path / "claude.jsonl").write_text('{"ts": "2024-01-01T00:00:00Z", "event_id": "a"}\nnull\n[1]\n{"ts": 1\n', encoding="utf-8")
+    rows = eligible(ledger.read_events(spark, str(tmp_path / "claude.jsonl"), "anthropic", "claude"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+    assert [r["event_id"] for r in rows.select("event_id").collect()] == ["a"]
