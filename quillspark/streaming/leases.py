@@ -36,19 +36,16 @@ class Leases(StatefulProcessor):
         self.lease = handle.getValueState("lease", "exec_id string, claimed_us long, lease_us long, beat_us long, expired boolean")
 
     def wake(self, ms: int) -> None:
-        if ms not in set(self.handle.listTimers()):
-            self.handle.registerTimer(ms)
+        self.handle.registerTimer(ms)  # one that is set already stays as it is
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         old = self.lease.get()
         if not (old and old[4]):
-            every = pd.concat(list(rows))
-            every = every[every["kind"].isin(["claim", "heartbeat"])]
-            new = [(int(r.at_us), int(r.id), r.kind, r.exec_id, int(r.lease_seconds)) for r in every.itertuples()]
+            new = [x for some in rows for x in zip(*[some[c].tolist() for c in ("at_us", "id", "kind", "exec_id", "lease_seconds")])]
             if new:
                 self.waiting.appendList(new)
                 self.wake(max(-(-min(new)[0] // 1000), timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame()
+        return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now_us = timerValues.getCurrentWatermarkInMs() * 1000
@@ -107,6 +104,8 @@ def expiries(comments: DataFrame, grace: float = GRACE, delay: str = "0 seconds"
     """issue, exec_id, renewed_at, expired_at: a row for each lease that ends, when the watermark passes its end. ``comments``
     is a stream of issue, id, at, kind, exec_id, lease_seconds; rows of another kind only move time on."""
     rows = comments.withColumn("at_us", F.unix_micros("at")).withWatermark("at", delay)
+    # (names the time, else the filter would go below the watermark, which other rows move on too)
+    rows = rows.where(F.when(F.col("at").isNotNull(), F.col("kind").isin("claim", "heartbeat")))
     out = rows.groupBy("issue").transformWithStateInPandas(
         statefulProcessor=Leases(grace), outputStructType=EXPIRED, outputMode="Append", timeMode="EventTime",
     )

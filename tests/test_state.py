@@ -342,3 +342,11 @@ def test_published_versions_replace_one_another(spark, tmp_path):
         sinks.publish(spark.range(k), path)
     assert sinks.published(spark, path).count() == 2
     assert sum(x.startswith("version-") for x in os.listdir(path)) == 3  # two kept, and the one that failed
+
+
+def test_leases_take_no_rows_that_only_move_time_on(spark, tmp_path, capsys):
+    """Such rows move the watermark on, and go no further; before, issues' states were handed them."""
+    comments = spark.readStream.schema(COMMENTS).parquet(str(tmp_path))
+    leases.expiries(comments).explain(extended=True)
+    plan = capsys.readouterr().out.split("Optimized Logical Plan")[1]
+    assert -1 < plan.find("heartbeat") < plan.find("EventTimeWatermark")
