@@ -2,7 +2,7 @@
 
 ``sessions``: session_id, start, end, cost, working_dir. ``commits``: repo, hash, committed_at, lines. ``events``:
 session_id, ts. Sessions and the commits made while they last never meet as pairs: sums over a session are differences of
-running sums, and a commit's owner is found by one pass over sorted times (see ``owners``). A range of time, which holds
+running sums, and a commit's owner is found by one pass over ranges of time (see ``around``). A range of time, which holds
 about ``depth`` rows, is the unit of work.
 """
 
@@ -10,13 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .ordered import DEPTH, at_rank, borders, instant, ranged, running, upto
 
+#: Later than any instant.
+NEVER = 2**62
+
 
 def session_costs(sessions: DataFrame, commits: DataFrame, depth: int = DEPTH) -> DataFrame:
     """session_id, cost, commits, lines, cost_per_line: a commit counts for every session around it, both ends included.
@@ -72,11 +77,12 @@ def folders(sessions: DataFrame, commits: DataFrame) -> DataFrame:
 
 def stretches(sessions: DataFrame, events: DataFrame) -> DataFrame:
     """session_id, start, working_dir, lo, hi, a, b: each session cut at its events; from lo to hi the last event is at a (or
-    there was none) and the next one at b (or there is none). Events outside of their session are left out."""
+    there was none) and the next one at b (or there is none). Events outside of their session are left out, and so are
+    stretches of no length but a session's first: the event they are at ends the stretch before."""
     own = sessions.select("session_id", "working_dir", instant("start").alias("start"), instant("end").alias("end"))
     marks = events.select("session_id", instant("ts").alias("a")).join(own, "session_id").where("a between start and end")
     w = Window.partitionBy("session_id").orderBy("a")
-    marks = marks.withColumn("b", F.lead("a").over(w)).withColumn("_nth", F.row_number().over(w))
+    marks = marks.withColumn("b", F.lead("a").over(w)).withColumn("_nth", F.row_number().over(w)).where("_nth = 1 or a < coalesce(b, end)")
     none = F.lit(None).cast("long")
     after = F.struct(F.col("a").alias("lo"), F.coalesce("b", "end").alias("hi"), F.col("a").alias("a"), F.col("b").alias("b"))
     before = F.struct(F.col("start").alias("lo"), F.col("a").alias("hi"), none.alias("a"), F.col("a").alias("b"))
@@ -84,133 +90,173 @@ def stretches(sessions: DataFrame, events: DataFrame) -> DataFrame:
     return marks.select("session_id", "start", "working_dir", F.explode(pieces).alias("p")).select("session_id", "start", "working_dir", "p.*")
 
 
-#: What a row of ``nearest`` is. At one instant stretches begin before commits, and end after them.
-BEGIN, COMMIT, END = 0, 1, 2
+class Best:
+    """For each of a group's instants the stretch around it that comes first, of those seen so far: least v, then start, then
+    session_id."""
+
+    def __init__(self, at: np.ndarray) -> None:
+        self.at = at
+        self.v, self.start = np.full(len(at), NEVER), np.full(len(at), NEVER)
+        self.session = np.full(len(at), None, object)
+
+    def see(self, rows: pa.Table, i: np.ndarray, j: np.ndarray) -> None:
+        """rows: v, start, session_id of stretches around the instants number i to j."""
+        order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("v", "start", "session_id")]).to_numpy()
+        n = len(order)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        # two blocks of a power of two cover each stretch's instants; blocks hand what they have down to their halves
+        level = np.frexp(j - i + 1)[1] - 1
+        least = np.full((int(level.max()) + 1, len(self.at)), n)
+        np.minimum.at(least, (level, i), rank)
+        np.minimum.at(least, (level, j + 1 - (1 << level)), rank)
+        for k in range(len(least) - 1, 0, -1):
+            half = 1 << (k - 1)
+            np.minimum(least[k - 1], least[k], out=least[k - 1])
+            np.minimum(least[k - 1][half:], least[k][:-half], out=least[k - 1][half:])
+        at = np.flatnonzero(least[0] < n)
+        row = order[least[0][at]]
+        which, back = np.unique(row, return_inverse=True)
+        session = np.empty(len(which), object)
+        session[:] = rows["session_id"].take(pa.array(which)).to_pylist()
+        v, start, session = rows["v"].to_numpy()[row], rows["start"].to_numpy()[row], session[back]
+        first = (v < self.v[at]) | (v == self.v[at]) & (start < self.start[at])
+        for k in np.flatnonzero((v == self.v[at]) & (start == self.start[at])):
+            first[k] = session[k] < self.session[at[k]]
+        at = at[first]
+        self.v[at], self.start[at], self.session[at] = v[first], start[first], session[first]
 
 
 def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each commit the stretch around it that began last and the one that ends first, with the gap to that event.
-
-    Rows: near, repo, range (a group), at, kind, v (the event at the stretch's begin or end), other (its other end), start,
-    session_id, of, hash; sorted by all up to session_id. A task holds the stretches that may still be the last to have
-    begun, and the commits that no end has reached yet."""
-    names = ["of", "hash", "near", "gap", "start", "session_id"]
-    group, same, rows = None, None, []
-    begun: list[tuple] = []  # by v; one that begins later and ends no earlier takes the place of those before it
-    waiting: list[tuple] = []
-    out: list[tuple] = []
-
-    def settle() -> None:
-        if not rows:
-            return
-        kind, v, at = same[1], same[2], same[0]
-        if kind == BEGIN:
-            for other, start, session, _, _ in reversed(rows):  # of equal ones the first is on top
-                while begun and begun[-1][1] <= other:
-                    begun.pop()
-                begun.append((v, other, start, session))
-        elif kind == COMMIT:
-            while begun and begun[-1][1] < at:
-                begun.pop()
-            for _, _, _, of, hash_ in rows:
-                if begun:
-                    out.append((of, hash_, group[0], at - begun[-1][0], *begun[-1][2:]))
-                waiting.append((at, of, hash_))
-        else:
-            for other, start, session, _, _ in rows:
-                while waiting and waiting[-1][0] >= other:
-                    t, of, hash_ = waiting.pop()
-                    out.append((of, hash_, group[0], v - t, start, session))
+    """For each instant asked for the stretch around it that began last and the one that ends first, with the gap to that event.
+
+    Rows: range, near, repo (a group), piece (whether it is a stretch), lo, hi, a, b, start, session_id; a group's instants
+    (in lo) come before its stretches, in order. A task holds the instants of a group, and a batch of stretches."""
+    names = ["near", "repo", "at", "gap", "start", "session_id"]
+    group: tuple | None = None
+    asked: list[np.ndarray] = []
+    late: Best | None = None
+    soon: Best | None = None
+    kind: pa.DataType | None = None
+
+    def found() -> Iterator[pa.RecordBatch]:
+        for best, sign in ((late, 1), (soon, -1)):
+            if best is not None:
+                k = np.flatnonzero(best.v < NEVER)
+                gap = best.v[k] + sign * best.at[k]
+                columns = [pa.array([group[1]] * len(k), pa.bool_()), pa.array([group[2]] * len(k), pa.string())]
+                columns += [pa.array(x) for x in (best.at[k], gap, best.start[k])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(best.session[k].tolist(), kind)], names)
 
     for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(11)]
-        for near, repo, range_, at, kind, v, *row in zip(*columns, strict=True):
-            if (at, kind, v) != same or (near, repo, range_) != group:
-                settle()
-                rows = []
-                if (near, repo, range_) != group:
-                    group = (near, repo, range_)
-                    begun.clear()
-                    waiting.clear()
-                same = (at, kind, v)
-            rows.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds_of(batch))], names)
-        out.clear()
-    settle()
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds_of(batch))], names)
-
-
-def kinds_of(batch: pa.RecordBatch) -> list[pa.DataType]:
-    return [batch.column(9).type, batch.column(10).type, pa.bool_(), pa.int64(), pa.int64(), batch.column(8).type]
-
-
-def owners(sessions: DataFrame, events: DataFrame, commits: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """repo, hash, session_id, gap: each commit's one session: of those around it, sessions working inside the repository
-    before others, then the one with the nearest event (gap in microseconds), then the one that started first.
-
-    A session's nearest event begins or ends the stretch between its events that the commit lies in, so only the stretch
-    that began last and the one that ends first can win. Of stretches that last throughout a range those two are kept for
-    each range, by an aggregate; those that begin or end in a range are sorted with its commits, and one pass finds the
-    two for each commit. Both are done for all sessions and for those inside each repository."""
-    pieces = stretches(sessions, events).join(folders(sessions, commits), "working_dir", "left")
-    scopes = F.concat(
-        F.array(F.struct(F.lit(False).alias("near"), F.lit("").alias("repo"))),
-        F.transform(F.coalesce("repos", F.array().cast("array<string>")), lambda r: F.struct(F.lit(True).alias("near"), r.alias("repo"))),
-    )
-    pieces = cut(pieces.select(F.explode(scopes).alias("s"), "lo", "hi", "a", "b", "start", "session_id").select("s.*", "*").drop("s"))
-    commits = commits.where("committed_at is not null")
-    # what a range holds: commits, and stretches that begin or end there
-    times = commits.select(instant("committed_at").alias("at")).unionByName(pieces.select(F.explode(F.array("lo", "hi")).alias("at")))
-    cuts = borders(times, depth=depth)
+        kind = batch.column(9).type
+        own = [batch.column(k) for k in range(4)]
+        cuts = np.zeros(max(batch.num_rows - 1, 0), bool)
+        for c in own:
+            cuts |= pc.not_equal(c.slice(1), c.slice(0, max(batch.num_rows - 1, 0))).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(cuts) + 1).tolist(), batch.num_rows]
+        for x, y in zip(edges, edges[1:]):
+            if x == y:
+                continue
+            *key, piece = (c[x].as_py() for c in own)
+            if tuple(key) != group:
+                yield from found()
+                group, asked, late, soon = tuple(key), [], None, None
+            rows = batch.slice(x, y - x)
+            if not piece:
+                asked.append(rows.column(4).to_numpy())
+                continue
+            if not asked:
+                continue
+            if late is None:
+                at = np.concatenate(asked)
+                late, soon = Best(at), Best(at)
+            i = np.searchsorted(late.at, rows.column(4).to_numpy(), "left")
+            j = np.searchsorted(late.at, rows.column(5).to_numpy(), "right") - 1
+            for best, column, sign in ((late, rows.column(6), -1), (soon, rows.column(7), 1)):
+                k = np.flatnonzero((i <= j) & column.is_valid().to_numpy(zero_copy_only=False))
+                if len(k):
+                    v = column.take(pa.array(k)).to_numpy() * sign
+                    best.see(pa.table({"v": v, "start": rows.column(8).take(pa.array(k)), "session_id": rows.column(9).take(pa.array(k))}), i[k], j[k])
+    yield from found()
+
+
+def around(sessions: DataFrame, events: DataFrame, asked: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """near, repo, at, gap, start, session_id: for each instant asked for (near, repo, at; distinct) the session with the
+    nearest event, among those inside the repository if ``near``; then the one that started first.
+
+    A session's nearest event begins or ends the stretch between its events that the instant lies in, so only the stretch
+    that began last and the one that ends first can win. Stretches go to the ranges of time that they begin and end in. Of
+    those that last throughout a range the two are kept for each block of ranges (a power of two), by an aggregate."""
+    asked = cut(asked)
+    pieces = stretches(sessions, events).join(folders(sessions, asked.where("near")), "working_dir", "left")
+    pieces = cut(pieces.select("lo", "hi", "a", "b", "start", "session_id", F.coalesce("repos", F.array().cast("array<string>")).alias("repos")))
+    cuts = borders(asked.select("at").unionByName(pieces.select(F.explode(F.array("lo", "hi")).alias("at"))), depth=depth)
     pieces = ranged(ranged(pieces, cuts, "lo", "first"), cuts, "hi", "last")
-    # a row for each range, MOST at most
-    ends = zip(range(len(cuts) + 1), [None, *cuts], [*cuts, None], strict=True)
-    edges = F.broadcast(sessions.sparkSession.createDataFrame(list(ends), "range long, low long, high long"))
-    kinds = {c: commits.schema[c].dataType for c in ("repo", "hash")}
-    none = [F.lit(None).cast(t).alias(k) for k, t in (("of", kinds["repo"]), ("hash", kinds["hash"]))]
-    edge = pieces.withColumn("range", F.explode(F.array_distinct(F.array("first", "last")))).join(edges, "range")
-    where = ["near", "repo", "range"]
-    begin = edge.where("a is not null").select(
-        *where, F.greatest("lo", "low").alias("at"), F.lit(BEGIN).alias("kind"), F.col("a").alias("v"),
-        F.col("hi").alias("other"), "start", "session_id", *none,
+    edge = pieces.withColumn("range", F.explode(F.array_distinct(F.array("first", "last")))).drop("first", "last")
+    # what lasts throughout ranges: one row for equal ones, then for each block
+    late = F.min(F.when(F.col("a").isNotNull(), F.struct((-F.col("a")).alias("v"), "start", "session_id"))).alias("late")
+    soon = F.min(F.when(F.col("b").isNotNull(), F.struct(F.col("b").alias("v"), "start", "session_id"))).alias("soon")
+    through = pieces.where(F.col("last") - F.col("first") > 1).groupBy("repos", "first", "last").agg(late, soon)
+    through = through.withColumn("level", F.floor(F.log2(F.col("last") - F.col("first") - 1)).cast("int"))
+    through = through.withColumn("wide", F.expr("shiftleft(1L, level)"))
+    blocks = through.withColumn("block", F.explode(F.array_distinct(F.array(F.col("first") + 1, F.col("last") - F.col("wide")))))
+    blocks = blocks.groupBy("repos", "wide", "block").agg(F.min("late").alias("late"), F.min("soon").alias("soon"))
+    none = F.lit(None).cast("long")
+    two = F.array(
+        F.struct((-F.col("late.v")).alias("a"), none.alias("b"), "late.start", "late.session_id"),
+        F.struct(none.alias("a"), F.col("soon.v").alias("b"), "soon.start", "soon.session_id"),
     )
-    end = edge.where("b is not null").select(
-        *where, F.least("hi", F.col("high") - 1).alias("at"), F.lit(END).alias("kind"), F.col("b").alias("v"),
-        F.col("lo").alias("other"), "start", "session_id", *none,
+    blocks = blocks.withColumn("range", F.explode(F.sequence("block", F.col("block") + F.col("wide") - 1)))
+    blocks = blocks.select("repos", "range", F.explode(two).alias("x")).where("x.session_id is not null").select(
+        F.lit(-NEVER).alias("lo"), F.lit(NEVER).alias("hi"), "x.*", "repos", "range",
     )
-    asked = ranged(commits.select(F.col("repo").alias("of"), "hash", instant("committed_at").alias("at")), cuts, "at", "range")
-    both = F.array(F.struct(F.lit(False).alias("near"), F.lit("").alias("repo")), F.struct(F.lit(True).alias("near"), normal_dir(F.col("of")).alias("repo")))
-    asked = asked.select(F.explode(both).alias("s"), "of", "hash", "at", "range").where("s.repo is not null").select("s.*", "of", "hash", "at", "range")
-    line = asked.select(
-        *where, "at", F.lit(COMMIT).alias("kind"), F.lit(0).cast("long").alias("v"), F.lit(0).cast("long").alias("other"),
-        F.lit(0).cast("long").alias("start"),
-        F.lit(None).cast(sessions.schema["session_id"].dataType).alias("session_id"), "of", "hash",
+    scopes = F.concat(
+        F.array(F.struct(F.lit(False).alias("near"), F.lit("").alias("repo"))),
+        F.transform("repos", lambda r: F.struct(F.lit(True).alias("near"), r.alias("repo"))),
     )
-    order = [*where, "at", "kind", "v", "start", "session_id"]
-    dealt = begin.unionByName(end).unionByName(line).select(
-        *order[:6], "other", "start", "session_id", "of", "hash",
-    ).repartition(*where).sortWithinPartitions(*order)
-    types = {k: t.simpleString() for k, t in (("of", kinds["repo"]), ("hash", kinds["hash"]), ("session_id", sessions.schema["session_id"].dataType))}
-    close = dealt.mapInArrow(nearest, f"of {types['of']}, hash {types['hash']}, near boolean, gap long, start long, session_id {types['session_id']}")
-    # what lasts throughout a range
-    through = pieces.where(F.col("last") - F.col("first") > 1).withColumn("range", F.explode(F.sequence(F.col("first") + 1, F.col("last") - 1)))
-    late = F.min(F.when(F.col("a").isNotNull(), F.struct((-F.col("a")).alias("v"), "start", "session_id")))
-    soon = F.min(F.when(F.col("b").isNotNull(), F.struct(F.col("b").alias("v"), "start", "session_id")))
-    through = through.groupBy(*where).agg(late.alias("late"), soon.alias("soon"))
-    two = F.array(
-        F.struct((F.col("at") + F.col("late.v")).alias("gap"), "late.start", "late.session_id"),
-        F.struct((F.col("soon.v") - F.col("at")).alias("gap"), "soon.start", "soon.session_id"),
+    columns = ["range", "near", "repo", "piece", "lo", "hi", "a", "b", "start", "session_id"]
+    dealt = edge.unionByName(blocks).withColumn("s", F.explode(scopes)).select("*", "s.*", F.lit(True).alias("piece")).select(columns)
+    session = sessions.schema["session_id"].dataType
+    points = ranged(asked, cuts, "at", "range").select(
+        "range", "near", "repo", F.lit(False).alias("piece"), F.col("at").alias("lo"), F.col("at").alias("hi"), none.alias("a"),
+        none.alias("b"), F.lit(0).cast("long").alias("start"), F.lit(None).cast(session).alias("session_id"),
     )
-    far = asked.join(through, where).select("of", "hash", "near", F.explode(two).alias("x")).where("x.gap is not null").select("of", "hash", "near", "x.*")
-    best = F.min(F.struct((~F.col("near")).alias("far"), "gap", "start", "session_id")).alias("o")
-    return close.unionByName(far).groupBy(F.col("of").alias("repo"), "hash").agg(best).select("repo", "hash", "o.session_id", "o.gap")
+    dealt = points.unionByName(dealt).repartition(*columns[:3]).sortWithinPartitions(*columns[:5])
+    close = dealt.mapInArrow(nearest, f"near boolean, repo string, at long, gap long, start long, session_id {session.simpleString()}")
+    best = F.min(F.struct("gap", "start", "session_id")).alias("o")
+    return close.groupBy("near", "repo", "at").agg(best).select("near", "repo", "at", "o.*")
+
+
+def owned(sessions: DataFrame, events: DataFrame, commits: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """repo, hash, session_id, gap, lines (if ``commits`` has them): each commit's one session: of those around it, sessions
+    working inside the repository before others, then the one with the nearest event (gap in microseconds), then the one
+    that started first. A repository's commits at one instant have one owner, which is looked for once."""
+    commits = commits.where("committed_at is not null").withColumn("at", instant("committed_at"))
+    instants = cut(commits.select("repo", "at").distinct())
+    both = F.array(F.struct(F.lit(False).alias("near"), F.lit("").alias("folder")), F.struct(F.lit(True).alias("near"), normal_dir(F.col("repo")).alias("folder")))
+    wanted = instants.select("repo", "at", F.explode(both).alias("s")).where("s.folder is not null").select("repo", "at", "s.*")
+    asked = wanted.select("near", F.col("folder").alias("repo"), "at").distinct()
+    found = around(sessions, events, asked, depth).withColumnRenamed("repo", "folder")
+    order = F.struct((~F.col("near")).alias("far"), "gap", "start", "session_id")
+    found = wanted.join(found, ["near", "folder", "at"]).groupBy("repo", "at").agg(F.min(order).alias("o"))
+    # (rows of one commit at several instants are one commit)
+    more = [c for c in ("lines",) if c in commits.columns]
+    named = F.struct("o.*", *more)
+    of = commits.alias("c").join(found.alias("f"), F.col("c.repo").eqNullSafe(F.col("f.repo")) & (F.col("c.at") == F.col("f.at")))
+    of = of.select("c.*", "o").groupBy("repo", "hash").agg(F.min(named).alias("o"))
+    return of.select("repo", "hash", *[f"o.{c}" for c in ("session_id", "gap", *more)])
+
+
+def owners(sessions: DataFrame, events: DataFrame, commits: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """repo, hash, session_id, gap: the owner of each commit (see ``owned``)."""
+    return owned(sessions, events, commits.select("repo", "hash", "committed_at"), depth)
 
 
 def by_repo(sessions: DataFrame, events: DataFrame, commits: DataFrame, threshold: float) -> DataFrame:
     """repo, sessions with lines, lines, and sessions that are expensive (cost per line at the threshold or above)."""
-    own = owners(sessions, events, commits).join(commits.select("repo", "hash", "lines"), ["repo", "hash"])
-    per = own.groupBy("repo", "session_id").agg(F.sum("lines").alias("lines")).where("lines > 0").join(sessions.select("session_id", "cost"), "session_id")
+    per = owned(sessions, events, commits).groupBy("repo", "session_id").agg(F.sum("lines").alias("lines")).where("lines > 0")
+    per = per.join(sessions.select("session_id", "cost"), "session_id")
     dear = (F.col("cost") / F.col("lines") >= threshold).cast("long")
     return per.groupBy("repo").agg(F.count("*").alias("sessions"), F.sum("lines").alias("lines"), F.sum(dear).alias("expensive_sessions"))
 

@@ -14,6 +14,7 @@ from ..functions import pricing, privacy
 from ..functions import text as t
 from ..operators import attribution, drift, mining, productivity, queue, repricing, reputation, rollup, runs, sentiment, timegap
 from ..operators.dedup import dedup_events, semantic_dedup
+from ..session import cut
 from . import views as v
 from .views import END, LEDGER, NOW, START, STATS, TASKS, TODAY
 
@@ -483,17 +484,29 @@ OWNERS = f"""{LEDGER}, {COMMITS}, gp AS (SELECT pair.*, (SELECT min(abs(date_dif
 ow AS (SELECT * FROM gp QUALIFY row_number() OVER (PARTITION BY repo, hash ORDER BY CASE WHEN near THEN 0 ELSE 1 END, gap, s, session_id) = 1)"""
 
 
+def work_events(s, d) -> DataFrame:
+    """Events of work sessions, each of which is a user's day."""
+    session = F.concat_ws(":", "session_id", F.col("event_date").cast("string")).alias("session_id")
+    return window(s, d).select(session, "ts", "cost_estimate_usd", "working_dir")
+
+
+def work_sessions(events: DataFrame) -> DataFrame:
+    """Work sessions with their costs."""
+    return events.groupBy("session_id").agg(
+        F.min("ts").alias("start"), F.max("ts").alias("end"), F.coalesce(F.sum("cost_estimate_usd"), F.lit(0.0)).alias("cost"),
+        F.min("working_dir").alias("working_dir"),
+    ).where("session_id <> '' and start is not null")
+
+
 def work(s, d) -> tuple[DataFrame, DataFrame]:
-    """Work sessions (a user's day) with costs, and their events."""
-    events = window(s, d).withColumn("session_id", F.concat_ws(":", "session_id", F.col("event_date").cast("string")))
-    spans = timegap.spans(events, ["session_id"]).drop("events")
-    more = events.groupBy("session_id").agg(F.coalesce(F.sum("cost_estimate_usd"), F.lit(0.0)).alias("cost"), F.min("working_dir").alias("working_dir"))
-    return spans.join(more, "session_id"), events
+    """Work sessions and their events, each made once."""
+    events = cut(work_events(s, d))
+    return cut(work_sessions(events)), events
 
 
 @query(f"WITH {COSTS} SELECT session_id, round(cost, 6) AS cost, commits, lines, round(CASE WHEN lines > 0 THEN cost / lines END, 6) AS cost_per_line FROM co")
 def diff_cost_sessions(s, d):
-    return attribution.session_costs(work(s, d)[0], v.commits(s, d))
+    return attribution.session_costs(work_sessions(work_events(s, d)), v.commits(s, d))
 
 
 @query(f"""WITH {COSTS}, cl AS (SELECT session_id, cost, commits, lines, cost / lines AS cpl FROM co WHERE lines > 0), th AS (SELECT cpl AS threshold
@@ -501,7 +514,7 @@ def diff_cost_sessions(s, d):
 SELECT session_id, round(cost, 6) AS cost, commits, lines, round(cpl, 6) AS cost_per_line, round(threshold, 6) AS threshold FROM cl, th
   WHERE cpl >= threshold ORDER BY cpl DESC, session_id LIMIT 5""")
 def diff_cost_expensive(s, d):
-    return attribution.expensive(attribution.session_costs(work(s, d)[0], v.commits(s, d)))
+    return attribution.expensive(attribution.session_costs(work_sessions(work_events(s, d)), v.commits(s, d)))
 
 
 @query(f"WITH {OWNERS} SELECT repo, hash, session_id, gap FROM ow")
