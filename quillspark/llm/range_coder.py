@@ -20,9 +20,8 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +48,6 @@ ONE32 = np.uint64(1 << 32)
 class Mixer:
     """What reader and writer know before each step. Lanes' numbers are 32-bit."""
 
-    UP, DOWN = np.array([1, 2, 3, 3], np.int32), np.array([1, 1, 1, 2], np.int32)
-
     def __init__(self, symbols: int, inverse: bool = False) -> None:
         self.n, self.inverse = symbols, inverse
         self.counts = np.ones(symbols, np.int64)
@@ -72,6 +69,8 @@ class Mixer:
         self.below = np.zeros(self.n + 1, np.int32)
         self.below[1:] = upto * ((1 << SCALE) / int(upto[-1]))
         self.below[-1] = 1 << SCALE
+        # an id's bounds lie side by side, as they are looked up together
+        self.bounds = np.stack([self.below[:-1], self.below[1:]], axis=1).view(np.int64).ravel()
         if self.inverse:
             self.id_at = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.below))
         self.since = 0
@@ -80,20 +79,24 @@ class Mixer:
         """Guesses and weights for lanes whose last ids, plus one, are given (0: none)."""
         self.at1 = before1
         self.at2 = (before2.view(np.uint32) * np.uint32(0x9E3779B1) + before1.view(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - HASH_BITS)
-        slot1, slot2 = self.slots1[self.at1], self.slots2[self.at2]
+        slot1, slot2 = self.slots1.take(self.at1), self.slots2.take(self.at2)
         self.g1, self.c1, self.g2, self.c2 = slot1 >> 2, slot1 & 3, slot2 >> 2, slot2 & 3
-        self.context = self.c2 * 4 + self.c1
+        self.context = (self.c2 * 4 + self.c1).astype(np.intp)
         share = (self.right * ((1 << WEIGHT) - 4) // self.right.sum(axis=1, keepdims=True)).astype(np.int32)
         share[:4, 0] = 0
         share[::4, 1] = 0
-        w2, w1 = share[:, 0][self.context], share[:, 1][self.context]
+        w2, w1 = share[:, 0].take(self.context), share[:, 1].take(self.context)
         self.w0 = (1 << WEIGHT) - w1 - w2
         same = self.g1 == self.g2
         self.m2 = (w2 + w1 * same) << SCALE
         self.m1 = (w1 * ~same) << SCALE
 
+    def between(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = self.bounds.take(ids).view(np.int32)
+        return both[::2], both[1::2]
+
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low, high = self.below[ids], self.below[ids + 1]
+        low, high = self.between(ids)
         start = self.w0 * low + self.m1 * (self.g1 < ids) + self.m2 * (self.g2 < ids)
         return start, self.w0 * (high - low) + self.m1 * (self.g1 == ids) + self.m2 * (self.g2 == ids)
 
@@ -103,23 +106,23 @@ class Mixer:
         ma, mb = np.where(first, self.m1, self.m2), np.where(first, self.m2, self.m1)
         both = a == b
         ma, mb = ma + mb * both, mb * ~both
-        a_low, b_low = self.w0 * self.below[a], self.w0 * self.below[b] + ma
-        a_high, b_high = self.w0 * self.below[a + 1] + ma, self.w0 * self.below[b + 1] + ma + mb
+        (a_low, a_high), (b_low, b_high) = self.between(a), self.between(b)
+        a_low, b_low = self.w0 * a_low, self.w0 * b_low + ma
+        a_high, b_high = self.w0 * a_high + ma, self.w0 * b_high + ma + mb
         rest = value - ma * (value >= a_high) - mb * (value >= b_high)
         # exact: both are below 2 ** 28, and quotients that are no integers lie 1 / 256 or more apart from one
         at = np.minimum(rest / self.w0, (1 << SCALE) - 1).astype(np.int32)
-        ids = np.where((value >= b_low) & (value < b_high), b, self.id_at[at])
+        ids = np.where((value >= b_low) & (value < b_high), b, self.id_at.take(at))
         return np.where((value >= a_low) & (value < a_high), a, ids)
 
     def learn(self, ids: np.ndarray) -> None:
         hit1, hit2 = (self.g1 == ids) & (self.c1 > 0), (self.g2 == ids) & (self.c2 > 0)
-        kind = 2 - hit1.astype(np.int32)
-        kind[hit2] = 0
+        kind = (2 - hit1.view(np.int8)) * ~hit2
         self.right += np.bincount(self.context * 3 + kind, minlength=48).reshape(16, 3)
         self.right[self.right.sum(axis=1) > 1 << 16] >>= 1
         np.maximum(self.right, 1, out=self.right)
         for slots, at, g, c, hit in ((self.slots1, self.at1, self.g1, self.c1, hit1), (self.slots2, self.at2, self.g2, self.c2, hit2)):
-            slots[at] = np.where(hit | (c > 1), g, ids) << 2 | np.where(hit, self.UP[c], self.DOWN[c])
+            slots[at] = np.where(hit | (c > 1), g, ids) << 2 | np.where(hit, np.minimum(c + 1, 3), np.maximum(c - 1, 1))
         self.waiting.append(ids)
         self.learnt += len(ids)
         self.since += len(ids)
@@ -248,32 +251,50 @@ def unpack_block(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 
 
 class LibraryEncoder:
-    """The tokenizers library's ids: its BPE model is asked once for each distinct pre-token that a worker holds."""
+    """The tokenizers library's ids: its BPE model is asked once for each distinct pre-token that a worker holds. Texts are
+    cut and looked up one by one, while their pre-tokens are fresh."""
 
-    MAX_WORDS = 500_000
+    #: Of the pre-tokens held, at which those not asked for since half as many were new are left.
+    MAX_WORDS = 1_000_000
 
     def __init__(self, path: str) -> None:
         calm_gc()
         self.pretokens = Pretokenizer(path)
         self.model = self.pretokens.library.model
         self.signs = {b: c for c, b in byte_level().items()}
-        self.words: dict[str, bytes] = {}
+        self.space = self.signs[ord(" ")]
+        self.words = Words(self.ids)
 
     def ids(self, word: str) -> bytes:
         added = self.pretokens.added.get(word)
-        found = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.signs))] if added is None else [added]
+        if added is not None:
+            return struct.pack("<i", added)
+        # (a space is the only printable ASCII sign that stands for another)
+        plain = word.isascii() and word.isprintable()
+        signs = word.replace(" ", self.space) if plain else word.encode().decode("latin-1").translate(self.signs)
+        found = [t.id for t in self.model.tokenize(signs)]
         return struct.pack(f"<{len(found)}i", *found)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        words = self.words
-        cut = list(map(self.pretokens, texts))
-        seen = set(chain.from_iterable(cut))
-        if len(words) > self.MAX_WORDS:
-            self.words = words = {w: words[w] for w in seen if w in words}
-        for word in seen.difference(words):
-            words[word] = self.ids(word)
-        get = words.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        if len(self.words) > self.MAX_WORDS // 2:
+            self.words.before = {}
+            self.words = Words(self.ids, self.words)
+        get, cut = self.words.__getitem__, self.pretokens
+        return [b"".join(map(get, cut(x))) for x in texts]
+
+
+class Words(dict):
+    """Ids of pre-tokens, made when they are first asked for, or taken from the words held before."""
+
+    def __init__(self, ids: Callable[[str], bytes], before: dict[str, bytes] | None = None) -> None:
+        self.ids, self.before = ids, before or {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            found = self.ids(word)
+        self[word] = found
+        return found
 
 
 @cache

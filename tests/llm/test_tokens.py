@@ -157,3 +157,24 @@ def test_bits_an_id(spark):
     zipped = 8 * len(zlib.compress(ids.astype("<i4").tobytes(), 6)) / len(ids)
     print(f"bits an id: mixed {bits:.2f}, order 0 {order0:.2f}, zlib {zipped:.2f}")
     assert bits < zipped
+
+
+def test_words_outlive_a_full_table():
+    """A worker's table lets go of words not asked for lately, and asks the library's model once for those that come back."""
+    encoder = range_coder.LibraryEncoder(PATH)
+    encoder.MAX_WORDS = 4
+    made, tokenize = [], encoder.model.tokenize
+
+    class Counted:
+        def tokenize(self, word):
+            made.append(word)
+            return tokenize(word)
+
+    encoder.model = Counted()
+    library = encoder.pretokens.library
+    for text in ("a one two three four", "six", "x two one", None, "", "\tñ \x7f\x00 <|endoftext|> two", "ñ ni\u0303 日本 one"):
+        got = np.frombuffer(encoder([text])[0], "<i4").tolist()
+        assert got == library.encode(text or "", add_special_tokens=False).ids
+        if text == "x two one":
+            assert made.count("Ġtwo") == made.count("Ġone") == 1
+    assert len(encoder.words) + len(encoder.words.before) <= 4 + 2 * 7
