@@ -46,7 +46,8 @@ def openai_cost(model: Column, tokens: Column, cached: Column, output: Column, d
 
     def cost(rate: tuple[float, float, float]) -> Column:
         a, b, c = rate
-        return F.greatest(tokens - cached, F.lit(0)) * (a / MILLION) + cached * (b / MILLION) + output * (c / MILLION)
+        # (divided once, so a price of few decimals is the double next to it)
+        return (F.greatest(tokens - cached, F.lit(0)) * a + cached * b + output * c) / MILLION
 
     out = cost(OPENAI_DEFAULT)
     for key, changes in reversed(OPENAI.items()):

@@ -1,6 +1,7 @@
 """Every query that has SQL gives the SQL's rows, on the smallest test tables."""
 
 import math
+from datetime import datetime, timedelta
 
 import duckdb
 import pytest
@@ -44,3 +45,17 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).where("provider is null").count() == 1
+
+
+def test_prices_as_written_are_no_change(spark, tmp_path):
+    """Calls that were written with the price they have: whether a price has changed is a matter of a double's last bit."""
+    rows = []
+    for k in range(0, 100, 5):  # no cached tokens: 800 k millionths
+        rows.append((10 * k + 1, datetime(2024, 1, 2) + timedelta(seconds=k), 1, "purchase", round(k * 0.08, 2), f'{{"k": {k}}}'))
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    found = con.execute(plans.SQL["recost"])
+    names = [x[0] for x in found.description]
+    want = found.fetchall()
+    assert [tuple(r) for r in plans.QUERIES["recost"](spark, str(tmp_path)).select(names).collect()] == want and 0 < want[0][names.index("changed")] < 20
