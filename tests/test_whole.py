@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -231,6 +232,45 @@ def test_pairs_over_blocks(spark, monkeypatch, block):
     assert {(own[y][1], own[x][1]): z for p in parts for x, y, z in zip(*p)} == {k[1:]: z for k, z in want.items() if k[0] == "a"}
 
 
+def test_blocks_that_may_have_pairs_meet_once():
+    """Ranges of sizes against all their pairs; a round has no more than it may, or one task."""
+    r = random.Random(2)
+    for _ in range(200):
+        bands, block, least = [], r.randrange(1, 60), r.choice([0.1, 0.4, 0.8, 1.0])
+        for run in "ab":
+            low = 1
+            for band in range(r.randrange(1, 9)):
+                high = low + r.randrange(4)
+                bands.append((run, band, r.randrange(1, 200), low, high))
+                low = high + 1
+        dealing, tasks = mining.laid_out(bands, least, block)
+        at = {(run, band): range(first, first + parts) for run, band, first, parts in dealing}
+        met = [(run, x, y) for run, x, y, _ in tasks]
+        assert len(set(met)) == len(met) and all(x <= y for _, x, y in met)
+        for run, band, n, low, high in bands:
+            assert n <= block * len(at[run, band])
+            for run2, band2, _, low2, high2 in bands:
+                if run == run2 and band <= band2 and high >= least * low2:
+                    assert {(run, min(x, y), max(x, y)) for x in at[run, band] for y in at[run2, band2]} <= set(met)
+        lists = list(mining.rounds(tasks, 100))
+        assert [t for some in lists for t in some] == tasks and all(len(some) == 1 or sum(t[3] for t in some) <= 100 for some in lists)
+
+
+def test_rounds_leave_no_shuffle_behind(spark):
+    """Before, each of a run's blocks lay on disk as often as the run had blocks."""
+    r = random.Random(5)
+    sets = [sorted(r.sample(range(4000), r.choice([10, 30, 30]))) for _ in range(400)]
+    sets += [x[:-1] for x in sets[::9]]
+    rows = spark.createDataFrame([("r", k, x) for k, x in enumerate(sets)] + [("s", 0, [1, 2]), ("s", 1, [1, 2])], "run_id string, fid long, h array<long>")
+    dirs = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    on_disk = lambda: sum(f.stat().st_size for d in dirs for f in Path(d).rglob("shuffle_*.data"))
+    before = on_disk()
+    found = mining.set_pairs(rows, 0.4, 500, at_once=1).collect()
+    assert on_disk() - before < 8 * sum(map(len, sets)) * 3
+    want = {("r", a, b): jaccard(set(x), set(y)) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and jaccard(set(x), set(y)) >= 0.4}
+    assert len(found) == len(want) + 1 and {tuple(x)[:3]: x["similarity"] for x in found} == want | {("s", 0, 1): 1.0} and len(want) > 40
+
+
 def test_pairs_shuffle_no_row_for_each_token(spark):
     """Before, each token of each text was a row of two shuffles."""
     rows = spark.range(2).selectExpr("'r' AS run_id", "id AS fid", "array('a', 'b') AS tokens")
