@@ -272,6 +272,43 @@ def test_rounds_leave_no_shuffle_behind(spark):
     assert len(found) == len(want) + 1 and {tuple(x)[:3]: x["similarity"] for x in found} == want | {("s", 0, 1): 1.0} and len(want) > 40
 
 
+def test_runs_in_one_task_and_in_blocks(spark):
+    """The matrix of small and of large runs, of findings without tokens and roles without a name, against a loop."""
+    r = random.Random(9)
+    bits = [f"t{k}" for k in range(25)]
+    sets = [sorted(r.sample(bits, r.choice([0, 1, 2, 3, 5, 8]))) for _ in range(60)]
+    rows = []
+    for run in ("a", "b", "c", None):
+        for role in ("r1", "r2", "r3", None):
+            for k, f in enumerate(r.sample(range(60), r.choice([0, 3, 25]) if run != "a" else 25)):
+                rows.append((run, role, f"f{f:02d}", k, sets[f]))
+    df = spark.createDataFrame(rows, "run_id string, role string, fid string, ord int, tokens array<string>")
+    want = []
+    for run in "abc":
+        own = [x for x in rows if x[0] == run]
+        chosen = []
+        for x in sorted(own, key=lambda x: (x[1] is not None, x[1] or "", x[3], x[2])):
+            if x[2] not in {c[2] for c in chosen} and not any(jaccard(set(x[4]), set(c[4])) >= 0.4 for c in chosen):
+                chosen.append(x)
+        # (equal findings of several roles are one)
+        for c in chosen:
+            for role in {x[1] for x in own}:
+                theirs = [x for x in own if x[1] == role]
+                state = "raised" if c[2] in {x[2] for x in theirs} else "corroborated" if any(jaccard(set(c[4]), set(x[4])) >= 0.4 for x in theirs) else "silent"
+                want.append((run, c[2], role, "silent" if role is None else state))
+    key = lambda x: tuple(map(str, x))
+    for found in (mining.consensus(df), mining.consensus(df, most=100), mining.consensus(df, most=0), mining.large_consensus(df)):
+        assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key)
+    assert {x[3] for x in want} == {"raised", "corroborated", "silent"} and sum(len(x[4]) for x in rows if x[0] == "a") > 100
+
+
+def test_matrix_shuffles_texts_only(spark, tmp_path):
+    """Before, findings were shuffled a dozen times, and what roles say of them checkpointed."""
+    found = plans.QUERIES["consensus_matrix"](spark, documents(spark, tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count("Exchange hashpartitioning(run_id") == 1 and "ExistingRDD" not in plan
+
+
 def test_pairs_shuffle_no_row_for_each_token(spark):
     """Before, each token of each text was a row of two shuffles."""
     rows = spark.range(2).selectExpr("'r' AS run_id", "id AS fid", "array('a', 'b') AS tokens")
